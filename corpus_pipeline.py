@@ -5,10 +5,39 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.llm import language, minhash, posindex, sentencepieces, toxicity
 from plumbline.llm.store import scratch_root, table
 
-STAGES: list = []
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents whose text a classifier of toxicity rejects."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that have no letters or no main language."""
+    return language.reject(docs)
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    return minhash.deduplicate(docs, minhash.Settings(words=5))
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold ten words in a row of a benchmark item."""
+    return posindex.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document's text."""
+    ids = sentencepieces.encode(docs.select("doc_id", "lang", "source", "text"))
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("toxicity", clean), ("language", in_a_language), ("near_duplicates", unlike), ("decontamination", uncontaminated), ("tokens", tokens)]
 
 #: The stages train classifiers and follow links, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None

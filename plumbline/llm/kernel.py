@@ -140,3 +140,16 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     column = batch.column(name)
     return column.cast(pa.string()) if pa.types.is_null(column.type) else column
+
+
+def schema_with(docs, fields: str):
+    """The schema of docs and further fields."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    return StructType([*docs.schema.fields, *_parse_datatype_string(fields).fields])
+
+
+def extended(batch: pa.RecordBatch, without: list[str], columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A batch without some columns and with others after the rest."""
+    kept = [i for i, name in enumerate(batch.schema.names) if name not in without]
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns.values()], [*(batch.schema.names[i] for i in kept), *columns])

@@ -7,16 +7,46 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import minhash
+from plumbline.llm import attribution, language, minhash, posindex, sentencepieces, toxicity
 from plumbline.llm.store import table
 
 
+def op2_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.by_section(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"), minhash.Settings(words=2))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posindex.digest(posindex.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_minhash": op5_minhash, "pipeline": corpus_pipeline.run}
+    return {
+        "op2_token_attribution": op2_token_attribution,
+        "op3_toxicity": op3_toxicity,
+        "op5_minhash": op5_minhash,
+        "op6_sentencepiece": op6_sentencepiece,
+        "op7_language": op7_language,
+        "op9_decontamination": op9_decontamination,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
