@@ -7,10 +7,14 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import attribution, language, minhash, posindex, sentencepieces, toxicity
+from plumbline.llm import attribution, extract, hilbert, language, licences, minhash, posindex, sentencepieces, toxicity, winnow
 from plumbline.llm.store import table
 
 
+def op1_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.assign(table(spark, sf_dir, "documents"))
+
+
 def op2_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.by_section(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"), minhash.Settings(words=2))
 
@@ -33,18 +41,30 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.train(docs))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posindex.digest(posindex.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hilbert": op1_hilbert,
         "op2_token_attribution": op2_token_attribution,
         "op3_toxicity": op3_toxicity,
+        "op4_main_text": op4_main_text,
         "op5_minhash": op5_minhash,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_language": op7_language,
+        "op8_licences": op8_licences,
         "op9_decontamination": op9_decontamination,
+        "op10_winnowing": op10_winnowing,
         "pipeline": corpus_pipeline.run,
     }
 
