@@ -158,9 +158,9 @@ def learn(labelled: list[tuple[str, str]], smoothing: float = 1.0) -> Weights:
     cap = 3.0
     return Weights(
         {k: -0.01 if k == "never" else max(-cap, min(cap, odds(n))) for k, n in word.items()},
-        {k: max(-cap, min(-0.1, odds(n) - cap)) for k, n in tag.items()},
+        {k: max(-cap, min(-0.05, odds(n))) for k, n in tag.items()},
         max(0.25, min(cap, odds(total_w))),
-        max(-cap, min(-0.1, odds(total_t) - cap)),
+        max(-cap, min(-0.05, odds(total_t))),
     )
 
 
