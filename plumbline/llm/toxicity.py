@@ -32,6 +32,7 @@ class Settings:
     slots_log2: int = 20
     features: int = 1024
     gram: int = 5
+    least: float = 3.5
     prior: float | None = None
     epochs: int = 300
     rate: float = 0.1
@@ -60,15 +61,16 @@ def presence(text: np.ndarray, offsets: np.ndarray, chosen: np.ndarray, s: Setti
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
-def select_features(df_p: np.ndarray, n_p: int, df_u: np.ndarray, n_u: int, prior: float, k: int) -> np.ndarray:
-    """Slots whose share in P stands out most from that in the clean part of U, in standard errors."""
+def select_features(df_p: np.ndarray, n_p: int, df_u: np.ndarray, n_u: int, prior: float, k: int, least: float) -> np.ndarray:
+    """Slots whose share in P is most above that in the clean part of U, in standard errors: least of them or more.
+
+    Only such evidence counts; what P merely lacks says more of length and language than of toxicity."""
     p, u = df_p / max(1, n_p), df_u / max(1, n_u)
     clean = np.clip((u - prior * p) / (1 - prior), 0, 1)
     error = np.sqrt((p * (1 - p) + 1 / max(1, n_p)) / max(1, n_p) + (clean * (1 - clean) + 1 / max(1, n_u)) / max(1, n_u))
-    z = np.abs(p - clean) / error
-    z[df_p + df_u == 0] = 0
+    z = (p - clean) / error
     top = np.argsort(-z, kind="stable")[:k]
-    return top[z[top] > 0]
+    return top[z[top] >= least]
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -136,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
                     df[y] += np.bincount(pairs[side == y] & (1 << s.slots_log2) - 1, minlength=1 << s.slots_log2)
             n[1] += int(label.sum())
             n[0] += int((1 - label).sum())
-        top = select_features(df[1], n[1], df[0], n[0], prior, s.features)
+        top = select_features(df[1], n[1], df[0], n[0], prior, s.features, s.least)
         chosen = np.full(1 << s.slots_log2, -1, np.int64)
         chosen[top] = np.arange(len(top))
         x = [np.zeros((n[0], len(top)), np.float32), np.zeros((n[1], len(top)), np.float32)]
