@@ -38,7 +38,7 @@ class Settings:
     bits: int = 8
     slack: float = 5.0
     seed: int = 7
-    block: int = 2048
+    block: int = 512
 
     @property
     def permutations(self) -> int:
@@ -109,12 +109,13 @@ def sets_of(column: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, bands, packed): d1 and d2 are a digest of the set. Empty sets have no bands."""
+    """(doc_id, n_shingles, d1, d2, bands, packed, tags): d1 and d2 are a digest of the set, tags the low 32 bits of each
+    band's key. Empty sets have no bands."""
 
     def sign(batches):
         signer = Signer(s)
         for batch in batches:
-            n, d1, d2, bands, packed = [], [], [], [], []
+            n, d1, d2, bands, packed, tags = [], [], [], [], [], []
             for x in sets_of(K.text_column(batch), s.words):
                 n.append(len(x))
                 with np.errstate(over="ignore"):
@@ -123,9 +124,10 @@ def signatures(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 minima = signer.minima(x) if len(x) else None
                 bands.append(signer.bands(minima) if len(x) else np.zeros(0, np.int64))
                 packed.append(signer.pack(minima) if len(x) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "bands", "packed"])
+                tags.append(bands[-1].astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary()), pa.array(tags, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "bands", "packed", "tags"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, packed binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, packed binary, tags binary")
 
 
 def matches_with(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -133,103 +135,128 @@ def matches_with(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (many == one).sum(axis=1)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, s: Settings, block: int = 512) -> DataFrame:
-    """Those of pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+class Joined:
+    """Components joined within a task, so that what is connected already isn't compared again."""
 
-    Members meet their centre b in groups of about block rows: a centre's text is sent once to each of its groups,
-    so that a centre with many members isn't one task's work. Rows are streamed; only the centre's set is held.
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+ASKS = "task long, id long, component long, anchors array<long>, components array<long>"
+
+
+def verified(asks: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) that full sets confirm, 100 * intersection >= percent * union, enough of them to connect all that
+    the asked pairs connect.
+
+    A row of asks is one member of a task and the anchors it is to be compared with, at most s.block in a task; with
+    the component that each is known to be in. An anchor's text is sent once to each of its tasks; members are
+    streamed past, and only the anchors' sets are held. A pair whose components the task has joined is skipped.
     """
-    pairs = pairs.where("a <> b").distinct()
-    sizes = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    salted = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / block)).alias("salt"))
-    salted = materialise(salted, "pairs")
-    members = salted.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "salt", F.lit(1).alias("part"), "a", "text")
-    centres = salted.select("b", "salt").distinct().join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "salt", F.lit(0).alias("part"), F.col("b").alias("a"), "text")
-    rows = members.unionByName(centres).repartition("b", "salt").sortWithinPartitions("b", "salt", "part")
+    asks = materialise(asks, "asks")
+    anchors = asks.select("task", F.explode("anchors").alias("id")).distinct().select("task", F.lit(0).alias("part"), "id", F.lit(0).cast("long").alias("component"), F.array().cast("array<long>").alias("anchors"), F.array().cast("array<long>").alias("components"))
+    members = asks.select("task", F.lit(1).alias("part"), "id", "component", "anchors", "components")
+    rows = members.unionByName(anchors).join(texts.withColumnRenamed("doc_id", "id"), "id").repartition("task").sortWithinPartitions("task", "part")
 
     def confirm(batches):
-        at, held = None, []
+        at, held, joined = None, {}, Joined()
         for batch in batches:
-            a, b, salt, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "salt", "part"))
-            keep = []
+            task, part, ids, comps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("task", "part", "id", "component"))
+            anchors, their = (batch.column(c).to_pylist() for c in ("anchors", "components"))
+            out_a, out_b = [], []
             for i, x in enumerate(sets_of(K.text_column(batch), s.words)):
-                if (b[i], salt[i]) != at:
-                    at, held = (b[i], salt[i]), []
+                if task[i] != at:
+                    at, held, joined = task[i], {}, Joined()
                 if part[i] == 0:
-                    held.append(x)
+                    held.setdefault(int(ids[i]), []).append(x)
                     continue
-                for y in held:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both and 100 * both >= s.percent * (len(x) + len(y) - both):
-                        keep.append(i)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
+                for anchor, component in zip(anchors[i], their[i], strict=True):
+                    if joined.root(component) == joined.root(int(comps[i])):
+                        continue
+                    for y in held.get(anchor, ()):
+                        if s.percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
+                            continue
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if both and 100 * both >= s.percent * (len(x) + len(y) - both):
+                            out_a.append(int(ids[i]))
+                            out_b.append(anchor)
+                            joined.join(component, int(comps[i]))
+                            break
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(confirm, "a long, b long")
 
 
-def across(members: DataFrame, s: Settings, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose packed bits can reach the threshold.
+def to_centres(members: DataFrame, s: Settings) -> DataFrame:
+    """Asks of every member of a bucket about the bucket's centre, once for each centre; a task has one centre and
+    some thousand members, so that a centre with many is several tasks' work."""
+    pairs = members.where("id <> centre").select("id", "centre").distinct()
+    salted = pairs.join(pairs.groupBy("centre").agg(F.ceil(F.count("*") / (4 * s.block)).alias("salts")), "centre")
+    return salted.select(F.xxhash64("centre", F.pmod(F.xxhash64("id"), "salts")).alias("task"), "id", F.col("id").alias("component"), F.array("centre").alias("anchors"), F.array("centre").alias("components"))
+
 
-    members: (key, id, component, packed). In each bucket the members of the largest component are streamed past
-    those of all others, which are split into blocks of at most s.block that a task holds. best_only: of each
-    anchor, only the closest member of each other component, for a first round.
+def across(members: DataFrame, s: Settings) -> DataFrame:
+    """Asks about pairs of different components that share a bucket and whose packed bits can reach the threshold.
+
+    members: (band, key, id, component, packed, tags), tags being 32 bits of each band's key. In each bucket the
+    members of the largest component are streamed past those of all others, which are split into blocks that a task
+    holds. A pair that meets in several bands is asked about in the first of them.
     """
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    rows = members.join(main, "key").withColumn("anchors", F.col("total") - F.col("most"))
-    blocks, salts = F.ceil(F.col("anchors") / s.block), F.ceil(F.col("total") / (16 * s.block))
-    own = F.pmod(F.xxhash64("id"), blocks)
-    as_anchor = rows.where("component <> main").select("key", own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(0).alias("part"), "id", "component", "packed")
-    streamed = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), salts).alias("salt"), F.lit(1).alias("part"), "id", "component", "packed")
-    dealt = as_anchor.unionByName(streamed).repartition("key", "block", "salt").sortWithinPartitions("key", "block", "salt", "part")
+    rows = members.join(main, "key").withColumn("blocks", F.ceil((F.col("total") - F.col("most")) / s.block)).withColumn("salts", F.ceil(F.col("total") / (16 * s.block)))
+    held = ["band", "id", "component", "packed", "tags"]
+    as_anchor = rows.where("component <> main").select("key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("part"), *held)
+    streamed = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), "salts").alias("salt"), F.when(F.col("component") == F.col("main"), 1).otherwise(2).alias("part"), *held)
+    dealt = as_anchor.unionByName(streamed).select(F.xxhash64("key", "block", "salt").alias("task"), "part", *held).repartition("task").sortWithinPartitions("task", "part")
     least = s.least_matches
 
     def compare(batches):
-        at, held, best = None, [], {}
-        names, kind = ["a", "b"], pa.int64()
-
-        def flush():
-            found = [(x, y) for (x, _), (_, y) in best.items()]
-            best.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([y for _, y in found], kind)], names)
-
-        ids = comps = sigs = None
+        at, held, ids = None, [], None
+        comps = sigs = tags = None
         for batch in batches:
-            col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "salt", "part", "id", "component")}
-            raw = batch.column("packed").to_pylist()
-            out_a, out_b = [], []
+            task, part, band, own, component = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("task", "part", "band", "id", "component"))
+            packed, tagged = batch.column("packed").to_pylist(), batch.column("tags").to_pylist()
+            out: list[list] = [[] for _ in range(5)]
             for i in range(batch.num_rows):
-                now = (col["key"][i], col["block"][i], col["salt"][i])
-                if now != at:
-                    if best:
-                        yield flush()
-                    at, held, ids = now, [], None
-                if col["part"][i] == 0:
-                    held.append((col["id"][i], col["component"][i], raw[i]))
+                if task[i] != at:
+                    at, held, ids = task[i], [], None
+                if part[i] == 0:
+                    held.append((own[i], component[i], packed[i], tagged[i]))
+                    continue
+                if not held:
                     continue
                 if ids is None:
                     ids, comps = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
-                    sigs = unpack(np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1), s.bits) if held else np.zeros((0, 1), np.uint8)
-                if not len(ids):
-                    continue
-                one = unpack(np.frombuffer(raw[i], np.uint8).reshape(1, -1), s.bits)
-                equal = matches_with(one, sigs)
-                for k in np.flatnonzero((equal >= least) & (comps != col["component"][i])):
-                    if not best_only:
-                        out_a.append(int(ids[k]))
-                        out_b.append(int(col["id"][i]))
-                    else:
-                        key = (int(ids[k]), int(col["component"][i]))
-                        if equal[k] > best.get(key, (-1, 0))[0]:
-                            best[key] = (int(equal[k]), int(col["id"][i]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, kind), pa.array(out_b, kind)], names)
-        if best:
-            yield flush()
-
-    found = dealt.mapInArrow(compare, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+                    sigs = unpack(np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1), s.bits)
+                    tags = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(len(held), -1)
+                mine = comps != component[i]
+                if part[i] == 2:  # an anchor itself: of the two rows that see the pair one asks
+                    mine &= ids < own[i]
+                equal = matches_with(unpack(np.frombuffer(packed[i], np.uint8).reshape(1, -1), s.bits), sigs)
+                near = np.flatnonzero(mine & (equal >= least))
+                if len(near):
+                    first = (tags[near] == np.frombuffer(tagged[i], np.uint32)).argmax(axis=1)
+                    near = near[first == band[i]]
+                if len(near):
+                    near = near[np.argsort(-equal[near], kind="stable")]
+                    for o, v in zip(out, (task[i], own[i], component[i], ids[near], comps[near]), strict=True):
+                        o.append(v)
+            if out[0]:
+                kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["task", "id", "component", "anchors", "components"])
+
+    return dealt.mapInArrow(compare, ASKS)
 
 
 def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -242,36 +269,32 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """
     signed = materialise(signatures(docs, s), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copied = full.join(classes.where("copies > 1"), ["n_shingles", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    copied = materialise(copied, "copied")
-    reps = full.join(copied.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    copied = materialise(full.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copied")
+    reps = full.join(copied.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
 
-    banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    banded = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre")
     members = materialise(banded.join(shared, "key"), "members")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id"), "texts")
-    packed = materialise(signed.join(wanted, "doc_id").select(F.col("doc_id").alias("id"), "packed"), "packed")
+    texts = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id"), "texts")
 
-    links = verified(members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")), texts, s)
-    links = materialise(copied.union(links), "links")
+    links = materialise(copied.union(verified(to_centres(members, s), texts, s)), "links")
     found = connected_components(links)
-    for best_only in (True, False):
-        labelled = members.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        rest = labelled.join(mixed, "key").join(packed, "id").select("key", "id", "component", "packed")
-        reach = materialise(across(rest, s, best_only), "across")
-        if reach.isEmpty():
-            break
-        more = materialise(verified(reach, texts, s), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            found = connected_components(links)
+    labelled = members.select("band", "key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
+    labelled = materialise(labelled, "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    sigs = full.select(F.col("doc_id").alias("id"), "packed", "tags").dropDuplicates(["id"])
+    more = verified(across(labelled.join(mixed, "key").join(sigs, "id"), s), texts, s)
+    # components of components: what was found is one node each
+    ends = [found.withColumnRenamed("node", c).withColumnRenamed("component", f"of_{c}") for c in ("a", "b")]
+    more = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).distinct()
+    merged = connected_components(more).select(F.col("node").alias("was"), F.col("component").alias("now"))
     return (
         signed.select("doc_id", "n_shingles")
         .join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("was"))
+        .join(merged, "was", "left")
+        .select("doc_id", "n_shingles", F.coalesce("now", "was").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
