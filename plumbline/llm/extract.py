@@ -42,6 +42,10 @@ _MARKED = re.compile(r"<(?:article|main)[\s>]", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
+#: The score of words and tags in contexts that are never content.
+NOTHING = -0.01
+
+
 @dataclass
 class Stretch:
     """Text between tags: where it stands, and whether its context is never content."""
@@ -52,7 +56,7 @@ class Stretch:
 
 
 def parse(page: str) -> Iterator[Stretch | str]:
-    """Stretches of text and tags ('p', '/p'), in page order. Unclosed elements close where HTML says they do, or
+    """Stretches of text and tags ('p', '/p', and '~p', '~/p' in contexts that are never content), in page order. Unclosed elements close where HTML says they do, or
     with an element around them; comments, declarations, scripts and styles are nothing."""
     stack: list[tuple[str, bool]] = []
     at = 0
@@ -77,15 +81,15 @@ def parse(page: str) -> Iterator[Stretch | str]:
             continue
         tag = m[2].lower()
         if m[1]:
+            yield f"{'~' if never() else ''}/{tag}"
             if any(t == tag for t, _ in stack):
                 while stack and stack.pop()[0] != tag:
                     pass
-            yield f"/{tag}"
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            yield tag
+            yield f"~{tag}"
             continue
         if tag in BLOCK and stack and any(t == "p" for t, _ in stack) and tag != "br":
             while stack.pop()[0] != "p":
@@ -97,8 +101,8 @@ def parse(page: str) -> Iterator[Stretch | str]:
                 if tag in CLOSES.get(stack[i][0], ()):
                     del stack[i:]
                     break
-        yield tag
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
+            yield f"{'~' if never() else ''}{tag}"
             continue
         said, hidden = [], False
         for a in _ATTRIBUTE.finditer(m[3]):
@@ -112,6 +116,7 @@ def parse(page: str) -> Iterator[Stretch | str]:
         inner = tag in ("article", "main", "body", "html")
         own = tag in NEVER or hidden or tag == "header" and not any(t in ("article", "main") for t, _ in stack) or not inner and any(SAYS_NEVER.search(v) for v in said)
         stack.append((tag, never() or own))
+        yield f"{'~' if never() else ''}{tag}"
     yield from stretch(page[at:])
 
 
@@ -139,8 +144,9 @@ def learn(labelled: list[tuple[str, str]], smoothing: float = 1.0) -> Weights:
         tokens, content = [], []
         for x in parse(page):
             if isinstance(x, str):
-                tokens.append(("tag", x.lstrip("/")))
-                content.append(None)
+                if x[0] != "~":
+                    tokens.append(("tag", x.lstrip("/")))
+                    content.append(None)
                 continue
             words = x.text.split()
             good = bool(words) and words == want[position : position + len(words)]
@@ -157,7 +163,7 @@ def learn(labelled: list[tuple[str, str]], smoothing: float = 1.0) -> Weights:
     total_w, total_t = ([sum(n[i] for n in d.values()) for i in (0, 1)] for d in (word, tag))
     cap = 3.0
     return Weights(
-        {k: -0.01 if k == "never" else max(-cap, min(cap, odds(n))) for k, n in word.items()},
+        {k: NOTHING if k == "never" else max(-cap, min(cap, odds(n))) for k, n in word.items()},
         {k: max(-cap, min(-0.05, odds(n))) for k, n in tag.items()},
         max(0.25, min(cap, odds(total_w))),
         max(-cap, min(-0.05, odds(total_t))),
@@ -220,15 +226,15 @@ def main_text(page: str | None, weights: Weights) -> str:
     scores = []
     for x in tokens:
         if isinstance(x, str):
-            scores.append(weights.tag.get(x.lstrip("/"), weights.tag_default))
+            scores.append(NOTHING if x[0] == "~" else weights.tag.get(x.lstrip("/"), weights.tag_default))
         else:
             n = len(x.text.split())
-            scores.append(n * (weights.word.get("never", -0.01) if x.never else weights.word.get(x.context, _default(x.context, weights))))
+            scores.append(n * (weights.word.get("never", NOTHING) if x.never else weights.word.get(x.context, _default(x.context, weights))))
     begin, end = best_region(scores)
     blocks: list[list[str]] = [[]]
     for x in tokens[begin:end]:
         if isinstance(x, str):
-            if x.lstrip("/") in BLOCK:
+            if x.lstrip("~/") in BLOCK:
                 blocks.append([])
         elif not x.never:
             blocks[-1].append(x.text)

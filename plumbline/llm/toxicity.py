@@ -73,6 +73,20 @@ def select_features(df_p: np.ndarray, n_p: int, df_u: np.ndarray, n_u: int, prio
     return top[z[top] >= least]
 
 
+def prior_seen(df_p: np.ndarray, n_p: int, df_u: np.ndarray, n_u: int, prior: float, features: int = 20, least_rows: int = 20) -> float:
+    """The prior, or less where the sample shows that it must be less.
+
+    A feature of toxic text alone is in U as often as in P times the toxic share of U; of features that other text
+    has too it is more often. So no more of U is toxic than the ratio of the most particular common features says.
+    """
+    top = select_features(df_p, n_p, df_u, n_u, prior, 4 * features, 3.5)
+    top = top[df_p[top] >= least_rows][:features]
+    if not len(top) or not n_u:
+        return prior
+    ratio = (df_u[top] / n_u) / (df_p[top] / n_p)
+    return float(np.clip(min(prior, np.median(ratio)), 1e-3, 0.9))
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
@@ -138,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
                     df[y] += np.bincount(pairs[side == y] & (1 << s.slots_log2) - 1, minlength=1 << s.slots_log2)
             n[1] += int(label.sum())
             n[0] += int((1 - label).sum())
-        top = select_features(df[1], n[1], df[0], n[0], prior, s.features, s.least)
+        share = prior if s.prior is not None else prior_seen(df[1], n[1], df[0], n[0], prior)
+        top = select_features(df[1], n[1], df[0], n[0], share, s.features, s.least)
         chosen = np.full(1 << s.slots_log2, -1, np.int64)
         chosen[top] = np.arange(len(top))
         x = [np.zeros((n[0], len(top)), np.float32), np.zeros((n[1], len(top)), np.float32)]
@@ -153,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
                     mine = side[doc] == y
                     x[y][at[y] + row[doc[mine]], feature[mine]] = 1
                     at[y] += int((side == y).sum())
-        w, b, _ = nonnegative_pu_fit(x[1], x[0], prior, s)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps({"slots": top, "weights": w, "bias": b, "prior": prior, "settings": s})], pa.binary())], ["model"])
+        w, b, _ = nonnegative_pu_fit(x[1], x[0], share, s)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps({"slots": top, "weights": w, "bias": b, "prior": share, "settings": s})], pa.binary())], ["model"])
 
     # the sample is bounded, so that one task holds it
     return pickle.loads(bytes(rows.coalesce(1).mapInArrow(fit, "model binary").first()["model"]))
