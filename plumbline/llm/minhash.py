@@ -151,21 +151,19 @@ class Joined:
         self.up[self.root(x)] = self.root(y)
 
 
-ASKS = "task long, id long, component long, anchors array<long>, components array<long>"
+ASKS = "task long, part int, id long, component long, anchors array<long>, components array<long>"
 
 
 def verified(asks: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) that full sets confirm, 100 * intersection >= percent * union, enough of them to connect all that
     the asked pairs connect.
 
-    A row of asks is one member of a task and the anchors it is to be compared with, at most s.block in a task; with
-    the component that each is known to be in. An anchor's text is sent once to each of its tasks; members are
-    streamed past, and only the anchors' sets are held. A pair whose components the task has joined is skipped.
+    A row of asks is a task's anchor (part 0), of which it has s.block at most, or one of its members (part 1) with
+    the anchors it is to be compared with and the component that each is known to be in. Members are streamed past,
+    and only the anchors' sets are held. A pair whose components the task has joined is skipped.
     """
     asks = materialise(asks, "asks")
-    anchors = asks.select("task", F.explode("anchors").alias("id")).distinct().select("task", F.lit(0).alias("part"), "id", F.lit(0).cast("long").alias("component"), F.array().cast("array<long>").alias("anchors"), F.array().cast("array<long>").alias("components"))
-    members = asks.select("task", F.lit(1).alias("part"), "id", "component", "anchors", "components")
-    rows = members.unionByName(anchors).join(texts.withColumnRenamed("doc_id", "id"), "id").repartition("task").sortWithinPartitions("task", "part")
+    rows = asks.join(texts.withColumnRenamed("doc_id", "id"), "id").repartition("task").sortWithinPartitions("task", "part")
 
     def confirm(batches):
         at, held, joined = None, {}, Joined()
@@ -202,7 +200,10 @@ def to_centres(members: DataFrame, s: Settings) -> DataFrame:
     some thousand members, so that a centre with many is several tasks' work."""
     pairs = members.where("id <> centre").select("id", "centre").distinct()
     salted = pairs.join(pairs.groupBy("centre").agg(F.ceil(F.count("*") / (4 * s.block)).alias("salts")), "centre")
-    return salted.select(F.xxhash64("centre", F.pmod(F.xxhash64("id"), "salts")).alias("task"), "id", F.col("id").alias("component"), F.array("centre").alias("anchors"), F.array("centre").alias("components"))
+    salted = salted.select(F.xxhash64("centre", F.pmod(F.xxhash64("id"), "salts")).alias("task"), "id", "centre")
+    asks = salted.select("task", F.lit(1).alias("part"), "id", F.col("id").alias("component"), F.array("centre").alias("anchors"), F.array("centre").alias("components"))
+    none = F.array().cast("array<long>")
+    return asks.unionAll(salted.select("task", F.lit(0), F.col("centre"), F.col("centre"), none, none).distinct())
 
 
 def across(members: DataFrame, s: Settings) -> DataFrame:
@@ -222,15 +223,27 @@ def across(members: DataFrame, s: Settings) -> DataFrame:
     least = s.least_matches
 
     def compare(batches):
-        at, held, ids = None, [], None
+        at, held, ids, asked = None, [], None, set()
         comps = sigs = tags = None
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * 2
+
+        def rows(columns):
+            return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(columns, kinds, strict=True)], ["task", "part", "id", "component", "anchors", "components"])
+
+        def anchors_asked():
+            found = [[at, 0, int(ids[k]), int(comps[k]), [], []] for k in sorted(asked)]
+            asked.clear()
+            return rows(list(zip(*found, strict=True)))
+
         for batch in batches:
             task, part, band, own, component = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("task", "part", "band", "id", "component"))
             packed, tagged = batch.column("packed").to_pylist(), batch.column("tags").to_pylist()
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for i in range(batch.num_rows):
                 if task[i] != at:
-                    at, held, ids = task[i], [], None
+                    if asked:
+                        yield anchors_asked()
+                    at, held, ids = int(task[i]), [], None
                 if part[i] == 0:
                     held.append((own[i], component[i], packed[i], tagged[i]))
                     continue
@@ -250,11 +263,13 @@ def across(members: DataFrame, s: Settings) -> DataFrame:
                     near = near[first == band[i]]
                 if len(near):
                     near = near[np.argsort(-equal[near], kind="stable")]
-                    for o, v in zip(out, (task[i], own[i], component[i], ids[near], comps[near]), strict=True):
+                    asked.update(near.tolist())
+                    for o, v in zip(out, (task[i], 1, own[i], component[i], ids[near], comps[near]), strict=True):
                         o.append(v)
             if out[0]:
-                kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["task", "id", "component", "anchors", "components"])
+                yield rows(out)
+        if asked:
+            yield anchors_asked()
 
     return dealt.mapInArrow(compare, ASKS)
 
