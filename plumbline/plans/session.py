@@ -58,7 +58,7 @@ def sided(side: str):
 
 def view(spark: SparkSession, df: DataFrame, name: str) -> None:
     """A temporary view of df, which may be of another session of the same application, in this one."""
-    plan = df._jdf.queryExecution().logical()
+    plan = df._jdf.queryExecution().analyzed()
     DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark).createOrReplaceTempView(name)
 
 

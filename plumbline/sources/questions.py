@@ -106,7 +106,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
     """(key, statement) of a file with a statement in each line, by place from 0. Only line feeds end lines."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("value"))
     lines = whole.select(F.posexplode(F.split("value", "\n")).alias("key", "raw"), F.size(F.split("value", "\n")).alias("n"))
     kept = lines.where(~((F.col("key") == F.col("n") - 1) & (F.col("raw") == "")))
     return kept.select(F.col("key").cast("long").alias("key"), _statement(F.regexp_replace("raw", "\r$", "")).alias("statement"))

@@ -1,0 +1,231 @@
+"""Statement facts and rewrites, sessions, probes, fixtures, windows, inputs and whole runs."""
+
+import json
+from datetime import UTC, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.operators import fixture, probes, runs, shuffle, windows
+from plumbline.operators.order import with_pos
+from plumbline.plans import audit, record, session
+from plumbline.plans import statement as S
+from plumbline.sources import demo, questions, tables
+from plumbline.streaming import compare_each_batch
+
+
+@pytest.fixture(scope="module")
+def views(spark):
+    for name, df in demo.tables(spark).items():
+        df.createOrReplaceTempView(name)
+    return spark
+
+
+def test_facts_of_a_statement(spark):
+    s = S.parse(spark, "WITH t AS (SELECT * FROM a.b) SELECT DISTINCT x.id AS i, y.name FROM t x JOIN c AS y ON x.id = y.id WHERE x.z IN (SELECT z FROM d) ORDER BY 1 DESC, y.name NULLS LAST LIMIT 5 OFFSET 2;")
+    assert s.tables == ("a.b", "c", "d") or set(s.tables) == {"a.b", "c", "d"}
+    assert [(k.column, k.descending, k.nulls_first) for k in s.ordering] == [("x.id", True, False), ("y.name", False, False)]
+    assert (s.limit, s.offset, s.distinct, s.set_operation, s.rule) == (5, 2, True, False, "ordered")
+    assert s.aliases == {"x": "t", "y": "c"} and s.output_names == ("i", None)
+    assert S.parse(spark, "SELECT 1 UNION SELECT 2").set_operation and not S.parse(spark, "SELECT 1 UNION SELECT 2").distinct
+    assert S.parse(spark, "SELECT * FROM (SELECT 1 AS a) q").from_has_subquery
+    assert S.parse(spark, "SELECT a AS k FROM t ORDER BY k").ordering[0].column == "a"
+
+
+@pytest.mark.parametrize("sql", ["", "SELECT 1; SELECT 2", "DELETE FROM t", "INSERT INTO t SELECT 1", "DROP TABLE t", "SELECT ?", "SELECT :x", "SELECT 1 FROM t LIMIT 1, 2", "SELECT id FROM t ORDER BY \"id\"", "SELECT a FROM t ORDER BY 3"])
+def test_other_statements_are_refused(spark, sql):
+    with pytest.raises(S.StatementRefused):
+        S.parse(spark, sql)
+
+
+def test_rewrites(spark):
+    s = S.parse(spark, "SELECT name FROM mark WHERE name <> 'order by x limit 3' ORDER BY score DESC, name LIMIT 1 OFFSET 1")
+    assert S.without_bound(s) == "SELECT name FROM mark WHERE name <> 'order by x limit 3' ORDER BY score DESC, name"
+    assert S.without_order(s) == "SELECT name FROM mark WHERE name <> 'order by x limit 3'"
+    assert S.unbounded_with_keys(s).startswith("SELECT name, score AS plumbline_key_0, name AS plumbline_key_1 FROM mark")
+    assert "try_cast(score AS DOUBLE) DESC NULLS LAST, name ASC NULLS FIRST LIMIT 1 OFFSET 1" in S.ordered_as_number(s, 0)
+    assert S.normalised(" SELECT  A\nFROM t ; ") == "select a from t"
+    assert [t for t, *_ in S.token_difference("SELECT a FROM t", "SELECT b FROM t")] == ["equal", "replace", "equal"]
+    assert S.folded("ÀB") == "Àb"
+
+
+def test_clauses_and_constructs(spark):
+    same = "SELECT a FROM t WHERE b = 1"
+    assert S.clause_difference(spark, same, "select a  from t where b = 1") == ([], "same")
+    assert S.clause_difference(spark, same, "SELECT a FROM t WHERE b = 2") == (["where"], "where")
+    assert S.clause_difference(spark, same, "SELECT a FROM u WHERE b = 1")[1] == "whole_rewrite"
+    found = S.construct_census(spark, "SELECT CASE WHEN a LIKE 'x%' THEN 1 END, count(*) FROM t JOIN u ON t.i = u.i WHERE EXISTS (SELECT 1) GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 3")
+    assert all(found[k] for k in ("join", "case", "like", "aggregate", "having", "sort", "limit", "exists", "call_count")) and not found["union"]
+
+
+def test_a_session_of_its_own(views):
+    e = session.Envelope.open(views, demo.tables(views), row_budget=3)
+    assert e.frame("SELECT count(*) AS n FROM shop").first()["n"] == 4
+    with pytest.raises(session.RowBudgetExceeded):
+        e.within_budget(e.frame("SELECT * FROM sale"))
+    e.spark.conf.set("spark.sql.caseSensitive", "true")
+    with pytest.raises(session.SessionDrifted):
+        e.check()
+    assert views.conf.get("spark.sql.caseSensitive") == "false"
+    with pytest.raises(session.SideFailed) as failed, session.sided("run"), session.sided("gold"):
+        raise ValueError("x")
+    assert failed.value.side == "gold" and e.identity()["engine"] == "spark"
+
+
+def test_a_statement_that_takes_too_long_is_stopped(spark):
+    e = session.Envelope.open(spark, timeout=1.5)
+    slow = "SELECT count(*) FROM range(100000000) a JOIN range(100000) b ON a.id % 7 < b.id % 5"
+    with pytest.raises(session.StatementTimedOut):
+        e.timed(lambda: e.frame(slow).collect())
+    assert e.timed(lambda: e.frame("SELECT 1 AS x").first()["x"]) == 1
+
+
+def smells(spark, sql, question="", **kw):
+    e = session.Envelope.open(spark, demo.tables(spark))
+    copies = shuffle.prepare(e.spark, tuple(demo.TABLES), "1")
+    return {s.name: s for s in probes.all_smells(e, S.parse(spark, sql), copies, question, True, **kw)}
+
+
+def test_probes_of_statements(views):
+    tie = smells(views, "SELECT name FROM mark ORDER BY score DESC LIMIT 1", "Who has the lowest score?")
+    assert tie["arbitrary-cut"].fired and tie["arbitrary-cut"].evidence["answers"] == 3 and tie["direction-against-question"].fired
+    text = smells(views, "SELECT driver FROM lap ORDER BY speed DESC LIMIT 1")
+    assert text["ordering-over-numeric-text"].fired and not text["duplicate-full-row"].applicable
+    nulls = smells(views, "SELECT driver FROM lap ORDER BY speed LIMIT 1", "Who is fastest?")
+    assert nulls["arbitrary-cut"].fired and nulls["arbitrary-cut"].evidence["kind"] == "null-first"
+    plain = smells(views, "SELECT item FROM sale")
+    assert plain["duplicate-full-row"].fired and not plain["arbitrary-cut"].applicable
+    quiet = smells(views, "SELECT id FROM shop ORDER BY id LIMIT 2")
+    assert not any(s.fired for s in quiet.values())
+    with pytest.raises(ValueError):
+        probes.Smell("x", True, False)
+
+
+def test_float_sums_move_with_the_order(spark):
+    df = spark.createDataFrame([(x,) for x in [1e16, 1.0, -1e16, 3.0, 0.1] * 3], "v double")
+    assert shuffle.float_sums(df, "v", 6).select("total").distinct().count() > 1
+    a = with_pos(spark.sql("SELECT 1.0D AS v, 'x' AS k"))
+    near, far = with_pos(spark.sql("SELECT 1.0000000001D AS v, 'x' AS k")), with_pos(spark.sql("SELECT 1.1D AS v, 'x' AS k"))
+    says = lambda b: probes.float_order_only(a, b).first()["only_float_order"]
+    assert says(near) and not says(far) and not says(a)
+
+
+def test_shuffled_copies_stand_in_for_tables(views):
+    copies = shuffle.prepare(views, ("shop", "sale", "x.y"), "7", row_limit=10)
+    assert set(copies.made) == {"shop"} and copies.skipped == {"sale": "rows", "x.y": "qualified"}
+    assert sorted(r["id"] for r in copies.spark.sql("SELECT id FROM shop").collect()) == [1, 2, 3, 4]
+    assert copies.reaches(("Shop", "sale")) == ["Shop"]
+
+
+def test_fixtures(spark, tmp_path):
+    df = spark.range(100).withColumn("x", F.col("id") % 3)
+    a, b = fixture.content_digest(df).first(), fixture.content_digest(df.repartition(7)).first()
+    assert a == b != fixture.content_digest(df.where("id <> 5")).first()
+    assert fixture.document_digest(df) == fixture.document_digest(df.repartition(3))
+    path = str(tmp_path / "t.parquet")
+    df.write.parquet(path)
+    cache, held = fixture.Cache(str(tmp_path / "cache.json")), {"t": spark.read.parquet(path)}
+    one = fixture.measure(held, contents=True, cache=cache)
+    assert fixture.measure(held, contents=True, cache=cache) == one and one["counts"] == {"t": 100}
+    assert fixture.same_fixture(one, one | {"contents": {}}) and not fixture.same_fixture(one, one | {"counts": {"t": 1}})
+    (tmp_path / "cache.json").write_text("not json")
+    assert cache.get("x", "y") is None
+    assert fixture.typing_census(spark.sql("SELECT 1 AS v UNION ALL SELECT 2")).first().asDict() == {"typed": 2, "plain": 2}
+
+
+def test_windows():
+    at = lambda *x: datetime(*x, tzinfo=UTC)
+    w = windows.resolve("  Last   QUARTER ")
+    assert (w.start, w.end) == (at(2026, 4, 1), at(2026, 7, 1)) and len(w.periods("month")) == 3
+    assert windows.resolve("last 12 weeks").start == at(2026, 4, 20) and len(windows.resolve("last 12 weeks").periods("week")) == 12
+    assert windows.resolve("the last 12 complete months").start == at(2025, 7, 1)
+    assert windows.resolve("last 30 days").end == windows.DEFAULT_CLOCK and isinstance(windows.resolve("per month"), windows.Trend)
+    with pytest.raises(windows.UnknownWindow):
+        windows.resolve("recently")
+    with pytest.raises(ValueError):
+        windows.resolve("the last year", at(2024, 2, 29))
+    with pytest.raises(ValueError):
+        windows.resolve("last month", datetime(2026, 1, 1))
+    with pytest.raises(ValueError):
+        windows.resolve("last 30 days").periods("month")
+
+
+def test_question_files(spark, tmp_path):
+    q = {"question_id": 1, "db_id": "d", "question": "q?", "SQL": "SELECT 1"}
+
+    def read(document, ids=None):
+        path = tmp_path / "q.json"
+        path.write_text(json.dumps(document))
+        return sorted(r["question_id"] for r in questions.read_questions(spark, str(path), ids).collect())
+
+    assert read([q, q, q | {"question_id": 2}]) == [1, 2] and read({"source": "x", "questions": [q]}) == [1] and read([q, q | {"question_id": 2}], [2]) == [2]
+    for bad in ([q | {"question_id": True}], [q | {"question_id": "1"}], [q | {"question_id": -1}], [q | {"SQL": 5}], [{"question_id": 1}], [q, q | {"SQL": "SELECT 2"}]):
+        with pytest.raises(questions.InputRefused):
+            read(bad)
+    with pytest.raises(questions.InputRefused):
+        read([q], [9])
+
+
+def test_prediction_files(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps({"0": "SELECT 1\t----- bird -----\tdb", "1": 0, "2": ""}))
+    assert {r["key"]: r["statement"] for r in questions.read_predictions(spark, str(tmp_path / "p.json")).collect()} == {0: "SELECT 1", 1: None, 2: None}
+    (tmp_path / "p.sql").write_bytes(b"SELECT 1\r\n\nSELECT 'a\x0bb'\n")
+    assert {r["key"]: r["statement"] for r in questions.read_prediction_lines(spark, str(tmp_path / "p.sql")).collect()} == {0: "SELECT 1", 1: None, 2: "SELECT 'a\x0bb'"}
+    asked = spark.createDataFrame([(10,), (20,)], "question_id long")
+    given = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "key long, statement string")
+    used, rest = questions.resolve(asked, given, by="place")
+    assert {r["question_id"]: r["statement"] for r in used.collect()} == {10: "a", 20: "b"} and [r["key"] for r in rest.collect()] == [7]
+    with pytest.raises(questions.InputRefused):
+        questions.resolve(asked, given)
+
+
+def test_a_whole_run(spark, tmp_path):
+    asked = spark.createDataFrame([(q["question_id"], q["db_id"], q["question"], q["SQL"]) for q in [*demo.QUESTIONS, {"question_id": 6, "db_id": "demo", "question": "", "SQL": "SELECT * FROM nowhere"}]], "question_id long, db_id string, question string, SQL string")
+    given = spark.createDataFrame([*demo.PREDICTIONS.items(), (3, "DROP TABLE lap")], "question_id long, statement string")
+    out = str(tmp_path / "run")
+    judged = audit.audit(spark, asked, demo.tables(spark), given, timeout=None, out=out)
+    of = {r["question_id"]: r for r in judged.collect()}
+    assert (of[1]["verdict"], of[1]["mechanism"], of[1]["set_reading"]) == ("NOT_EQUAL", "multiplicity", 1)
+    assert of[2]["verdict"] == "NOT_EQUAL" and "arbitrary-cut" in of[2]["probes"]
+    assert (of[3]["verdict"], of[3]["error_side"]) == ("ERROR", "second") and (of[6]["verdict"], of[6]["error_side"]) == ("ERROR", "second")
+    assert of[5]["verdict"] == "EQUAL"
+    told = audit.summary(judged)
+    assert told["questions"] == 6 and told["exit_status"] == 1 and told["credited_but_not_equal"]["multiplicity"] == 1
+    document = json.loads((tmp_path / "run/q1/gold.json").read_text())
+    assert record.load(document).question_id == 1
+    with pytest.raises(record.IncompleteEvidence):
+        record.load(document | {"rows": 99})
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/file").touch()
+    with pytest.raises(questions.InputRefused):
+        questions.clear_output(str(tmp_path / "other"))
+
+
+def test_records_replay(views):
+    e = session.Envelope.open(views, demo.tables(views))
+    held = fixture.measure(demo.tables(views))
+    for sql in ("SELECT name FROM shop", "SELECT name FROM shop ORDER BY id DESC"):
+        s = S.parse(views, sql)
+        r = record.build(1, s, e, e.frame(s), held)
+        assert record.replay(r, e.frame(s)) and not record.replay(r, e.frame("SELECT name FROM shop WHERE id < 3"))
+        assert record.load(r.document()) == r and record.mismatches(r, r) == []
+    with pytest.raises(record.IncompleteEvidence):
+        record.Record(**{**r.__dict__, "ordering": ()})
+
+
+def test_runs_and_sources(spark):
+    assert [runs.exit_status(*x) for x in ((2, 2, 0, 0), (2, 1, 1, 0), (2, 0, 0, 1), (2, 0, 0, 1, True))] == [2, 1, 0, 1]
+    assert tables.lookup(spark, ["nowhere_at_all"]) == {"nowhere_at_all": "missing"}
+    for bad in ("postgresql://u:secret@h/d", "host=h password=x"):
+        with pytest.raises(ValueError):
+            tables.refuse_credentials(bad)
+    tables.refuse_credentials("postgresql://u@h/d")
+
+
+def test_batches_of_a_stream(spark, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "in"))
+    seen = []
+    step = compare_each_batch(spark.range(4), lambda n, df: seen.append(df.first()["equal"]))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    stream.awaitTermination(60)
+    assert seen == [True]
