@@ -15,8 +15,8 @@ ROW_LIMIT = 300_000
 def shuffled(df: DataFrame, seed: str) -> DataFrame:
     """df's rows in an order that the seed and the rows decide, held so that no plan can undo it.
 
-    The order is spread over as many partitions as df has; a statement meets them in that order."""
-    parts = max(1, df.rdd.getNumPartitions())
+    The order is spread over as many partitions as a shuffle has; a statement meets them in that order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))
     return settled(df.withColumn("_by", F.sha2(F.concat(F.lit(f"{seed}:"), cells), 256)).repartitionByRange(parts, "_by").sortWithinPartitions("_by").drop("_by"))
 

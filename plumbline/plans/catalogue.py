@@ -16,6 +16,7 @@ from plumbline.operators import fixture, multiset, ordered, probes, readings, ru
 from plumbline.operators.mechanism import mechanism
 from plumbline.operators.order import with_pos
 from plumbline.plans import audit
+from plumbline.plans.statement import clause_difference, construct_census, parse, token_difference
 from plumbline.sources.tables import run, table
 
 _queries: dict = {}
@@ -230,6 +231,73 @@ def _(spark, folder):
     return audit.audit(spark, questions, demo.tables(spark), predictions, timeout=None).select("question_id", "verdict", "mechanism", "set_reading", F.array_join("probes", ",").alias("probes"), "error_side")
 
 
+# ---- statements' text ----
+
+_STATEMENTS = [
+    ("SELECT DISTINCT c.c_name FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey ORDER BY 1 LIMIT 5 OFFSET 2", "customer,orders", True, 5, 2, True, False),
+    ("SELECT n_name FROM nation UNION SELECT r_name FROM region", "nation,region", False, -1, -1, False, True),
+    ("WITH t AS (SELECT * FROM part) SELECT count(*) FROM t", "part", False, -1, -1, False, False),
+    ("SELECT p_name FROM part WHERE p_size IN (SELECT p_size FROM part WHERE p_brand = 'x') ORDER BY p_size DESC", "part", True, -1, -1, False, False),
+]
+
+
+def _values(rows, names: str) -> str:
+    cell = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({names})"
+
+
+@query("statement_facts", _values([(i, *x[1:]) for i, x in enumerate(_STATEMENTS)], "statement, tables, ordered, bound, skipped, is_distinct, set_operation"))
+def _(spark, folder):
+    found = [parse(spark, x[0]) for x in _STATEMENTS]
+    rows = [(i, ",".join(sorted(s.tables)), s.rule == "ordered", s.limit if s.limit_stated else -1, s.offset if s.offset_stated else -1, s.distinct, s.set_operation) for i, s in enumerate(found)]
+    return spark.createDataFrame(rows, "statement int, tables string, ordered boolean, bound int, skipped int, is_distinct boolean, set_operation boolean")
+
+
+_REWRITES = [
+    ("SELECT a FROM t WHERE b = 1", "select a  from t where b = 1;", "", "same"),
+    ("SELECT a FROM t WHERE b = 1", "SELECT a FROM t WHERE b = 2", "where", "where"),
+    ("SELECT a FROM t ORDER BY a", "SELECT a FROM t ORDER BY a DESC", "order", "order"),
+    ("SELECT a FROM t", "SELECT DISTINCT a FROM t", "distinct", "distinct"),
+    ("SELECT a FROM t", "SELECT a FROM u", "tables", "whole_rewrite"),
+]
+
+
+@query("clause_difference", _values([(i, x[2], x[3]) for i, x in enumerate(_REWRITES)], "pair, clauses, class"))
+def _(spark, folder):
+    rows = [(i, ",".join(touched), kind) for i, (a, b, *_) in enumerate(_REWRITES) for touched, kind in [clause_difference(spark, a, b)]]
+    return spark.createDataFrame(rows, "pair int, clauses string, class string")
+
+
+@query("construct_census", _values([(0, "distinct,join,limit,offset,sort"), (1, "union"), (2, "aggregate,call_count,cte"), (3, "in_subquery,sort,where")], "statement, constructs"))
+def _(spark, folder):
+    rows = [(i, ",".join(sorted(k for k, v in construct_census(spark, x[0]).items() if v))) for i, x in enumerate(_STATEMENTS)]
+    return spark.createDataFrame(rows, "statement int, constructs string")
+
+
+@query("token_difference", _values([("replace", "b", "c"), ("insert", "", "limit 1")], "kind, a, b"))
+def _(spark, folder):
+    held = token_difference("SELECT a, b FROM t", "SELECT a, c FROM t limit 1")
+    return spark.createDataFrame([(k, " ".join(x), " ".join(y)) for k, x, y in held if k != "equal"], "kind string, a string, b string")
+
+
+@query("record_round_trip", "SELECT true AS loads, true AS replays, false AS replays_other")
+def _(spark, folder):
+    from plumbline.plans import record
+    from plumbline.plans.session import Envelope
+
+    e = Envelope.open(spark, {"nation": table(spark, folder, "nation")})
+    s = parse(spark, "SELECT n_name FROM nation ORDER BY n_nationkey DESC LIMIT 7")
+    r = record.build(1, s, e, e.frame(s), fixture.measure({"nation": table(spark, folder, "nation")}))
+    return spark.createDataFrame([(record.load(r.document()) == r, record.replay(r, e.frame(s)), record.replay(r, e.frame("SELECT n_name FROM nation ORDER BY n_nationkey")))], "loads boolean, replays boolean, replays_other boolean")
+
+
+@query("float_sum_orders")
+def _(spark, folder):
+    from plumbline.operators.shuffle import float_sums
+
+    return float_sums(table(spark, folder, "customer"), "c_acctbal")
+
+
 # ---- fixtures ----
 
 _COUNTED = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
