@@ -171,8 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
         w, b, _ = nonnegative_pu_fit(x[1], x[0], share, s)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps({"slots": top, "weights": w, "bias": b, "prior": share, "settings": s})], pa.binary())], ["model"])
 
-    # the sample is bounded, so that one task holds it
-    return pickle.loads(bytes(rows.coalesce(1).mapInArrow(fit, "model binary").first()["model"]))
+    # the scan is spread over all tasks; the sample, which is bounded, is then held by one
+    return pickle.loads(bytes(rows.repartition(1).mapInArrow(fit, "model binary").first()["model"]))
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
