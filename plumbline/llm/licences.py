@@ -1,7 +1,7 @@
 """Licence detection by ordered signature rules, in DataFrame functions alone.
 
 A text is reduced to its lower-cased words with single spaces. Rules are regular expressions over that, each tried
-only where its keyword occurs; a rule has a priority, by how specific what it says is. A detection whose stretch lies
+only where its keyword, and for a version its number, occurs; a rule has a priority, by how specific what it says is. A detection whose stretch lies
 within that of one of better or equal priority is dropped, so that the longest and most specific reading stays.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ class Rule:
     keyword: str
     pattern: str
     weight: float
+    also: str = ""
 
 
 #: Phrases that count wherever their words stand in a row, and their labels.
@@ -199,8 +201,8 @@ def rules() -> list[Rule]:
     5 names alone."""
     out = []
 
-    def add(label: str, priority: int, keyword: str, pattern: str, weight: float, core: str = ""):
-        out.append(Rule(f"{label}/{priority}/{len(out)}", label, priority, plain(core or pattern) or keyword, f"(?<= ){pattern}(?= )", weight))
+    def add(label: str, priority: int, keyword: str, pattern: str, weight: float, core: str = "", also: str = ""):
+        out.append(Rule(f"{label}/{priority}/{len(out)}", label, priority, plain(core or pattern) or keyword, f"(?<= ){pattern}(?= )", weight, also))
 
     for name in IDENTIFIERS:
         add(name, 1, "spdx", f"spdx license identifier {_words(name)}", 1.0)
@@ -210,10 +212,10 @@ def rules() -> list[Rule]:
             short = f"(?:{number}|{_words(v)})"
             said = f"{name} (?:(?:version|v) )?v?{short}"
             later = "(?: or (?:\\(at your option\\) )?(?:any )?later(?: version)?| or newer)"
-            add(f"{stem}-{v}-or-later", 2, keyword, f"(?:{GRANT})?{said}{later}", 0.99, name)
-            add(f"{stem}-{v}", 2, keyword, GRANT + said, 0.97, name)
-            add(f"{stem}-{v}", 3, keyword, said, 0.9, name)
-        add(stem, 4, keyword, GRANT + name, 0.85, name)
+            add(f"{stem}-{v}-or-later", 2, keyword, f"(?:{GRANT})?{said}{later}", 0.99, name, _words(v))
+            add(f"{stem}-{v}", 2, keyword, GRANT + said, 0.97, name, _words(v))
+            add(f"{stem}-{v}", 3, keyword, said, 0.9, name, _words(v))
+        add(stem, 4, keyword, GRANT + name, 0.85, name, " under ")
         add(stem, 5, keyword, name, 0.6, name)
     for kind, long in CC_KINDS.items():
         label = "cc-" + kind.replace(" ", "-")
@@ -230,7 +232,7 @@ def rules() -> list[Rule]:
         add(label, 4, keyword, sentence, 0.8)
     for label, keyword, names in NAMED:
         for name in names:
-            add(label, 4, keyword, GRANT + f"(?:{name})", 0.9, name)
+            add(label, 4, keyword, GRANT + f"(?:{name})", 0.9, name, " under ")
             add(label, 5, keyword, f"(?:{name})", 0.7, name)
     return out
 
@@ -241,15 +243,27 @@ STEMS = (
     "licen|copyright|copyleft|copies|copying|spdx|gpl|mpl|gfdl|cddl|eupl|sspl|busl|wtfpl|0bsd|bsd 3|bsd 2|bsd 4|3 clause|2 clause|4 clause|bsd clause|clause bsd|mulan psl|"
     "cc by|cc0|creative ?commons|commons clause|public domain|reserved|reservados|vorbehalten|tous droits|"
     "permission|redistribution|warrant|liable|software|proprietary|confidential|commercial use|same terms|terms of|"
-    "fonts copyright|use agreement|executable|reserved font|merchantability|waived all|unauthorized copying|no part of|source versions|rail m|same terms as|"
-    "research purposes|research use|academic use|evil|from this|put in|ssl|derived|written agreement|published by|rights|as is|no attribution|illinois ncsa"
+    "fonts copyright|use agreement|executable|reserved font|merchantability|waived all|unauthorized copying|no part of|source versions|rail m|"
+    "research purposes|research use|academic use|evil|ssl|derived|written agreement|published by|no rights|no attribution|illinois ncsa"
 )
 
 
 def gate() -> str:
+    """STEMS as a pattern over a text as it stands."""
     return "(?i)" + STEMS.replace(" ?", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*").replace(" ", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
+def may_match(text: Column) -> Column:
+    """Whether a text holds any of STEMS. Searching for the stems' words is much cheaper than the pattern, which is
+    tried only where they occur."""
+    low = F.lower(text)
+    any_stem = F.lit(False)
+    for stem in STEMS.split("|"):
+        words = [w for x in stem.replace(" ?", " ").split(" ") if (w := x)]
+        any_stem = any_stem | reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in words))
+    return any_stem & F.rlike(text, F.lit(gate()))
+
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -270,8 +284,14 @@ def _bound(value: Column, of) -> Column:
 
 def detections(words: Column, all_rules: list[Rule]) -> Column:
     """All matches of all rules whose keyword occurs: (begin, end, priority, label, weight, rule), characters in words."""
-    # one literal, folded from JSON: the table is read once, however many rows are scanned
-    table = F.from_json(F.lit(json.dumps([asdict(r) | {"rule": r.name} for r in all_rules])), "array<struct<keyword:string,pattern:string,priority:int,label:string,weight:double,rule:string>>")
+    # one literal, folded from JSON: the table is read once, however many rows are scanned. Rules are grouped by the
+    # first word of their keywords, so that most are passed over together.
+    groups: dict[str, list] = {}
+    for r in all_rules:
+        groups.setdefault(r.keyword.split(" ")[0], []).append(asdict(r) | {"rule": r.name})
+    rule = "struct<keyword:string,also:string,pattern:string,priority:int,label:string,weight:double,rule:string>"
+    table = F.from_json(F.lit(json.dumps([{"first": k, "rules": v} for k, v in groups.items()])), f"array<struct<first:string,rules:array<{rule}>>>")
+    near = F.flatten(F.transform(F.filter(table, lambda g: F.contains(words, g["first"])), lambda g: g["rules"]))
 
     def of_rule(r):
         def placed(found):
@@ -285,7 +305,7 @@ def detections(words: Column, all_rules: list[Rule]) -> Column:
 
         return _bound(F.regexp_extract_all(words, r["pattern"], F.lit(0)), placed)
 
-    return F.flatten(F.transform(F.filter(table, lambda r: F.contains(words, r["keyword"])), of_rule))
+    return F.flatten(F.transform(F.filter(near, lambda r: F.contains(words, r["keyword"]) & F.contains(words, r["also"])), of_rule))
 
 
 def unsuppressed(found: Column) -> Column:
@@ -315,7 +335,7 @@ def scan(docs: DataFrame, all_rules: list[Rule] | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("n_words", F.regexp_count("text", F.lit(WORD)).cast("long"))
     # where the gate is shut the words are left out: no phrase and no rule can match
-    rows = rows.withColumn("_words", F.when(F.rlike("text", F.lit(gate())), words_only(F.col("text"))))
+    rows = rows.withColumn("_words", F.when(may_match(F.col("text")), words_only(F.col("text"))))
 
     parts = {p: F.split(F.col("_words"), f"(?<= ){p}(?= )", -1) for p in BASE}
     base = F.array(*(F.struct(F.lit(label).alias("label"), (F.size(x) - 1).alias("n"), (_spaces(F.get(x, F.lit(0))) - 1).alias("first"), (F.col("n_words") - (_spaces(F.element_at(x, -1)) - 1) - len(p.split())).alias("last")) for (p, label), x in zip(BASE.items(), parts.values(), strict=True)))
