@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import kernel as K
-from plumbline.llm.pieces import PieceCache
+from plumbline.llm.pieces import PieceCache, slices
 
 RULES = ("start", "end", "majority", "split")
 
@@ -62,7 +62,7 @@ class Spans:
 
     def _encode(self, pieces: list[str]) -> list[list]:
         ids, starts, ends = [], [], []
-        for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False):
+        for e in (e for some in slices(pieces) for e in self.tokenizer.encode_batch(some, add_special_tokens=False)):
             ids.append(e.ids)
             # a token of spaces alone is reported without its characters; spans here are of all characters
             o = e.offsets
@@ -139,7 +139,7 @@ def _attributed(rows: DataFrame, fields: list[str], s: Settings) -> DataFrame:
             sizes = sum(np.diff(K.string_buffers(c)[1]) for c in columns)
             ends, at = np.cumsum(sizes), 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (2 << 20), "right")))
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
                 values = [c.slice(at, to - at).fill_null("").to_pylist() for c in columns]
                 texts = ["\n".join(v) for v in zip(*values, strict=True)]
                 offsets, _, first, end = spans.of(texts)

@@ -89,7 +89,7 @@ def word_bounds(text: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tupl
     return starts, ends
 
 
-def word_hashes(text: np.ndarray, offsets: np.ndarray, classes: np.ndarray, segment: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(text: np.ndarray, offsets: np.ndarray, classes: np.ndarray, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, A-Z lower-cased, and the offsets of each text's words."""
     text = LOWER[text]
     word = classes[text]

@@ -195,8 +195,17 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
     return path
 
 
-def decoded(text: np.ndarray, offsets: np.ndarray, model: dict):
-    scores, size, at = word_scores(text, offsets, model)
+def decoded(text: np.ndarray, offsets: np.ndarray, model: dict, piece: int = 1 << 20):
+    """Path, letters and offsets of the words of texts. Words are scored over a piece of the texts at a time, which
+    bounds what scoring needs besides the scores; paths are then found for all texts side by side."""
+    parts, row = [], 0
+    while row < len(offsets) - 1:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + piece, "right")) - 1)
+        parts.append(word_scores(text[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], model))
+        row = end
+    scores = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, len(model["langs"])), np.float32)
+    size = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+    at = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts])))) if parts else np.zeros(1, np.int64)
     return viterbi(scores, at, model["settings"].switch), size, at
 
 

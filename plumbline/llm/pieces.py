@@ -6,7 +6,7 @@ pre-tokens in order, whatever batch they came in.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -19,13 +19,19 @@ class _Numbers(dict):
         return n
 
 
+def slices(pieces: list[str], size: int = 2048) -> Iterator[list[str]]:
+    """Runs of pieces, so that a library's rich results of one run are dropped before the next is encoded."""
+    for at in range(0, len(pieces), size):
+        yield pieces[at : at + size]
+
+
 class PieceCache:
     """encode: takes distinct pre-tokens and returns for each a list of integers, in one or more parallel columns.
 
     limit: pre-tokens held at most; beyond it the cache starts anew before the next batch, which changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[np.ndarray]]], columns: int = 1, limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[np.ndarray]]], columns: int = 1, limit: int = 200_000):
         self.encode, self.columns, self.limit = encode, columns, limit
         self._clear()
 

@@ -12,7 +12,6 @@ rarest term of the segment on. All phrases of a block are intersected at once.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -255,22 +254,13 @@ def hits(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFra
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of what hits() returns."""
-
-    def sums(batches):
-        for batch in batches:
-            starts, ends, items = (batch.column(c).to_pylist() for c in ("starts", "ends", "items"))
-            n_hit, n_items, sha = [], [], []
-            for s, e, names in zip(starts, ends, items, strict=True):
-                order = np.argsort(s, kind="stable")
-                s, e = merged(np.array(s, np.int64)[order], np.array(e, np.int64)[order])
-                names = sorted(set(names))
-                n_hit.append(sum(e) - sum(s))
-                n_items.append(len(names))
-                sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
-
-    out = found.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(sums, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of what hits() returns. Stretches of several
+    blocks may overlap; a word counts once."""
+    stretches = F.array_sort(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e")))
+    none = F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n"))
+    n_hit = F.aggregate(stretches, none, lambda a, x: F.struct(F.greatest(a["to"], x["e"]).alias("to"), (a["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(a["to"], x["s"]))).alias("n")), lambda a: a["n"])
+    items = F.array_sort(F.array_distinct("items"))
+    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 

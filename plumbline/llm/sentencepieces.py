@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import kernel as K
-from plumbline.llm.pieces import PieceCache
+from plumbline.llm.pieces import PieceCache, slices
 
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces and of models, and what an unknown piece decodes to.
@@ -150,7 +150,7 @@ class Codec:
 
     def __init__(self, model: Model):
         self.model, self.core, self.normal, self.pattern = model, model.core(), model.normaliser(), model.cuts()
-        self.cache = PieceCache(lambda pieces: [[e.ids for e in self.core.encode_batch(pieces, add_special_tokens=False)]])
+        self.cache = PieceCache(lambda pieces: [[e.ids for some in slices(pieces) for e in self.core.encode_batch(some, add_special_tokens=False)]])
         raw = [self._surface(i) for i in range(len(model.pieces))]
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
@@ -208,8 +208,9 @@ def _slices(n: int, sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def encode(docs: DataFrame, model_path: str | None = None, threads: int = 2, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with a column of token ids. A null or empty text has none. threads: of the library, per task."""
+def encode(docs: DataFrame, model_path: str | None = None, threads: int = 2, text: str = "text", out: str = "ids", round_trip: str | None = None) -> DataFrame:
+    """docs with a column of token ids. A null or empty text has none. threads: of the library, per task. round_trip:
+    a further column that says whether the ids decode to the text, null counting as the empty text."""
     sent = docs.sparkSession.sparkContext.broadcast(_read(model_path))
 
     def run(batches):
@@ -221,11 +222,15 @@ def encode(docs: DataFrame, model_path: str | None = None, threads: int = 2, tex
         for batch in batches:
             column = K.text_column(batch, text)
             sizes = np.diff(K.string_buffers(column)[1])
-            for a, b in _slices(batch.num_rows, sizes, 2 << 20):
-                offsets, ids = codec.encode(column.slice(a, b - a).to_pylist())
-                yield K.extended(batch.slice(a, b - a), [], {out: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))})
+            for a, b in _slices(batch.num_rows, sizes, 1 << 20):
+                texts = column.slice(a, b - a).to_pylist()
+                offsets, ids = codec.encode(texts)
+                more = {out: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))}
+                if round_trip:
+                    more[round_trip] = pa.array([x == (t or "") for x, t in zip(codec.decode(offsets, ids), texts, strict=True)])
+                yield K.extended(batch.slice(a, b - a), [], more)
 
-    return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(run, K.schema_with(docs.withColumn(text, F.col(text).cast("string")), f"{out} array<int>"))
+    return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(run, K.schema_with(docs.withColumn(text, F.col(text).cast("string")), f"{out} array<int>" + (f", {round_trip} boolean" if round_trip else "")))
 
 
 def decode(rows: DataFrame, model_path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -254,5 +259,6 @@ def digest(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """(doc_id, n_chars, n_tokens, ids_hash, round_trip) for each row: ids_hash is xxhash64 of the ids, round_trip
     whether they decode to the text. Null counts as the empty text. Repeated rows each get their row."""
     narrow = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = decode(encode(narrow, model_path), model_path)
-    return both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    # decoded in the task that encodes: a second Python pass in one task would hold a second worker's memory
+    both = encode(narrow, model_path, round_trip="round_trip")
+    return both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "round_trip")

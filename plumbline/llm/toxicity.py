@@ -103,10 +103,11 @@ def nonnegative_pu_fit(xp: np.ndarray, xu: np.ndarray, prior: float, s: Settings
     m, v, risks = np.zeros(d + 1), np.zeros(d + 1), []
 
     def gradient(x, slope):
-        return np.append(slope @ x, slope.sum()) / max(1, len(x))
+        return np.append(slope.astype(np.float32) @ x, slope.sum()) / max(1, len(x))
 
     for t in range(1, s.epochs + 1):
-        zp, zu = xp @ w + b, xu @ w + b
+        w32 = w.astype(np.float32)
+        zp, zu = (xp @ w32).astype(float) + b, (xu @ w32).astype(float) + b
         pp, pu = sigmoid(zp), sigmoid(zu)
         clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         risks.append(float(prior * np.logaddexp(0, -zp).mean() + max(0.0, clean)))
