@@ -7,7 +7,9 @@ Only terms of the test set can be asked for, so only theirs are stored; a test s
 taken in blocks, each with an index of its own terms.
 
 A phrase is looked up by intersecting its terms' lists, each shifted by the term's offset in the phrase, from the
-rarest term of the segment on. All phrases of a block are intersected at once.
+rarest term of the segment on. All phrases of a block are intersected at once. For proximity the same lists are asked
+for places near the rarest term's: a stretch of one document matches a phrase if it has all its terms, in any order
+and with words between, within some times the phrase's length.
 """
 
 from __future__ import annotations
@@ -30,11 +32,13 @@ GAP = 1 << 10
 class Settings:
     """window: words of a phrase taken from an item; a shorter item is one phrase. block_terms: words of test items
     in a block at most, save that an item is never cut; it bounds what is sent to executors. segment_bytes: text of a
-    segment's documents, one document at least."""
+    segment's documents, one document at least. reach: a proximity match is at most so many times a phrase's words
+    long."""
 
     window: int = 10
     block_terms: int = 200_000
     segment_bytes: int = 4 << 20
+    reach: int = 2
 
 
 @dataclass
@@ -176,27 +180,65 @@ class Segment:
 
         terms: distinct places in the vocabulary; a place is returned only if one of the terms stands there.
         """
-        if not len(terms) or self.df[terms].min() == 0:
+        if not len(terms):
             return np.zeros(0, np.int64)
-        lists = [self.postings[self.begin[t] : self.begin[t] + self.df[t]].astype(np.int64) for t in terms[np.argsort(self.df[terms], kind="stable")]]
-        rarest = lists[0]
-        left = np.unique(np.concatenate(lists))
-        at = np.searchsorted(rarest, left)
-        left = left[(at < len(rarest)) & (rarest[np.minimum(at, len(rarest) - 1)] - left < span)]
-        for x in lists[1:]:
-            at = np.searchsorted(x, left)
-            left = left[(at < len(x)) & (x[np.minimum(at, len(x) - 1)] - left < span)]
-        return left
+        return np.unique(self.stretches(np.asarray(terms)[None, :], np.array([len(terms)]), np.array([span]))[1])
+
+    def following(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The first place of each term from place on; self.span where there is none."""
+        base = term * self.span
+        at = np.searchsorted(self.keys, base + place)
+        found = self.keys[np.minimum(at, len(self.keys) - 1)] - base
+        return np.where((at < len(self.keys)) & (found < self.span), found, self.span)
+
+    def stretches(self, terms: np.ndarray, lengths: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All proximity matches: (phrase, begin, end), for each place of one of a phrase's terms the shortest stretch
+        from there that has all of them, if it is of at most reach words and within one document."""
+        used = np.arange(terms.shape[1])[None, :] < lengths[:, None]
+        df = np.where(used, self.df[terms], np.iinfo(np.int64).max)
+        alive = np.flatnonzero(df.min(axis=1) > 0)
+        order = np.argsort(df[alive], axis=1, kind="stable")
+        first = terms[alive, order[:, 0]]
+        many = self.df[first]
+        which = np.repeat(np.arange(len(alive)), many)
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        centre = self.postings[self.begin[first][which] + within].astype(np.int64)
+        for step in range(1, terms.shape[1]):
+            if not len(which):
+                break
+            phrase = alive[which]
+            term = terms[phrase, order[which, step]].astype(np.int64)
+            good = (lengths[phrase] <= step) | (self.following(term, np.maximum(centre - reach[phrase] + 1, 0)) < centre + reach[phrase])
+            which, centre = which[good], centre[good]
+        found = [(np.zeros(0, np.int64),) * 3]
+        back = np.arange(int(reach.max(initial=1)))
+        slice_ = max(1, (1 << 20) // len(back))
+        for a in range(0, len(which), slice_):
+            phrase, place = alive[which[a : a + slice_]], centre[a : a + slice_]
+            left = place[:, None] - back
+            pairs = np.unique((phrase[:, None] * self.span + left)[(back < reach[phrase][:, None]) & (left >= 0)])
+            phrase, left = pairs // self.span, pairs % self.span
+            last, begins = left, np.zeros(len(left), bool)
+            for step in range(terms.shape[1]):
+                more = lengths[phrase] > step
+                place = self.following(terms[phrase, step].astype(np.int64), left)
+                last, begins = np.where(more, np.maximum(last, place), last), begins | more & (place == left)
+            doc = self.document(left)
+            good = begins & (last < np.minimum(left + reach[phrase], self.begins[doc] + self.n_words[doc]))
+            found.append((phrase[good], left[good], last[good] + 1))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def document(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begins, place, "right") - 1
 
 
 HITS = "row long, doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"
+NEAR = ", near_starts array<long>, near_ends array<long>, near_items array<string>"
 
 
-def search(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """One row per document of the index: merged stretches of words [starts, ends) inside occurrences, and items."""
+def search(index: DataFrame, phrases: Phrases, reach: int = 0) -> DataFrame:
+    """One row per document of the index: merged stretches of words [starts, ends) inside occurrences, and items; with
+    reach, the same of proximity matches of at most so many times a phrase's words."""
     vocabulary = phrases.vocabulary
     sent = index.sparkSession.sparkContext.broadcast((np.searchsorted(vocabulary, phrases.terms).clip(max=max(0, len(vocabulary) - 1)), phrases.lengths, phrases.items, len(vocabulary)))
 
@@ -206,22 +248,33 @@ def search(index: DataFrame, phrases: Phrases) -> DataFrame:
             for row in batch.to_pylist():
                 g = Segment(row, n_terms)
                 which, start = g.phrases(terms, lengths)
-                doc = g.document(start)
-                order = np.lexsort((start, doc))
-                which, start, doc = which[order], start[order], doc[order]
-                bounds = np.searchsorted(doc, np.arange(len(g.rows) + 1))
-                starts, ends, names = [], [], []
-                for d in range(len(g.rows)):
-                    a, b = bounds[d], bounds[d + 1]
-                    if a == b:
-                        starts.append([]), ends.append([]), names.append([])
-                        continue
-                    s, e = merged(start[a:b] - g.begins[d], start[a:b] - g.begins[d] + lengths[which[a:b]])
-                    starts.append(s), ends.append(e), names.append(sorted({x for w in set(which[a:b].tolist()) for x in items[w]}))
-                big = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(g.rows), pa.array(g.ids, mask=g.no_ids), pa.array(g.n_words), pa.array(starts, big), pa.array(ends, big), pa.array(names, pa.list_(pa.string()))], ["row", "doc_id", "n_words", "starts", "ends", "items"])
-
-    return index.mapInArrow(look, HITS)
+                columns = by_document(g, which, start, start + lengths[which], items)
+                if reach:
+                    columns += by_document(g, *g.stretches(terms, lengths, reach * lengths), items)
+                kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())] * (2 if reach else 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g.rows), pa.array(g.ids, mask=g.no_ids), pa.array(g.n_words), *map(pa.array, columns, kinds)],
+                    ["row", "doc_id", "n_words", "starts", "ends", "items", "near_starts", "near_ends", "near_items"][: 9 if reach else 6],
+                )
+
+    return index.mapInArrow(look, HITS + (NEAR if reach else ""))
+
+
+def by_document(g: Segment, which: np.ndarray, start: np.ndarray, end: np.ndarray, items: list[list[str]]) -> list[list]:
+    """[starts, ends, names]: for each document of g its merged stretches and the items of their phrases."""
+    doc = g.document(start)
+    order = np.lexsort((start, doc))
+    which, start, end, doc = which[order], start[order], end[order], doc[order]
+    bounds = np.searchsorted(doc, np.arange(len(g.rows) + 1))
+    starts, ends, names = [], [], []
+    for d in range(len(g.rows)):
+        a, b = bounds[d], bounds[d + 1]
+        if a == b:
+            starts.append([]), ends.append([]), names.append([])
+            continue
+        s, e = merged(start[a:b] - g.begins[d], end[a:b] - g.begins[d])
+        starts.append(s), ends.append(e), names.append(sorted({x for w in set(which[a:b].tolist()) for x in items[w]}))
+    return [starts, ends, names]
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
@@ -235,8 +288,9 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
     return [s for s, _ in out], [e for _, e in out]
 
 
-def hits(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row for each row of docs: (doc_id, n_words, starts, ends, items): what search() says over all blocks.
+def hits(docs: DataFrame, items: DataFrame, s: Settings = Settings(), proximity: bool = False) -> DataFrame:
+    """One row for each row of docs: (doc_id, n_words, starts, ends, items): what search() says over all blocks; with
+    proximity also (near_starts, near_ends, near_items).
 
     Words are runs of digits, lower-cased Latin letters and everything beyond ASCII. A null or empty text has no
     words; items without id or words are never found; an empty table of either gives rows without hits, or none.
@@ -246,21 +300,27 @@ def hits(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFra
     blocks = list(map(lambda block: phrases_of(block, s.window), blocks_of(items, s))) or [phrases_of([], s.window)]
     found = None
     for phrases in blocks:
-        part = search(materialise(build(keyed, phrases.vocabulary, s), "index"), phrases)
+        part = search(materialise(build(keyed, phrases.vocabulary, s), "index"), phrases, s.reach if proximity else 0)
         found = part if found is None else found.unionByName(part)
     if len(blocks) > 1:
-        found = found.groupBy("row", "doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
+        found = found.groupBy("row", "doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in found.columns[3:]))
     return found
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of what hits() returns. Stretches of several
-    blocks may overlap; a word counts once."""
-    stretches = F.array_sort(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e")))
-    none = F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n"))
-    n_hit = F.aggregate(stretches, none, lambda a, x: F.struct(F.greatest(a["to"], x["e"]).alias("to"), (a["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(a["to"], x["s"]))).alias("n")), lambda a: a["n"])
-    items = F.array_sort(F.array_distinct("items"))
-    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"))
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of what hits() returns, and (n_near, n_near_items,
+    near_items_sha256) where it has proximity matches, exact ones among them. Stretches of several blocks may overlap;
+    a word counts once. contaminated is of exact matches only."""
+
+    def of(prefix: str, n: str) -> list:
+        stretches = F.array_sort(F.arrays_zip(F.col(f"{prefix}starts").alias("s"), F.col(f"{prefix}ends").alias("e")))
+        none = F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n"))
+        words = F.aggregate(stretches, none, lambda a, x: F.struct(F.greatest(a["to"], x["e"]).alias("to"), (a["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(a["to"], x["s"]))).alias("n")), lambda a: a["n"])
+        items = F.array_sort(F.array_distinct(f"{prefix}items"))
+        return [words.alias(n), F.size(items).cast("long").alias(f"n_{prefix}items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias(f"{prefix}items_sha256")]
+
+    near = of("near_", "n_near") if "near_items" in found.columns else []
+    out = found.select("doc_id", "n_words", *of("", "n_hit"), *near)
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 

@@ -49,6 +49,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posindex.digest(posindex.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posindex.digest(posindex.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), proximity=True))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language": op7_language,
         "op8_licences": op8_licences,
         "op9_decontamination": op9_decontamination,
+        "op9_proximity": op9_proximity,
         "op10_winnowing": op10_winnowing,
         "pipeline": corpus_pipeline.run,
     }

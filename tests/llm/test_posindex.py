@@ -77,3 +77,37 @@ def test_documents_with_a_phrase_go(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     kept = {r["doc_id"] for r in P.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), P.Settings(window=4)).collect()}
     assert kept == {d for d, x in brute(docs, items, 4).items() if not x[1]}
+
+
+def brute_near(docs, items, window, reach):
+    out = {}
+    for d, t in docs:
+        w, near, found = words(t), set(), set()
+        for i, text in items:
+            of = words(text)
+            n = min(window, len(of))
+            for k in range(len(of) - n + 1 if n else 0):
+                want = set(of[k : k + n])
+                for a in range(len(w)):
+                    if w[a] not in want:
+                        continue
+                    b = next((b for b in range(a, min(len(w), a + reach * n)) if want <= set(w[a : b + 1])), None)
+                    if b is not None:
+                        near.update(range(a, b + 1))
+                        found.add(str(i))
+        out[d] = (len(near), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("settings", [P.Settings(window=4), P.Settings(window=10, block_terms=20, segment_bytes=200), P.Settings(window=3, segment_bytes=1, reach=600)])
+def test_hits_hold_proximity_matches_apart_from_exact_ones(spark, settings):
+    docs, items = data()
+    docs += [(100, "one two x three four"), (101, "four three two one"), (102, "one two " + "x " * 9 + "three four"), (103, "one two"), (104, "three four")]
+    items.append((60, "one two three four"))
+    held = P.hits(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), settings, proximity=True)
+    out = {r["doc_id"]: r for r in P.digest(held).collect()}
+    assert {d: (r["n_near"], r["n_near_items"], r["near_items_sha256"]) for d, r in out.items()} == brute_near(docs, items, settings.window, settings.reach)
+    assert {d: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for d, r in out.items()} == brute(docs, items, settings.window)
+    assert all(r["n_near"] >= r["n_hit"] and r["contaminated"] == (r["n_hit"] > 0) for r in out.values())
+    if settings.window == 4:
+        assert [out[d]["n_near"] for d in range(100, 105)] == [5, 4, 0, 0, 0] and not out[100]["contaminated"]
