@@ -2,9 +2,10 @@
 
 A page is a sequence of words and tags. Words score positive, by the context they stand in, and tags negative; the
 scores are log odds learned from labelled pages, in which every stretch of text is marked as content or not. One
-linear scan finds the contiguous region of the largest sum. Of that region the words in contexts that are never
-content (navigation, adverts, forms and the like) are left out; they score next to nothing, so that an advert between
-paragraphs doesn't part them.
+linear scan finds the contiguous region of the largest sum. Of that region the words in elements that are never
+content (navigation, asides, forms and the like) are left out; they score next to nothing, so that a form between
+paragraphs doesn't part them. Where only a class or an id says so (adverts, comments), words score below nothing and
+are text like any other if the region spans them.
 """
 
 from __future__ import annotations
@@ -23,18 +24,20 @@ from plumbline.llm import kernel as K
 
 #: Fixed values of HTML: elements without end tags, elements whose content isn't markup, elements that break lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math xmp noembed noframes object".split())
+RAW = frozenset("script style template textarea title iframe svg xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements closed by the start of one of these (a paragraph by any block, an item by the next).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Elements that never hold content, and what their class, id, role or label says where others don't.
+#: Elements that never hold content.
 NEVER = frozenset("nav aside form footer button select menu dialog head".split())
-SAYS_NEVER = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advert\w+|adsense|adslot|adbox|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|newsletter\w*|subscri\w*|sign-?up|login|popup\w*|modal|overlay|"
-    r"nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?col\w*|widget\w*|footer\w*|foot|masthead|site-?header|page-?header|top-?bar|header|comments?|comment-?list|disqus|repl(?:y|ies)|responses?|discussion|share|sharing|social\w*|"
-    r"related\w*|recommend\w*|read-?more|toc|pagination|pager|skip-?link|search\w*|toolbar|tags?-?list|author-?box|byline-?links|copyright|legal|disclaimer)(?:$|[^a-z])",
+#: Whole names in class, whole id and label, of what is rarely content; not where the element itself is an article, heading or paragraph.
+SAYS_RARELY = re.compile(
+    r"ads?|adverts?|advert\w+|adsense|adslot|adbox|sponsor\w*|promo\w*|banner\w*|cookie\w*|cookie-(?:notice|banner|bar|consent)|consent|gdpr|notice\w*|alert\w*|newsletter\w*|subscri\w*|sign-?up|login|popup\w*|modal|overlay|"
+    r"nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?col\w*|widget\w*|footer\w*|masthead|site-?header|top-?bar|comments?|comment-?list|disqus|repl(?:y|ies)|responses?|share|sharing|social\w*|"
+    r"related|recommend\w*|read-?more|toc|pagination|pager|skip-?link|toolbar|tags?-?list|author-?box|byline-?links|copyright",
     re.I,
 )
+UNNAMED = frozenset("article main body html p h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: Tokens of a page: comments and declarations, tags, and text between.
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -44,6 +47,9 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|aria-hidden)\b(?:\s
 
 #: The score of words and tags in contexts that are never content.
 NOTHING = -0.01
+#: The lowest score of a word that stands where only a name says that it is rarely content: at an end of the region
+#: any score below 0 leaves such words out, and a lower one would part the paragraphs around an advert.
+NAMED = -0.25
 
 
 @dataclass
@@ -55,22 +61,29 @@ class Stretch:
     never: bool
 
 
-def parse(page: str) -> Iterator[Stretch | str]:
-    """Stretches of text and tags ('p', '/p', and '~p', '~/p' in contexts that are never content), in page order. Unclosed elements close where HTML says they do, or
+def parse(page: str, names: bool = True) -> Iterator[Stretch | str]:
+    """Stretches of text and tags ('p', '/p', and '~p', '~/p' in contexts that are never content or, if names count, are
+    named as rarely so; the latter's text has the context 'named'), in page order. Unclosed elements close where HTML says they do, or
     with an element around them; comments, declarations, scripts and styles are nothing."""
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []
     at = 0
     marked = _MARKED.search(page) is not None
 
     def never() -> bool:
         return bool(stack) and stack[-1][1]
 
+    def named() -> bool:
+        return bool(stack) and stack[-1][2]
+
+    def mark() -> str:
+        return "~" if never() or named() else ""
+
     def stretch(raw: str) -> Iterator[Stretch]:
         if raw:
-            inside = next((t for t, _ in reversed(stack) if t in BLOCK or t == "a"), "body")
-            link = any(t == "a" for t, _ in stack)
-            where = ("article " if any(t in ("article", "main") for t, _ in stack) else "outside ") if marked else ""
-            yield Stretch(html.unescape(raw), f"{where}{inside}{'/a' if link and inside != 'a' else ''}", never())
+            inside = next((t for t, *_ in reversed(stack) if t in BLOCK or t == "a"), "body")
+            link = any(t == "a" for t, *_ in stack)
+            where = ("article " if any(t in ("article", "main") for t, *_ in stack) else "outside ") if marked else ""
+            yield Stretch(html.unescape(raw), "named" if named() else f"{where}{inside}{'/a' if link and inside != 'a' else ''}", never())
 
     for m in _TOKEN.finditer(page):
         if m.start() < at:
@@ -81,8 +94,8 @@ def parse(page: str) -> Iterator[Stretch | str]:
             continue
         tag = m[2].lower()
         if m[1]:
-            yield f"{'~' if never() else ''}/{tag}"
-            if any(t == tag for t, _ in stack):
+            yield f"{mark()}/{tag}"
+            if any(t == tag for t, *_ in stack):
                 while stack and stack.pop()[0] != tag:
                     pass
             continue
@@ -91,7 +104,7 @@ def parse(page: str) -> Iterator[Stretch | str]:
             at = end.end() if end else len(page)
             yield f"~{tag}"
             continue
-        if tag in BLOCK and stack and any(t == "p" for t, _ in stack) and tag != "br":
+        if tag in BLOCK and stack and any(t == "p" for t, *_ in stack) and tag != "br":
             while stack.pop()[0] != "p":
                 pass
         elif tag in CLOSES or tag in ("td", "th", "tr"):
@@ -102,7 +115,7 @@ def parse(page: str) -> Iterator[Stretch | str]:
                     del stack[i:]
                     break
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
-            yield f"{'~' if never() else ''}{tag}"
+            yield f"{mark()}{tag}"
             continue
         said, hidden = [], False
         for a in _ATTRIBUTE.finditer(m[3]):
@@ -112,11 +125,13 @@ def parse(page: str) -> Iterator[Stretch | str]:
             elif name == "role":
                 hidden = hidden or value.lower() in ROLES
             else:
-                said.append(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).replace("_", "-"))
-        inner = tag in ("article", "main", "body", "html")
-        own = tag in NEVER or hidden or tag == "header" and not any(t in ("article", "main") for t, _ in stack) or not inner and any(SAYS_NEVER.search(v) for v in said)
-        stack.append((tag, never() or own))
-        yield f"{'~' if never() else ''}{tag}"
+                value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).replace("_", "-")
+                said += value.split() if name == "class" else [value.strip()]
+        within = any(t in ("article", "main") for t, *_ in stack)
+        own = tag in NEVER or hidden or tag == "header" and not within
+        says = names and (tag not in UNNAMED and any(SAYS_RARELY.fullmatch(v) for v in said) or tag == "noscript" and not within)
+        stack.append((tag, never() or own, tag not in ("article", "main") and (named() or says)))
+        yield f"{mark()}{tag}"
     yield from stretch(page[at:])
 
 
@@ -125,7 +140,7 @@ def parse(page: str) -> Iterator[Stretch | str]:
 
 @dataclass(frozen=True)
 class Weights:
-    """Score of a word by context ('p', 'li/a', or 'never'), and of a tag by its name; others get the default."""
+    """Score of a word by context ('p', 'li/a', 'named' or 'never'), and of a tag by its name; others get the default."""
 
     word: dict[str, float]
     tag: dict[str, float]
@@ -136,7 +151,7 @@ class Weights:
 def learn(labelled: list[tuple[str, str]], smoothing: float = 1.0) -> Weights:
     """Weights from labelled pages (html, main text): log odds of content for words by context, and for tags by
     whether they stand within the content. Tags are kept negative, and words in contexts that are never content just
-    below 0."""
+    below 0; in named ones below 0 and not under NAMED."""
     word: dict[str, list[float]] = {}
     tag: dict[str, list[float]] = {}
     for page, main in labelled:
@@ -163,7 +178,7 @@ def learn(labelled: list[tuple[str, str]], smoothing: float = 1.0) -> Weights:
     total_w, total_t = ([sum(n[i] for n in d.values()) for i in (0, 1)] for d in (word, tag))
     cap = 3.0
     return Weights(
-        {k: NOTHING if k == "never" else max(-cap, min(cap, odds(n))) for k, n in word.items()},
+        {k: NOTHING if k == "never" else max(NAMED, min(-0.05, odds(n))) if k == "named" else max(-cap, min(cap, odds(n))) for k, n in word.items()},
         {k: max(-cap, min(-0.05, odds(n))) for k, n in tag.items()},
         max(0.25, min(cap, odds(total_w))),
         max(-cap, min(-0.05, odds(total_t))),
@@ -219,18 +234,22 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None, weights: Weights) -> str:
     """The text of the best region: its blocks in page order, each with white space as single spaces, joined by line
-    feeds. A page without markup is all content."""
+    feeds. A page without markup is all content; one whose text all stands under names of what is rarely content is read
+    without regard to them."""
     if not page:
         return ""
-    tokens = list(parse(page))
-    scores = []
-    for x in tokens:
-        if isinstance(x, str):
-            scores.append(NOTHING if x[0] == "~" else weights.tag.get(x.lstrip("/"), weights.tag_default))
-        else:
-            n = len(x.text.split())
-            scores.append(n * (weights.word.get("never", NOTHING) if x.never else weights.word.get(x.context, _default(x.context, weights))))
-    begin, end = best_region(scores)
+    for names in (True, False):
+        tokens = list(parse(page, names))
+        scores = []
+        for x in tokens:
+            if isinstance(x, str):
+                scores.append(NOTHING if x[0] == "~" else weights.tag.get(x.lstrip("/"), weights.tag_default))
+            else:
+                n = len(x.text.split())
+                scores.append(n * (weights.word.get("never", NOTHING) if x.never else weights.word.get(x.context, _default(x.context, weights))))
+        begin, end = best_region(scores)
+        if end > begin:
+            break
     blocks: list[list[str]] = [[]]
     for x in tokens[begin:end]:
         if isinstance(x, str):
@@ -244,6 +263,8 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 def _default(context: str, weights: Weights) -> float:
     """The score of a word in a context that no labelled page has: by whether it is in a marked article or a link."""
+    if context == "named":
+        return NAMED
     if context.startswith("outside "):
         return -weights.word_default
     link = context == "a" or context.endswith("/a")

@@ -206,3 +206,28 @@ def test_frames_around_an_article_go():
     text<p>Second<br>line<script>var x = "<p>no</p>"</script><aside>Buy!</aside><form><input><button>Go</button></form><ul><li>one<li>two</ul>
     <div class="comments"><p>Great!</p></div></article><div class="sidebar">links</div><footer>&copy; x</footer></body></html>"""
     assert X.main_text(page, w) == "Head line\nFirst para <with> bold text\nSecond\nline\none\ntwo"
+
+
+def test_names_of_wrappers_do_not_silence_an_article():
+    w = X.learn(X.LABELLED)
+    parts = "".join(f"<p>{p}</p>" for p in ("One long paragraph of the text stands here.", "And another one follows it here."))
+    want = "One long paragraph of the text stands here.\nAnd another one follows it here."
+    for name in ("no-sidebar", "has-sidebar", "header-fixed", "page-with-comments", "entry-header", "sidebar", "widget"):
+        assert X.main_text(f'<body><div class="{name}"><article><h1>Head</h1>{parts}</article></div></body>', w) == f"Head\n{want}"
+        assert X.main_text(f'<body><div class="{name}">{parts}</div></body>', w) == want
+    for name in ("discussion", "related-work", "search", "legal", "entry-header"):
+        assert X.main_text(f'<body><article>{parts}<div id="{name}" class="x {name}"><h2 id="{name}">More</h2>{parts}</div></article></body>', w) == f"{want}\nMore\n{want}"
+
+
+def test_names_leave_out_only_what_stands_at_an_end():
+    w = X.learn(X.LABELLED)
+    text = "<p>A paragraph of the text with words enough.</p>"
+    long = "<p>" + "word " * 40 + "</p>"
+    assert -1 < w.word["named"] < 0
+    assert X.main_text(f'<article>{text}<div class="ad">Buy it now</div>{text}<div class="comments">{long}</div></article>', w).split("\n") == ["A paragraph of the text with words enough.", "Buy it now", "A paragraph of the text with words enough."]
+
+
+def test_formulas_and_fallbacks_of_an_article_are_text():
+    w = X.learn(X.LABELLED)
+    page = "<article><p>The sum is <math><mi>x</mi><mo>+</mo><mn>1</mn></math> as said.</p><object data='a'>A picture of it.</object><noscript><p>Its caption.</p></noscript><p>The end.</p></article>"
+    assert X.main_text(page, w) == "The sum is x+1 as said.\nA picture of it.\nIts caption.\nThe end."
