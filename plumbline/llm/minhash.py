@@ -285,8 +285,10 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     signed = materialise(signatures(docs, s), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    copied = materialise(full.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copied")
-    reps = full.join(copied.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    copies = materialise(full.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).where("doc_id <> rep").select("doc_id", "n_shingles", "d1", "d2", "rep").distinct(), "copied")
+    copied = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    # a doc_id with several texts loses only those that are copies
+    reps = full.join(copies.drop("rep"), ["doc_id", "n_shingles", "d1", "d2"], "left_anti")
 
     banded = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre")
@@ -298,8 +300,8 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     labelled = members.select("band", "key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
     labelled = materialise(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    sigs = full.select(F.col("doc_id").alias("id"), "packed", "tags").dropDuplicates(["id"])
-    more = verified(across(labelled.join(mixed, "key").join(sigs, "id"), s), texts, s)
+    sigs = full.select(F.col("doc_id").alias("id"), "n_shingles", "d1", "d2", "packed", "tags").dropDuplicates(["id", "n_shingles", "d1", "d2"]).select("id", "packed", "tags")
+    more = verified(across(labelled.join(mixed, "key").distinct().join(sigs, "id"), s), texts, s)
     # components of components: what was found is one node each
     ends = [found.withColumnRenamed("node", c).withColumnRenamed("component", f"of_{c}") for c in ("a", "b")]
     more = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).distinct()
@@ -315,6 +317,11 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs without the rows that aren't the smallest of their component; of repeated rows of one doc_id all stay."""
-    gone = components(docs, s).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, that of the smallest doc_id, a null one last. Each row is a node of its own here, so
+    that rows of one doc_id or without one go if their texts are alike and stay if not."""
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = materialise(components(keyed.select(F.col("_row").alias("doc_id"), "text"), s).select(F.col("doc_id").alias("_row"), "component_id"), "found")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("_row").alias("_row"))
+    first = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).getField("_row").alias("_row"))
+    gone = found.select("_row").join(first.select("_row"), "_row", "left_anti")
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)

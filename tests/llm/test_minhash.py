@@ -110,3 +110,14 @@ def test_connected_components(spark):
             up[y] = x
     assert out == {v: root(v) for v in up}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_other_texts_of_a_repeated_id_are_linked_and_one_row_of_a_group_stays(spark):
+    say = lambda *w: " ".join(w)
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    rows = [(1, say(*a)), (5, say(*a)), (5, say(*b)), (7, say(*b, "more")), (8, say(*c)), (8, say(*c)), (None, say(*c)), (None, say("d", *a[::-1])), (None, say("d", *a[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    s = M.Settings(words=2)
+    assert {r["component_id"] for r in M.components(docs, s).where("doc_id IN (1, 5, 7)").collect()} == {1}
+    left = sorted(((r["doc_id"], r["text"]) for r in M.deduplicate(docs, s).collect()), key=str)
+    assert left == sorted([rows[0], rows[2], rows[4], rows[7]], key=str)
