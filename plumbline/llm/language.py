@@ -256,8 +256,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     return out.select("doc_id", (~in_training_folds(F.col("doc_id"))).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_n_spans").alias("n_spans"))
 
 
-def reject(docs: DataFrame, s: Settings = Settings(), least: float = 0.4) -> DataFrame:
-    """docs without the rows that have no letters or whose main language holds under `least` of the letters; a null
+def reject(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """docs without the rows that have no letters; texts in several languages stay, whatever the share of each. A null
     lang becomes the predicted one. The columns of docs."""
-    out = labelled(docs, train(docs, s)).where((F.col("_lang_pred") != "und") & (F.col("_score") >= least))
+    out = labelled(docs, train(docs, s)).where(F.col("_lang_pred") != "und")
     return out.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*docs.columns)

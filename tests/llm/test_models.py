@@ -157,3 +157,13 @@ def test_section_counts_add_up(spark):
             assert r["n_chars"] == len(TEXTS[r["doc_id"]])
     row = A.by_field(spark.createDataFrame([(1, "ab", "cd ef")], "doc_id long, x string, y string"), ["x", "y"]).first()
     assert row["n_sections"] == 2 and row["n_chars"] == 8
+
+
+def test_texts_in_several_languages_stay(spark):
+    say = {"en": "the quick brown fox jumps over lazy dogs while children walk through nights", "el": "η γρήγορη αλεπού πηδάει πάνω από το σκυλί ενώ τα παιδιά πάνε", "ru": "быстрая лиса прыгает через ленивую собаку пока дети идут домой", "ar": "الثعلب السريع يقفز فوق الكلب الكسول بينما يمشي الأطفال"}
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(say[lang].split()) for _ in range(20)), lang) for i, lang in enumerate(["en", "el", "ru", "ar"] * 45)]
+    mixed = " ".join(" ".join(say[x].split())[:40] for x in say)
+    docs = spark.createDataFrame([*rows, (900, mixed, None), (901, "123 ---", "en")], "doc_id long, text string, lang string")
+    assert {x["score"] < 0.4 for x in L.predict(docs, L.train(docs)).where("doc_id = 900").collect()} == {True}
+    assert {x["doc_id"] for x in L.reject(docs).collect()} == {*range(180), 900}
