@@ -47,7 +47,7 @@ class Phrases:
 
     terms: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]]
+    items: list[list[str | None]]
 
     @property
     def vocabulary(self) -> np.ndarray:
@@ -55,7 +55,12 @@ class Phrases:
         return np.unique(self.terms[used])
 
 
-def phrases_of(items: list[tuple[str, np.ndarray]], window: int) -> Phrases:
+def by_name(names) -> list[str | None]:
+    """In order, None last."""
+    return sorted(names, key=lambda x: (x is None, x or ""))
+
+
+def phrases_of(items: list[tuple[str | None, np.ndarray]], window: int) -> Phrases:
     found: dict[bytes, set[str]] = {}
     for item, words in items:
         size = min(window, len(words))
@@ -65,10 +70,10 @@ def phrases_of(items: list[tuple[str, np.ndarray]], window: int) -> Phrases:
     terms = np.zeros((len(found), window), np.uint64)
     for row, k in enumerate(found):
         terms[row, : lengths[row]] = np.frombuffer(k, np.uint64)
-    return Phrases(terms, lengths, [sorted(v) for v in found.values()])
+    return Phrases(terms, lengths, [by_name(v) for v in found.values()])
 
 
-def blocks_of(items: DataFrame, s: Settings) -> Iterator[list[tuple[str, np.ndarray]]]:
+def blocks_of(items: DataFrame, s: Settings) -> Iterator[list[tuple[str | None, np.ndarray]]]:
     """The test items' words in blocks of bounded size, read one partition at a time."""
 
     def words(batches):
@@ -80,7 +85,7 @@ def blocks_of(items: DataFrame, s: Settings) -> Iterator[list[tuple[str, np.ndar
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(out, pa.binary())], ["item_id", "words"])
 
     held, size = [], 0
-    rows = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(words, "item_id string, words binary")
+    rows = items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(words, "item_id string, words binary")
     for row in rows.where("length(words) > 0").toLocalIterator():
         item = np.frombuffer(bytes(row["words"]), np.uint64)
         if held and size + len(item) > s.block_terms:
@@ -260,7 +265,7 @@ def search(index: DataFrame, phrases: Phrases, reach: int = 0) -> DataFrame:
     return index.mapInArrow(look, HITS + (NEAR if reach else ""))
 
 
-def by_document(g: Segment, which: np.ndarray, start: np.ndarray, end: np.ndarray, items: list[list[str]]) -> list[list]:
+def by_document(g: Segment, which: np.ndarray, start: np.ndarray, end: np.ndarray, items: list[list[str | None]]) -> list[list]:
     """[starts, ends, names]: for each document of g its merged stretches and the items of their phrases."""
     doc = g.document(start)
     order = np.lexsort((start, doc))
@@ -273,7 +278,7 @@ def by_document(g: Segment, which: np.ndarray, start: np.ndarray, end: np.ndarra
             starts.append([]), ends.append([]), names.append([])
             continue
         s, e = merged(start[a:b] - g.begins[d], end[a:b] - g.begins[d])
-        starts.append(s), ends.append(e), names.append(sorted({x for w in set(which[a:b].tolist()) for x in items[w]}))
+        starts.append(s), ends.append(e), names.append(by_name({x for w in set(which[a:b].tolist()) for x in items[w]}))
     return [starts, ends, names]
 
 
@@ -293,7 +298,7 @@ def hits(docs: DataFrame, items: DataFrame, s: Settings = Settings(), proximity:
     proximity also (near_starts, near_ends, near_items).
 
     Words are runs of digits, lower-cased Latin letters and everything beyond ASCII. A null or empty text has no
-    words; items without id or words are never found; an empty table of either gives rows without hits, or none.
+    words; items without words are never found; those without id are found and counted as one item, a null in items; an empty table of either gives rows without hits, or none.
     Repeated rows each get their own row; other columns are ignored.
     """
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -310,7 +315,7 @@ def hits(docs: DataFrame, items: DataFrame, s: Settings = Settings(), proximity:
 def digest(found: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of what hits() returns, and (n_near, n_near_items,
     near_items_sha256) where it has proximity matches, exact ones among them. Stretches of several blocks may overlap;
-    a word counts once. contaminated is of exact matches only."""
+    a word counts once. Items without id count as one and are left out of the list that is hashed. contaminated is of exact matches only."""
 
     def of(prefix: str, n: str) -> list:
         stretches = F.array_sort(F.arrays_zip(F.col(f"{prefix}starts").alias("s"), F.col(f"{prefix}ends").alias("e")))

@@ -111,3 +111,12 @@ def test_hits_hold_proximity_matches_apart_from_exact_ones(spark, settings):
     assert all(r["n_near"] >= r["n_hit"] and r["contaminated"] == (r["n_hit"] > 0) for r in out.values())
     if settings.window == 4:
         assert [out[d]["n_near"] for d in range(100, 105)] == [5, 4, 0, 0, 0] and not out[100]["contaminated"]
+
+
+def test_items_without_id_are_searched_and_left_out_of_the_list_of_ids(spark):
+    docs = spark.createDataFrame([(1, "see one two three there"), (2, "one two and four five"), (3, "none of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three"), (None, "one two"), (9, "four five")], "item_id long, text string")
+    out = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in P.digest(P.hits(docs, items)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert out == {1: (3, 1, sha(""), True), 2: (4, 2, sha("9"), True), 3: (0, 0, sha(""), False)}
+    assert [r["doc_id"] for r in P.decontaminate(docs, items).collect()] == [3]
