@@ -17,7 +17,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letters or no main language."""
+    """Without documents that have no letters."""
     return language.reject(docs)
 
 
@@ -32,9 +32,9 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document's text."""
-    ids = sentencepieces.encode(docs.select("doc_id", "lang", "source", "text"))
-    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of each document's text, and whether they decode to it."""
+    ids = sentencepieces.encode(docs.select("doc_id", "lang", "source", "text"), round_trip="round_trip")
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("toxicity", clean), ("language", in_a_language), ("near_duplicates", unlike), ("decontamination", uncontaminated), ("tokens", tokens)]

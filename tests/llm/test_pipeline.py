@@ -76,3 +76,8 @@ def test_queries_with_sql_give_its_rows(spark, folder, name):
 
 def test_every_operator_has_its_query():
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in Q.queries())] == [] and "pipeline" in Q.queries()
+
+
+def test_tokens_say_whether_they_decode_to_the_text(spark, folder):
+    docs = spark.createDataFrame([(1, "plain words", "en", "s"), (2, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    assert [r["round_trip"] for r in corpus_pipeline.tokens(spark, docs, folder[0]).collect()] == [True, True]
