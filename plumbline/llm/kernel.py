@@ -1,11 +1,13 @@
 """Vectorised text kernels over Arrow string columns: word hashes, shingles, and chunked reading.
 
-Texts are read as the bytes of an Arrow buffer. A word's hash is a polynomial in its bytes, taken from one
-cumulative sum per chunk, so no Python object is made per word. Chunks bound the memory that a batch needs.
+Texts are read as the bytes of an Arrow buffer. Words are hashed eight bytes at a time, all words of a chunk at once,
+so no Python object is made per word; only words of more than LONG_WORD bytes are hashed one by one. Chunks bound the
+memory that a batch needs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,17 +15,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = []
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse mod 2**64, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, U64), np.full(size - 1, b, U64))), dtype=U64) for b in (_BASE, inverse)]
-    return _powers
+#: Words of more bytes are hashed by blake2b.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,28 +82,48 @@ def word_bounds(text: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tupl
     return starts, ends
 
 
-def word_hashes(text: np.ndarray, offsets: np.ndarray, classes: np.ndarray, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, A-Z lower-cased, and the offsets of each text's words."""
+def _unaligned(text: np.ndarray) -> np.ndarray:
+    """For each byte the 64-bit number of it and the next seven, zeros beyond the end."""
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    return np.ndarray((len(text) + 1,), "<u8", padded, 0, (1,))
+
+
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def _hashed(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Two mixes of a word's blocks of eight bytes run side by side and are joined at the end, so that blocks can't be
+    solved for that make two words agree."""
+    at = _unaligned(text)
+    a = mix(sizes.astype(U64) + U64(0x9E3779B97F4A7C15))
+    b = mix(sizes.astype(U64) + U64(0xD6E8FEB86659FD93))
+    live = np.arange(len(starts))
+    for begin in range(0, int(sizes.max(initial=0)), 8):
+        if begin:
+            live = np.flatnonzero(sizes > begin)
+        block = at[starts[live] + begin] & _KEEP[np.minimum(sizes[live] - begin, 8)]
+        a[live] = mix(a[live] * U64(0x9FB21C651E98DF25) + block)
+        b[live] = mix((b[live] ^ block) * U64(0xC2B2AE3D27D4EB4F))
+    return mix(a ^ (b << U64(29) | b >> U64(35)))
+
+
+def word_hashes(text: np.ndarray, offsets: np.ndarray, classes: np.ndarray, segment: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, A-Z lower-cased, and the offsets of each text's words. segment: words hashed at a
+    time."""
     text = LOWER[text]
-    word = classes[text]
-    starts, ends = word_bounds(text, offsets, word)
+    starts, ends = word_bounds(text, offsets, classes[text])
+    sizes = ends - starts
     out = np.empty(len(starts), U64)
-    at = 0
-    while at < len(starts):  # long texts in segments that end at a word
-        base = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, base + segment, "right")))
-        s, e = starts[at:to] - base, ends[at:to] - base
-        n = int(e[-1])
-        power, inverse = _tables(n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((text[base : base + n].astype(U64) + U64(1)) * power[:n], out=sums[1:])
-        out[at:to] = mix((sums[e] - sums[s]) * inverse[s] ^ (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
-        at = to
+    for i in range(0, len(starts), segment):
+        few = slice(i, i + segment)
+        out[few] = _hashed(text, starts[few], np.where(sizes[few] > LONG_WORD, 0, sizes[few]))
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(text[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out, np.searchsorted(starts, offsets).astype(np.int64)
 
 
 def gram_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-byte grams that lie inside words, and each gram's place in text."""
+    """Hashes of the grams of k bytes, 8 at most, that lie inside words, and each gram's place in text."""
     n = len(text)
     if n < k:
         return np.zeros(0, U64), np.zeros(0, np.int64)
@@ -119,10 +132,7 @@ def gram_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int)
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, ends[long] - k + 1, -1)
     at = np.flatnonzero(np.cumsum(inside[:n]) > 0)
-    power, inverse = _tables(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum((text.astype(U64) + U64(1)) * power[:n], out=sums[1:])
-    return mix((sums[at + k] - sums[at]) * inverse[at] ^ U64(k * 0x51_7C_C1_B7)), at
+    return mix((_unaligned(text)[at] & _KEEP[k]) * U64(0x9FB21C651E98DF25) + U64(k)), at
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:

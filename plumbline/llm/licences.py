@@ -1,8 +1,10 @@
 """Licence detection by ordered signature rules, in DataFrame functions alone.
 
 A text is reduced to its lower-cased words with single spaces. Rules are regular expressions over that, each tried
-only where its keyword, and for a version its number, occurs; a rule has a priority, by how specific what it says is. A detection whose stretch lies
-within that of one of better or equal priority is dropped, so that the longest and most specific reading stays.
+only where its keyword, and for a version its number, occurs; a rule has a priority, by how specific what it says is.
+A detection whose stretch lies within that of one of better or equal priority is dropped, so that the longest and most
+specific reading stays. Places and suppression come from prefix folds, so that a text of many matches costs little more
+than in proportion to them.
 """
 
 from __future__ import annotations
@@ -176,6 +178,9 @@ VERSIONED = [
     ("python", "python", "python software foundation license", ["2"]),
 ]
 
+#: What follows a version where later ones may be taken, as words; and licences whose usual header names the publisher first.
+LATER = "(?: or (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?)"
+PUBLISHED = ("general public", "affero", "documentation")
 CC_KINDS = {"by": "attribution", "by sa": "attribution share ?alike", "by nd": "attribution no ?deriv(?:ative)?s", "by nc": "attribution non ?commercial", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s"}
 CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 GRANT = "(?:licen[sc]ed|released|distributed|available|published|provided|covered|made available) under (?:the |a )?(?:terms of the |terms and conditions of the |conditions of the )?"
@@ -211,10 +216,14 @@ def rules() -> list[Rule]:
             number = _words(v) + (" 0" if "." not in v else "")
             short = f"(?:{number}|{_words(v)})"
             said = f"{name} (?:(?:version|v) )?v?{short}"
-            later = "(?: or (?:\\(at your option\\) )?(?:any )?later(?: version)?| or newer)"
-            add(f"{stem}-{v}-or-later", 2, keyword, f"(?:{GRANT})?{said}{later}", 0.99, name, _words(v))
+            add(f"{stem}-{v}-or-later", 2, keyword, f"(?:{GRANT})?{said}{LATER}", 0.99, name, _words(v))
             add(f"{stem}-{v}", 2, keyword, GRANT + said, 0.97, name, _words(v))
             add(f"{stem}-{v}", 3, keyword, said, 0.9, name, _words(v))
+            if keyword in PUBLISHED:
+                header = f"{name} as published by the free software foundation (?:either )?version {short}(?: of the licen[sc]e)?"
+                add(f"{stem}-{v}-or-later", 2, "free software foundation", f"(?:{GRANT})?{header}{LATER}", 0.99, also=f"version {_words(v)}")
+                add(f"{stem}-{v}-only", 2, "free software foundation", f"(?:{GRANT})?{header} only", 0.99, also=f"version {_words(v)}")
+                add(f"{stem}-{v}", 2, "free software foundation", f"(?:{GRANT})?{header}", 0.97, also=f"version {_words(v)}")
         add(stem, 4, keyword, GRANT + name, 0.85, name, " under ")
         add(stem, 5, keyword, name, 0.6, name)
     for kind, long in CC_KINDS.items():
@@ -282,6 +291,16 @@ def _bound(value: Column, of) -> Column:
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
+def folded(values: Column, merge) -> Column:
+    """At each place merge of all elements up to it. Doubles its reach in each of log n passes, without an array that
+    grows by one."""
+    reach = F.when(F.size(values) > 1, F.transform(F.sequence(F.lit(1), F.length(F.bin(F.size(values) - 1))), lambda k: F.pow(F.lit(2.0), k - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(reach, values, lambda held, r: F.transform(held, lambda x, i: F.when(i >= r, merge(F.get(held, i - r), x)).otherwise(x)))
+
+
+FOUND = "struct<begin:int,end:int,priority:int,label:string,weight:double,rule:string>"
+
+
 def detections(words: Column, all_rules: list[Rule]) -> Column:
     """All matches of all rules whose keyword occurs: (begin, end, priority, label, weight, rule), characters in words."""
     # one literal, folded from JSON: the table is read once, however many rows are scanned. Rules are grouped by the
@@ -296,31 +315,47 @@ def detections(words: Column, all_rules: list[Rule]) -> Column:
     def of_rule(r):
         def placed(found):
             def each(parts):
-                # where match i begins: all parts and matches before it
-                size = F.transform(found, lambda m: F.char_length(m))
-                before = F.transform(found, lambda m, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda n, p: n + F.char_length(p)) + F.aggregate(F.slice(size, 1, i), F.lit(0), lambda n, k: n + k))
-                return F.transform(found, lambda m, i: F.struct(F.get(before, i).alias("begin"), (F.get(before, i) + F.char_length(m)).alias("end"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight"), r["rule"].alias("rule")))
+                # a match begins after the parts up to its own and the matches before it
+                steps = F.transform(found, lambda m, i: F.char_length(F.get(parts, i)) + F.when(i > 0, F.char_length(F.get(found, i - 1))).otherwise(0))
+                return _bound(folded(steps, lambda a, b: a + b), lambda begins: F.transform(found, lambda m, i: F.struct(F.get(begins, i).alias("begin"), (F.get(begins, i) + F.char_length(m)).alias("end"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight"), r["rule"].alias("rule"))))
 
-            return F.when(F.size(found) > 0, _bound(F.split(words, r["pattern"], -1), each)).otherwise(F.array().cast("array<struct<begin:int,end:int,priority:int,label:string,weight:double,rule:string>>"))
+            return F.when(F.size(found) > 0, _bound(F.split(words, r["pattern"], -1), each)).otherwise(F.array().cast(f"array<{FOUND}>"))
 
         return _bound(F.regexp_extract_all(words, r["pattern"], F.lit(0)), placed)
 
     return F.flatten(F.transform(F.filter(near, lambda r: F.contains(words, r["keyword"]) & F.contains(words, r["also"])), of_rule))
 
 
+#: Priorities are 1, the best, to this.
+PRIORITIES = 5
+
+
 def unsuppressed(found: Column) -> Column:
-    """Without detections that lie within another of better priority, or of equal priority and longer or listed first."""
+    """Without detections that lie within another of better priority, or of equal priority and longer or listed first;
+    by place.
+
+    Sorted by begin, then longest, best and first listed, all that can hold a detection stand before it; it is dropped
+    if any of them of its priority or a better one ends no earlier.
+    """
+    sortable = F.transform(found, lambda d, i: F.struct(d["begin"].alias("begin"), (-d["end"]).alias("back"), d["priority"].alias("priority"), i.alias("i"), d["label"].alias("label"), d["weight"].alias("weight"), d["rule"].alias("rule")))
+
+    def swept(held):
+        ends = F.transform(held, lambda d: F.struct(*(F.when(d["priority"] <= p, -d["back"]).otherwise(-1).alias(f"p{p}") for p in range(1, PRIORITIES + 1))))
+        furthest = folded(ends, lambda a, b: F.struct(*(F.greatest(a[f"p{p}"], b[f"p{p}"]).alias(f"p{p}") for p in range(1, PRIORITIES + 1))))
+
+        def kept(before):
+            def stays(d, i):
+                last = F.get(before, i - 1)
+                own = F.lit(-1)
+                for p in range(PRIORITIES, 0, -1):
+                    own = F.when(d["priority"] == p, last[f"p{p}"]).otherwise(own)
+                return (i == 0) | (own < -d["back"])
 
-    def beaten(d, i):
-        def beats(o, j):
-            within = (o["begin"] <= d["begin"]) & (o["end"] >= d["end"])
-            longer = (o["end"] - o["begin"]) > (d["end"] - d["begin"])
-            same = (o["end"] - o["begin"]) == (d["end"] - d["begin"])
-            return within & ((o["priority"] < d["priority"]) | ((o["priority"] == d["priority"]) & (longer | (same & (j < i)))))
+            return F.filter(held, stays)
 
-        return F.size(F.filter(found, beats)) > 0
+        return _bound(furthest, kept)
 
-    return F.filter(found, lambda d, i: ~beaten(d, i))
+    return F.when(F.size(found) < 2, found).otherwise(F.transform(_bound(F.sort_array(sortable), swept), lambda d: F.struct(d["begin"].alias("begin"), (-d["back"]).alias("end"), d["priority"].alias("priority"), d["label"].alias("label"), d["weight"].alias("weight"), d["rule"].alias("rule"))))
 
 
 def scan(docs: DataFrame, all_rules: list[Rule] | None = None) -> DataFrame:
@@ -340,7 +375,7 @@ def scan(docs: DataFrame, all_rules: list[Rule] | None = None) -> DataFrame:
     parts = {p: F.split(F.col("_words"), f"(?<= ){p}(?= )", -1) for p in BASE}
     base = F.array(*(F.struct(F.lit(label).alias("label"), (F.size(x) - 1).alias("n"), (_spaces(F.get(x, F.lit(0))) - 1).alias("first"), (F.col("n_words") - (_spaces(F.element_at(x, -1)) - 1) - len(p.split())).alias("last")) for (p, label), x in zip(BASE.items(), parts.values(), strict=True)))
     rows = rows.withColumn("_base", F.when(F.col("_words").isNotNull(), F.filter(base, lambda b: b["n"] > 0)).otherwise(F.array().cast("array<struct<label:string,n:int,first:int,last:bigint>>")))
-    kept = F.when(F.col("_words").isNotNull(), _bound(detections(F.col("_words"), all_rules), unsuppressed)).otherwise(F.array().cast("array<struct<begin:int,end:int,priority:int,label:string,weight:double,rule:string>>"))
+    kept = F.when(F.col("_words").isNotNull(), _bound(detections(F.col("_words"), all_rules), unsuppressed)).otherwise(F.array().cast(f"array<{FOUND}>"))
     rows = rows.select("doc_id", "n_words", "_base", kept.alias("detections"))
     of_base = F.transform("_base", lambda b: b["label"])
     of_rules = F.transform("detections", lambda d: d["label"])
