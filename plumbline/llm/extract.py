@@ -4,14 +4,17 @@ A page is a sequence of words and tags. Words score positive, by the context the
 scores are log odds learned from labelled pages, in which every stretch of text is marked as content or not. One
 linear scan finds the contiguous region of the largest sum. Of that region the words in elements that are never
 content (navigation, asides, forms and the like) are left out; they score next to nothing, so that a form between
-paragraphs doesn't part them. Where only a class or an id says so (adverts, comments), words score below nothing and
-are text like any other if the region spans them.
+paragraphs doesn't part them. Classes and ids are features too: names that words of the labelled pages' content are
+seldom under are rare ones. Under those (adverts, comments) words score below nothing, and are text like any other if
+the region spans them.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,19 +33,16 @@ BLOCK = frozenset("address article aside blockquote body br center dd details di
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that never hold content.
 NEVER = frozenset("nav aside form footer button select menu dialog head".split())
-#: Whole names in class, whole id and label, of what is rarely content; not where the element itself is an article, heading or paragraph.
-SAYS_RARELY = re.compile(
-    r"ads?|adverts?|advert\w+|adsense|adslot|adbox|sponsor\w*|promo\w*|banner\w*|cookie\w*|cookie-(?:notice|banner|bar|consent)|consent|gdpr|notice\w*|alert\w*|newsletter\w*|subscri\w*|sign-?up|login|popup\w*|modal|overlay|"
-    r"nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?col\w*|widget\w*|footer\w*|masthead|site-?header|top-?bar|comments?|comment-?list|disqus|repl(?:y|ies)|responses?|share|sharing|social\w*|"
-    r"related|recommend\w*|read-?more|toc|pagination|pager|skip-?link|toolbar|tags?-?list|author-?box|byline-?links|copyright",
-    re.I,
-)
-UNNAMED = frozenset("article main body html p h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-#: Tokens of a page: comments and declarations, tags, and text between.
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+#: Elements whose own names say nothing of what they hold.
+UNNAMED = frozenset("article main body html p h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl table select".split())
+#: Tokens of a page: comments and declarations, and tags. A quote delimits a value only where the value begins.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|$)", re.S)
+_HEADS = re.compile(r"<(/?form|article|main|h1)[\s>]", re.I)
 _MARKED = re.compile(r"<(?:article|main)[\s>]", re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_READ = frozenset("class id role aria-label hidden aria-hidden".split())
 
 
 #: The score of words and tags in contexts that are never content.
@@ -54,84 +54,123 @@ NAMED = -0.25
 
 @dataclass
 class Stretch:
-    """Text between tags: where it stands, and whether its context is never content."""
+    """Text between tags: where it stands, whether its context is never content, and names in force if asked for."""
 
     text: str
     context: str
     never: bool
+    names: tuple[str, ...] = ()
+
+
+@dataclass(slots=True)
+class Open:
+    """An open element and what it hands down. names: of it and those around it, None where they don't count."""
+
+    tag: str
+    never: bool
+    named: bool
+    within: bool
+    link: bool
+    block: str
+    names: tuple | None
+
 
+def names_of(attributes: dict[str, str]) -> list[str]:
+    """Whole names of an element: each class, the id and the label, lower-cased, parts joined by hyphens, without a
+    closing number."""
+    said = [*attributes.get("class", "").split(), attributes.get("id", ""), attributes.get("aria-label", "")]
+    plain = (re.sub(r"([a-z])([A-Z])", r"\1-\2", x.strip()).replace("_", "-").lower() for x in said)
+    return [y for x in plain if (y := re.sub(r"[-\d]+$", "", x))]
 
-def parse(page: str, names: bool = True) -> Iterator[Stretch | str]:
-    """Stretches of text and tags ('p', '/p', and '~p', '~/p' in contexts that are never content or, if names count, are
-    named as rarely so; the latter's text has the context 'named'), in page order. Unclosed elements close where HTML says they do, or
-    with an element around them; comments, declarations, scripts and styles are nothing."""
-    stack: list[tuple[str, bool, bool]] = []
-    at = 0
+
+def parse(page: str, rare: frozenset[str] | None = frozenset(), keep_names: bool = False) -> Iterator[Stretch | str]:
+    """Stretches of text and tags ('p', '/p', and '~p', '~/p' in contexts that are never content or bear a rare name;
+    the latter's text has the context 'named'), in page order. rare: names of what is rarely content.
+
+    Unclosed elements close where HTML says they do, or with an element around them; comments, declarations, scripts
+    and styles are nothing. One pass, in time that grows with the page alone, however deep it nests.
+    """
     marked = _MARKED.search(page) is not None
+    root = Open("", False, False, False, False, "body", ())
+    stack, count, at = [root], Counter(), 0
 
-    def never() -> bool:
-        return bool(stack) and stack[-1][1]
+    def pop() -> str:
+        tag = stack.pop().tag
+        count[tag] -= 1
+        return tag
 
-    def named() -> bool:
-        return bool(stack) and stack[-1][2]
+    def close(tag: str) -> None:
+        while pop() != tag:
+            pass
 
-    def mark() -> str:
-        return "~" if never() or named() else ""
+    heads: list[tuple[int, bool]] | None = None
+
+    def holds(start: int) -> bool:
+        """Whether an article, a main element or a heading of the first rank comes before a form begins or ends."""
+        nonlocal heads
+        if heads is None:
+            heads = [(x.start(), "form" not in x[1].lower()) for x in _HEADS.finditer(page)]
+        i = bisect_left(heads, (start, False))
+        return i < len(heads) and heads[i][1]
 
     def stretch(raw: str) -> Iterator[Stretch]:
         if raw:
-            inside = next((t for t, *_ in reversed(stack) if t in BLOCK or t == "a"), "body")
-            link = any(t == "a" for t, *_ in stack)
-            where = ("article " if any(t in ("article", "main") for t, *_ in stack) else "outside ") if marked else ""
-            yield Stretch(html.unescape(raw), "named" if named() else f"{where}{inside}{'/a' if link and inside != 'a' else ''}", never())
-
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+            top = stack[-1]
+            where = ("article " if top.within else "outside ") if marked else ""
+            names = []
+            chain = top.names
+            while chain:
+                names.append(chain[0])
+                chain = chain[1]
+            yield Stretch(html.unescape(raw), "named" if top.named else f"{where}{top.block}{'/a' if top.link else ''}", top.never, tuple(names))
+
+    while m := _TOKEN.search(page, at):
         yield from stretch(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, top = m[2].lower(), stack[-1]
+        mark = "~" if top.never or top.named else ""
         if m[1]:
-            yield f"{mark()}/{tag}"
-            if any(t == tag for t, *_ in stack):
-                while stack and stack.pop()[0] != tag:
-                    pass
+            yield f"{mark}/{tag}"
+            if count[tag]:
+                close(tag)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             yield f"~{tag}"
             continue
-        if tag in BLOCK and stack and any(t == "p" for t, *_ in stack) and tag != "br":
-            while stack.pop()[0] != "p":
-                pass
-        elif tag in CLOSES or tag in ("td", "th", "tr"):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
+        if tag in BLOCK and tag != "br" and count["p"]:
+            close("p")
+        elif any(count[x] and tag in closers for x, closers in CLOSES.items()):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in LISTS:
                     break
-                if tag in CLOSES.get(stack[i][0], ()):
-                    del stack[i:]
+                if tag in CLOSES.get(stack[i].tag, ()):
+                    while len(stack) > i:
+                        pop()
                     break
+        top = stack[-1]
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
-            yield f"{mark()}{tag}"
+            yield f"{'~' if top.never or top.named else ''}{tag}"
             continue
-        said, hidden = [], False
-        for a in _ATTRIBUTE.finditer(m[3]):
-            name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                hidden = True
-            elif name == "role":
-                hidden = hidden or value.lower() in ROLES
-            else:
-                value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).replace("_", "-")
-                said += value.split() if name == "class" else [value.strip()]
-        within = any(t in ("article", "main") for t, *_ in stack)
-        own = tag in NEVER or hidden or tag == "header" and not within
-        says = names and (tag not in UNNAMED and any(SAYS_RARELY.fullmatch(v) for v in said) or tag == "noscript" and not within)
-        stack.append((tag, never() or own, tag not in ("article", "main") and (named() or says)))
-        yield f"{mark()}{tag}"
+        has = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3]) if a[1].lower() in _READ} if m[3].strip() else {}
+        unseen = "hidden" in has or has.get("aria-hidden") == "true" or has.get("role", "").lower() in ROLES
+        # a form or a veil around the whole article is a wrapper
+        wraps = (tag == "form" or has.get("aria-hidden") == "true") and holds(at)
+        own = (tag in NEVER or unseen or tag == "header" and not top.within) and not wraps
+        said = names_of(has) if has and tag not in UNNAMED else []
+        article = tag in ("article", "main")
+        named = not article and (top.named or rare is not None and (any(x in rare for x in said) or tag == "noscript" and not top.within))
+        chain = top.names
+        if keep_names:
+            chain = () if article else chain
+            for x in said:
+                chain = (x, chain)
+        stack.append(Open(tag, top.never or own, named, top.within or article, top.link or tag == "a", tag if tag in BLOCK else top.block, chain))
+        count[tag] += 1
+        yield f"{'~' if stack[-1].never or stack[-1].named else ''}{tag}"
     yield from stretch(page[at:])
 
 
@@ -140,48 +179,72 @@ def parse(page: str, names: bool = True) -> Iterator[Stretch | str]:
 
 @dataclass(frozen=True)
 class Weights:
-    """Score of a word by context ('p', 'li/a', 'named' or 'never'), and of a tag by its name; others get the default."""
+    """Score of a word by context ('p', 'li/a', 'named' or 'never'), and of a tag by its name; others get the default.
+    name: log odds of content under an element of that name against those of all words; rare: names of low ones."""
 
     word: dict[str, float]
     tag: dict[str, float]
     word_default: float
     tag_default: float
+    name: dict[str, float]
+
+    @property
+    def rare(self) -> frozenset[str]:
+        return frozenset(x for x, v in self.name.items() if v < RARE)
+
+
+#: Names below these log odds are rare ones.
+RARE = -1.0
+
+
+def _odds(n: list[float], smoothing: float) -> float:
+    return float(np.log((n[1] + smoothing) / (n[0] + smoothing)))
+
+
+def _labels(page: str, main: str, rare: frozenset[str] | None) -> Iterator[tuple[Stretch | str, bool | None]]:
+    """A page's tokens, and of stretches with words whether they are content."""
+    want, position = main.split(), 0
+    for x in parse(page, rare, keep_names=True):
+        words = [] if isinstance(x, str) else x.text.split()
+        good = bool(words) and words == want[position : position + len(words)]
+        position += len(words) * good
+        yield x, good if words else None
 
 
 def learn(labelled: list[tuple[str, str]], smoothing: float = 1.0) -> Weights:
-    """Weights from labelled pages (html, main text): log odds of content for words by context, and for tags by
-    whether they stand within the content. Tags are kept negative, and words in contexts that are never content just
-    below 0; in named ones below 0 and not under NAMED."""
+    """Weights from labelled pages (html, main text): log odds of content for words by the names and by the context that
+    they stand in, and for tags by whether they stand within the content. Tags are kept negative, and words in contexts
+    that are never content just below 0; in named ones below 0 and not under NAMED."""
+    name: dict[str, list[float]] = {}
+    every = [0.0, 0.0]
+    for page, main in labelled:
+        for x, good in _labels(page, main, None):
+            if good is not None:
+                n = len(x.text.split())
+                every[good] += n
+                for y in set(x.names):
+                    name.setdefault(y, [0.0, 0.0])[good] += n
+    names = {k: _odds(n, smoothing) - _odds(every, smoothing) for k, n in name.items()}
+    rare = Weights({}, {}, 0, 0, names).rare
     word: dict[str, list[float]] = {}
     tag: dict[str, list[float]] = {}
     for page, main in labelled:
-        want, position = main.split(), 0
-        tokens, content = [], []
-        for x in parse(page):
-            if isinstance(x, str):
-                if x[0] != "~":
-                    tokens.append(("tag", x.lstrip("/")))
-                    content.append(None)
-                continue
-            words = x.text.split()
-            good = bool(words) and words == want[position : position + len(words)]
-            position += len(words) * good
-            for _ in words:
-                tokens.append(("word", "never" if x.never else x.context))
-                content.append(good)
-        known = [i for i, c in enumerate(content) if c]
+        tokens = [t for t in _labels(page, main, rare) if t[1] is not None or isinstance(t[0], str) and t[0][0] != "~"]
+        known = [i for i, (_, good) in enumerate(tokens) if good]
         first, last = (known[0], known[-1]) if known else (1, 0)
-        for i, (kind, name) in enumerate(tokens):
-            good = content[i] if kind == "word" else first <= i <= last
-            (word if kind == "word" else tag).setdefault(name, [0.0, 0.0])[bool(good)] += 1
-    odds = lambda n: float(np.log((n[1] + smoothing) / (n[0] + smoothing)))
-    total_w, total_t = ([sum(n[i] for n in d.values()) for i in (0, 1)] for d in (word, tag))
+        for i, (x, good) in enumerate(tokens):
+            if isinstance(x, str):
+                tag.setdefault(x.lstrip("/"), [0.0, 0.0])[first <= i <= last] += 1
+            else:
+                word.setdefault("never" if x.never else x.context, [0.0, 0.0])[good] += len(x.text.split())
+    total_w, total_t = ([sum(n[i] for k, n in d.items() if k not in ("never", "named")) for i in (0, 1)] for d in (word, tag))
     cap = 3.0
     return Weights(
-        {k: NOTHING if k == "never" else max(NAMED, min(-0.05, odds(n))) if k == "named" else max(-cap, min(cap, odds(n))) for k, n in word.items()},
-        {k: max(-cap, min(-0.05, odds(n))) for k, n in tag.items()},
-        max(0.25, min(cap, odds(total_w))),
-        max(-cap, min(-0.05, odds(total_t))),
+        {k: NOTHING if k == "never" else max(NAMED, min(-0.05, _odds(n, smoothing))) if k == "named" else max(-cap, min(cap, _odds(n, smoothing))) for k, n in word.items()},
+        {k: max(-cap, min(-0.05, _odds(n, smoothing))) for k, n in tag.items()},
+        max(0.25, min(cap, _odds(total_w, smoothing))),
+        max(-cap, min(-0.05, _odds(total_t, smoothing))),
+        names,
     )
 
 
@@ -214,6 +277,42 @@ LABELLED.append(
 )
 LABELLED = [(page, re.sub(r"</?b>", "", main)) for page, main in LABELLED]
 
+#: Names of boxes around articles, as sites give them: what is under them on the labelled pages below isn't content.
+BOXES = {
+    "Buy our things now at half the price.": "ad ads advert adverts advertisement advertising ad-slot ad-box adsense sponsor sponsored sponsors promo promotion banner",
+    "We use cookies. Accept all or choose.": "cookie cookies cookie-notice cookie-banner cookie-bar cookie-consent consent gdpr notice notices alert",
+    "Sign up for our letter. Log in. Subscribe.": "newsletter newsletter-signup subscribe subscription signup sign-up login popup modal overlay",
+    "Home News World Sport About": "nav navbar navigation menu menus breadcrumb breadcrumbs toc table-of-contents pagination pager skip-link toolbar top-bar topbar masthead site-header",
+    "Most read this week, and what to see.": "sidebar side-bar sidebars side-col sidecol widget widgets related related-posts related-articles recommended recommendations read-more",
+    "Nice piece, thank you. I was there as a child. Reply": "comment comments comment-list comments-section disqus reply replies response responses",
+    "Share on all channels. Like. Follow us.": "share sharing share-buttons social social-links social-media tag-list tags-list author-box byline-links",
+    "All rights kept. Terms and privacy. Imprint.": "footer footer-links site-footer copyright",
+}
+
+
+def _boxed(title: str, parts: list[str], inside: str, box: str, before: list[str], after: list[str]) -> tuple[str, str]:
+    """A page without an article element: boxes by name before and after the text's container."""
+    frame = lambda names: "".join(f'<div class="{x}"><p>{box}</p></div>' for x in names)
+    text = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in parts)
+    return f'<html><body><div id="page">{frame(before)}<div class="{inside}">{text}</div>{frame(after)}</div></body></html>', re.sub("<[^>]*>", "", "\n".join([title, *parts]))
+
+
+_STORIES = [
+    ("The ferry sails again", ["After two years in the yard the <a href='/ferry'>old ferry</a> is back on the lake.", "Its engine is new, its bell is the one that people know.", "The first crossing leaves at eight; <a href='/times'>all times</a> are at the pier."]),
+    ("Seeds for dry ground", ["Sow early, before the last frost, and water little.", "Plants that must look for water grow deep roots.", "Thin the rows when the second leaves show.", "Harvest begins in late summer and goes on until the <i>nights</i> are cold."]),
+    ("Minutes of the meeting", ["Nine members were present.", "The accounts of the year were read and passed without <a href='/vote'>a vote</a> against them.", "The next meeting is in the school hall."]),
+]
+_MANUAL = (
+    "<h1>Setting up the pump</h1><section><h2>Before you start</h2><p>Read all of this first, and <a href='#parts'>the parts</a> below.</p><dl><dt>Valve</dt><dd>Opens to the left when the lever is down.</dd><dt>Float</dt><dd>Stops the pump before it runs dry.</dd></dl></section>"
+    "<section><h2>Parts</h2><table><tr><th>Part</th><th>How many</th></tr><tr><td>Long bolts with washers</td><td>four</td></tr><tr><td>Rubber seals of the large size</td><td>two</td></tr></table><pre>pump --fill tank --until full</pre><figure><img src='p.png'><figcaption>The pump seen from its left side.</figcaption></figure><div>Keep the box for the winter.</div></section>"
+)
+_MANUAL_TEXT = "Setting up the pump\nBefore you start\nRead all of this first, and the parts below.\nValve\nOpens to the left when the lever is down.\nFloat\nStops the pump before it runs dry.\nParts\nPart\nHow many\nLong bolts with washers\nfour\nRubber seals of the large size\ntwo\npump --fill tank --until full\nThe pump seen from its left side.\nKeep the box for the winter."
+for _open, _close in (("<main>", "</main>"), ("<div class='content'>", "</div>")):
+    LABELLED.append((f"<html><body><header><a href='/'>Pumps</a></header><nav><ul><li><a href='/a'>Manuals</a></li><li><a href='/b'>Shops</a></li></ul></nav>{_open}{_MANUAL}{_close}<div class='footer'><a href='/c'>Imprint</a></div></body></html>", _MANUAL_TEXT))
+for _i, (_box, _names) in enumerate(BOXES.items()):
+    _all, (_title, _parts) = _names.split(), _STORIES[_i % len(_STORIES)]
+    LABELLED.append(_boxed(_title, _parts, ("content", "post entry", "story text")[_i % 3], _box, _all[::2], _all[1::2]))
+
 
 # ---- the region ----
 
@@ -238,8 +337,8 @@ def main_text(page: str | None, weights: Weights) -> str:
     without regard to them."""
     if not page:
         return ""
-    for names in (True, False):
-        tokens = list(parse(page, names))
+    for rare in (weights.rare, None):
+        tokens = list(parse(page, rare))
         scores = []
         for x in tokens:
             if isinstance(x, str):
