@@ -1,40 +1,36 @@
 """Language of texts whose parts may be in several languages.
 
-Every word is scored for each language by its character trigrams, learned from labelled texts; only languages that
-have been seen with the word's script are candidates. The best path of languages through a text's words, with a
+Letters are code points. A run of letters of one script is a word; in scripts that don't set words apart each letter
+is one. Every word is scored for each language by its character trigrams, learned from labelled texts; only languages
+that have been seen with the word's script are candidates. The best path of languages through a text's words, with a
 penalty for each switch, gives spans of one language; the language of most letters is the text's.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import kernel as K
-from plumbline.llm.store import in_training_folds
+from plumbline.llm.store import free_names, in_training_folds
 
 
 @dataclass(frozen=True)
 class Settings:
-    """switch: nats that a change of language costs. smoothing: added to each trigram's count. word_cap: letters of a
-    word that its score counts at most, so that no single odd string outweighs a sentence."""
+    """switch: nats that a change of language costs. smoothing: added to each trigram's count."""
 
     switch: float = 8.0
     smoothing: float = 0.5
-    word_cap: int = 24
     slots_log2: int = 16
     batch_bytes: int = 8 << 20
 
 
-#: Letters and everything beyond ASCII make words; texts are lower-cased by Spark before they are read here.
-LETTERS = K.class_table([(0x00, 0x60), (0x7B, 0x7F)])
-LETTERS[0x41:0x5B] = True
-
 #: First and last code point of the scripts told apart.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0x24F), (0x1E00, 0x1EFF)],
@@ -60,45 +56,81 @@ SCRIPT_NAMES = ["other", *SCRIPTS]
 _EDGES = np.array(sorted((low, high, SCRIPT_NAMES.index(name)) for name, ranges in SCRIPTS.items() for low, high in ranges))
 
 
+#: Scripts in which a letter stands for a word, as spaces don't part words.
+UNSPACED = [SCRIPT_NAMES.index(x) for x in ("thai", "lao", "tibetan", "khmer", "kana", "han")]
+
+
 def script_of(points: np.ndarray) -> np.ndarray:
     at = np.searchsorted(_EDGES[:, 0], points, "right") - 1
     return np.where((at >= 0) & (points <= _EDGES[at, 1]), _EDGES[at, 2], 0)
 
 
-def word_scripts(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The script of each word's first code point."""
-    pad = np.concatenate((text, np.zeros(4, np.uint8))).astype(np.int64)
-    b0, b1, b2, b3 = (pad[starts + i] for i in range(4))
-    point = np.select(
-        [b0 < 0x80, b0 < 0xE0, b0 < 0xF0],
-        [b0, (b0 & 0x1F) << 6 | b1 & 0x3F, (b0 & 0x0F) << 12 | (b1 & 0x3F) << 6 | b2 & 0x3F],
-        (b0 & 0x07) << 18 | (b1 & 0x3F) << 12 | (b2 & 0x3F) << 6 | b3 & 0x3F,
-    )
-    return script_of(point)
-
-
-def trigram_slots(text: np.ndarray, word: np.ndarray, edge: np.ndarray, slots_log2: int) -> np.ndarray:
-    """For each byte the slot of the trigram around it, words set off by zeros; one further slot off words.
-
-    edge: whether a text begins at this byte."""
-    n = len(text)
-    v = np.where(word, text, 0).astype(np.uint64)
-    before, after = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    before[1:] = v[:-1]
-    after[:-1] = v[1:]
-    before[edge[:n]] = 0
-    after[np.flatnonzero(edge[1:n]) if n else []] = 0
-    slot = (K.mix(before << K.U64(16) | v << K.U64(8) | after) >> K.U64(64 - slots_log2)).astype(np.int64)
-    slot[~word] = 1 << slots_log2
-    return slot
-
-
-def words_of(text: np.ndarray, offsets: np.ndarray, s: Settings):
-    word = LETTERS[text]
-    starts, ends = K.word_bounds(text, offsets, word)
-    edge = np.zeros(len(text) + 1, bool)
-    edge[offsets] = True
-    return trigram_slots(text, word, edge, s.slots_log2), starts, ends
+#: Kinds of code points other than letters, whose kind is their script: marks, which are of the letter before, and the rest.
+MARK, OTHER = 254, 255
+
+
+@cache
+def kinds() -> np.ndarray:
+    """For each code point the script of a letter, MARK or OTHER."""
+    out = script_of(np.arange(0x110000)).astype(np.uint8)
+    for i in range(0x110000):
+        kind = unicodedata.category(chr(i))[0]
+        if kind != "L":
+            out[i] = MARK if kind == "M" else OTHER
+    return out
+
+
+@dataclass
+class Words:
+    """Of a chunk of texts: where words begin and end among code points, each word's script and letters, each letter's
+    trigram slot (one beyond all for what is no letter), and the offsets of each text's words."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    script: np.ndarray
+    letters: np.ndarray
+    slot: np.ndarray
+    at: np.ndarray
+
+
+def words_of(text: np.ndarray, offsets: np.ndarray, s: Settings) -> Words:
+    """Words of texts given as UTF-8."""
+    points = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    first = (text & 0xC0) != 0x80  # bytes that begin a code point
+    edges = np.concatenate(([0], np.cumsum(first)))[offsets]
+    n = len(points)
+    kind = kinds()[points]
+    edge = np.zeros(n + 1, bool)
+    edge[edges] = True
+    # a mark is of the letter before it, if one is there in the same text
+    marks = np.flatnonzero(kind == MARK)
+    if len(marks):
+        base = np.where(kind == MARK, -1, np.arange(n))
+        base[edges[:-1][edges[:-1] < n]] = edges[:-1][edges[:-1] < n]
+        base = np.maximum.accumulate(base)
+        kind = kind[base]
+        kind[kind == MARK] = OTHER
+    letter = kind != OTHER
+    before = np.zeros(n, bool)
+    before[1:] = kind[1:] == kind[:-1]
+    before[edge[:n]] = False  # in one run with the code point before
+    single = np.isin(kind, UNSPACED)
+    is_mark = np.zeros(n, bool)
+    is_mark[marks] = letter[marks]
+    begins = letter & (~before | single & ~is_mark)
+    starts = np.flatnonzero(begins)
+    stops = np.flatnonzero(begins | ~letter)
+    after = np.searchsorted(stops, starts, "right")
+    ends = np.append(stops, n)[after]
+    ends = np.minimum(ends, edges[np.minimum(np.searchsorted(edges, starts, "right"), len(edges) - 1)]) if len(starts) else ends
+    v = np.where(letter, points, 0).astype(np.uint64)
+    left, right = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    left[1:] = np.where(before[1:], v[:-1], 0)
+    right[:-1] = np.where(before[1:], v[1:], 0)
+    slot = (K.mix(left << K.U64(42) | v << K.U64(21) | right) >> K.U64(64 - s.slots_log2)).astype(np.int64)
+    slot[~letter] = 1 << s.slots_log2
+    counted = np.concatenate(([0], np.cumsum(letter & ~is_mark)))
+    return Words(starts, ends, kind[starts].astype(np.int64), counted[ends] - counted[starts], slot, np.searchsorted(starts, edges))
 
 
 def lowered(docs: DataFrame, *more: str) -> DataFrame:
@@ -108,7 +140,7 @@ def lowered(docs: DataFrame, *more: str) -> DataFrame:
 def train(docs: DataFrame, s: Settings = Settings()) -> dict:
     """Counts trigrams and scripts of all texts outside fold 0 whose lang isn't null; the model is what scores need.
 
-    What the driver gathers is bounded by languages times slots, not by texts.
+    What the driver gathers is bounded by languages times slots, not by texts: 65,556 numbers a language.
     """
     spark = docs.sparkSession
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(in_training_folds(F.col("doc_id")))
@@ -123,11 +155,14 @@ def train(docs: DataFrame, s: Settings = Settings()) -> dict:
         for batch in batches:
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             for first, end, text, offsets in K.chunks(K.text_column(batch)):
-                slot, starts, _ = words_of(text, offsets, s)
-                own = np.repeat(lang[first:end], np.diff(offsets))
+                w = words_of(text, offsets, s)
+                word_lang = np.repeat(lang[first:end], np.diff(w.at))
+                size = w.ends - w.starts
+                letter_lang = np.repeat(word_lang, size)
+                place = np.arange(len(letter_lang)) + np.repeat(w.starts - (np.cumsum(size) - size), size)
                 for i in np.unique(lang[first:end]):
-                    grams[i] += np.bincount(slot[own == i], minlength=n_slots)
-                    scripts[i] += np.bincount(word_scripts(text, starts[own[starts] == i]), minlength=n_scripts)
+                    grams[i] += np.bincount(w.slot[place[letter_lang == i]], minlength=n_slots)
+                    scripts[i] += np.bincount(w.script[word_lang == i], minlength=n_scripts)
         both = np.concatenate((grams, scripts), axis=1)
         i, j = np.nonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(both[i, j])], ["i", "j", "n"])
@@ -149,18 +184,18 @@ def word_scores(text: np.ndarray, offsets: np.ndarray, model: dict) -> tuple[np.
 
     Scripts narrow candidates: a language never seen with the word's script falls far behind those that were.
     """
-    s: Settings = model["settings"]
-    slot, starts, ends = words_of(text, offsets, s)
-    at = np.searchsorted(starts, offsets)
-    if not len(starts):
-        return np.zeros((0, len(model["langs"])), np.float32), np.zeros(0, np.int64), at
-    scores = np.add.reduceat(model["table"][slot], starts, axis=0)
-    size = ends - starts
-    scores *= (np.minimum(size, s.word_cap) / size)[:, None].astype(np.float32)
+    w = words_of(text, offsets, model["settings"])
+    if not len(w.starts):
+        return np.zeros((0, len(model["langs"])), np.float32), np.zeros(0, np.int64), w.at
+    # letters alone, so that no word's sum runs on into what follows it
+    size = w.ends - w.starts
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) + np.repeat(w.starts - begin, size)
+    scores = np.add.reduceat(model["table"][w.slot[place]], begin, axis=0)
     scores -= scores.max(axis=1, keepdims=True)
-    seen = model["seen"][word_scripts(text, starts)]
+    seen = model["seen"][w.script]
     scores[~seen & seen.any(axis=1, keepdims=True)] -= 50
-    return scores, size, at
+    return scores, w.letters, w.at
 
 
 def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
@@ -218,12 +253,14 @@ def spans(text: str, model: dict) -> list[tuple[int, int, str]]:
     return [(a, b, model["langs"][path[a]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def labelled(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with the columns _lang_pred, _score and _n_spans, by a pass over the rows and without a join.
+def labelled(docs: DataFrame, model: dict) -> tuple[DataFrame, str, str, str]:
+    """docs with three further columns, and their names: the language, the share of the text's letters in spans of it,
+    and the number of spans. By a pass over the rows and without a join.
 
-    _score is the share of the text's letters in spans of _lang_pred. A text without letters, or null, is und with
-    score 0; so is every text if nothing was learned. Ties go to the language first in order."""
+    A text without letters, or null, is und with share 0; so is every text if nothing was learned. Ties go to the
+    language first in order."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    low, pred, share_, spans_ = free_names(["low", "lang_pred", "score", "n_spans"], docs)
 
     def apply(batches):
         m = sent.value
@@ -232,32 +269,34 @@ def labelled(docs: DataFrame, model: dict) -> DataFrame:
         limit = max(1 << 16, min(m["settings"].batch_bytes, (32 << 20) // max(1, n_langs)))
         for batch in batches:
             lang, score, n_spans = np.full(batch.num_rows, n_langs), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            column = K.text_column(batch, "_low")
-            letters = pc.match_substring_regex(column.fill_null(""), r"\pL").to_numpy(zero_copy_only=False)
-            for first, end, text, offsets in K.chunks(column, limit) if n_langs else []:
+            for first, end, text, offsets in K.chunks(K.text_column(batch, low), limit) if n_langs else []:
                 path, size, at = decoded(text, offsets, m)
                 doc = np.repeat(np.arange(end - first), np.diff(at))
                 share = np.bincount(doc * n_langs + path, size, (end - first) * n_langs).reshape(-1, n_langs)
                 total = share.sum(axis=1)
-                good = (total > 0) & letters[first:end]
+                good = total > 0
                 lang[first:end] = np.where(good, share.argmax(axis=1), n_langs)
                 score[first:end] = np.where(good, share.max(axis=1) / np.maximum(total, 1), 0)
                 turn = np.flatnonzero((path[1:] != path[:-1]) & (doc[1:] == doc[:-1]))
                 n_spans[first:end] = np.where(good, np.bincount(doc[turn], minlength=end - first) + 1, 0)
-            yield K.extended(batch, ["_low"], {"_lang_pred": pa.array(names[lang].tolist(), pa.string()), "_score": pa.array(score), "_n_spans": pa.array(n_spans)})
+            yield K.extended(batch, [low], {pred: pa.array(names[lang].tolist(), pa.string()), share_: pa.array(score), spans_: pa.array(n_spans)})
 
-    schema = K.schema_with(docs, "_lang_pred string, _score double, _n_spans long")
-    return docs.withColumn("_low", F.lower(F.col("text").cast("string"))).mapInArrow(apply, schema)
+    schema = K.schema_with(docs, f"`{pred}` string, `{share_}` double, `{spans_}` long")
+    return docs.withColumn(low, F.lower(F.col("text").cast("string"))).mapInArrow(apply, schema), pred, share_, spans_
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_spans) for each row of docs; see labelled()."""
-    out = labelled(docs.select(F.col("doc_id").cast("long"), "text"), model)
-    return out.select("doc_id", (~in_training_folds(F.col("doc_id"))).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_n_spans").alias("n_spans"))
+    out, pred, share, spans_ = labelled(docs.select(F.col("doc_id").cast("long"), "text"), model)
+    return out.select("doc_id", (~in_training_folds(F.col("doc_id"))).alias("held_out"), F.col(pred).alias("lang_pred"), F.col(share).alias("score"), F.col(spans_).alias("n_spans"))
 
 
 def reject(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs without the rows that have no letters; texts in several languages stay, whatever the share of each. A null
-    lang becomes the predicted one. The columns of docs."""
-    out = labelled(docs, train(docs, s)).where(F.col("_lang_pred") != "und")
-    return out.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*docs.columns)
+    lang becomes the predicted one. The columns of docs, in which other names are free; where nothing can be learned
+    every row has no language, and all rows with letters stay."""
+    model = train(docs, s)
+    if not model["langs"]:
+        return docs.where(F.coalesce(F.rlike(F.col("text").cast("string"), F.lit(r"\pL")), F.lit(False)))
+    out, pred, *_ = labelled(docs, model)
+    return out.where(F.col(pred) != "und").withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)

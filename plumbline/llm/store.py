@@ -13,29 +13,43 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where the session has none (tests), a local one is set."""
+    """The folder named by spark.checkpoint.dir. A local session without one gets a folder of this machine; on a
+    cluster, whose machines share none, that would lose rows, so that it is an error there."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
         root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return root
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by drop_scratch."""
+    path = f"{scratch_root(spark).rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession | None = None) -> None:
-    """Deletes the scratch tables made so far; frames that still read them can't be used afterwards."""
-    for own, path in list(_made):
+def scratch_mark() -> int:
+    """For drop_scratch: what is made from here on."""
+    return len(_made)
+
+
+def drop_scratch(spark: SparkSession | None = None, since: int = 0) -> None:
+    """Deletes the scratch tables made so far, or since a mark; frames that still read them can't be used afterwards."""
+    for own, path in _made[since:]:
         if spark is None or own is spark:
             try:
                 jvm = own.sparkContext._jvm
@@ -49,6 +63,18 @@ def drop_scratch(spark: SparkSession | None = None) -> None:
 atexit.register(drop_scratch)
 
 
+def free_names(wanted: list[str], *frames: DataFrame) -> list[str]:
+    """The wanted names, each behind as many underscores as it takes to be no column's."""
+    taken, out = {c.lower() for df in frames for c in df.columns}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
