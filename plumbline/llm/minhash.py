@@ -12,18 +12,19 @@ further, first by packed bits, in blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import kernel as K
 from plumbline.llm.components import connected_components
-from plumbline.llm.store import materialise
+from plumbline.llm.store import free_names, materialise
 
 
 @dataclass(frozen=True)
@@ -215,7 +216,7 @@ def across(members: DataFrame, s: Settings) -> DataFrame:
     """
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    rows = members.join(main, "key").withColumn("blocks", F.ceil((F.col("total") - F.col("most")) / s.block)).withColumn("salts", F.ceil(F.col("total") / (16 * s.block)))
+    rows = members.join(main, "key").withColumn("blocks", F.ceil((F.col("total") - F.col("most")) / s.block)).withColumn("salts", F.ceil(F.col("total") / (4 * s.block)))
     held = ["band", "id", "component", "packed", "tags"]
     as_anchor = rows.where("component <> main").select("key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("part"), *held)
     streamed = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), "salts").alias("salt"), F.when(F.col("component") == F.col("main"), 1).otherwise(2).alias("part"), *held)
@@ -274,6 +275,26 @@ def across(members: DataFrame, s: Settings) -> DataFrame:
     return dealt.mapInArrow(compare, ASKS)
 
 
+#: What tells a set of shingles: its size and two digests.
+SET = ["n_shingles", "d1", "d2"]
+
+
+def equal_sets(rows: DataFrame, total: int) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2, first) of documents whose set another document of a smaller doc_id has: first is
+    one of those, and by way of firsts all come to the smallest.
+
+    A set that a great part of all documents have is dealt over about sqrt(total) groups, each with a smallest of its
+    own; of those the smallest is then found. So no task sees more than about sqrt(total) rows of one set.
+    """
+    groups = max(1, math.isqrt(total))
+    dealt = rows.distinct().withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    within = dealt.withColumn("_least", F.min("doc_id").over(Window.partitionBy(*SET, "_group")))
+    held = materialise(within.drop("_group"), "sets")
+    heads = held.where("doc_id = _least").drop("_least").withColumn("first", F.min("doc_id").over(Window.partitionBy(*SET)))
+    others = held.where("doc_id <> _least").withColumnRenamed("_least", "first")
+    return others.unionByName(heads.where("doc_id <> first"))
+
+
 def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row for each row of docs: (doc_id, n_shingles, component_id, kept).
 
@@ -284,11 +305,10 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """
     signed = materialise(signatures(docs, s), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    copies = materialise(full.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).where("doc_id <> rep").select("doc_id", "n_shingles", "d1", "d2", "rep").distinct(), "copied")
-    copied = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    copies = materialise(equal_sets(full.select("doc_id", *SET), signed.count()), "copied")
+    copied = copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     # a doc_id with several texts loses only those that are copies
-    reps = full.join(copies.drop("rep"), ["doc_id", "n_shingles", "d1", "d2"], "left_anti")
+    reps = full.join(copies.drop("first"), ["doc_id", *SET], "left_anti")
 
     banded = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre")
@@ -318,10 +338,16 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def deduplicate(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row of each component, that of the smallest doc_id, a null one last. Each row is a node of its own here, so
-    that rows of one doc_id or without one go if their texts are alike and stay if not."""
-    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    found = materialise(components(keyed.select(F.col("_row").alias("doc_id"), "text"), s).select(F.col("doc_id").alias("_row"), "component_id"), "found")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("_row").alias("_row"))
-    first = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).getField("_row").alias("_row"))
-    gone = found.select("_row").join(first.select("_row"), "_row", "left_anti")
-    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
+    that rows of one doc_id or without one go if their texts are alike and stay if not. The columns of docs, in which
+    all other names are free."""
+    (row,) = free_names(["row"], docs)
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = components(keyed.select(F.col(row).alias("doc_id"), "text"), s).select(F.col("doc_id").alias(row), "component_id")
+    # only groups of two or more are looked at; most rows are alone
+    alike = materialise(found.where(F.col(row) != F.col("component_id")).select(row, "component_id"), "alike")
+    alike = alike.unionByName(alike.select(F.col("component_id").alias(row), "component_id").distinct())
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col(row).alias("row"))
+    grouped = alike.join(keyed.select(row, "doc_id"), row)
+    first = grouped.groupBy("component_id").agg(F.min(order).getField("row").alias(row))
+    gone = materialise(alike.select(row).join(first.select(row), row, "left_anti"), "gone")
+    return keyed.join(gone, row, "left_anti").select(*docs.columns)

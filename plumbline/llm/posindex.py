@@ -3,8 +3,9 @@
 The index is partitioned by document, as search engines partition theirs: a row is a segment, with the postings of
 some thousand documents. Positions count the words of a segment's documents laid end to end with a gap between
 documents, so that one sorted list of integers per term says both document and place, and no phrase crosses a gap.
-Only terms of the test set can be asked for, so only theirs are stored; a test set beyond a fixed number of terms is
-taken in blocks, each with an index of its own terms.
+Only terms of the test set can be asked for, so only theirs are stored. The test set is taken in blocks of bounded size,
+one after the other, each with an index of its own terms; an item of more words is in several, which share the words
+that a phrase across the cut needs.
 
 A phrase is looked up by intersecting its terms' lists, each shifted by the term's offset in the phrase, from the
 rarest term of the segment on. All phrases of a block are intersected at once. For proximity the same lists are asked
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import kernel as K
-from plumbline.llm.store import materialise
+from plumbline.llm.store import free_names, materialise, scratch_path
 
 GAP = 1 << 10
 
@@ -31,7 +32,7 @@ GAP = 1 << 10
 @dataclass(frozen=True)
 class Settings:
     """window: words of a phrase taken from an item; a shorter item is one phrase. block_terms: words of test items
-    in a block at most, save that an item is never cut; it bounds what is sent to executors. segment_bytes: text of a
+    in a block at most; it bounds what the driver holds and what is sent to executors. segment_bytes: text of a
     segment's documents, one document at least. reach: a proximity match is at most so many times a phrase's words
     long."""
 
@@ -74,21 +75,25 @@ def phrases_of(items: list[tuple[str | None, np.ndarray]], window: int) -> Phras
 
 
 def blocks_of(items: DataFrame, s: Settings) -> Iterator[list[tuple[str | None, np.ndarray]]]:
-    """The test items' words in blocks of bounded size, read one partition at a time."""
+    """The test items' words in blocks of bounded size. Long items come in pieces that overlap by window - 1 words."""
+    most, over = max(s.block_terms, s.window), s.window - 1
 
     def words(batches):
         for batch in batches:
-            out = []
-            for _, _, text, offsets in K.chunks(K.text_column(batch)):
+            ids = batch.column("item_id").to_pylist()
+            for first, _, text, offsets in K.chunks(K.text_column(batch)):
                 hashes, at = K.word_hashes(text, offsets, K.ALNUM)
-                out += [hashes[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(out, pa.binary())], ["item_id", "words"])
+                for i in range(len(at) - 1):
+                    own = hashes[at[i] : at[i + 1]]
+                    pieces = [own[k : k + most].tobytes() for k in range(0, max(1, len(own) - over), max(1, most - over))] if len(own) else []
+                    if pieces:
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[first + i]] * len(pieces), pa.string()), pa.array(pieces, pa.binary())], ["item_id", "words"])
 
     held, size = [], 0
-    rows = items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(words, "item_id string, words binary")
-    for row in rows.where("length(words) > 0").toLocalIterator():
+    rows = materialise(items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(words, "item_id string, words binary"), "items")
+    for row in rows.toLocalIterator():
         item = np.frombuffer(bytes(row["words"]), np.uint64)
-        if held and size + len(item) > s.block_terms:
+        if held and size + len(item) > most:
             yield held
             held, size = [], 0
         held.append((row["item_id"], item))
@@ -293,23 +298,45 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
     return [s for s, _ in out], [e for _, e in out]
 
 
+def found_in(keyed: DataFrame, items: DataFrame, s: Settings, proximity: bool) -> DataFrame:
+    """For each row key of keyed (row, doc_id, text): n_words and what search() says over all blocks. keyed must give
+    the same keys each time it is read. Blocks are searched one after the other; what one finds is written before the
+    next is taken up."""
+    spark = keyed.sparkSession
+    path, n = scratch_path(spark, "hits"), 0
+    for block in blocks_of(items, s):
+        phrases = phrases_of(block, s.window)
+        index = materialise(build(keyed, phrases.vocabulary, s), "index")
+        part = search(index, phrases, s.reach if proximity else 0)
+        # every row has its row in the first block's result, and in others' only where there is a match
+        if n:
+            part = part.where(" OR ".join(f"size({c}) > 0" for c in part.columns if c.endswith("items")))
+        part.write.mode("append").parquet(path)
+        n += 1
+    if not n:
+        none = phrases_of([], s.window)
+        search(build(keyed, none.vocabulary, s), none, s.reach if proximity else 0).write.parquet(path)
+    held = spark.read.parquet(path)
+    return held.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in held.columns[3:]))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """docs, written once with a key for each row in a column of a free name, the last."""
+    (row,) = free_names(["row"], docs)
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+
+
 def hits(docs: DataFrame, items: DataFrame, s: Settings = Settings(), proximity: bool = False) -> DataFrame:
     """One row for each row of docs: (doc_id, n_words, starts, ends, items): what search() says over all blocks; with
     proximity also (near_starts, near_ends, near_items).
 
     Words are runs of digits, lower-cased Latin letters and everything beyond ASCII. A null or empty text has no
-    words; items without words are never found; those without id are found and counted as one item, a null in items; an empty table of either gives rows without hits, or none.
-    Repeated rows each get their own row; other columns are ignored.
+    words; items without words are never found; those without id are found and counted as one item, a null in items;
+    an empty table of items gives rows without hits, one of docs no rows. Repeated rows each get their own row, rows
+    of one doc_id or without one included; other columns are ignored.
     """
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    blocks = list(map(lambda block: phrases_of(block, s.window), blocks_of(items, s))) or [phrases_of([], s.window)]
-    found = None
-    for phrases in blocks:
-        part = search(materialise(build(keyed, phrases.vocabulary, s), "index"), phrases, s.reach if proximity else 0)
-        found = part if found is None else found.unionByName(part)
-    if len(blocks) > 1:
-        found = found.groupBy("row", "doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in found.columns[3:]))
-    return found
+    keyed = keyed_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return found_in(keyed.select(F.col(keyed.columns[-1]).alias("row"), "doc_id", "text"), items, s, proximity).drop("row")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -330,6 +357,12 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs without the rows whose doc_id has any occurrence of a phrase of items."""
-    gone = digest(hits(docs, items, s)).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose text has any occurrence of a phrase of items. Each row goes or stays by its own text,
+    whatever other rows have its doc_id; a null doc_id is like any other. The columns of docs, in which all other names
+    are free; empty tables of either are fine."""
+    keyed = keyed_rows(docs)
+    row = keyed.columns[-1]
+    found = found_in(keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), items, s, False)
+    # written first: its size is then known when the join is planned, which broadcasts it only if it is small
+    gone = materialise(found.where(F.size("items") > 0).select(F.col("row").alias(row)), "contaminated")
+    return keyed.join(gone, row, "left_anti").select(*docs.columns)
