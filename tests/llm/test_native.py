@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -56,8 +57,11 @@ def test_runs_are_pruned_by_their_ranges(spark):
 
 
 def tokens(text):
-    text = (text or "").lower()
-    return re.findall(r"[一-鿿぀-ヿ]|[^\s一-鿿぀-ヿ]{1,12}", text)
+    """Runs without white space, of at most 12 characters whole and of more by character; each ideograph alone."""
+    out = []
+    for run in re.findall(r"[一-鿿぀-ヿ]|[^\s一-鿿぀-ヿ]+", (text or "").lower()):
+        out += [run] if len(run) <= 12 else list(run)
+    return out
 
 
 def prints(text, k=3, w=4):
@@ -94,24 +98,36 @@ def likeness(a, b):
 def test_fingerprints_and_neighbours_are_those_of_brute_force(spark, per_bucket):
     r = random.Random(6)
     rows = [(i * 7 % 101, " ".join(r.choice(["Aa", "bb", "c", "the", "日本", "é", "longerthantwelveletters"]) for _ in range(r.choice([0, 1, 2, 5, 40])))) for i in range(40)]
-    rows += [(500, None), (501, ""), (rows[0][0], "another text of the same id")]
+    rows += [(500, None), (501, ""), (rows[0][0], "another text of the same id"), (502, "x" * 40 + " " + "abcdefghijklmnopq" * 3)]
+    rows += [(77, f"text {i % 9} of an id that many have") for i in range(30)] + [(None, f"no id {i}") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     out = N.compare_with_next(df, N.Settings(rows_per_bucket=per_bucket)).collect()
-    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (-x[0], x[1]))
-    after = {x: order[(n + 1) % len(order)][1] for n, x in enumerate(order)}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), _token_hash(x[1]) % N.DEALT, _token_hash(x[1]), x[1]))
+    after = [(x, order[(n + 1) % len(order)][1]) for n, x in enumerate(order)]
     assert len(out) == len(rows)
     show = lambda p: ",".join(f"{h:X}:{i:X}" for h, i in p)
     want = []
-    for (i, t), nxt in after.items():
+    for (i, t), nxt in after:
         cut = len(t) // 3
         edited = t[: len(t) - cut] + nxt[:cut]
         want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), show(prints(t)), show(prints(edited)), likeness(prints(t), prints(edited)), likeness(prints(t), prints(nxt))))
     got = [tuple(r) for r in out]
-    key = lambda x: (x[0], x[2], x[3])
+    key = lambda x: (x[0] is None, x[0] or 0, x[2], x[3], x[6])
     for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
 
 
+def test_passages_of_long_runs_are_found_wherever_they_begin(spark):
+    r = random.Random(5)
+    say = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    rows = []
+    for i in range(40):
+        shared = say(6)
+        rows.append((i, say(13 + i) + shared + say(20), say(29) + shared + say(13)))
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+    assert df.select(F.arrays_overlap(N.hashes(N.fingerprint(F.col("a"))), N.hashes(N.fingerprint(F.col("b")))).alias("x")).where("x").count() == 40
+
+
 def test_shared_runs_are_always_found(spark):
     s, r = N.Settings(k=3, w=4), random.Random(8)
     say = lambda n: [f"t{r.randrange(10_000)}" for _ in range(n)]
@@ -180,6 +196,73 @@ def test_detections_within_better_ones_are_dropped(spark):
     assert sorted(d["label"] for d in two["detections"]) == ["apache-2.0", "mit", "mit", "mit"]
 
 
+HEADERS = {
+    "gpl-2-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-3-or-later": "This is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2-only": "it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 only.",
+    "lgpl-2.1-or-later": "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3-or-later": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at its site.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "zlib": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+}
+
+
+def test_usual_headers_have_their_label(spark):
+    for (label, _), row in zip(HEADERS.items(), scan(spark, *HEADERS.values()), strict=True):
+        assert label in row["labels"].split(","), (label, row)
+
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_detections(text):
+    """Every match of every rule whose keyword is there, and those that no other holds, by all pairs."""
+    held = " ".join(["", *plain_words(text), ""])
+    found = []
+    groups = {}
+    for r in R.rules():
+        groups.setdefault(r.keyword.split(" ")[0], []).append(r)
+    for first, rs in groups.items():
+        for r in rs:
+            if first in held and r.keyword in held and r.also in held:
+                found += [(m.start(), m.end(), r.priority, r.label) for m in re.finditer(r.pattern, held)]
+
+    def beats(i, o, j, d):
+        if i == j or o[0] > d[0] or o[1] < d[1] or o[2] > d[2]:
+            return False
+        return o[2] < d[2] or o[1] - o[0] > d[1] - d[0] or (o[1] - o[0] == d[1] - d[0] and i < j)
+
+    return sorted(d for j, d in enumerate(found) if not any(beats(i, o, j, d) for i, o in enumerate(found)))
+
+
+def test_base_phrases_and_detections_are_those_of_brute_force(spark):
+    r = random.Random(4)
+    bits = [*HEADERS.values(), "CC BY", "cc by-sa 4.0", "General Public License", "All rights reserved.", "MIT License.", "the cc", "by", "word", "GPL v2 or later", "public license", "é", "Apache"]
+    texts = [" ".join(r.choice(bits) for _ in range(r.randrange(0, 12))) for _ in range(60)]
+    for text, row in zip(texts, scan(spark, *texts), strict=True):
+        w = plain_words(text)
+        places = sorted((i, label) for p, label in R.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        assert (row["n_words"], row["n_base"]) == (len(w), len(places))
+        assert (row["first_word"], row["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert row["base_labels"] == ",".join(sorted({x for _, x in places}))
+        found = brute_detections(text)
+        assert sorted((d["begin"], d["end"], d["priority"], d["label"]) for d in row["detections"]) == found
+        assert row["labels"] == ",".join(sorted({x for _, x in places} | {d[3] for d in found}))
+
+
+def test_a_text_of_very_many_matches_takes_seconds(spark):
+    began = time.monotonic()
+    (row,) = scan(spark, "MIT License. " * 100_000)
+    assert len(row["detections"]) == 100_000 and [d["begin"] for d in row["detections"][:3]] == [1, 13, 25]
+    assert time.monotonic() - began < 90
+
+
 # ---- main text ----
 
 
@@ -231,3 +314,31 @@ def test_formulas_and_fallbacks_of_an_article_are_text():
     w = X.learn(X.LABELLED)
     page = "<article><p>The sum is <math><mi>x</mi><mo>+</mo><mn>1</mn></math> as said.</p><object data='a'>A picture of it.</object><noscript><p>Its caption.</p></noscript><p>The end.</p></article>"
     assert X.main_text(page, w) == "The sum is x+1 as said.\nA picture of it.\nIts caption.\nThe end."
+
+
+def test_quotes_delimit_only_where_a_value_begins():
+    w = X.learn(X.LABELLED)
+    page = "<p>First one of some words <a href=x title=it's>link</a> and more words</p><p>Second paragraph of the text</p><p data-x='a>b' class=\"c>d\">Third one's here</p>"
+    assert X.main_text(page, w) == "First one of some words link and more words\nSecond paragraph of the text\nThird one's here"
+
+
+def test_pages_that_nest_deep_take_seconds():
+    w = X.learn(X.LABELLED)
+    began = time.monotonic()
+    for page in ("<div>" * 100_000 + "<p>word one two" + "</div>" * 100_000, "<div><li>" * 50_000 + "<p>word one two", "<div aria-hidden=true>" * 30_000 + "<p>word one two", "<p>word one two" + "<a =\"" * 100_000):
+        X.main_text(page, w)
+    assert X.main_text("<div>" * 100_000 + "<p>word one two", w) == "word one two"
+    assert time.monotonic() - began < 60
+
+
+def test_a_form_around_the_article_is_a_wrapper():
+    w = X.learn(X.LABELLED)
+    text = "<h1>Head line</h1><p>A paragraph of the text with words enough.</p>"
+    assert X.main_text(f"<body><form id='aspnetForm'><nav>Home</nav>{text}</form></body>", w) == "Head line\nA paragraph of the text with words enough."
+    assert X.main_text(f"<body>{text}<form><label>Your mail for our letter</label><p>We write once a week.</p></form></body>", w) == "Head line\nA paragraph of the text with words enough."
+
+
+def test_names_are_learned_and_match_whole():
+    w = X.learn(X.LABELLED)
+    assert {"ad", "sidebar", "comments", "cookie-banner"} <= w.rare and not {"content", "post", "page", "sidebar-free", "no-sidebar"} & w.rare
+    assert X.names_of({"class": "siteHeader  widget_2", "id": "Ad-Box-12"}) == ["site-header", "widget", "ad-box"]
