@@ -1,5 +1,8 @@
 """Token counts by field or section: a document is encoded once, whole, and each token's characters say whose it is.
 
+A byte-level vocabulary encodes pre-tokens apart from each other, so that a whole text's tokens are those of its
+pre-tokens in order. Those that a task has met before aren't encoded again. Vocabularies that do otherwise are refused.
+
 Fields are rendered into one text, or a text is cut into its lines; either gives spans of characters that tile the
 document. Tokens are joined to spans by their own character spans. A token that crosses a boundary goes by rule:
 
@@ -11,6 +14,7 @@ split     to each span in proportion to its characters there
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -48,6 +52,20 @@ NARROW = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[
 _WIDE_TEXT = re.compile("[ɐ-\U0010ffff\x1c-\x1f]")
 
 
+#: Fixed value: what the file of a byte-level vocabulary says of its pre-tokens, which PATTERN repeats.
+PRE_TOKENS = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def refuse_other(tokenizer) -> None:
+    """Raises unless a vocabulary's tokens of a text are those of its pre-tokens by PATTERN."""
+    says = json.loads(tokenizer.to_str())
+    pre = says.get("pre_tokenizer") or {}
+    if says.get("normalizer") is not None or {k: pre.get(k) for k in PRE_TOKENS} != PRE_TOKENS or says["model"]["type"] != "BPE" or says["model"].get("continuing_subword_prefix") or says["model"].get("end_of_word_suffix") or says["model"].get("dropout"):
+        raise ValueError("only byte-level vocabularies without a normaliser, a prefix space or another pre-token pattern")
+    if any(not t.get("special") for t in says.get("added_tokens", ())):
+        raise ValueError("a vocabulary with added tokens that are matched across pre-tokens")
+
+
 class Spans:
     """Tokens of whole texts with the characters that each covers."""
 
@@ -57,6 +75,7 @@ class Spans:
 
         self.wide = regex.compile(PATTERN)
         self.tokenizer = Tokenizer.from_file(tokenizer)
+        refuse_other(self.tokenizer)
         self.tokenizer.encode_special_tokens = True
         self.cache = PieceCache(self._encode, 3)
 

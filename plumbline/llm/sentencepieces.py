@@ -73,6 +73,7 @@ class Model:
     dummy_prefix: bool = True
     squeeze: bool = True
     escape: bool = True
+    unknown_surface: str = UNKNOWN_SURFACE
 
     @classmethod
     def parse(cls, data: bytes) -> Model:
@@ -91,6 +92,10 @@ class Model:
                         m.type = v
                     elif n == 35:
                         m.byte_fallback = bool(v)
+                    elif n == 24 and v:
+                        raise ValueError("models that treat white space as a suffix aren't rebuilt")
+                    elif n == 44:
+                        m.unknown_surface = v.decode()
             elif number == 3:
                 for n, v in fields(value):
                     if n == 2:
@@ -101,8 +106,12 @@ class Model:
                         m.squeeze = bool(v)
                     elif n == 5:
                         m.escape = bool(v)
+            elif number == 5 and any(n == 2 and v for n, v in fields(value)):
+                raise ValueError("models with a denormaliser aren't rebuilt")
         if m.type not in (UNIGRAM, BPE):
             raise ValueError("only unigram and byte-pair models can be rebuilt")
+        if USER_DEFINED in m.kinds:
+            raise ValueError("pieces that the user defined are matched before all others; models with them aren't rebuilt")
         return m
 
     @classmethod
@@ -162,7 +171,7 @@ class Codec:
             return bytes([int(piece[3:-1], 16)])
         if kind == CONTROL:
             return b""
-        return UNKNOWN_SURFACE.encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
+        return self.model.unknown_surface.encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
 
     def normalise(self, text: str) -> str:
         m = self.model
@@ -210,7 +219,9 @@ def _slices(n: int, sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 def encode(docs: DataFrame, model_path: str | None = None, threads: int = 2, text: str = "text", out: str = "ids", round_trip: str | None = None) -> DataFrame:
     """docs with a column of token ids. A null or empty text has none. threads: of the library, per task. round_trip:
-    a further column that says whether the ids decode to the text, null counting as the empty text."""
+    a further column that says whether the ids decode to the text, null counting as the empty text. Repeated rows each
+    get theirs, and an empty table gives an empty one; columns of docs that have one of the new names give way."""
+    docs = docs.drop(out, *([round_trip] if round_trip else []))
     sent = docs.sparkSession.sparkContext.broadcast(_read(model_path))
 
     def run(batches):
@@ -234,7 +245,9 @@ def encode(docs: DataFrame, model_path: str | None = None, threads: int = 2, tex
 
 
 def decode(rows: DataFrame, model_path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """rows with a column of the text that their token ids say; no ids, or null, say the empty text."""
+    """rows with a column of the text that their token ids say; no ids, or null, say the empty text. An id that isn't in
+    the model is an error. A column of rows that has the new name gives way; an empty table gives an empty one."""
+    rows = rows.drop(out)
     sent = rows.sparkSession.sparkContext.broadcast(_read(model_path))
 
     def run(batches):

@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import kernel as K
-from plumbline.llm.store import in_training_folds, materialise
+from plumbline.llm.store import free_names, in_training_folds, materialise
 
 
 @dataclass(frozen=True)
 class Settings:
-    """positives and unlabelled: rows of the training sample at most; the rows with the smallest hash of doc_id are
-    taken. prior: share of toxic text, None to take that of the labelled rows of the training folds."""
+    """positives and unlabelled: texts of the training sample at most; those with the smallest hash of doc_id and text
+    are taken. prior: share of toxic text, None to take that of the labelled rows of the training folds."""
 
     positives: int = 5000
     unlabelled: int = 10000
@@ -124,9 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
     """The model: slots, weights, bias and prior. Only rows outside fold 0 are read, and of labels only toxic.
 
     Without confirmed toxic texts the model has no features and scores every text by the prior. Of several labels of
-    one document the toxic one counts.
+    one document the toxic one counts; texts of one id are texts of their own, and repeats of one count once.
     """
-    spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(in_training_folds(F.col("doc_id")))
     known = known.join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
     n, toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
@@ -134,52 +133,75 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
     prior = min(max(prior, 1e-3), 0.9)
     if not toxic:
         return {"slots": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": float(np.log(prior / (1 - prior))), "prior": prior, "settings": s}
-    by_hash = F.xxhash64("doc_id")
-    p = known.where("toxic = 1").select("doc_id").orderBy(by_hash, "doc_id").limit(s.positives).withColumn("label", F.lit(1))
-    u = docs.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").where(in_training_folds(F.col("doc_id"))).orderBy(by_hash, "doc_id").limit(s.unlabelled).withColumn("label", F.lit(0))
-    sample = F.broadcast(materialise(p.unionByName(u).distinct(), "toxicity-sample"))  # at most positives + unlabelled ids
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, "doc_id").select("label", "text")
-
-    def fit(batches):
-        kept = [pa.RecordBatch.from_arrays([b.column("label"), K.text_column(b)], ["label", "text"]) for b in batches]
-        df, n = np.zeros((2, 1 << s.slots_log2), np.int64), [0, 0]
-        for b in kept:
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL").where(in_training_folds(F.col("doc_id")))
+    key = ["doc_id", "h"]
+    narrow = own.select("doc_id", F.xxhash64("text").alias("h"))
+    # P and U: the least of a hash, without the repeats of a text under one id; each task keeps as many as are wanted
+    least = lambda df, many, label: df.distinct().orderBy(F.xxhash64(*key), *key).limit(many).withColumn("label", F.lit(label))
+    p = least(narrow.join(known.where("toxic = 1").select("doc_id"), "doc_id"), s.positives, 1)
+    u = least(narrow, s.unlabelled, 0)
+    sample = F.broadcast(materialise(p.unionByName(u), "toxicity-sample"))  # at most positives + unlabelled keys
+    rows = own.withColumn("h", F.xxhash64("text")).join(sample, key).dropDuplicates([*key, "label"]).select("label", "text")
+    rows = materialise(rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "toxicity-texts")
+
+    def frequencies(batches):
+        df, seen = np.zeros((2, 1 << s.slots_log2), np.int32), [0, 0]
+        for b in batches:
             label = b.column("label").to_numpy(zero_copy_only=False)
-            for first, end, text, offsets in K.chunks(b.column("text")):
+            for first, end, text, offsets in K.chunks(K.text_column(b)):
                 slots, doc = slots_of(text, offsets, s)
                 pairs = np.unique(doc << s.slots_log2 | slots)
                 side = label[first:end][pairs >> s.slots_log2]
                 for y in (0, 1):
-                    df[y] += np.bincount(pairs[side == y] & (1 << s.slots_log2) - 1, minlength=1 << s.slots_log2)
-            n[1] += int(label.sum())
-            n[0] += int((1 - label).sum())
-        share = prior if s.prior is not None else prior_seen(df[1], n[1], df[0], n[0], prior)
-        top = select_features(df[1], n[1], df[0], n[0], share, s.features, s.least)
+                    df[y] += np.bincount(pairs[side == y] & (1 << s.slots_log2) - 1, minlength=1 << s.slots_log2).astype(np.int32)
+            seen[1] += int(label.sum())
+            seen[0] += int((1 - label).sum())
+        at = np.flatnonzero(df.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[1][at], seen[1]).astype(np.int64)), pa.array(np.append(df[0][at], seen[0]).astype(np.int64))], ["slot", "p", "u"])
+
+    # at most a row for each slot that P has; slot -1 counts texts
+    counted = rows.mapInArrow(frequencies, "slot long, p long, u long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p > 0 OR slot = -1").toPandas()
+    total = counted[counted["slot"] == -1].iloc[0]
+    counted, n = counted[counted["slot"] >= 0], [int(total["u"]), int(total["p"])]
+    df = np.zeros((2, 1 << s.slots_log2), np.int64)
+    df[1][counted["slot"]], df[0][counted["slot"]] = counted["p"], counted["u"]
+    share = prior if s.prior is not None else prior_seen(df[1], n[1], df[0], n[0], prior)
+    top = select_features(df[1], n[1], df[0], n[0], share, s.features, s.least)
+    sent = docs.sparkSession.sparkContext.broadcast(top)
+
+    def features(batches):
         chosen = np.full(1 << s.slots_log2, -1, np.int64)
-        chosen[top] = np.arange(len(top))
-        x = [np.zeros((n[0], len(top)), np.float32), np.zeros((n[1], len(top)), np.float32)]
-        at = [0, 0]
-        for b in kept:
-            label = b.column("label").to_numpy(zero_copy_only=False)
-            for first, end, text, offsets in K.chunks(b.column("text")):
+        chosen[sent.value] = np.arange(len(sent.value))
+        for b in batches:
+            for first, end, text, offsets in K.chunks(K.text_column(b)):
                 doc, feature = presence(text, offsets, chosen, s)
-                side = label[first:end]
-                row = np.where(side == 1, np.cumsum(side) - 1, np.cumsum(1 - side) - 1)
-                for y in (0, 1):
-                    mine = side[doc] == y
-                    x[y][at[y] + row[doc[mine]], feature[mine]] = 1
-                    at[y] += int((side == y).sum())
+                x = np.zeros((end - first, len(sent.value)), bool)
+                x[doc, feature] = True
+                yield pa.RecordBatch.from_arrays([b.column("label").slice(first, end - first), pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())], ["label", "x"])
+
+    def fit(batches):
+        x = [[], []]
+        for b in batches:
+            label = b.column("label").to_numpy(zero_copy_only=False)
+            bits = np.array([np.unpackbits(np.frombuffer(r, np.uint8), count=len(sent.value)) for r in b.column("x").to_pylist()]).reshape(b.num_rows, len(sent.value))
+            for y in (0, 1):
+                x[y].append(bits[label == y])
+        # sorted, so that the order of rows, which is Spark's, doesn't matter
+        x = [np.concatenate(part) if part else np.zeros((0, len(sent.value)), np.uint8) for part in x]
+        x = [part[np.lexsort(part.T[::-1])].astype(np.float32) if part.shape[1] else part.astype(np.float32) for part in x]
         w, b, _ = nonnegative_pu_fit(x[1], x[0], share, s)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps({"slots": top, "weights": w, "bias": b, "prior": share, "settings": s})], pa.binary())], ["model"])
 
-    # the scan is spread over all tasks; the sample, which is bounded, is then held by one
-    return pickle.loads(bytes(rows.repartition(1).mapInArrow(fit, "model binary").first()["model"]))
+    # texts are read by all tasks; one task then holds the features' bits, at most positives + unlabelled rows of them
+    held = rows.mapInArrow(features, "label int, x binary")
+    return pickle.loads(bytes(held.repartition(1).mapInArrow(fit, "model binary").first()["model"]))
 
 
-def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with the column _score, by a pass over the rows and without a join. Only text is read for it; a null or
-    empty text has no features and gets the score of the bias alone."""
+def scored(docs: DataFrame, model: dict) -> tuple[DataFrame, str]:
+    """docs with a further column, and its name: the score, by a pass over the rows and without a join. Only text is
+    read for it; a null or empty text has no features and gets the score of the bias alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    read, name = free_names(["read", "score"], docs)
 
     def apply(batches):
         m = sent.value
@@ -189,20 +211,23 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             out = np.full(batch.num_rows, m["bias"])
             if len(m["slots"]):
-                for first, end, text, offsets in K.chunks(K.text_column(batch, "_read")):
+                for first, end, text, offsets in K.chunks(K.text_column(batch, read)):
                     doc, feature = presence(text, offsets, chosen, s)
                     out[first:end] += np.bincount(doc, m["weights"][feature], end - first)
-            yield K.extended(batch, ["_read"], {"_score": pa.array(sigmoid(out))})
+            yield K.extended(batch, [read], {name: pa.array(sigmoid(out))})
 
-    return docs.withColumn("_read", F.col("text").cast("string")).mapInArrow(apply, K.schema_with(docs, "_score double"))
+    return docs.withColumn(read, F.col("text").cast("string")).mapInArrow(apply, K.schema_with(docs, f"`{name}` double")), name
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs; repeated rows each get their row."""
-    out = scored(docs.select(F.col("doc_id").cast("long"), "text"), model)
-    return out.select("doc_id", (~in_training_folds(F.col("doc_id"))).alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    out, name = scored(docs.select(F.col("doc_id").cast("long"), "text"), model)
+    return out.select("doc_id", (~in_training_folds(F.col("doc_id"))).alias("held_out"), F.col(name).alias("score"), F.when(F.col(name) >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs without the rows whose text scores 0.5 or more; the columns of docs. Only text decides."""
-    return scored(docs, train(docs, labels, s)).where("_score < 0.5").select(*docs.columns)
+    """docs without the rows whose text scores 0.5 or more; the columns of docs, in which all other names are free.
+    Only text decides, so that rows of one doc_id or without one each go or stay by their own. Without toxic labels
+    none goes."""
+    out, name = scored(docs, train(docs, labels, s))
+    return out.where(F.col(name) < 0.5).select(*docs.columns)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import attribution, extract, hilbert, language, licences, minhash, posindex, sentencepieces, toxicity, winnow
+from plumbline.llm import attribution, extract, hilbert, language, licences, minhash, posindex, sentencepieces, store, toxicity, winnow
 
 LONG = " ".join(f"word{i % 97} zeta{i}" for i in range(30_000))
 ROWS = [
@@ -19,11 +19,13 @@ ROWS = [
 ]
 
 
+CLASH = ["row", "_row", "ids", "_low", "_read", "_score", "_lang_pred", "_n_spans", "key", "component", "component_id", "task", "score", "predicted", "part", "label", "h", "x", "_hash", "_bucket", "_copy", "size", "hilbert", "item_id", "toxic"]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
-    clash = ["row", "ids", "_low", "key", "component", "task", "score", "predicted", "_score_", "part"]
-    return df.select("*", *(F.lit("extra").alias(c) for c in clash if c != "_low"))
+    return df.select("*", *(F.lit("extra").alias(c) for c in CLASH))
 
 
 @pytest.fixture(scope="module")
@@ -95,8 +97,53 @@ def test_pages(spark):
     assert extract.extract(pages.limit(0)).count() == 0
 
 
-def test_stages_keep_the_columns_of_documents(spark, docs, labels):
-    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for out in (toxicity.reject(plain, labels), language.reject(plain), minhash.deduplicate(plain), posindex.decontaminate(plain, spark.createDataFrame([(1, "zz yy")], "item_id long, text string"))):
-        assert out.columns == plain.columns
-    assert {r["doc_id"] for r in language.reject(plain).collect()} >= {1, 5, 6}
+def stages(docs, labels, items):
+    return {
+        "toxicity": lambda: toxicity.reject(docs, labels),
+        "language": lambda: language.reject(docs),
+        "near duplicates": lambda: minhash.deduplicate(docs),
+        "decontamination": lambda: posindex.decontaminate(docs, items),
+    }
+
+
+@pytest.mark.parametrize("name", ["toxicity", "language", "near duplicates", "decontamination"])
+def test_stages_keep_the_columns_of_documents(docs, labels, items, name):
+    out = stages(docs, labels, items)[name]()
+    assert out.columns == docs.columns and out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    left = [r["doc_id"] for r in out.collect()]
+    if name == "language":
+        assert sorted(x for x in left if x is not None) == [1, 1, 5, 6, 7] and None in left
+    if name == "near duplicates":
+        assert sorted(x for x in left if x is not None) == [1, 2, 3, 4, 5, 6, 7] and None in left
+    if name == "decontamination":
+        # each row by its own text: both rows of id 1 hold the phrase, row 5 is the item without id
+        assert sorted(x for x in left if x is not None) == [2, 3, 4, 6, 7] and None in left
+    assert stages(docs.limit(0), labels, items)[name]().count() == 0
+
+
+def test_rows_that_share_an_id_go_or_stay_by_their_own_text(spark):
+    docs = spark.createDataFrame([(1, "a clean text here"), (1, "holds the secret phrase"), (None, "holds the secret phrase too"), (None, "clean as well")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the secret phrase")], "item_id long, text string")
+    assert sorted((r["doc_id"] is None, r["text"]) for r in posindex.decontaminate(docs, items).collect()) == [(False, "a clean text here"), (True, "clean as well")]
+    assert posindex.decontaminate(docs, items.limit(0)).count() == 4
+
+
+def test_ids_of_another_type_and_one_text_in_many_rows(spark):
+    docs = spark.createDataFrame([(1, "same text in all of them")] * 40 + [(2, "same text in all of them")] * 3, "doc_id int, text string")
+    assert [r["doc_id"] for r in minhash.deduplicate(docs).collect()] == [1]
+    assert {r["component_id"] for r in minhash.components(docs, minhash.Settings(words=2)).collect()} == {1}
+    out = winnow.compare_with_next(docs, winnow.Settings(rows_per_bucket=4)).collect()
+    assert len(out) == 43 and all(r["near_next"] == 1 for r in out)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+        def getConf(self):
+            return {}
+
+    session = type("Session", (), {"conf": {}, "sparkContext": Context()})()
+    with pytest.raises(RuntimeError):
+        store.scratch_root(session)

@@ -66,3 +66,23 @@ def test_the_piece_cache_gives_the_same_after_it_is_cleared():
         assert counts.tolist() == [2] * 4 and ids.tolist() == [1, 7, 2, 7, 1, 7, 3, 7] and of.tolist() == [0, 0, 1, 1, 2, 2, 3, 3]
     assert calls == [3, 3, 3]
     assert cache.look_up([])[0].tolist() == []
+
+
+def test_words_that_collide_under_a_polynomial_have_hashes_of_their_own():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a  # of 2,048 bytes: every polynomial mod 2**64 gives both the same
+    data = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    hashes, _ = K.word_hashes(data, np.array([0, len(data)]), K.BY_SPACE)
+    assert len(hashes) == 2 and hashes[0] != hashes[1]
+
+
+@given(st.lists(st.text(alphabet="abA9é", min_size=1, max_size=90), min_size=1, max_size=30))
+@settings(deadline=None, max_examples=80)
+def test_a_word_has_one_hash_wherever_it_stands(words):
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    hashes, _ = K.word_hashes(data, np.array([0, len(data)]), K.BY_SPACE)
+    for w, h in zip(words, hashes, strict=True):
+        alone = np.frombuffer(w.encode(), np.uint8)
+        assert K.word_hashes(alone, np.array([0, len(alone)]), K.BY_SPACE)[0][0] == h
+    assert len(set(hashes.tolist())) == len({low(w) for w in words})

@@ -116,6 +116,73 @@ def test_unigram_models_are_rebuilt():
     assert ids[: offsets[1]].tolist() == [1, 2, 5] and codec.decode(offsets, ids)[0] == "ab c"
 
 
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_unigram_models_encode_as_the_library_does(byte_fallback):
+    """A model of some thousand pieces, made here from the n-grams of a text with their log shares as scores."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    r = random.Random(12)
+    stems = [f"{a}{b}{c}" for a in "bdfgklmnprstv" for b in ("a", "e", "i", "o", "u", "é", "ö") for c in ("", "n", "st", "ll", "日")]
+    words = ["".join(r.choice(stems) for _ in range(r.randrange(1, 4))) for _ in range(800)]
+    seen = {}
+    for w in (f"▁{w}" for w in words):
+        for i in range(len(w)):
+            for n in range(1, 7):
+                if i + n <= len(w):
+                    seen[w[i : i + n]] = seen.get(w[i : i + n], 0) + 1
+    proto = pb.ModelProto()
+    proto.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    proto.trainer_spec.byte_fallback = byte_fallback
+    proto.normalizer_spec.add_dummy_prefix = True
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    proto.normalizer_spec.escape_whitespaces = True
+    add = lambda p, score, kind: proto.pieces.add(piece=p, score=score, type=kind)
+    add("<unk>", 0.0, S.UNKNOWN), add("<s>", 0.0, S.CONTROL), add("</s>", 0.0, S.CONTROL)
+    if byte_fallback:
+        for i in range(256):
+            add(f"<0x{i:02X}>", 0.0, S.BYTE)
+    total = sum(seen.values())
+    for i, (p, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:4000]):
+        add(p, float(np.log(n / total)) - i * 1e-5, S.NORMAL)
+    data = proto.SerializeToString()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    m = S.Model.parse(data)
+    assert m.type == S.UNIGRAM and m.byte_fallback == byte_fallback and len(m.pieces) > 3000
+    codec = S.Codec(m)
+    texts = [" ".join(r.choice(words) + r.choice(["", "", "s", "x", "日", "🙂"]) for _ in range(r.randrange(0, 40))) for _ in range(150)] + ["", "  two  spaces ", "ñandú \x00 z", "zzzz" * 50]
+    offsets, ids = codec.encode(texts)
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(offsets)] == sp.encode(texts)
+    assert codec.decode(offsets, ids) == sp.decode(sp.encode(texts))
+
+
+def test_models_that_cannot_be_rebuilt_are_refused():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    def model(**changes):
+        proto = pb.ModelProto()
+        proto.pieces.add(piece="<unk>", score=0, type=S.UNKNOWN)
+        proto.pieces.add(piece="a", score=-1, type=changes.get("kind", S.NORMAL))
+        proto.trainer_spec.model_type = changes.get("type", S.UNIGRAM)
+        proto.trainer_spec.treat_whitespace_as_suffix = changes.get("suffix", False)
+        if "map" in changes:
+            proto.denormalizer_spec.precompiled_charsmap = changes["map"]
+        proto.trainer_spec.unk_surface = "?"
+        return S.Model.parse(proto.SerializeToString())
+
+    assert model().unknown_surface == "?"
+    for bad in ({"kind": S.USER_DEFINED}, {"suffix": True}, {"map": b"x"}, {"type": 3}):
+        with pytest.raises(ValueError):
+            model(**bad)
+
+
+def test_other_kinds_of_vocabulary_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        A.Spans(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_an_encoded_table_decodes_to_its_texts(spark):
     plain = [t for t in TEXTS if "▁" not in t]
     df = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
@@ -167,3 +234,57 @@ def test_texts_in_several_languages_stay(spark):
     docs = spark.createDataFrame([*rows, (900, mixed, None), (901, "123 ---", "en")], "doc_id long, text string, lang string")
     assert {x["score"] < 0.4 for x in L.predict(docs, L.train(docs)).where("doc_id = 900").collect()} == {True}
     assert {x["doc_id"] for x in L.reject(docs).collect()} == {*range(180), 900}
+
+
+def test_letters_are_code_points_and_unspaced_scripts_are_cut():
+    s = L.Settings()
+
+    def words(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        w = L.words_of(raw, np.array([0, len(raw)]), s)
+        return [(text[a:b], int(n)) for a, b, n in zip(w.starts, w.ends, w.letters, strict=True)]
+
+    assert words("ab é1c") == [("ab", 2), ("é", 1), ("c", 1)]
+    assert words("日本語とabcЖук") == [("日", 1), ("本", 1), ("語", 1), ("と", 1), ("abc", 3), ("Жук", 3)]
+    assert words("กำ e\u0301a ́x") == [("ก", 1), ("ำ", 1), ("e\u0301a", 2), ("x", 1)]
+    assert words("") == [] and words("12 \u0301") == []
+
+
+def test_words_of_a_chunk_are_those_of_its_texts():
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab é日か Ж1\u0301ก.") for _ in range(r.randrange(0, 30))) for _ in range(200)]
+    s = L.Settings()
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    every = L.words_of(np.frombuffer(b"".join(raw), np.uint8), offsets, s)
+    begin = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    for i, t in enumerate(texts):
+        data = np.frombuffer(raw[i], np.uint8)
+        one = L.words_of(data, np.array([0, len(data)]), s)
+        a, b = every.at[i], every.at[i + 1]
+        assert (every.starts[a:b] - begin[i]).tolist() == one.starts.tolist() and (every.ends[a:b] - begin[i]).tolist() == one.ends.tolist()
+        assert every.letters[a:b].tolist() == one.letters.tolist() and every.slot[begin[i] : begin[i + 1]].tolist() == one.slot.tolist()
+
+
+def test_the_language_of_most_letters_wins_whatever_its_bytes(spark):
+    say = {"en": "the quick brown fox jumps over lazy dogs while children walk through nights", "ru": "быстрая лиса прыгает через ленивую собаку пока дети идут домой", "ja": "私は毎朝公園まで歩いて新聞を読みますそれから仕事に行きます"}
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice(say[lang].split()) for _ in range(20)) if lang != "ja" else "".join(r.choice(say["ja"]) for _ in range(40)), lang) for i, lang in enumerate(["en", "ru", "ja"] * 60)]
+    latin = "the quick brown fox jumps over lazy dogs while children"  # 46 letters
+    cyrillic = "быстрая лиса прыгает через ленивую соба"  # 34 letters, 68 bytes
+    kana = "私は毎朝公園まで歩いて新聞を読みますそれから仕事に行きます"
+    docs = spark.createDataFrame([*rows, (900, f"{latin} {cyrillic}", None), (901, f"{kana * 3} the quick brown fox", None)], "doc_id long, text string, lang string")
+    out = {x["doc_id"]: x for x in L.predict(docs, L.train(docs)).collect()}
+    assert out[900]["lang_pred"] == "en" and out[900]["score"] == pytest.approx(46 / 80)
+    assert out[901]["lang_pred"] == "ja" and out[901]["score"] > 0.8
+
+
+def test_one_text_of_many_rows_is_one_text_of_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} calm words here {i}") for i in range(300)] + [(300 + i, f"vile vermin {i}") for i in range(60)] + [(7, "calm repeated text")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(0, 360, 2)], "doc_id long, toxic int")
+    s = T.Settings(positives=20, unlabelled=200)
+    m = T.train(docs, labels, s)
+    again = T.train(docs.repartition(7), labels, s)
+    assert len(m["slots"]) and m["weights"].tolist() == again["weights"].tolist()
+    out = T.score(docs, m).where("held_out").collect()
+    assert all((r["predicted"] == 1) == (r["doc_id"] >= 300) for r in out) and len(out) > 30

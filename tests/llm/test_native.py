@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -45,14 +46,50 @@ def test_shards_have_equal_counts_without_gaps(spark):
 
 def test_runs_are_pruned_by_their_ranges(spark):
     df, _ = documents(spark)
-    placed = H.assign(df, H.Settings(run_rows=20)).join(df.select("doc_id", "source", "n_chars"), "doc_id")
-    held = H.manifest(placed, ("source", "n_chars"))
-    wanted = {"source": ("src0", "src0"), "n_chars": (0, 200)}
+    placed = H.assign(df, H.Settings(run_rows=20))
+    held = H.manifest(placed, ("dim_source", "dim_n_chars"))
+    wanted = {"dim_source": ("src0", "src0"), "dim_n_chars": (0, 200)}
     runs = {(r["shard"], r["run"]) for r in H.runs_meeting(held, wanted).collect()}
-    needed = {(r["shard"], r["run"]) for r in placed.where("source = 'src0' AND n_chars <= 200").collect()}
+    needed = {(r["shard"], r["run"]) for r in placed.where("dim_source = 'src0' AND dim_n_chars <= 200").collect()}
     assert needed <= runs and len(runs) < 0.6 * held.count()
 
 
+def test_quantiles_are_those_of_the_sorted_values(spark):
+    df, rows = documents(spark)
+    for name, i in (("source", 3), ("n_chars", 4), ("lang", 2)):
+        held = sorted(r[i] for r in rows if r[i] is not None)
+        want = []
+        for v in sorted(set(held)):
+            below, upto = sum(x < v for x in held), sum(x <= v for x in held)
+            want += [v] if below * 8 // len(held) < upto * 8 // len(held) else []
+        assert H.quantiles(df.repartition(5), name, 8) == want[:7]
+
+
+def test_cells_order_long_strings_and_the_cut_is_the_same_again(spark):
+    hosts = [f"https://www.{x}.org/a/long/path/{i}" for i, x in enumerate(["alpha", "beta", "zeta"] * 40)]
+    rows = [(i, f"t{i}", h, i) for i, h in enumerate([*hosts, "hq"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string, n int")
+    s = H.Settings(dimensions=("url", "n"), run_rows=5)
+    out = H.assign(df, s)
+    held = H.manifest(out, ("dim_url",))
+    met = H.runs_meeting(held, {"dim_url": ("https://www.zeta", "https://www.zetz")}).count()
+    assert 0 < met < 0.6 * held.count()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, H.assign(df.repartition(9), s).collect()))
+
+
+def test_shards_are_those_of_plain_sorting(spark):
+    df, rows = documents(spark)
+    s = H.Settings(shards=7, run_rows=20)
+    bounds = [H.quantiles(df, d, 1 << s.bits) for d in s.dimensions]
+    cells = np.array([[0 if r[i] is None else sum(b < r[i] for b in bs) for i, bs in zip((3, 2, 4), bounds, strict=True)] for r in rows])
+    order = sorted(range(len(rows)), key=lambda k: (H.hilbert_index(cells[k : k + 1], s.bits)[0], zlib.crc32(rows[k][1].encode()), rows[k][0]))
+    want, n = {}, len(rows)
+    for rank, k in enumerate(order):
+        shard = rank * 7 // n
+        want[rows[k][0]] = (shard, rank - -(-shard * n // 7), len(rows[k][1].encode()) + 1, zlib.crc32(rows[k][1].encode()))
+    assert {r["doc_id"]: (r["shard"], r["slot"], r["size"], r["text_crc32"]) for r in H.assign(df, s).collect()} == want
+
+
 # ---- winnowing ----
 
 
