@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import attribution, extract, hilbert, language, licences, minhash, posindex, sentencepieces, toxicity, winnow
@@ -57,6 +56,12 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository; it imports this subpackage's operators
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert": op1_hilbert,
@@ -70,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9_decontamination,
         "op9_proximity": op9_proximity,
         "op10_winnowing": op10_winnowing,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 

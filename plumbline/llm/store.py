@@ -47,9 +47,10 @@ def scratch_mark() -> int:
     return len(_made)
 
 
-def drop_scratch(spark: SparkSession | None = None, since: int = 0) -> None:
-    """Deletes the scratch tables made so far, or since a mark; frames that still read them can't be used afterwards."""
-    for own, path in _made[since:]:
+def drop_scratch(spark: SparkSession | None = None, since: int = 0, until: int | None = None) -> None:
+    """Deletes the scratch tables made so far, or from one mark up to another; frames that still read them can't be used
+    afterwards."""
+    for own, path in _made[since:until]:
         if spark is None or own is spark:
             try:
                 jvm = own.sparkContext._jvm

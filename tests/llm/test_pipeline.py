@@ -81,3 +81,32 @@ def test_every_operator_has_its_query():
 def test_tokens_say_whether_they_decode_to_the_text(spark, folder):
     docs = spark.createDataFrame([(1, "plain words", "en", "s"), (2, None, "en", "s")], "doc_id long, text string, lang string, source string")
     assert [r["round_trip"] for r in corpus_pipeline.tokens(spark, docs, folder[0]).collect()] == [True, True]
+
+
+def test_the_pipeline_takes_nulls_ties_clashing_names_and_empty_tables(spark, tmp_path):
+    say = "the quick brown fox jumps over lazy dogs while children walk through long nights and days"
+    rows = [(1, say, "en", "a", 5), (1, say, "en", "a", 5), (None, say, None, "b", None), (2, None, "en", None, 0), (3, "", None, "a", 0), (4, "x", "en", "c", 1), (None, f"{say} again quite another ending with more words", "en", "a", 9), (5, " ".join(f"word{i}" for i in range(20_000)), "en", "a", 1)]
+    clash = ["_row", "_low", "_score", "_read", "_lang_pred", "row", "ids", "label", "h"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"'extra' AS {c}" for c in clash))
+    labels = spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "quite another ending with more"), (None, None)], "item_id long, text string")
+    none = lambda df: df.limit(0)
+    for n, (d, la, it) in enumerate([(docs, labels, items), (docs, none(labels), none(items)), (none(docs), labels, items), (docs.withColumn("lang", docs["lang"].substr(9, 1)).replace("", None, ["lang"]), labels, items)]):
+        folder = tmp_path / str(n)
+        for name, df in (("documents", d), ("labels", la), ("benchmark", it)):
+            df.write.parquet(f"{folder}/{name}.parquet")
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        left = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out)
+        assert left == {0: [(False, 1), (False, 4), (False, 5)], 1: [(False, 1), (False, 4), (False, 5), (True, 0)], 2: [], 3: [(False, 1), (False, 4), (False, 5)]}[n]
+        assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in out)
+
+
+def test_scratch_of_stages_is_deleted(spark, folder):
+    import os
+
+    from plumbline.llm.store import scratch_root
+
+    corpus_pipeline.run(spark, folder[0]).count()
+    root = scratch_root(spark).removeprefix("file:")
+    held = [x for x in os.listdir(f"{root}/plumbline") if x.startswith("stage-")]
+    assert held and all(x.startswith("stage-4-") for x in held)
