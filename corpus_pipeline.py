@@ -1,14 +1,19 @@
-"""A corpus through toxicity, language, near-duplicate, decontamination and token stages."""
+"""A corpus through toxicity, language, near-duplicate, decontamination and token stages.
 
-from __future__ import annotations
+Every stage takes whatever columns documents have, under any names beside doc_id, text, lang and source, and decides by
+row: rows without id, and rows that share one, go or stay by their own text. A null text is an empty one: it isn't
+toxic, has no language, and so goes at the second stage. Of texts that tie the smallest doc_id stays. Empty tables of
+any kind are fine: without labels no text is toxic, without languages to learn all with letters stay, without
+benchmark items none is contaminated, without documents the result is empty.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import language, minhash, posindex, sentencepieces, toxicity
-from plumbline.llm.store import scratch_root, table
+from plumbline.llm.store import drop_scratch, scratch_mark, scratch_path, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +37,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document's text, and whether they decode to it."""
+    """(doc_id, lang, source, n_tokens, ids, round_trip): token ids of each document's text, and whether they decode to
+    it. The text itself and other columns are left out."""
     ids = sentencepieces.encode(docs.select("doc_id", "lang", "source", "text"), round_trip="round_trip")
     return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
@@ -45,10 +51,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents through all stages; each stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), scratch_mark()
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        path = f"{scratch_root(spark).rstrip('/')}/plumbline/stage-{i}-{name}-{uuid.uuid4().hex}"
+        path, held = scratch_path(spark, f"stage-{i}-{name}"), scratch_mark()
         out.write.parquet(path)
         docs = spark.read.parquet(path)
+        # what the stage and the one before it wrote isn't read again
+        drop_scratch(spark, since=before, until=held - 1)
     return docs
