@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from plumbline.functions import keys
 
 
-def lines(df: DataFrame, pos: str = "_pos") -> DataFrame:
-    """(_pos, line): the canonical text of each row."""
+def lines(df: DataFrame, pos: str = "_pos", typed: bool = False) -> DataFrame:
+    """(_pos, line): the canonical text of each row; typed: also key, its typed cells with exact values."""
     own = keys.by_place(df.drop(pos))
     placed = df.select(pos, *(c for c in df.columns if c != pos)).toDF("_pos", *own.columns)
-    return placed.select("_pos", keys.canonical_line(own).alias("line"))
+    return placed.select("_pos", keys.canonical_line(own).alias("line"), *([keys.row_key(own).alias("key")] if typed else []))
 
 
 def compared(gold: DataFrame, second: DataFrame) -> DataFrame:
@@ -27,15 +27,16 @@ def compared(gold: DataFrame, second: DataFrame) -> DataFrame:
 
 def verdict(gold: DataFrame, second: DataFrame) -> DataFrame:
     """One row: equal, same_types, rows of each side, first differing place, and whether the shorter side, if it has
-    any rows, is the head of the longer one."""
+    any rows, is the head of the longer one. Equality is of canonical lines, a head of typed rows with exact values."""
     same = keys.declared_types(gold.drop("_pos")) == keys.declared_types(second.drop("_pos"))
-    both = compared(gold, second)
+    sides = (lines(df, typed=True).toDF("_pos", f"{side}_line", f"{side}_key") for df, side in ((gold, "gold"), (second, "second")))
+    both = next(sides).join(next(sides), "_pos", "full_outer")
     differs = ~F.col("gold_line").eqNullSafe(F.col("second_line"))
     out = both.agg(
         F.min(F.when(differs, F.col("_pos"))).alias("first_difference"),
         F.count("gold_line").alias("gold_rows"),
         F.count("second_line").alias("second_rows"),
-        F.count_if(differs & F.col("gold_line").isNotNull() & F.col("second_line").isNotNull()).alias("unequal"),
+        F.count_if((F.col("gold_key") != F.col("second_key")) & F.col("gold_key").isNotNull() & F.col("second_key").isNotNull()).alias("unequal"),
     )
     shorter = F.least("gold_rows", "second_rows")
     return out.select(
@@ -62,10 +63,17 @@ def mixed_columns(df: DataFrame) -> DataFrame:
     return own.select(F.explode(tags).alias("t")).select("t.*").groupBy("place").agg(F.array_sort(F.collect_set("tag")).alias("tags")).where(F.size("tags") > 1)
 
 
-def digest(df: DataFrame, columns: list[str]) -> str:
-    """sha256 of the canonical document: the columns' names, then every row in order. Rows are streamed to the driver
-    one partition at a time and hashed there, as an ordered document has one digest only."""
+#: Rows that one digest of a block is of.
+BLOCK = 4096
+
+
+def digest(df: DataFrame, columns: list[str], block: int = BLOCK) -> str:
+    """sha256 of a result in order: the columns' names, then the digest of each block of rows by place. Blocks are
+    hashed where they are, and the driver hashes a line for each of them."""
+    rows = lines(df).groupBy(F.expr(f"_pos div {block}").alias("block"))
+    blocks = rows.agg(F.array_sort(F.collect_list(F.struct("_pos", "line"))).alias("rows"))
+    held = blocks.select("block", F.sha2(F.array_join(F.transform("rows", lambda r: r["line"]), "\n").cast("binary"), 256).alias("h")).orderBy("block")
     h = hashlib.sha256("\t".join(columns).encode())
-    for row in lines(df).orderBy("_pos").toLocalIterator():
-        h.update(b"\n" + row["line"].encode())
+    for row in held.toLocalIterator():
+        h.update(b"\n" + row["h"].encode())
     return h.hexdigest()

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import keys
 
+#: Fixed value: rows that the search for an order of columns may compare.
 PERMUTATION_BUDGET = 20_000_000
 
 

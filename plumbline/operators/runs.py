@@ -100,11 +100,11 @@ def agreement(run: DataFrame, official: DataFrame) -> DataFrame:
 
 
 def split_three_way(a: DataFrame, b: DataFrame, normalise) -> DataFrame:
-    """(question_id, change) of statements in both: rewritten, text_only where normalisation makes them equal, or
-    unchanged."""
-    both = a.select("question_id", F.col("statement").alias("x")).join(b.select("question_id", F.col("statement").alias("y")), "question_id")
+    """(question_id, change) of statements in either: rewritten, text_only where normalisation makes them equal,
+    unchanged, or only_first and only_second where the other has none."""
+    both = a.select("question_id", F.col("statement").alias("x")).join(b.select("question_id", F.col("statement").alias("y")), "question_id", "full_outer")
     same = normalise(F.col("x")) == normalise(F.col("y"))
-    return both.select("question_id", F.when(F.col("x") == F.col("y"), "unchanged").when(same, "text_only").otherwise("rewritten").alias("change"))
+    return both.select("question_id", F.when(F.col("y").isNull(), "only_first").when(F.col("x").isNull(), "only_second").when(F.col("x") == F.col("y"), "unchanged").when(same, "text_only").otherwise("rewritten").alias("change"))
 
 
 def normalised_statement(c: Column) -> Column:
@@ -196,13 +196,34 @@ def merge_runs(runs: list[DataFrame], keys: list[str], counts: list[str], lists:
     return every.groupBy(*keys).agg(*(F.sum(c).cast("long").alias(c) for c in counts), *(F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in lists))
 
 
-def trimmed(questions: DataFrame, budget: int) -> DataFrame:
-    """Questions kept within a budget of bytes: protected ones, then by benchmark and size, smallest first, while
-    they fit. What is cut is the largest of the fullest benchmark first."""
-    w = W.partitionBy("protected").orderBy("bytes", "benchmark", "question_id").rowsBetween(W.unboundedPreceding, 0)
-    held = questions.withColumn("_running", F.sum("bytes").over(w))
-    spent = questions.where("protected").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("_spent"))
-    return held.crossJoin(F.broadcast(spent)).where(F.col("protected") | (F.col("_running") + F.col("_spent") <= budget)).drop("_running", "_spent")
+class SelectionRefused(ValueError):
+    """Protected questions alone are over the budget."""
+
+
+def trimmed(questions: DataFrame, budget: int, page_limit: int | None = None) -> DataFrame:
+    """Questions kept within a budget of bytes. Those of more bytes than page_limit go first, protected or not. Then the
+    largest of whichever benchmark holds most goes, until the rest fits, so that benchmarks are left with as equal a
+    number as can be; protected ones stay, and are refused if they don't fit alone.
+
+    A question's rank in its benchmark, smallest first, says when it goes: the highest ranks first, of equal ones the
+    last benchmark by name. Sums run over ranks, a row each, and within a rank over its benchmarks.
+    """
+    held = questions.where(F.col("bytes") <= page_limit) if page_limit is not None else questions
+    fixed = held.where("protected").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    if fixed > budget:
+        raise SelectionRefused(f"{fixed} bytes of protected questions are over {budget}")
+    ranked = held.where("NOT protected").withColumn("_rank", F.row_number().over(W.partitionBy("benchmark").orderBy("bytes", "question_id")))
+    levels = ranked.groupBy("_rank").agg(F.sum("bytes").alias("_level"))
+    below = levels.select("_rank", (F.sum("_level").over(W.orderBy("_rank")) - F.col("_level")).alias("_below"))
+    own = F.sum("bytes").over(W.partitionBy("_rank").orderBy(F.desc("benchmark"), "question_id").rowsBetween(W.unboundedPreceding, 0))
+    fits = ranked.withColumn("_own", own).join(below, "_rank").where(F.col("_below") + F.col("_own") + fixed <= budget)
+    return held.where("protected").unionByName(fits.select(*held.columns))
+
+
+def left_out(questions: DataFrame, kept: DataFrame) -> DataFrame:
+    """(benchmark, questions, bytes) of those that a selection left out."""
+    gone = questions.join(kept.select("question_id"), "question_id", "left_anti")
+    return gone.groupBy("benchmark").agg(F.count("*").alias("questions"), F.sum("bytes").cast("long").alias("bytes"))
 
 
 def directories_by_run(paths: DataFrame) -> DataFrame:

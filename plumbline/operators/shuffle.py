@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.scratch import settled
+from plumbline.sources.scratch import settled, unsettle
 
+#: Fixed value: tables of more rows aren't copied.
 ROW_LIMIT = 300_000
 
 
@@ -35,8 +36,10 @@ class Copies:
         return [t for t in tables if t.lower() in known]
 
     def drop(self) -> None:
-        for name in self.made:
+        """Drops the views and the files of the copies; frames that read them can't be used afterwards."""
+        for name, df in self.made.items():
             self.spark.catalog.dropTempView(name)
+            unsettle(df)
 
 
 def prepare(spark: SparkSession, tables: tuple[str, ...], seed: str, row_limit: int = ROW_LIMIT) -> Copies:

@@ -64,7 +64,8 @@ class Window:
 
 @dataclass(frozen=True)
 class Trend:
-    """A series by grain up to an exclusive end, without a start."""
+    """A series by grain up to an exclusive end, without a start; the month that holds the clock isn't complete and is left
+    out."""
 
     grain: str
     end: datetime
@@ -87,13 +88,12 @@ RULES = {
     "last 30 days": lambda c: Window(c - timedelta(days=30), c),
     "last month": lambda c: Window(_month(c, -1), _month(c), "month"),
     "current month": lambda c: Window(_month(c), c),
-    "this month": lambda c: Window(_month(c), c),
     "last quarter": lambda c: Window(_quarter(c, -1), _quarter(c), "month"),
     "last 12 weeks": lambda c: Window(_week(c, -12), _week(c), "week"),
     "the last two months": lambda c: Window(_month(c, -2), _month(c), "month"),
     "the last year": lambda c: Window(_year_before(c), c),
     "the last 12 complete months": lambda c: Window(_month(c, -12), _month(c), "month"),
-    "per month": lambda c: Trend("month", c),
+    "per month (trend)": lambda c: Trend("month", _month(c)),
 }
 
 

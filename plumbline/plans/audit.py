@@ -20,12 +20,22 @@ from plumbline.sources.scratch import settled
 
 def compare(gold: DataFrame, second: DataFrame, rule: str) -> DataFrame:
     """One row: equal, set_reading, mechanism (null if equal), rows and distinct rows of each side. For the ordered
-    rule both sides are given in order."""
-    bag = multiset.verdict(gold, second)
+    rule both sides are given in order; under the set rule places mean nothing, and a head is a multiset of fewer rows
+    within the other's.
+
+    Both sides are read by the same aggregations, which Spark shares; each statement runs once for the multisets and the
+    set reading, and once more for places if the rule asks for them."""
+    both = multiset.verdict(gold, second)
     reading = readings.set_reading(gold, second).select(F.col("agrees").alias("set_reading"))
-    placed = ordered.verdict(with_pos(gold), with_pos(second)).select(F.col("equal").alias("in_order"), "prefix", "first_difference")
-    one = bag.crossJoin(reading).crossJoin(placed)  # one row each
-    equal = F.col("in_order") if rule == "ordered" else F.col("equal")
+    one = both.crossJoin(reading)  # one row each
+    if rule == "ordered":
+        placed = ordered.verdict(with_pos(gold), with_pos(second)).select(F.col("equal").alias("in_order"), "prefix", "first_difference")
+        one, equal = one.crossJoin(placed), F.col("in_order")
+    else:
+        shorter = F.least("gold_rows", "second_rows")
+        within = F.when(F.col("gold_rows") < F.col("second_rows"), F.col("gold_only_rows")).otherwise(F.col("second_only_rows")) == 0
+        one = one.withColumn("prefix", F.col("same_types") & (shorter > 0) & (F.col("gold_rows") != F.col("second_rows")) & within).withColumn("first_difference", F.lit(None).cast("long"))
+        equal = F.col("equal")
     why = mechanism(F.col("same_types"), F.col("same_bag"), F.col("same_set"), F.col("prefix"), F.lit(rule == "ordered"))
     return one.select(equal.alias("equal"), "set_reading", F.when(~equal, why).alias("mechanism"), "gold_rows", "second_rows", "gold_distinct", "second_distinct", "shared_distinct", "first_difference")
 

@@ -221,9 +221,9 @@ def _(spark, folder):
     return probes.null_first_rows(df, ["k"], [True], 0, 20).select("o_orderkey", F.col("_pos").alias("pos"))
 
 
-@query("numeric_text_census", "WITH t AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 10 = 1 THEN '' WHEN p_partkey % 10 = 2 THEN p_name ELSE CAST(p_size AS VARCHAR) END v FROM part) SELECT count(*) AS rows, count(*) FILTER (v IS NULL) AS nulls, count(*) FILTER (v = '') AS empties, count(*) FILTER (v <> '' AND NOT regexp_matches(v, '^\\s*[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?\\s*$')) AS not_numbers FROM t")
+@query("numeric_text_census", "WITH t AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 10 = 1 THEN '' WHEN p_partkey % 10 = 2 THEN p_name WHEN p_partkey % 10 = 3 THEN p_size || 'e2' WHEN p_partkey % 10 = 4 THEN '+' || p_size WHEN p_partkey % 10 = 5 THEN ' ' || p_size WHEN p_partkey % 10 = 6 THEN '-' || p_size || '.50' ELSE CAST(p_size AS VARCHAR) END v, p_partkey % 10 AS kind FROM part) SELECT count(*) AS rows, count(*) FILTER (kind = 0) AS nulls, count(*) FILTER (kind = 1) AS empties, count(*) FILTER (kind IN (2, 3, 4, 5)) AS not_numbers FROM t")
 def _(spark, folder):
-    df = run(spark, folder, "SELECT CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 10 = 1 THEN '' WHEN p_partkey % 10 = 2 THEN p_name ELSE CAST(p_size AS STRING) END AS v FROM part")
+    df = run(spark, folder, "SELECT CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 10 = 1 THEN '' WHEN p_partkey % 10 = 2 THEN p_name WHEN p_partkey % 10 = 3 THEN p_size || 'e2' WHEN p_partkey % 10 = 4 THEN '+' || p_size WHEN p_partkey % 10 = 5 THEN ' ' || p_size WHEN p_partkey % 10 = 6 THEN '-' || p_size || '.50' ELSE CAST(p_size AS STRING) END AS v FROM part")
     return probes.numeric_text_census(df, "v")
 
 
@@ -417,9 +417,9 @@ for _name, (_phrase, _start, _end) in _WINDOWS.items():
     )
 
 
-@query("trend_per_month", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period, count(*) AS rows FROM orders WHERE o_orderdate < TIMESTAMP '1996-07-15' GROUP BY 1")
+@query("trend_per_month", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period, count(*) AS rows FROM orders WHERE o_orderdate < TIMESTAMP '1996-07-01' GROUP BY 1")
 def _(spark, folder):
-    return windows.by_period(table(spark, folder, "orders"), "o_orderdate", windows.resolve("per month", CLOCK))
+    return windows.by_period(table(spark, folder, "orders"), "o_orderdate", windows.resolve("per month (trend)", CLOCK))
 
 
 @query("window_periods", "SELECT CAST(s AS TIMESTAMP) AS period_start, CAST(s + INTERVAL 7 DAY AS TIMESTAMP) AS period_end FROM generate_series(TIMESTAMP '1996-04-22', TIMESTAMP '1996-07-08', INTERVAL 7 DAY) t(s)")
@@ -517,12 +517,12 @@ def _(spark, folder):
     return runs.agreement(j, j.select("question_id", "score"))
 
 
-@query("split_three_way", "SELECT p_partkey AS question_id, CASE p_partkey % 3 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'text_only' ELSE 'rewritten' END AS change FROM part")
+@query("split_three_way", "SELECT p_partkey AS question_id, CASE WHEN p_partkey % 7 = 0 THEN 'only_second' WHEN p_partkey % 11 = 0 THEN 'only_first' WHEN p_partkey % 3 = 0 THEN 'unchanged' WHEN p_partkey % 3 = 1 THEN 'text_only' ELSE 'rewritten' END AS change FROM part")
 def _(spark, folder):
     p = table(spark, folder, "part").select(F.col("p_partkey").alias("question_id"), F.concat(F.lit("SELECT "), "p_name").alias("statement"))
     k = F.col("question_id") % 3
     q = p.withColumn("statement", F.when(k == 0, F.col("statement")).when(k == 1, F.concat(F.replace(F.upper("statement"), F.lit(" "), F.lit("  \n")), F.lit(" ;"))).otherwise(F.concat("statement", F.lit(" LIMIT 1"))))
-    return runs.split_three_way(p, q, runs.normalised_statement)
+    return runs.split_three_way(p.where("question_id % 7 <> 0"), q.where("question_id % 11 <> 0 OR question_id % 7 = 0"), runs.normalised_statement)
 
 
 @query("probe_recall", _J + "SELECT benchmark, p AS probe, count(*) FILTER (fired) AS fired, count(*) AS size, round(count(*) FILTER (fired) / count(*), 3) AS rate FROM (SELECT benchmark, 'arbitrary-cut' p, cut fired FROM j UNION ALL SELECT benchmark, 'duplicate-full-row', repeats FROM j) GROUP BY 1, 2")
@@ -604,10 +604,18 @@ def _(spark, folder):
     return merged.select("benchmark", "score", F.size("errors").cast("long").alias("errors"))
 
 
-@query("trimmed_selection", _J + "SELECT question_id FROM (SELECT *, sum(place) OVER (PARTITION BY cut ORDER BY place, benchmark, question_id ROWS UNBOUNDED PRECEDING) r, (SELECT sum(place) FROM j WHERE cut) s FROM j) WHERE cut OR r + s <= 1000000")
+@query("trimmed_selection", _J + "SELECT question_id FROM (SELECT *, sum(place) OVER (PARTITION BY cut ORDER BY r, benchmark DESC, question_id ROWS UNBOUNDED PRECEDING) t FROM (SELECT *, row_number() OVER (PARTITION BY cut, benchmark ORDER BY place, question_id) r FROM j)) WHERE cut OR t + (SELECT sum(place) FROM j WHERE cut) <= (SELECT sum(place) * 0.6 FROM j)")
 def _(spark, folder):
     j = judged(spark, folder).select("question_id", "benchmark", F.col("place").alias("bytes"), F.col("cut").alias("protected"))
-    return runs.trimmed(j, 1_000_000).select("question_id")
+    budget = int(j.agg((F.sum("bytes") * 0.6).alias("b")).first()["b"])
+    return runs.trimmed(j, budget).select("question_id")
+
+
+@query("trimmed_selection_left_out", _J + "SELECT benchmark, count(*) AS questions, CAST(sum(place) AS BIGINT) AS bytes FROM (SELECT *, sum(place) OVER (PARTITION BY cut ORDER BY r, benchmark DESC, question_id ROWS UNBOUNDED PRECEDING) t FROM (SELECT *, row_number() OVER (PARTITION BY cut, benchmark ORDER BY place, question_id) r FROM j)) WHERE NOT cut AND t + (SELECT sum(place) FROM j WHERE cut) > (SELECT sum(place) * 0.6 FROM j) GROUP BY 1")
+def _(spark, folder):
+    j = judged(spark, folder).select("question_id", "benchmark", F.col("place").alias("bytes"), F.col("cut").alias("protected"))
+    budget = int(j.agg((F.sum("bytes") * 0.6).alias("b")).first()["b"])
+    return runs.left_out(j, runs.trimmed(j, budget))
 
 
 @query("directories_by_run", "SELECT o_orderstatus AS run, count(*) AS questions FROM orders GROUP BY 1")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: what ends a predicted statement and names its database.
 DATABASE_MARK = "\t----- bird -----\t"
-QUESTION = "question_id long, db_id string, difficulty string, question string, evidence string, SQL string"
+QUESTION = "question_id long, db_id string, difficulty string, question string, evidence string, SQL string, places array<long>"
+#: Fixed value: the largest question id.
 MOST_ID = 999_999_999
 
 
@@ -64,10 +65,11 @@ def clear_output(out: str) -> None:
 
 def read_questions(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:
     """Questions of a JSON list, or of an object with a list `questions`. Fields aren't coerced: a wrong type, a
-    missing text or an id out of range is refused. An id given twice must say the same, and counts once."""
+    missing text or an id out of range is refused. An id given twice must say the same, and counts once; places are those
+    of its entries in the file, from 0."""
     whole = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
     listed = F.coalesce(F.try_variant_get("v", "$.questions", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
-    entries = whole.select(F.explode(listed).alias("q"))
+    entries = whole.select(F.posexplode(listed).alias("place", "q"))
     kind = lambda f: F.schema_of_variant(F.try_variant_get("q", f"$.{f}", "variant"))
     get = lambda f, t: F.try_variant_get("q", f"$.{f}", t)
     required, optional = ("db_id", "question", "SQL"), ("difficulty", "evidence")
@@ -76,11 +78,12 @@ def read_questions(spark: SparkSession, path: str, ids: list[int] | None = None)
         bad = bad | kind(f).isNull() | (kind(f) != "STRING")
     for f in optional:
         bad = bad | F.coalesce(~kind(f).isin("STRING", "VOID"), F.lit(False))
-    held = entries.select(get("question_id", "long").alias("question_id"), *(get(f, "string").alias(f) for f in ("db_id", "difficulty", "question", "evidence", "SQL")), F.coalesce(bad, F.lit(True)).alias("_bad"))
+    held = entries.select(F.col("place").cast("long").alias("place"), get("question_id", "long").alias("question_id"), *(get(f, "string").alias(f) for f in ("db_id", "difficulty", "question", "evidence", "SQL")), F.coalesce(bad, F.lit(True)).alias("_bad"))
     checked = held.agg(F.count_if("_bad").alias("bad"), F.count("*").alias("n")).first()
     if checked["bad"]:
         raise InputRefused(f"{checked['bad']} of {checked['n']} questions have a missing or wrong field")
-    distinct = held.drop("_bad").distinct()
+    own = [c for c in held.columns if c not in ("_bad", "place")]
+    distinct = held.groupBy(*own).agg(F.array_sort(F.collect_list("place")).alias("places"))
     twice = distinct.groupBy("question_id").count().where("count > 1").orderBy("question_id").limit(5).collect()
     if twice:
         raise InputRefused(f"questions that are given twice and differ: {[r['question_id'] for r in twice]}")
@@ -113,16 +116,30 @@ def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(questions: DataFrame, predictions: DataFrame, by: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(question_id, statement) and the predictions that weren't used. by: id, or place of the question in the list
-    sorted by id; of several predictions for a question the first place wins."""
+    """(question_id, statement) and the predictions that weren't used. by: id, or place of the question's entry in the
+    question file, in file order (questions.places); of several entries of one question the first place wins.
+
+    Refused: a place that no entry has; by id, a key that no question has, and keys that are just the places of a file
+    whose ids are others, as those would pair statements with the wrong questions."""
+    places = questions.select("question_id", F.explode("places").alias("key")) if "places" in questions.columns else None
     if by == "id":
-        unknown = predictions.join(questions.select(F.col("question_id").alias("key")), "key", "left_anti").orderBy("key").limit(5).collect()
+        ids = questions.select(F.col("question_id").alias("key"))
+        if places is not None:
+            off = predictions.select("key").join(places.select("key"), "key", "full_outer")
+            as_places = predictions.select("key").distinct().count() == places.count() and off.count() == places.count()
+            if as_places and not ids.join(predictions.select("key"), "key", "left_anti").isEmpty():
+                raise InputRefused("the predictions' keys are the places of the questions, not their ids")
+        unknown = predictions.join(ids, "key", "left_anti").orderBy("key").limit(5).collect()
         if unknown:
             raise InputRefused(f"predictions for unknown questions: {[r['key'] for r in unknown]}")
         paired = questions.select("question_id").join(predictions, F.col("question_id") == F.col("key"))
         return paired.select("question_id", "statement"), predictions.limit(0)
-    from plumbline.operators.order import with_pos
-
-    placed = with_pos(questions.select("question_id").orderBy("question_id"))
-    first = predictions.groupBy("key").agg(F.min("statement").alias("statement"))
-    return placed.join(first, placed["_pos"] == first["key"]).select("question_id", "statement"), first.join(placed.select(F.col("_pos").alias("key")), "key", "left_anti")
+    if places is None:
+        raise InputRefused("questions by place need the places of their entries")
+    beyond = predictions.join(places, "key", "left_anti").orderBy("key").limit(5).collect()
+    if beyond:
+        raise InputRefused(f"no entry of the question file has the places {[r['key'] for r in beyond]}")
+    paired = predictions.join(places, "key")
+    first = paired.groupBy("question_id").agg(F.min_by(F.struct("key", "statement"), "key").alias("x"))
+    used = first.select("question_id", "x.key", "x.statement")
+    return used.select("question_id", "statement"), predictions.join(used.select("key"), "key", "left_anti")

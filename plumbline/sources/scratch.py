@@ -8,10 +8,23 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, run once and held in spark.checkpoint.dir, so that later reads see one execution. Where the session names
-    no folder (a local session, tests), one is set."""
+    """df, run once and held in spark.checkpoint.dir, so that later reads see one execution. A local session without
+    such a folder gets one of this machine; on a cluster, whose machines share none, that is an error."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-"))
     return df.checkpoint(eager=True)
+
+
+def unsettle(df: DataFrame) -> None:
+    """Deletes the files of a settled frame, if it is one."""
+    rdd = df._jdf.queryExecution().toRdd()
+    for one in [rdd, *(rdd.dependencies().apply(i).rdd() for i in range(rdd.dependencies().size()))]:
+        held = one.getCheckpointFile()
+        if held.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(held.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

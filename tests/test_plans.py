@@ -32,7 +32,7 @@ def test_facts_of_a_statement(spark):
     assert S.parse(spark, "SELECT a AS k FROM t ORDER BY k").ordering[0].column == "a"
 
 
-@pytest.mark.parametrize("sql", ["", "SELECT 1; SELECT 2", "DELETE FROM t", "INSERT INTO t SELECT 1", "DROP TABLE t", "SELECT ?", "SELECT :x", "SELECT 1 FROM t LIMIT 1, 2", "SELECT id FROM t ORDER BY \"id\"", "SELECT a FROM t ORDER BY 3"])
+@pytest.mark.parametrize("sql", ["", "SELECT 1; SELECT 2", "DELETE FROM t", "INSERT INTO t SELECT 1", "DROP TABLE t", "SHOW TABLES", "DESCRIBE t", "EXPLAIN SELECT 1", "USE x", "SET a = 1", "CACHE TABLE t", "ANALYZE TABLE t COMPUTE STATISTICS", "REFRESH TABLE t", "MERGE INTO t USING u ON t.i = u.i WHEN MATCHED THEN DELETE", "SELECT ?", "SELECT :x", "SELECT 1 FROM t LIMIT 1, 2", "SELECT id FROM t ORDER BY \"id\"", "SELECT a FROM t ORDER BY 3"])
 def test_other_statements_are_refused(spark, sql):
     with pytest.raises(S.StatementRefused):
         S.parse(spark, sql)
@@ -139,9 +139,9 @@ def test_windows():
     assert (w.start, w.end) == (at(2026, 4, 1), at(2026, 7, 1)) and len(w.periods("month")) == 3
     assert windows.resolve("last 12 weeks").start == at(2026, 4, 20) and len(windows.resolve("last 12 weeks").periods("week")) == 12
     assert windows.resolve("the last 12 complete months").start == at(2025, 7, 1)
-    assert windows.resolve("last 30 days").end == windows.DEFAULT_CLOCK and isinstance(windows.resolve("per month"), windows.Trend)
+    assert windows.resolve("last 30 days").end == windows.DEFAULT_CLOCK and windows.resolve("per month (trend)").end == at(2026, 7, 1)
     with pytest.raises(windows.UnknownWindow):
-        windows.resolve("recently")
+        windows.resolve("this month")
     with pytest.raises(ValueError):
         windows.resolve("the last year", at(2024, 2, 29))
     with pytest.raises(ValueError):
@@ -171,12 +171,37 @@ def test_prediction_files(spark, tmp_path):
     assert {r["key"]: r["statement"] for r in questions.read_predictions(spark, str(tmp_path / "p.json")).collect()} == {0: "SELECT 1", 1: None, 2: None}
     (tmp_path / "p.sql").write_bytes(b"SELECT 1\r\n\nSELECT 'a\x0bb'\n")
     assert {r["key"]: r["statement"] for r in questions.read_prediction_lines(spark, str(tmp_path / "p.sql")).collect()} == {0: "SELECT 1", 1: None, 2: "SELECT 'a\x0bb'"}
-    asked = spark.createDataFrame([(10,), (20,)], "question_id long")
-    given = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "key long, statement string")
+    q = lambda i: {"question_id": i, "db_id": "d", "question": "q?", "SQL": "SELECT 1"}
+    (tmp_path / "q.json").write_text(json.dumps([q(30), q(10), q(30), q(20)]))
+    asked = questions.read_questions(spark, str(tmp_path / "q.json"))
+    assert {r["question_id"]: r["places"] for r in asked.collect()} == {30: [0, 2], 10: [1], 20: [3]}
+    given = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (3, None)], "key long, statement string")
     used, rest = questions.resolve(asked, given, by="place")
-    assert {r["question_id"]: r["statement"] for r in used.collect()} == {10: "a", 20: "b"} and [r["key"] for r in rest.collect()] == [7]
-    with pytest.raises(questions.InputRefused):
-        questions.resolve(asked, given)
+    assert {r["question_id"]: r["statement"] for r in used.collect()} == {30: "a", 10: "b", 20: None} and [r["key"] for r in rest.collect()] == [2]
+    for by, keys in (("place", [4]), ("place", [-1]), ("id", [7]), ("id", [0, 1, 2, 3])):
+        with pytest.raises(questions.InputRefused):
+            questions.resolve(asked, spark.createDataFrame([(k, "x") for k in keys], "key long, statement string"), by=by)
+    used, _ = questions.resolve(asked, spark.createDataFrame([(10, "x"), (30, "y")], "key long, statement string"))
+    assert {r["question_id"]: r["statement"] for r in used.collect()} == {10: "x", 30: "y"}
+
+
+def test_the_budget_cut_leaves_benchmarks_as_equal_as_can_be(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, "ab"[i % 3 == 0] if i < 40 else "c", r.randrange(1, 500) + (400 if i % 3 == 0 else 0), r.random() < 0.1) for i in range(60)]
+    for budget in (25_000, 12_000, 9_000):
+        kept = [x for x in rows if x[2] <= 800]
+        shares = {b: sorted((x[2], x[0]) for x in kept if x[1] == b and not x[3]) for b in "abc"}
+        total = sum(x[2] for x in kept)
+        while total > budget:
+            b = min((k for k in shares if shares[k]), key=lambda k: (-len(shares[k]), k))
+            total -= shares[b].pop()[0]
+        want = {i for s in shares.values() for _, i in s} | {x[0] for x in kept if x[3]}
+        df = spark.createDataFrame(rows, "question_id long, benchmark string, bytes long, protected boolean")
+        assert {x["question_id"] for x in runs.trimmed(df, budget, page_limit=800).collect()} == want
+    with pytest.raises(runs.SelectionRefused):
+        runs.trimmed(df, 10)
 
 
 def test_a_whole_run(spark, tmp_path):
