@@ -69,13 +69,15 @@ def refuse_other(tokenizer) -> None:
 class Spans:
     """Tokens of whole texts with the characters that each covers."""
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, checked: bool = False):
+        """checked: refuse_other has seen the vocabulary."""
         import regex
         from tokenizers import Tokenizer
 
         self.wide = regex.compile(PATTERN)
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        refuse_other(self.tokenizer)
+        if not checked:
+            refuse_other(self.tokenizer)
         self.tokenizer.encode_special_tokens = True
         self.cache = PieceCache(self._encode, 3)
 
@@ -150,9 +152,10 @@ SCHEMA = "doc_id long, n_chars long, n_tokens long, n_sections long, n_crossing
 
 def _attributed(rows: DataFrame, fields: list[str], s: Settings) -> DataFrame:
     path = s.tokenizer or default_tokenizer()
+    Spans(path)  # refused here, once
 
     def run(batches):
-        spans = Spans(path)
+        spans = Spans(path, checked=True)
         for batch in batches:
             columns = [K.text_column(batch, f) for f in fields]
             sizes = sum(np.diff(K.string_buffers(c)[1]) for c in columns)
