@@ -42,17 +42,13 @@ def passed_through(name: str, sql: str, oracle: str | None = None) -> None:
 
 GOLD = "SELECT DISTINCT c_mktsegment FROM customer JOIN orders ON o_custkey = c_custkey"
 SECOND = "SELECT c_mktsegment FROM customer JOIN orders ON o_custkey = c_custkey"
-ITEMS = "SELECT l_returnflag, l_linestatus, CAST(l_quantity AS INT) AS q FROM lineitem WHERE l_orderkey % 3 <> 0"
-OTHER_ITEMS = "SELECT l_returnflag, l_linestatus, CAST(l_quantity AS INT) AS q FROM lineitem WHERE l_orderkey % 3 <> 1"
-TOP = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200"
-SHORTER = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50"
-OTHERWISE = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY CASE WHEN o_totalprice < 400000 THEN 1 ELSE 0 END, o_orderkey LIMIT 200"
-
-#: The same without a cap or a filter: both sides hold every row, and the bags differ by a value.
-ALL_ITEMS = "SELECT l_returnflag, l_linestatus, CAST(l_quantity AS INT) AS q FROM lineitem"
-OTHER_ALL_ITEMS = "SELECT l_returnflag, l_linestatus, CAST(l_quantity AS INT) + CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS q FROM lineitem"
+#: Both sides hold every row; the bags differ by a value.
+ITEMS = "SELECT l_returnflag, l_linestatus, CAST(l_quantity AS INT) AS q FROM lineitem"
+OTHER_ITEMS = "SELECT l_returnflag, l_linestatus, CAST(l_quantity AS INT) + CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS q FROM lineitem"
 PRICED = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey"
 PRICED_OTHERWISE = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY CASE WHEN o_totalprice < 400000 THEN 1 ELSE 0 END, o_orderkey"
+#: A shorter second side, for the prefix.
+SHORTER = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50"
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,81 +67,39 @@ def _(spark, folder):
     return flagship(spark, folder)
 
 
-@query("bag_difference", f"WITH a AS (SELECT l_returnflag f, l_linestatus s, q, count(*) n FROM ({ITEMS}) GROUP BY 1, 2, 3), b AS (SELECT l_returnflag f, l_linestatus s, q, count(*) n FROM ({OTHER_ITEMS}) GROUP BY 1, 2, 3), j AS (SELECT coalesce(a.f, b.f) f, coalesce(a.s, b.s) s, coalesce(a.q, b.q) q, coalesce(a.n, 0) x, coalesce(b.n, 0) y FROM a FULL JOIN b ON a.f = b.f AND a.s = b.s AND a.q = b.q) SELECT CASE WHEN x > y THEN 'gold' ELSE 'second' END AS side, 'str:' || f AS c0, 'str:' || s AS c1, 'int:' || q AS c2, abs(x - y) AS n FROM j WHERE x <> y")
+_BAGS = f"WITH a AS (SELECT l_returnflag f, l_linestatus s, q, count(*) n FROM ({ITEMS}) GROUP BY 1, 2, 3), b AS (SELECT l_returnflag f, l_linestatus s, q, count(*) n FROM ({OTHER_ITEMS}) GROUP BY 1, 2, 3), j AS (SELECT coalesce(a.f, b.f) f, coalesce(a.s, b.s) s, coalesce(a.q, b.q) q, coalesce(a.n, 0) x, coalesce(b.n, 0) y FROM a FULL JOIN b ON a.f = b.f AND a.s = b.s AND a.q = b.q) "
+_PLACED = "WITH a AS (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 p, o_orderkey k FROM orders), b AS (SELECT row_number() OVER (ORDER BY CASE WHEN o_totalprice < 400000 THEN 1 ELSE 0 END, o_orderkey) - 1 p, o_orderkey k FROM orders) "
+
+
+@query("bag_difference", _BAGS + "SELECT CASE WHEN x > y THEN 'gold' ELSE 'second' END AS side, 'str:' || f AS c0, 'str:' || s AS c1, 'int:' || q AS c2, abs(x - y) AS n FROM j WHERE x <> y")
 def _(spark, folder):
     held = multiset.difference(*_two(spark, folder, ITEMS, OTHER_ITEMS))
     return held.select("side", *(F.element_at("key", i + 1).alias(f"c{i}") for i in range(3)), "n")
 
 
-_BAG = f"WITH a AS (SELECT l_returnflag f, l_linestatus s, q, count(*) n FROM ({ITEMS}) GROUP BY 1, 2, 3), b AS (SELECT l_returnflag f, l_linestatus s, q, count(*) n FROM ({OTHER_ITEMS}) GROUP BY 1, 2, 3), j AS (SELECT coalesce(a.n, 0) x, coalesce(b.n, 0) y FROM a FULL JOIN b ON a.f = b.f AND a.s = b.s AND a.q = b.q) "
-
-
-@query("bag_verdict", _BAG + "SELECT true AS same_types, bool_and(x = y) AS same_bag, bool_and((x > 0) = (y > 0)) AS same_set, CAST(sum(x) AS BIGINT) AS gold_rows, CAST(sum(y) AS BIGINT) AS second_rows, count(*) FILTER (x > 0) AS gold_distinct, count(*) FILTER (y > 0) AS second_distinct, count(*) FILTER (x > 0 AND y > 0) AS shared_distinct, CAST(sum(greatest(x - y, 0)) AS BIGINT) AS gold_only_rows, CAST(sum(greatest(y - x, 0)) AS BIGINT) AS second_only_rows, bool_and(x = y) AS equal FROM j")
+@query("bag_verdict", _BAGS + "SELECT true AS same_types, bool_and(x = y) AS same_bag, bool_and((x > 0) = (y > 0)) AS same_set, CAST(sum(x) AS BIGINT) AS gold_rows, CAST(sum(y) AS BIGINT) AS second_rows, count(*) FILTER (x > 0) AS gold_distinct, count(*) FILTER (y > 0) AS second_distinct, count(*) FILTER (x > 0 AND y > 0) AS shared_distinct, CAST(sum(greatest(x - y, 0)) AS BIGINT) AS gold_only_rows, CAST(sum(greatest(y - x, 0)) AS BIGINT) AS second_only_rows, bool_and(x = y) AS equal FROM j")
 def _(spark, folder):
     return multiset.verdict(*_two(spark, folder, ITEMS, OTHER_ITEMS))
 
 
-@query("shared_rows", _BAG + "SELECT count(*) AS shared FROM j WHERE x > 0 AND y > 0")
+@query("shared_rows", _BAGS + "SELECT count(*) AS shared FROM j WHERE x > 0 AND y > 0")
 def _(spark, folder):
     return multiset.shared_distinct(*_two(spark, folder, ITEMS, OTHER_ITEMS)).agg(F.count("*").alias("shared"))
 
 
-_PLACED = f"WITH a AS (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 p, o_orderkey k FROM orders QUALIFY p < 200), b AS (SELECT row_number() OVER (ORDER BY CASE WHEN o_totalprice < 400000 THEN 1 ELSE 0 END, o_orderkey) - 1 p, o_orderkey k FROM orders QUALIFY p < 200) "
-
-
 @query("ordered_verdict", _PLACED + "SELECT count(*) FILTER (a.k IS DISTINCT FROM b.k) = 0 AS equal, min(a.p) FILTER (a.k IS DISTINCT FROM b.k) AS first_difference, count(a.k) AS gold_rows, count(b.k) AS second_rows FROM a FULL JOIN b ON a.p = b.p")
-def _(spark, folder):
-    a, b = _two(spark, folder, TOP, OTHERWISE)
-    return ordered.verdict(with_pos(a), with_pos(b)).select("equal", "first_difference", "gold_rows", "second_rows")
-
-
-@query("prefix_truncation", "SELECT true AS prefix, least(count(*), 200) AS gold_rows, least(count(*), 50) AS second_rows FROM orders")
-def _(spark, folder):
-    a, b = _two(spark, folder, TOP, SHORTER)
-    return ordered.verdict(with_pos(a), with_pos(b)).select("prefix", "gold_rows", "second_rows")
-
-
-@query("place_map", _PLACED + "SELECT a.p AS gold_pos, coalesce(b.p, -1) AS second_pos FROM a LEFT JOIN b ON a.k = b.k")
-def _(spark, folder):
-    a, b = _two(spark, folder, TOP, OTHERWISE)
-    return ordered.place_map(with_pos(a), with_pos(b)).select("gold_pos", F.coalesce("second_pos", F.lit(-1)).cast("long").alias("second_pos"))
-
-
-# The same over whole tables.
-
-_ALL_BAGS = f"WITH a AS (SELECT l_returnflag f, l_linestatus s, q, count(*) n FROM ({ALL_ITEMS}) GROUP BY 1, 2, 3), b AS (SELECT l_returnflag f, l_linestatus s, q, count(*) n FROM ({OTHER_ALL_ITEMS}) GROUP BY 1, 2, 3), j AS (SELECT coalesce(a.f, b.f) f, coalesce(a.s, b.s) s, coalesce(a.q, b.q) q, coalesce(a.n, 0) x, coalesce(b.n, 0) y FROM a FULL JOIN b ON a.f = b.f AND a.s = b.s AND a.q = b.q) "
-_ALL_PLACED = "WITH a AS (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 p, o_orderkey k FROM orders), b AS (SELECT row_number() OVER (ORDER BY CASE WHEN o_totalprice < 400000 THEN 1 ELSE 0 END, o_orderkey) - 1 p, o_orderkey k FROM orders) "
-
-
-@query("bag_difference_whole", _ALL_BAGS + "SELECT CASE WHEN x > y THEN 'gold' ELSE 'second' END AS side, 'str:' || f AS c0, 'str:' || s AS c1, 'int:' || q AS c2, abs(x - y) AS n FROM j WHERE x <> y")
-def _(spark, folder):
-    held = multiset.difference(*_two(spark, folder, ALL_ITEMS, OTHER_ALL_ITEMS))
-    return held.select("side", *(F.element_at("key", i + 1).alias(f"c{i}") for i in range(3)), "n")
-
-
-@query("bag_verdict_whole", _ALL_BAGS + "SELECT true AS same_types, bool_and(x = y) AS same_bag, bool_and((x > 0) = (y > 0)) AS same_set, CAST(sum(x) AS BIGINT) AS gold_rows, CAST(sum(y) AS BIGINT) AS second_rows, count(*) FILTER (x > 0) AS gold_distinct, count(*) FILTER (y > 0) AS second_distinct, count(*) FILTER (x > 0 AND y > 0) AS shared_distinct, CAST(sum(greatest(x - y, 0)) AS BIGINT) AS gold_only_rows, CAST(sum(greatest(y - x, 0)) AS BIGINT) AS second_only_rows, bool_and(x = y) AS equal FROM j")
-def _(spark, folder):
-    return multiset.verdict(*_two(spark, folder, ALL_ITEMS, OTHER_ALL_ITEMS))
-
-
-@query("shared_rows_whole", _ALL_BAGS + "SELECT count(*) AS shared FROM j WHERE x > 0 AND y > 0")
-def _(spark, folder):
-    return multiset.shared_distinct(*_two(spark, folder, ALL_ITEMS, OTHER_ALL_ITEMS)).agg(F.count("*").alias("shared"))
-
-
-@query("ordered_verdict_whole", _ALL_PLACED + "SELECT count(*) FILTER (a.k IS DISTINCT FROM b.k) = 0 AS equal, min(a.p) FILTER (a.k IS DISTINCT FROM b.k) AS first_difference, count(a.k) AS gold_rows, count(b.k) AS second_rows FROM a FULL JOIN b ON a.p = b.p")
 def _(spark, folder):
     a, b = _two(spark, folder, PRICED, PRICED_OTHERWISE)
     return ordered.verdict(with_pos(a), with_pos(b)).select("equal", "first_difference", "gold_rows", "second_rows")
 
 
-@query("prefix_truncation_whole", "SELECT true AS prefix, count(*) AS gold_rows, least(count(*), 50) AS second_rows FROM orders")
+@query("prefix_truncation", "SELECT true AS prefix, count(*) AS gold_rows, least(count(*), 50) AS second_rows FROM orders")
 def _(spark, folder):
     a, b = _two(spark, folder, PRICED, SHORTER)
     return ordered.verdict(with_pos(a), with_pos(b)).select("prefix", "gold_rows", "second_rows")
 
 
-@query("place_map_whole", _ALL_PLACED + "SELECT a.p AS gold_pos, coalesce(b.p, -1) AS second_pos FROM a LEFT JOIN b ON a.k = b.k")
+@query("place_map", _PLACED + "SELECT a.p AS gold_pos, coalesce(b.p, -1) AS second_pos FROM a LEFT JOIN b ON a.k = b.k")
 def _(spark, folder):
     a, b = _two(spark, folder, PRICED, PRICED_OTHERWISE)
     return ordered.place_map(with_pos(a), with_pos(b)).select("gold_pos", F.coalesce("second_pos", F.lit(-1)).cast("long").alias("second_pos"))

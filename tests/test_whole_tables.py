@@ -23,9 +23,9 @@ def test_whole_queries_hold_all_rows(spark):
     run = lambda name: catalogue.queries()[name](spark, FOLDER)
     orders, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in ("orders", "lineitem"))
     assert orders > 200
-    ordered, prefix, bag = (run(f"{n}_whole").first() for n in ("ordered_verdict", "prefix_truncation", "bag_verdict"))
+    ordered, prefix, bag = (run(n).first() for n in ("ordered_verdict", "prefix_truncation", "bag_verdict"))
     assert (ordered["gold_rows"], ordered["second_rows"]) == (orders, orders)
     assert (prefix["prefix"], prefix["gold_rows"], prefix["second_rows"]) == (True, orders, 50)
     assert (bag["gold_rows"], bag["second_rows"], bag["equal"]) == (items, items, False)
-    places = run("place_map_whole").collect()
+    places = run("place_map").collect()
     assert sorted(r["gold_pos"] for r in places) == sorted(r["second_pos"] for r in places) == list(range(orders))
