@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,22 @@ def content_digest(df: DataFrame) -> DataFrame:
     return own.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"))
 
 
+def two_copies(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, rows, other_rows, same) of the tables of two copies: same where the typed rows are, whatever their
+    order. A table that one copy lacks has null rows there and isn't the same. Without any table, a ValueError."""
+    name = lambda df, t: content_digest(df).withColumn("table_name", F.lit(t))
+    every = sorted({*a, *b})
+    if not every:
+        raise ValueError("no table in either copy")
+    held = []
+    for tables in (a, b):
+        rows = [name(tables[t], t) for t in every if t in tables]
+        held.append(reduce(DataFrame.unionByName, rows) if rows else name(next(iter({**a, **b}.values())), "").limit(0))
+    both = held[0].alias("x").join(held[1].alias("y"), "table_name", "full_outer")
+    same = F.coalesce((F.col("x.rows") == F.col("y.rows")) & (F.col("x.sum") == F.col("y.sum")) & (F.col("x.xor") == F.col("y.xor")), F.lit(False))
+    return both.select("table_name", F.col("x.rows").alias("rows"), F.col("y.rows").alias("other_rows"), same.alias("same"))
+
+
 def document_digest(df: DataFrame) -> str:
     """sha256 over the rows' canonical text in sorted order; rows are streamed to the driver in that order."""
     h = hashlib.sha256()
@@ -73,10 +90,11 @@ def storage_class_census(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def typing_census(df: DataFrame) -> DataFrame:
-    """One row: distinct rows by typed keys and by plain values; they differ where types alone part rows."""
-    own = keys.by_place(df)
-    return own.agg(F.count_distinct(keys.row_key(own)).alias("typed"), F.count_distinct(keys.set_row_key(own)).alias("plain"))
+def typing_census(*results: DataFrame) -> DataFrame:
+    """One row: distinct rows of all results by typed keys and by plain values; they differ where types alone part rows."""
+    own = [keys.by_place(df) for df in results]
+    rows = reduce(DataFrame.unionAll, [df.select(keys.row_key(df).alias("typed"), keys.set_row_key(df).alias("plain")) for df in own])
+    return rows.agg(F.count_distinct("typed").alias("typed"), F.count_distinct("plain").alias("plain"))
 
 
 class Cache:

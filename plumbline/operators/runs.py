@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions import keys
 from plumbline.operators.mechanism import MECHANISMS
+from plumbline.operators.order import with_pos
 
 VERDICTS = ("EQUAL", "NOT_EQUAL", "NOT_COMPARABLE", "GOLD-ONLY", "ERROR")
 
@@ -99,6 +101,51 @@ def agreement(run: DataFrame, official: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("questions"), F.count_if(F.col("own") == F.col("score")).alias("agree"), F.count_if((F.col("own") == 1) & (F.col("score") == 0)).alias("own_only"), F.count_if((F.col("own") == 0) & (F.col("score") == 1)).alias("official_only"))
 
 
+def agreement_rows(run: DataFrame, official: DataFrame) -> DataFrame:
+    """(question_id, own, official, agrees) of questions in both; an error counts 0."""
+    both = run.select("question_id", F.coalesce("set_reading", F.lit(0)).alias("own")).join(official.select("question_id", F.col("score").alias("official")), "question_id")
+    return both.select("question_id", "own", "official", (F.col("own") == F.col("official")).alias("agrees"))
+
+
+def crosstab_cells(df: DataFrame, rows: str, column: str, names: tuple[str, ...]) -> DataFrame:
+    """A row for each pair of classes: how many, those in which each named probe fired, and the smallest and the largest
+    id. The ids themselves are the rows of df that have both classes."""
+    fired = [F.count_if(F.array_contains("probes", n)).alias(n.replace("-", "_")) for n in names]
+    return df.groupBy(rows, column).agg(F.count("*").alias("n"), *fired, F.min("question_id").alias("first_id"), F.max("question_id").alias("last_id"))
+
+
+def candidate_checks(df: DataFrame, current: str, candidates: list[str]) -> DataFrame:
+    """(measure, n) of boolean columns: those of the current check, of any check, what each candidate adds to those
+    before it, and what two checks share."""
+    every = [current, *candidates]
+    any_of = lambda names: reduce(Column.__or__, [F.coalesce(F.col(n), F.lit(False)) for n in names])
+    counted = {"current": any_of([current]), "combined": any_of(every)}
+    counted |= {f"increment {c}": any_of([c]) & ~any_of(every[: i + 1]) for i, c in enumerate(candidates)}
+    counted |= {f"overlap {a} {b}": any_of([a]) & any_of([b]) for i, a in enumerate(every) for b in every[i + 1 :]}
+    one = df.agg(*(F.count_if(c).alias(n) for n, c in counted.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), F.col(f"`{n}`").alias("n")) for n in counted))).alias("x")).select("x.*")
+
+
+def copy_delta(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(question_id, a_verdict, a_reading, b_verdict, b_reading) where two copies of the gold give another verdict or
+    set reading; a question that one of them lacks has nulls there."""
+    x, y = (df.select("question_id", F.struct("verdict", "set_reading").alias(n)) for df, n in ((a, "a"), (b, "b")))
+    both = x.join(y, "question_id", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+    return both.select("question_id", *(F.col(f"{n}.{f}").alias(f"{n}_{t}") for n in "ab" for f, t in (("verdict", "verdict"), ("set_reading", "reading"))))
+
+
+def recall_in_passes(memberships: DataFrame, passes: dict[str, DataFrame]) -> DataFrame:
+    """(name, size, and for each pass fired_ and share_) of each group of question ids: those with any probe fired.
+
+    memberships: (name, question_id), each pair once; a question may be in several groups. Questions that a pass lacks
+    have none fired."""
+    held, out = memberships.distinct(), []
+    for n, df in passes.items():
+        held = held.join(df.where(F.size("probes") > 0).select("question_id").distinct().withColumn(n, F.lit(1)), "question_id", "left")
+        out += [F.count(n).alias(f"fired_{n}"), F.round(F.count(n) / F.count("*"), 4).alias(f"share_{n}")]
+    return held.groupBy("name").agg(F.count("*").alias("size"), *out)
+
+
 def split_three_way(a: DataFrame, b: DataFrame, normalise) -> DataFrame:
     """(question_id, change) of statements in either: rewritten, text_only where normalisation makes them equal,
     unchanged, or only_first and only_second where the other has none."""
@@ -133,6 +180,15 @@ def systematic_sample(df: DataFrame, by: str, order: str, most: int) -> DataFram
     return placed.where((F.col("_rn") - 1) % stride == 0).drop("_n", "_rn")
 
 
+def strided_sample(df: DataFrame, order: list[str], size: int, least: int = 100) -> DataFrame:
+    """Of all rows in order every (n // size)-th, the first `size` of those; all rows if there are fewer than `least`."""
+    rows = with_pos(df.orderBy(*order))
+    total = rows.agg(F.count("*").alias("_n"))
+    step = F.greatest(F.floor(F.col("_n") / size), F.lit(1))
+    chosen = (F.col("_n") < least) | ((F.col("_pos") % step == 0) & (F.col("_pos") < step * size))
+    return rows.crossJoin(F.broadcast(total)).where(chosen).drop("_n", "_pos")  # one row
+
+
 def seeded_sample(df: DataFrame, key: str, seed: int, size: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(size)
 
@@ -154,6 +210,18 @@ def answer_class(identical: Column, same_bag: Column, same_set: Column) -> Colum
     return F.when(~same_set, "different-rows").when(~same_bag, "multiplicity").when(~identical, "typed-only").otherwise("identical")
 
 
+def answer_of(gold: DataFrame, second: DataFrame) -> DataFrame:
+    """One row: the class of two results (see answer_class), plain values deciding between the first three, and as a
+    witness the smallest plain row that makes it so; null if they are identical."""
+    sides = [keys.by_place(df) for df in (gold, second)]
+    rows = [df.select(keys.set_row_key(df).alias("plain"), keys.row_key(df).alias("typed"), F.lit(i).alias("side")) for i, df in enumerate(sides)]
+    typed = rows[0].unionAll(rows[1]).groupBy("plain", "typed").agg(F.count_if(F.col("side") == 0).alias("g"), F.count_if(F.col("side") == 1).alias("s"))
+    plain = typed.groupBy("plain").agg(F.sum("g").alias("g"), F.sum("s").alias("s"), F.bool_and(F.col("g") == F.col("s")).alias("typed"))
+    facts = {"same_set": (F.col("g") > 0) == (F.col("s") > 0), "same_bag": F.col("g") == F.col("s"), "identical": F.col("typed")}
+    seen = [x for n, c in facts.items() for x in (F.coalesce(F.bool_and(c), F.lit(True)).alias(n), F.min(F.when(~c, F.col("plain"))).alias(f"not_{n}"))]
+    return plain.agg(*seen).select(answer_class(F.col("identical"), F.col("same_bag"), F.col("same_set")).alias("class"), F.coalesce("not_same_set", "not_same_bag", "not_identical").alias("witness"))
+
+
 def coverage(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str) -> DataFrame:
     """One row: children, those whose key is in parent, those whose isn't, parents without children."""
     refs = child.where(F.col(child_key).isNotNull())
@@ -226,6 +294,12 @@ def left_out(questions: DataFrame, kept: DataFrame) -> DataFrame:
     return gone.groupBy("benchmark").agg(F.count("*").alias("questions"), F.sum("bytes").cast("long").alias("bytes"))
 
 
+def published(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """(name, value, published): findings under each name, and those of them whose question a selection kept."""
+    held = kept.select("question_id").distinct().withColumn("_kept", F.lit(1))
+    return found.join(held, "question_id", "left").groupBy("name").agg(F.count("*").alias("value"), F.count("_kept").alias("published"))
+
+
 def directories_by_run(paths: DataFrame) -> DataFrame:
     """(run, questions) of archive members' paths: directories q<number>, each once."""
     found = paths.select(F.regexp_extract("path", r"^(?:.*/)?([^/]+)/q\d+/", 1).alias("run"), F.regexp_extract("path", r"/(q\d+)/", 1).alias("q")).where("run <> '' AND q <> ''")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,23 +53,34 @@ class Judged:
     error_side: str | None = None
     timed_out_side: str | None = None
     seconds: float = 0.0
+    phases: dict[str, float] = field(default_factory=dict)
 
 
-JUDGED = "question_id long, verdict string, mechanism string, set_reading int, probes array<string>, applicable array<string>, error string, error_side string, timed_out_side string, seconds double"
+@contextmanager
+def spent(phases: dict[str, float], phase: str):
+    """Adds the seconds that the block takes to a phase, also where it fails."""
+    began = time.monotonic()
+    try:
+        yield
+    finally:
+        phases[phase] = phases.get(phase, 0.0) + time.monotonic() - began
+
+
+JUDGED = "question_id long, verdict string, mechanism string, set_reading int, probes array<string>, applicable array<string>, error string, error_side string, timed_out_side string, seconds double, phases map<string,double>"
 
 
-def _one(envelope: Envelope, q, second_sql: str | None, copies, held: dict, direction: bool, out: str | None) -> Judged:
-    with sided("gold"):
+def _one(envelope: Envelope, q, second_sql: str | None, copies, held: dict, direction: bool, out: str | None, phases: dict[str, float]) -> Judged:
+    with sided("gold"), spent(phases, "gold"):
         gold_statement = parse(envelope.spark, q["SQL"])
         gold = settled(envelope.within_budget(envelope.frame(gold_statement)))
         record = build(q["question_id"], gold_statement, envelope, gold, held)
     judged = Judged(q["question_id"], "GOLD-ONLY")
     documents = {"gold.json": record.document()}
     if second_sql is not None:
-        with sided("second"):
+        with sided("second"), spent(phases, "second"):
             statement = parse(envelope.spark, second_sql)
             second = settled(envelope.within_budget(envelope.frame(statement)))
-        with sided("run"):
+        with sided("run"), spent(phases, "comparison"):
             other = build(q["question_id"], gold_statement, envelope, second, held)
             if mismatches(record, other):
                 judged.verdict = "NOT_COMPARABLE"
@@ -77,7 +89,7 @@ def _one(envelope: Envelope, q, second_sql: str | None, copies, held: dict, dire
                 judged.verdict, judged.mechanism, judged.set_reading = ("EQUAL" if row["equal"] else "NOT_EQUAL"), row["mechanism"], row["set_reading"]
                 if not row["equal"]:
                     documents["counterexample.json"] = asdict(Counterexample.of(q["question_id"], judged.verdict, judged.mechanism, judged.set_reading, gold, second))
-    with sided("gold"):
+    with sided("gold"), spent(phases, "probes"):
         smells = probes.all_smells(envelope, gold_statement, copies, q["question"] or "", direction)
     judged.probes = [s.name for s in smells if s.fired]
     judged.applicable = [s.name for s in smells if s.applicable]
@@ -100,14 +112,14 @@ def audit(spark: SparkSession, questions: DataFrame, tables: dict[str, DataFrame
     judged = []
     try:
         for q in asked:
-            began = time.monotonic()
+            began, phases = time.monotonic(), {}
             try:
                 if given is not None and given.get(q["question_id"]) is None:
                     raise SideFailed("second", ValueError("no statement"))
-                one = _one(envelope, q, given[q["question_id"]] if given is not None else None, copies, held, direction, out)
+                one = _one(envelope, q, given[q["question_id"]] if given is not None else None, copies, held, direction, out, phases)
             except SideFailed as e:
                 one = Judged(q["question_id"], "ERROR", error=str(e)[:500], error_side=e.side, timed_out_side=e.side if isinstance(e.cause, StatementTimedOut) else None)
-            one.seconds = time.monotonic() - began
+            one.seconds, one.phases = time.monotonic() - began, phases
             judged.append(one)
     finally:
         copies.drop()
@@ -126,6 +138,7 @@ def summary(judged: DataFrame, fail_on_smell: bool = False) -> dict:
         "probes": fired,
         "credited_but_not_equal": count(runs.credited_by_mechanism(judged), "mechanism"),
         "timed_out": {r["side"]: r["question_ids"] for r in runs.errors_by_side(judged).collect()},
+        "phases": {r["key"]: r["value"] for r in judged.select(F.explode("phases")).groupBy("key").agg(F.sum("value").alias("value")).collect()},
         "seconds": judged.agg(F.sum("seconds")).first()[0],
         "exit_status": runs.exit_status(total, verdicts["ERROR"], verdicts["NOT_EQUAL"], sum(fired.values()), fail_on_smell),
     }

@@ -7,6 +7,7 @@ same in SQL. Statements that a run would audit are written as SQL; the operators
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from plumbline.operators import fixture, multiset, ordered, probes, readings, ru
 from plumbline.operators.mechanism import mechanism
 from plumbline.operators.order import with_pos
 from plumbline.plans import audit
-from plumbline.plans.statement import clause_difference, construct_census, parse, token_difference
+from plumbline.plans.statement import clause_difference, construct_census, parse, text_operands, token_difference
 from plumbline.sources.tables import run, table
 
 _queries: dict = {}
@@ -105,7 +106,7 @@ def _(spark, folder):
     return ordered.place_map(with_pos(a), with_pos(b)).select("gold_pos", F.coalesce("second_pos", F.lit(-1)).cast("long").alias("second_pos"))
 
 
-@query("mixed_tag_columns", "SELECT 1 AS place, 'int,null' AS tags")
+@query("mixed_tag_columns", "WITH t AS (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 AND o_custkey IS NOT NULL THEN 'int' ELSE 'null' END AS t FROM orders) SELECT 1 AS place, string_agg(t, ',' ORDER BY t) AS tags FROM t HAVING count(*) > 1")
 def _(spark, folder):
     df = run(spark, folder, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS c, o_orderstatus FROM orders")
     return ordered.mixed_columns(df).select("place", F.array_join("tags", ",").alias("tags"))
@@ -121,29 +122,60 @@ def _(spark, folder):
     return readings.set_reading(*_two(spark, folder, "SELECT l_quantity FROM lineitem", "SELECT CAST(l_quantity AS INT) FROM lineitem")).select("agrees")
 
 
-@query("permuted_reading", "SELECT true AS agrees")
+def _same_bag(a: str, b: str) -> str:
+    return f"(NOT EXISTS (({a}) EXCEPT ALL ({b})) AND NOT EXISTS (({b}) EXCEPT ALL ({a})))"
+
+
+def _same_set(a: str, b: str) -> str:
+    return f"(NOT EXISTS (({a}) EXCEPT ({b})) AND NOT EXISTS (({b}) EXCEPT ({a})))"
+
+
+def _pairs(spark, folder, gold: str, seconds: dict[str, str], read) -> DataFrame:
+    """read's row for each second statement, with the pair's name."""
+    held = [read(*_two(spark, folder, gold, sql)).withColumn("pair", F.lit(name)) for name, sql in seconds.items()]
+    return reduce(DataFrame.unionByName, held)
+
+
+_HOME = "SELECT c_custkey, c_nationkey, c_name FROM customer"
+_MOVED = "SELECT c_name, c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS n FROM customer"
+_SWAPPED = "SELECT c_name, c_custkey, c_nationkey FROM customer"
+
+
+def _permuted(second: str) -> str:
+    """Bags under the two orders of columns that their types allow."""
+    x = second.replace("c_nationkey FROM", "c_nationkey AS n FROM")
+    return " OR ".join(_same_bag(_HOME, f"SELECT {order}, c_name FROM ({x})") for order in ("c_custkey, n", "n, c_custkey"))
+
+
+@query("permuted_reading", f"SELECT 'swapped' AS pair, {_permuted(_SWAPPED)} AS agrees UNION ALL SELECT 'moved', {_permuted(_MOVED)}")
 def _(spark, folder):
-    a, b = _two(spark, folder, "SELECT c_custkey, c_nationkey, c_name FROM customer", "SELECT c_name, c_custkey, c_nationkey FROM customer")
-    return spark.createDataFrame([(readings.permuted_reading(a, b, ordered=False),)], "agrees boolean")
+    read = lambda a, b: spark.createDataFrame([(readings.permuted_reading(a, b, ordered=False),)], "agrees boolean")
+    return _pairs(spark, folder, _HOME, {"swapped": _SWAPPED, "moved": _MOVED}, read)
+
+
+_DATES = {"repeated": "SELECT CAST(o_orderdate AS DATE) AS d FROM orders", "later": "SELECT CAST(o_orderdate AS DATE) + INTERVAL 1 DAY AS d FROM orders"}
 
 
-@query("dates_reading", "SELECT 1 AS agrees")
+@query("dates_reading", " UNION ALL ".join(f"SELECT '{n}' AS pair, CAST({_same_set('SELECT CAST(o_orderdate AS DATE) FROM orders', f'SELECT CAST(d AS DATE) FROM ({q})')} AND EXISTS (SELECT * FROM orders) AS INT) AS agrees" for n, q in _DATES.items()))
 def _(spark, folder):
-    return readings.dates_as_text_reading(*_two(spark, folder, "SELECT DISTINCT o_orderdate FROM orders", "SELECT CAST(o_orderdate AS DATE) AS d FROM orders"))
+    return _pairs(spark, folder, "SELECT DISTINCT o_orderdate FROM orders", _DATES, readings.dates_as_text_reading)
 
 
-@query("rounded_reading", "SELECT 1 AS agrees")
+@query("rounded_reading", "SELECT CAST(bool_and(round(o_totalprice, 2) = round(o_totalprice + 0.0001, 2)) AS INT) AS agrees FROM orders")
 def _(spark, folder):
     a, b = _two(spark, folder, PRICED, "SELECT o_orderkey, o_totalprice + 0.0001 AS p FROM orders ORDER BY o_totalprice DESC, o_orderkey")
     return readings.rounded_ordered_reading(with_pos(a), with_pos(b))
 
 
-@query("named_columns_reading", "SELECT 1 AS agrees")
+_NATIONS = {"swapped": "SELECT n_regionkey, n_name FROM nation", "changed": "SELECT n_regionkey + 1 AS n_regionkey, n_name FROM nation", "renamed": "SELECT n_regionkey, n_name AS name FROM nation"}
+
+
+@query("named_columns_reading", " UNION ALL ".join([*(f"SELECT '{n}' AS pair, CAST({_same_set('SELECT n_regionkey, n_name FROM nation', _NATIONS[n])} AS INT) AS agrees" for n in ("swapped", "changed")), "SELECT 'renamed', 0"]))
 def _(spark, folder):
-    return readings.named_columns_reading(*_two(spark, folder, "SELECT n_name, n_regionkey FROM nation", "SELECT n_regionkey, n_name FROM nation"))
+    return _pairs(spark, folder, "SELECT n_name, n_regionkey FROM nation", _NATIONS, readings.named_columns_reading)
 
 
-@query("column_existence_reading", "SELECT 1 AS agrees")
+@query("column_existence_reading", "SELECT CAST(bool_and(abs(o_totalprice + 0.001 - o_totalprice) <= 0.01) AS INT) AS agrees FROM orders")
 def _(spark, folder):
     a, b = _two(spark, folder, "SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", "SELECT o_orderkey, o_totalprice + 0.001 AS p FROM orders ORDER BY o_totalprice DESC, o_orderkey")
     return readings.column_existence_reading(with_pos(a), with_pos(b))
@@ -200,10 +232,11 @@ def _(spark, folder):
     return table(spark, folder, "part").select(k, probes.against_direction(question, k % 2 == 0).alias("against"))
 
 
-@query("float_six_digits", "SELECT o_orderkey, true AS same FROM orders")
+@query("float_six_digits", "SELECT o_orderkey, o_orderkey % 2 = 0 OR o_totalprice = 0 AS same FROM orders")
 def _(spark, folder):
-    o = table(spark, folder, "orders")
-    return o.select("o_orderkey", (probes.six_digits(F.col("o_totalprice")) == probes.six_digits(F.col("o_totalprice") * (1 + 1e-13))).alias("same"))
+    v = F.col("o_totalprice")
+    other = v * F.when(F.col("o_orderkey") % 2 == 0, 1 + 1e-13).otherwise(1.01)
+    return table(spark, folder, "orders").select("o_orderkey", (probes.six_digits(v) == probes.six_digits(other)).alias("same"))
 
 
 @query("float_aggregate_order")
@@ -274,6 +307,21 @@ def _(spark, folder):
     return spark.createDataFrame(rows, "statement int, constructs string")
 
 
+_OPERANDS = [
+    ("SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_name", "equal,order_by"),
+    ("SELECT c_mktsegment, min(c_name) AS n FROM customer GROUP BY c_mktsegment", "group_by,min_max"),
+    ("SELECT p_partkey FROM part WHERE p_name LIKE '%a%' AND p_brand > 'B' ORDER BY p_size", "less_or_more,like"),
+    ("SELECT max(p_size) AS s FROM part WHERE p_size > 3 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')", "equal"),
+    ("SELECT p_size, count(*) AS n FROM part WHERE p_size = 4 GROUP BY p_size ORDER BY n", ""),
+]
+
+
+@query("text_operands", _values([(i, x[1]) for i, x in enumerate(_OPERANDS)], "statement, operands"))
+def _(spark, folder):
+    rows = [(i, ",".join(sorted(k for k, v in text_operands(run(spark, folder, x[0])).items() if v))) for i, x in enumerate(_OPERANDS)]
+    return spark.createDataFrame(rows, "statement int, operands string")
+
+
 @query("token_difference", _values([("replace", "b", "c"), ("insert", "", "limit 1")], "kind, a, b"))
 def _(spark, folder):
     held = token_difference("SELECT a, b FROM t", "SELECT a, c FROM t limit 1")
@@ -344,12 +392,9 @@ def _(spark, folder):
     return fixture.storage_class_census(df, ["v"])
 
 
-@query("typing_census", "SELECT 4 AS typed, 2 AS plain")
+@query("typing_census", "WITH a AS (SELECT DISTINCT CAST(l_quantity AS DOUBLE) v FROM lineitem), b AS (SELECT DISTINCT CAST(CAST(l_quantity AS INT) AS DOUBLE) v FROM lineitem) SELECT (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS typed, (SELECT count(*) FROM (SELECT v FROM a UNION SELECT v FROM b)) AS plain")
 def _(spark, folder):
-    df = run(spark, folder, "SELECT 1 AS v UNION ALL SELECT 1 UNION ALL SELECT 2")
-    text = df.select(F.col("v").cast("string").alias("v"))
-    own = [keys.by_place(x).select(keys.row_key(keys.by_place(x)).alias("typed"), F.array(F.concat(F.lit("v:"), F.col("c0").cast("string"))).alias("plain")) for x in (df, text)]
-    return own[0].unionAll(own[1]).agg(F.count_distinct("typed").alias("typed"), F.count_distinct("plain").alias("plain"))
+    return fixture.typing_census(*_two(spark, folder, "SELECT l_quantity FROM lineitem", "SELECT CAST(l_quantity AS INT) FROM lineitem"))
 
 
 # ---- windows ----
@@ -471,6 +516,69 @@ def _(spark, folder):
     return runs.agreement(j, j.select("question_id", "score"))
 
 
+@query("agreement_rows", _J + "SELECT question_id, CAST(coalesce(set_reading, 0) AS INT) AS own, score AS official, coalesce(set_reading, 0) = score AS agrees FROM j")
+def _(spark, folder):
+    j = judged(spark, folder)
+    return runs.agreement_rows(j, j.select("question_id", "score"))
+
+
+@query("crosstab_cells", _J + "SELECT mechanism, model, count(*) AS n, count(*) FILTER (cut) AS arbitrary_cut, count(*) FILTER (repeats) AS duplicate_full_row, min(question_id) AS first_id, max(question_id) AS last_id FROM j WHERE mechanism IS NOT NULL GROUP BY 1, 2")
+def _(spark, folder):
+    return runs.crosstab_cells(judged(spark, folder).where("mechanism IS NOT NULL"), "mechanism", "model", ("arbitrary-cut", "duplicate-full-row"))
+
+
+_MEASURES = {"current": "cut", "combined": "cut OR repeats OR s", "increment repeats": "repeats AND NOT cut", "increment s": "s AND NOT (cut OR repeats)", "overlap cut repeats": "cut AND repeats", "overlap cut s": "cut AND s", "overlap repeats s": "repeats AND s"}
+
+
+@query("candidate_checks", _J + ", k AS (SELECT *, score = 1 AS s FROM j) " + " UNION ALL ".join(f"SELECT '{n}' AS measure, count(*) FILTER ({c}) AS n FROM k" for n, c in _MEASURES.items()))
+def _(spark, folder):
+    return runs.candidate_checks(judged(spark, folder).withColumn("s", F.col("score") == 1), "cut", ["repeats", "s"])
+
+
+@query("copy_delta", _J + ", b AS (SELECT question_id, CASE WHEN question_id % 23 = 0 THEN 'EQUAL' ELSE verdict END AS verdict, set_reading FROM j WHERE question_id % 19 <> 0) SELECT j.question_id, j.verdict AS a_verdict, j.set_reading AS a_reading, b.verdict AS b_verdict, b.set_reading AS b_reading FROM j LEFT JOIN b ON b.question_id = j.question_id WHERE b.question_id IS NULL OR j.verdict <> b.verdict")
+def _(spark, folder):
+    j = judged(spark, folder)
+    other = j.where("question_id % 19 <> 0").withColumn("verdict", F.when(F.col("question_id") % 23 == 0, "EQUAL").otherwise(F.col("verdict")))
+    return runs.copy_delta(j, other)
+
+
+@query("recall_in_passes", _J + ", g AS (SELECT benchmark AS name, * FROM j UNION ALL SELECT 'all', * FROM j) SELECT name, count(*) AS size, count(*) FILTER (cut OR repeats) AS fired_before, round(count(*) FILTER (cut OR repeats) / count(*), 4) AS share_before, count(*) FILTER (cut) AS fired_after, round(count(*) FILTER (cut) / count(*), 4) AS share_after FROM g GROUP BY 1")
+def _(spark, folder):
+    j = judged(spark, folder)
+    members = j.select(F.col("benchmark").alias("name"), "question_id").unionByName(j.select(F.lit("all").alias("name"), "question_id"))
+    return runs.recall_in_passes(members, {"before": j, "after": j.withColumn("probes", F.array_remove("probes", "duplicate-full-row"))})
+
+
+@query("strided_sample", _J + ", p AS (SELECT question_id, model, row_number() OVER (ORDER BY model, question_id) - 1 AS r, count(*) OVER () AS n FROM j) SELECT question_id, model FROM p WHERE n < 100 OR (r % greatest(n // 50, 1) = 0 AND r < 50 * greatest(n // 50, 1))")
+def _(spark, folder):
+    return runs.strided_sample(judged(spark, folder), ["model", "question_id"], 50).select("question_id", "model")
+
+
+_ANSWERS = {"identical": "SELECT l_quantity FROM lineitem", "typed": "SELECT CAST(l_quantity AS INT) AS q FROM lineitem", "repeated": "SELECT l_quantity FROM lineitem UNION ALL SELECT max(l_quantity) FROM lineitem", "other": "SELECT l_quantity + 1 AS q FROM lineitem"}
+_ANSWER = lambda n, q: f"SELECT '{n}' AS pair, CASE WHEN NOT {_same_set(_ANSWERS['identical'], q)} THEN 'different-rows' WHEN NOT {_same_bag(_ANSWERS['identical'], q)} THEN 'multiplicity' WHEN (SELECT min(typeof(v)) FROM ({q}) t(v)) <> (SELECT min(typeof(l_quantity)) FROM lineitem) THEN 'typed-only' ELSE 'identical' END AS class"
+
+
+@query("answer_of", " UNION ALL ".join(_ANSWER(n, q) for n, q in _ANSWERS.items()))
+def _(spark, folder):
+    return _pairs(spark, folder, _ANSWERS["identical"], _ANSWERS, runs.answer_of).select("pair", "class")
+
+
+@query("published", _J + ", f AS (SELECT 'credited' AS name, question_id FROM j WHERE set_reading = 1 AND verdict = 'NOT_EQUAL' UNION ALL SELECT 'timed out', question_id FROM j WHERE timed_out_side IS NOT NULL) SELECT name, count(*) AS value, count(*) FILTER (question_id % 3 <> 1) AS published FROM f GROUP BY 1")
+def _(spark, folder):
+    j = judged(spark, folder)
+    found = j.where("set_reading = 1 AND verdict = 'NOT_EQUAL'").select(F.lit("credited").alias("name"), "question_id").unionByName(j.where("timed_out_side IS NOT NULL").select(F.lit("timed out").alias("name"), "question_id"))
+    return runs.published(found, j.where("question_id % 3 <> 1"))
+
+
+_COPY_CUSTOMER = "SELECT c_custkey, c_name, CASE WHEN c_custkey % 1000 = 1 THEN c_nationkey + 1 ELSE c_nationkey END AS c_nationkey FROM customer"
+
+
+@query("two_copies", f"SELECT 'customer' AS table_name, (SELECT count(*) FROM customer) AS rows, (SELECT count(*) FROM customer) AS other_rows, {_same_bag('SELECT c_custkey, c_name, c_nationkey FROM customer', _COPY_CUSTOMER)} AS same UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), NULL, false UNION ALL SELECT 'part', (SELECT count(*) FROM part), (SELECT count(*) FROM part), true")
+def _(spark, folder):
+    customer, part = run(spark, folder, "SELECT c_custkey, c_name, c_nationkey FROM customer"), table(spark, folder, "part")
+    return fixture.two_copies({"customer": customer, "nation": table(spark, folder, "nation"), "part": part}, {"customer": run(spark, folder, _COPY_CUSTOMER), "part": part.repartition(5, "p_size")})
+
+
 @query("split_three_way", "SELECT p_partkey AS question_id, CASE WHEN p_partkey % 7 = 0 THEN 'only_second' WHEN p_partkey % 11 = 0 THEN 'only_first' WHEN p_partkey % 3 = 0 THEN 'unchanged' WHEN p_partkey % 3 = 1 THEN 'text_only' ELSE 'rewritten' END AS change FROM part")
 def _(spark, folder):
     p = table(spark, folder, "part").select(F.col("p_partkey").alias("question_id"), F.concat(F.lit("SELECT "), "p_name").alias("statement"))
@@ -541,9 +649,12 @@ def _(spark, folder):
     return runs.probe_differences(j, none).select("question_id", F.array_join("a", ",").alias("a"))
 
 
-@query("copy_coverage", _J + "SELECT question_id, CAST(2 AS INT) AS named, CAST(1 AS INT) AS copied FROM j")
+@query("copy_coverage", _J + "SELECT question_id, CAST(CASE WHEN question_id % 2 = 0 THEN 2 WHEN question_id % 3 = 0 THEN 3 ELSE 1 END AS INT) AS named, CAST(CASE WHEN question_id % 2 = 0 THEN 1 WHEN question_id % 3 = 0 THEN 2 ELSE 0 END AS INT) AS copied FROM j")
 def _(spark, folder):
-    return runs.copy_coverage(judged(spark, folder).select("question_id", F.array(F.lit("orders"), F.lit("customer")).alias("tables")), ["orders", "nation"])
+    named = lambda *ts: F.array(*map(F.lit, ts))
+    k = F.col("question_id")
+    tables = F.when(k % 2 == 0, named("orders", "customer", "orders")).when(k % 3 == 0, named("part", "nation", "orders")).otherwise(named("part"))
+    return runs.copy_coverage(judged(spark, folder).select(k, tables.alias("tables")), ["orders", "nation"])
 
 
 @query("headline", _J + "SELECT count(*) AS whole, count(*) FILTER (cut) AS part, count(*) - count(*) FILTER (cut) AS rest FROM j")
@@ -590,7 +701,7 @@ passed_through("sql_left_join", "SELECT c_custkey, count(o_orderkey) AS orders F
 passed_through("sql_right_join", "SELECT s_suppkey, n_name FROM nation RIGHT JOIN supplier ON n_nationkey = s_nationkey AND n_regionkey = 1")
 passed_through("sql_full_join", "SELECT coalesce(a.n_nationkey, -1) AS a, coalesce(b.n_nationkey, -1) AS b FROM (SELECT * FROM nation WHERE n_nationkey < 15) a FULL OUTER JOIN (SELECT * FROM nation WHERE n_nationkey > 10) b ON a.n_nationkey = b.n_nationkey")
 passed_through("sql_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
-passed_through("sql_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+passed_through("sql_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 passed_through("sql_in_subquery", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 passed_through("sql_aggregates", "SELECT l_returnflag, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, min(l_extendedprice) AS low, max(l_extendedprice) AS high, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY l_returnflag")
 passed_through("sql_filter_aggregate", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 200000) AS big FROM orders GROUP BY o_orderstatus")
@@ -603,7 +714,7 @@ passed_through("sql_sort_limit_offset", "SELECT c_custkey, c_acctbal FROM custom
 passed_through("sql_union", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
 passed_through("sql_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 passed_through("sql_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
-passed_through("sql_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+passed_through("sql_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 passed_through("sql_cte", "WITH big AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey) SELECT c_name, top FROM big JOIN customer ON c_custkey = o_custkey WHERE top > 350000")
 passed_through("sql_recursive_cte", "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM t WHERE n < 20) SELECT n, f FROM t")
 passed_through("sql_from_subquery", "SELECT o_orderstatus, max(n) AS most FROM (SELECT o_orderstatus, o_custkey, count(*) AS n FROM orders GROUP BY o_orderstatus, o_custkey) x GROUP BY o_orderstatus")

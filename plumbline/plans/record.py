@@ -94,6 +94,11 @@ def replay(record: Record, df: DataFrame) -> bool:
     return digest_of([df.columns, keys.declared_types(df), fixture.content_digest(df).first().asDict()]) == record.result_digest
 
 
+def names_note(gold: DataFrame, second: DataFrame) -> dict[str, list[str]]:
+    """Both results' column names where they differ, else nothing."""
+    return {} if gold.columns == second.columns else {"gold": gold.columns, "second": second.columns}
+
+
 @dataclass
 class Counterexample:
     question_id: int
@@ -101,8 +106,9 @@ class Counterexample:
     mechanism: str | None
     set_reading: int
     differing: list = field(default_factory=list)
+    names: dict = field(default_factory=dict)
 
     @classmethod
     def of(cls, question_id: int, verdict: str, mechanism: str | None, set_reading: int, gold: DataFrame, second: DataFrame) -> Counterexample:
         rows = [r.asDict() for r in multiset.bounded_difference(gold, second).collect()]
-        return cls(question_id, verdict, mechanism, set_reading, rows)
+        return cls(question_id, verdict, mechanism, set_reading, rows, names_note(gold, second))

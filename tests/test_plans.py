@@ -254,3 +254,49 @@ def test_batches_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     stream.awaitTermination(60)
     assert seen == [True]
+
+
+def test_a_bare_column_beside_an_aggregate_is_refused(spark):
+    tables = {"t": spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")}
+    questions = spark.createDataFrame([(1, "db", "How many?", "SELECT v, count(*) FROM t GROUP BY k"), (2, "db", "How many?", "SELECT k, count(*) FROM t GROUP BY k")], "question_id long, db_id string, question string, SQL string")
+    rows = {r["question_id"]: r for r in audit.audit(spark, questions, tables, timeout=None).collect()}
+    assert (rows[1]["verdict"], rows[1]["error_side"]) == ("ERROR", "gold")
+    assert "MISSING_AGGREGATION" in rows[1]["error"]
+    assert rows[2]["verdict"] == "GOLD-ONLY"
+    # seconds of each phase, of the failed one too, and no more than the whole
+    assert set(rows[1]["phases"]) == {"gold"} and set(rows[2]["phases"]) == {"gold", "probes"}
+    assert all(0 < sum(r["phases"].values()) <= r["seconds"] for r in rows.values())
+
+
+def test_names_are_noted_only_where_they_differ(spark):
+    a, b = spark.sql("SELECT 1 AS x, 2 AS y"), spark.sql("SELECT 1 AS x, 3 AS z")
+    assert record.names_note(a, a) == {}
+    assert record.names_note(a, b) == {"gold": ["x", "y"], "second": ["x", "z"]}
+    assert record.Counterexample.of(1, "NOT_EQUAL", "other", 0, a, b).names == {"gold": ["x", "y"], "second": ["x", "z"]}
+
+
+def test_a_witness_is_the_smallest_row_of_the_class_found(spark):
+    of = lambda vs, kind: spark.createDataFrame([(v,) for v in vs], f"v {kind}")
+    gold = of([1, 2, 2], "int")
+    for second, found in ((of([2, 1, 2], "int"), "identical"), (of([1, 1, 2], "int"), "multiplicity"), (of([1.0, 2.0, 2.0], "double"), "typed-only"), (of([2, 3, 3], "int"), "different-rows")):
+        row = runs.answer_of(gold, second).first()
+        assert row["class"] == found
+        assert (row["witness"] is None) == (found == "identical")
+    assert runs.answer_of(gold, of([2, 3, 3], "int")).first()["witness"] == runs.answer_of(gold, of([2, 2], "int")).first()["witness"]
+    assert runs.answer_of(gold.limit(0), gold.limit(0)).first().asDict() == {"class": "identical", "witness": None}
+
+
+def test_copies_may_lack_tables_or_hold_none(spark):
+    t = spark.range(3)
+    rows = lambda df: sorted((r["table_name"], r["rows"], r["other_rows"], r["same"]) for r in df.collect())
+    assert rows(fixture.two_copies({"t": t}, {"t": spark.range(2, -1, -1)})) == [("t", 3, 3, True)]
+    assert rows(fixture.two_copies({"t": t}, {})) == [("t", 3, None, False)]
+    assert rows(fixture.two_copies({"t": t.limit(0)}, {"t": t.limit(0), "u": t})) == [("t", 0, 0, True), ("u", None, 3, False)]
+    with pytest.raises(ValueError):
+        fixture.two_copies({}, {})
+
+
+def test_small_samples_keep_all_rows(spark):
+    assert runs.strided_sample(spark.range(99), ["id"], 50).count() == 99
+    assert [r["id"] for r in runs.strided_sample(spark.range(230), ["id"], 50).orderBy("id").collect()] == [4 * i for i in range(50)]
+    assert runs.strided_sample(spark.range(0), ["id"], 50).count() == 0
