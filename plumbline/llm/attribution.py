@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,24 +80,24 @@ class Spans:
         if not checked:
             refuse_other(self.tokenizer)
         self.tokenizer.encode_special_tokens = True
-        self.cache = PieceCache(self._encode, 3)
-
-    def _encode(self, pieces: list[str]) -> list[list]:
-        ids, starts, ends = [], [], []
-        for e in (e for some in slices(pieces) for e in self.tokenizer.encode_batch(some, add_special_tokens=False)):
-            ids.append(e.ids)
-            # a token of spaces alone is reported without its characters; spans here are of all characters
-            o = e.offsets
-            starts.append([a for a, _ in o])
-            ends.append([b for _, b in o])
-        for piece, s, e in zip(pieces, starts, ends, strict=True):
-            if s:
-                s[0] = 0
-                e[-1] = len(piece)
-                for i in range(1, len(s)):
-                    if s[i] > e[i - 1]:
-                        s[i] = e[i - 1]
-        return [ids, starts, ends]
+        self.cache = PieceCache(self._encode, 3, joined=True)
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        counts, ids, spans = [], [], [np.zeros(0, np.int32)]
+        for some in slices(pieces):
+            encoded = self.tokenizer.encode_batch(some, add_special_tokens=False)
+            counts += map(len, encoded)
+            ids.append(np.fromiter(chain.from_iterable(e.ids for e in encoded), np.int32))
+            spans.append(np.fromiter(chain.from_iterable(x for e in encoded for x in e.offsets), np.int32))
+        n, size = np.array(counts, np.int64), np.fromiter(map(len, pieces), np.int32, len(pieces))
+        starts, ends = np.concatenate(spans).reshape(-1, 2).T.copy()
+        # a token of spaces alone is reported without its characters; spans here are of all characters
+        starts[1:] = np.minimum(starts[1:], ends[:-1])
+        some = n > 0
+        last = np.cumsum(n)[some] - 1
+        starts[last - n[some] + 1] = 0
+        ends[last] = size[some]
+        return n, [np.concatenate(ids), starts, ends]
 
     def pieces(self, text: str) -> list[str]:
         return (self.wide if _WIDE_TEXT.search(text) else NARROW).findall(text)

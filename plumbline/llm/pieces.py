@@ -7,6 +7,7 @@ pre-tokens in order, whatever batch they came in.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -26,13 +27,14 @@ def slices(pieces: list[str], size: int = 2048) -> Iterator[list[str]]:
 
 
 class PieceCache:
-    """encode: takes distinct pre-tokens and returns for each a list of integers, in one or more parallel columns.
+    """encode: takes distinct pre-tokens and returns for each a list of integers, in one or more parallel columns; if
+    joined, how many each has and the columns with all of them in order.
 
     limit: pre-tokens held at most; beyond it the cache starts anew before the next batch, which changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[np.ndarray]]], columns: int = 1, limit: int = 200_000):
-        self.encode, self.columns, self.limit = encode, columns, limit
+    def __init__(self, encode: Callable[[list[str]], list[list[np.ndarray]]], columns: int = 1, limit: int = 200_000, joined: bool = False):
+        self.encode, self.columns, self.limit, self.joined = encode, columns, limit, joined
         self._clear()
 
     def _clear(self) -> None:
@@ -48,10 +50,14 @@ class PieceCache:
         index = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
         if len(self.numbers) > known:
             new = list(self.numbers)[known:] if known else list(self.numbers)
-            encoded = self.encode(new)
-            counts = np.fromiter(map(len, encoded[0]), np.int64, len(new))
+            if self.joined:
+                counts, encoded = self.encode(new)
+            else:
+                lists = self.encode(new)
+                counts = np.fromiter(map(len, lists[0]), np.int64, len(new))
+                encoded = [np.fromiter(chain.from_iterable(more), np.int32, int(counts.sum())) for more in lists]
             self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(counts)))
-            self.flat = [np.concatenate((old, np.fromiter((x for xs in more for x in xs), np.int32, int(counts.sum())))) for old, more in zip(self.flat, encoded, strict=True)]
+            self.flat = [np.concatenate((old, more)) for old, more in zip(self.flat, encoded, strict=True)]
         begin = self.begins[index]
         counts = self.begins[index + 1] - begin
         of = np.repeat(np.arange(len(pieces)), counts)
