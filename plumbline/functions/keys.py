@@ -95,6 +95,12 @@ def cells(df: DataFrame) -> list[Column]:
     return [cell_key(df[f"`{f.name}`"] if df.columns.count(f.name) == 1 else df[i], f.dataType) for i, f in enumerate(df.schema.fields)]
 
 
+def by_place_but(df: DataFrame, pos: str) -> DataFrame:
+    """df with its columns named c0 and so on, whatever their names, but for one of places, which is _pos."""
+    n = iter(range(len(df.columns)))
+    return df.toDF(*("_pos" if c == pos else f"c{next(n)}" for c in df.columns))
+
+
 def by_place(df: DataFrame) -> DataFrame:
     """df with its columns named by place, as two of a result's columns may share a name."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

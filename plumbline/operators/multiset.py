@@ -60,10 +60,7 @@ def shared_distinct(gold: DataFrame, second: DataFrame) -> DataFrame:
 
 def repeated(df: DataFrame, pos: str | None = None) -> DataFrame:
     """(key, n, first_pos) of typed rows that occur more than once. pos: a column of places, not part of the key."""
-    places = df.select(pos).schema if pos else None
-    own = keys.by_place(df.drop(pos) if pos else df)
-    rows = keys.by_place(df.select(*(c for c in df.columns if c != pos), *([pos] if pos else [])))
-    names = [f"c{i}" for i in range(len(own.columns))]
-    key = keys.row_key(rows.select(*names))
-    first = F.min(f"c{len(names)}") if places else F.lit(None).cast("long")
+    rows = keys.by_place_but(df, pos) if pos else keys.by_place(df)
+    key = keys.row_key(rows.drop("_pos"))
+    first = F.min("_pos") if pos else F.lit(None).cast("long")
     return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), first.alias("first_pos")).where("n > 1")

@@ -16,8 +16,7 @@ from plumbline.functions import keys
 def lines(df: DataFrame, pos: str = "_pos", typed: bool = False) -> DataFrame:
     """(_pos, line): the canonical text of each row; typed: also key, its typed cells with exact values."""
     own = keys.by_place(df.drop(pos))
-    placed = df.select(pos, *(c for c in df.columns if c != pos)).toDF("_pos", *own.columns)
-    return placed.select("_pos", keys.canonical_line(own).alias("line"), *([keys.row_key(own).alias("key")] if typed else []))
+    return keys.by_place_but(df, pos).select("_pos", keys.canonical_line(own).alias("line"), *([keys.row_key(own).alias("key")] if typed else []))
 
 
 def compared(gold: DataFrame, second: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import keys
+from plumbline.operators.order import with_pos
 
 #: Fixed value: rows that the search for an order of columns may compare.
 PERMUTATION_BUDGET = 20_000_000
@@ -87,10 +88,24 @@ def permuted_reading(gold: DataFrame, second: DataFrame, ordered: bool, budget:
     return False
 
 
+def test_suite_reading(gold: DataFrame, second: DataFrame, gold_sql: str, budget: int = PERMUTATION_BUDGET) -> int | None:
+    """1 or 0: the results agree under some order of columns, in order if the gold's text holds `order by` anywhere.
+    None where the search for an order of columns is beyond its budget."""
+    in_order = "order by" in gold_sql.lower()
+    sides = [with_pos(df) for df in (gold, second)] if in_order else [gold, second]
+    try:
+        return int(permuted_reading(*sides, in_order, budget))
+    except PermutationBudget:
+        return None
+
+
+#: Not a test, whatever pytest makes of its name.
+test_suite_reading.__test__ = False
+
+
 def _placed(df: DataFrame) -> DataFrame:
     own = keys.by_place(df.drop("_pos"))
-    named = df.select(*(c for c in df.columns if c != "_pos"), "_pos").toDF(*own.columns, "_pos")
-    return named.select("_pos", *(F.coalesce(keys.set_reading_key(F.col(f.name), f.dataType), F.lit("null:")).alias(f.name) for f in own.schema.fields))
+    return keys.by_place_but(df, "_pos").select("_pos", *(F.coalesce(keys.set_reading_key(F.col(f.name), f.dataType), F.lit("null:")).alias(f.name) for f in own.schema.fields))
 
 
 def _unequal(g: DataFrame, s: DataFrame, gold_key: Column, second_key: Column, ordered: bool) -> bool:
@@ -117,10 +132,9 @@ def rounded_ordered_reading(gold: DataFrame, second: DataFrame, places: int = 2)
 
     def rounded(df, name):
         own = keys.by_place(df.drop("_pos"))
-        named = df.select("_pos", *(c for c in df.columns if c != "_pos")).toDF("_pos", *own.columns)
         cells = [F.round(f.name, places).cast("double") if isinstance(f.dataType, T.DecimalType | T.DoubleType | T.FloatType) else F.col(f.name) for f in own.schema.fields]
         kinds = [T.DoubleType() if isinstance(f.dataType, T.DecimalType | T.DoubleType | T.FloatType) else f.dataType for f in own.schema.fields]
-        return named.select("_pos", F.array(*(F.coalesce(keys.set_reading_key(c, k), F.lit("null:")) for c, k in zip(cells, kinds, strict=True))).alias(name))
+        return keys.by_place_but(df, "_pos").select("_pos", F.array(*(F.coalesce(keys.set_reading_key(c, k), F.lit("null:")) for c, k in zip(cells, kinds, strict=True))).alias(name))
 
     both = rounded(gold, "a").join(rounded(second, "b"), "_pos", "full_outer")
     return both.agg(F.coalesce(F.bool_and(F.col("a").eqNullSafe(F.col("b"))), F.lit(True)).cast("int").alias("agrees"))
@@ -136,7 +150,7 @@ def named_columns_reading(gold: DataFrame, second: DataFrame) -> DataFrame:
 def column_existence_reading(gold: DataFrame, second: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Whether for each column of gold some column of second holds its values, place by place, numbers within a
     tolerance and nulls as 0. Both carry _pos. One row: agrees."""
-    a, b = (df.select("_pos", *(c for c in df.columns if c != "_pos")).toDF("_pos", *(f"{p}{i}" for i in range(len(df.columns) - 1))) for df, p in ((gold, "a"), (second, "b")))
+    a, b = (df.toDF(*(c.replace("c", p) for c in keys.by_place_but(df, "_pos").columns)) for df, p in ((gold, "a"), (second, "b")))
     left, right = ([f for f in df.schema.fields if f.name != "_pos"] for df in (a, b))
 
     def near(x, y):

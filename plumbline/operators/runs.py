@@ -43,6 +43,12 @@ def credited_by_mechanism(run: DataFrame) -> DataFrame:
     return zero_filled(credited(run), "mechanism", MECHANISMS)
 
 
+def credited_split(run: DataFrame) -> DataFrame:
+    """(mechanism, test_suite, n) of the questions that set equality credits: whether the test-suite reading credits
+    them too (1), doesn't (0) or wasn't found out (null). Mechanisms without such questions have no row."""
+    return credited(run).groupBy("mechanism", "test_suite").agg(F.count("*").alias("n"))
+
+
 def errors_by_side(run: DataFrame) -> DataFrame:
     """(side, n, question_ids) of questions that timed out; both sides have a row."""
     sides = run.sparkSession.createDataFrame([("gold",), ("second",)], "side string")

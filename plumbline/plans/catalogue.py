@@ -17,7 +17,7 @@ from plumbline.operators import fixture, multiset, ordered, probes, readings, ru
 from plumbline.operators.mechanism import mechanism
 from plumbline.operators.order import with_pos
 from plumbline.plans import audit
-from plumbline.plans.statement import clause_difference, construct_census, parse, text_operands, token_difference
+from plumbline.plans.statement import clause_difference, construct_census, parse, text_operands, token_difference, without_distinct
 from plumbline.sources.tables import run, table
 
 _queries: dict = {}
@@ -153,6 +153,20 @@ def _(spark, folder):
     return _pairs(spark, folder, _HOME, {"swapped": _SWAPPED, "moved": _MOVED}, read)
 
 
+_STRIPPED = {"repeated": SECOND, "shorter": "SELECT DISTINCT c_mktsegment FROM customer"}
+_BARE = {"gold": GOLD.replace("DISTINCT ", ""), "repeated": SECOND, "shorter": "SELECT c_mktsegment FROM customer"}
+
+
+@query("distinct_stripped_reading", " UNION ALL ".join(f"SELECT '{n}' AS pair, CAST({_same_bag(GOLD, q)} AS INT) AS agrees, CAST({_same_bag(_BARE['gold'], _BARE[n])} AS INT) AS agrees_without_distinct" for n, q in _STRIPPED.items()))
+def _(spark, folder):
+    rows = []
+    for name, sql in _STRIPPED.items():
+        plain = readings.test_suite_reading(*_two(spark, folder, GOLD, sql), GOLD)
+        bare = readings.test_suite_reading(*_two(spark, folder, without_distinct(GOLD), without_distinct(sql)), GOLD)
+        rows.append((name, plain, bare))
+    return spark.createDataFrame(rows, "pair string, agrees int, agrees_without_distinct int")
+
+
 _DATES = {"repeated": "SELECT CAST(o_orderdate AS DATE) AS d FROM orders", "later": "SELECT CAST(o_orderdate AS DATE) + INTERVAL 1 DAY AS d FROM orders"}
 
 
@@ -339,6 +353,39 @@ def _(spark, folder):
     return spark.createDataFrame([(record.load(r.document()) == r, record.replay(r, e.frame(s)), record.replay(r, e.frame("SELECT n_name FROM nation ORDER BY n_nationkey")))], "loads boolean, replays boolean, replays_other boolean")
 
 
+_RECORDED = {"same": GOLD, "repeated": SECOND, "fewer": "SELECT DISTINCT c_mktsegment FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment < 'F'"}
+
+
+@query(
+    "recorded_comparison",
+    " UNION ALL ".join(f"SELECT '{n}' AS pair, {_same_bag(GOLD, q)} AS equal, (SELECT count(*) FROM ({GOLD})) AS gold_rows, (SELECT count(*) FROM ({q})) AS second_rows" for n, q in _RECORDED.items())
+    + " UNION ALL SELECT 'other tables', NULL, NULL, NULL",
+)
+def _(spark, folder):
+    """Records written with their rows, read again and compared; records over unlike tables are refused."""
+    from plumbline.plans import record
+    from plumbline.plans.session import Envelope
+    from plumbline.sources.scratch import scratch_folder
+
+    held = {t: table(spark, folder, t) for t in ("customer", "orders")}
+    e, at = Envelope.open(spark, held, row_budget=None), scratch_folder(spark, "records")
+    measured, gold = fixture.measure(held), parse(spark, GOLD)
+    for name, sql in ({"gold": GOLD} | _RECORDED).items():
+        df = e.result(sql)
+        record.keep(record.build(1, gold, e, df, measured, sql), df, at, name)
+    first = record.kept(spark, at, "gold")
+    rows = []
+    for name in _RECORDED:
+        row = audit.compare_records(*first, *record.kept(spark, at, name)).first()
+        rows.append((name, row["equal"], row["gold_rows"], row["second_rows"]))
+    df = e.result(GOLD)
+    try:
+        audit.compare_records(*first, record.build(1, gold, e, df, fixture.measure({"customer": held["customer"]})), df)
+    except audit.NotComparable:
+        rows.append(("other tables", None, None, None))
+    return spark.createDataFrame(rows, "pair string, equal boolean, gold_rows long, second_rows long")
+
+
 @query("float_sum_orders")
 def _(spark, folder):
     from plumbline.operators.shuffle import float_sums
@@ -466,6 +513,12 @@ def _(spark, folder):
     return runs.credited_by_mechanism(judged(spark, folder))
 
 
+@query("credited_by_test_suite", _J + "SELECT mechanism, test_suite, count(*) AS n FROM (SELECT *, CASE WHEN question_id % 4 = 0 THEN NULL ELSE CAST(question_id % 4 = 1 AS INT) END AS test_suite FROM j WHERE set_reading = 1 AND verdict = 'NOT_EQUAL') GROUP BY 1, 2")
+def _(spark, folder):
+    k = F.col("question_id") % 4
+    return runs.credited_split(judged(spark, folder).withColumn("test_suite", F.when(k != 0, (k == 1).cast("int"))))
+
+
 @query("timed_out_by_side", _J + "SELECT timed_out_side AS side, count(*) AS n, sum(question_id)::BIGINT AS ids FROM j WHERE timed_out_side IS NOT NULL GROUP BY 1")
 def _(spark, folder):
     return runs.errors_by_side(judged(spark, folder)).select("side", "n", F.aggregate("question_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))

@@ -6,11 +6,14 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import keys
 from plumbline.operators import fixture, multiset, ordered
 from plumbline.operators.order import with_pos
+from plumbline.sources.scratch import write_text
 
 REQUIRED = ("question_id", "statement", "rule", "ordering", "fixture", "engine", "settings", "serialization", "columns", "types", "rows", "truncated", "result_digest", "parameters")
 
@@ -65,15 +68,16 @@ def load(document: dict) -> Record:
     return Record(**{k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in body.items()})
 
 
-def build(question_id: int, statement, envelope, df: DataFrame, held: dict) -> Record:
-    """A record of a statement's result. An ordered result is hashed in order, a set by a checksum of its rows."""
+def build(question_id: int, statement, envelope, df: DataFrame, held: dict, sql: str | None = None) -> Record:
+    """A record of a statement's result. An ordered result is hashed in order, a set by a checksum of its rows. sql: the
+    text that ran, where it is another than the statement whose rule and ordering it is held to."""
     if statement.rule == "ordered":
         found = ordered.digest(with_pos(df), df.columns)
         rows = df.count()
     else:
         content = fixture.content_digest(df).first().asDict()
         rows, found = content["rows"], digest_of([df.columns, keys.declared_types(df), content])
-    return Record(question_id, statement.sql, statement.rule, tuple((k.expression, k.descending, k.nulls_first) for k in statement.ordering), held, envelope.identity(), envelope.settings(), {"scale": keys.SCALE, "null": "NULL", "time_zone": "UTC"}, tuple(df.columns), tuple(keys.declared_types(df)), rows, False, found, ())
+    return Record(question_id, sql or statement.sql, statement.rule, tuple((k.expression, k.descending, k.nulls_first) for k in statement.ordering), held, envelope.identity(), envelope.settings(), {"scale": keys.SCALE, "null": "NULL", "time_zone": "UTC"}, tuple(df.columns), tuple(keys.declared_types(df)), rows, False, found, ())
 
 
 def mismatches(a: Record, b: Record) -> list[str]:
@@ -94,6 +98,28 @@ def replay(record: Record, df: DataFrame) -> bool:
     return digest_of([df.columns, keys.declared_types(df), fixture.content_digest(df).first().asDict()]) == record.result_digest
 
 
+def keep(record: Record, df: DataFrame, folder: str, name: str) -> None:
+    """Writes a record and its rows, with their places, to a folder that driver and executors share: name.json and the
+    Parquet folder name.rows, whose columns are c0 and so on, as names may repeat."""
+    own = keys.by_place(df)
+    rows = with_pos(df.toDF(*own.columns))
+    kinds = {f.name: f.dataType for f in own.schema.fields}
+    rows.select("_pos", *(F.col(c).cast("string").alias(c) if isinstance(t, T.NullType) else F.col(c) for c, t in kinds.items())).write.mode("overwrite").parquet(f"{folder}/{name}.rows")
+    write_text(df.sparkSession, f"{folder}/{name}.json", json.dumps(record.document(), sort_keys=True, indent=1, ensure_ascii=False) + "\n")
+
+
+def kept(spark: SparkSession, folder: str, name: str) -> tuple[Record, DataFrame]:
+    """A record and its rows, in their order; both are refused if the rows don't have the record's digest."""
+    record = load(json.loads(spark.read.text(f"{folder}/{name}.json", wholetext=True).first()["value"]))
+    rows = spark.read.parquet(f"{folder}/{name}.rows").orderBy("_pos")
+    void = keys.declared_type(T.NullType())
+    cells = [F.lit(None).alias(f"c{i}") if t == void else F.col(f"c{i}") for i, t in enumerate(record.types)]
+    df = rows.select(*cells).toDF(*record.columns)
+    if not replay(record, df):
+        raise IncompleteEvidence(f"the rows of {name} don't have the record's digest")
+    return record, df
+
+
 def names_note(gold: DataFrame, second: DataFrame) -> dict[str, list[str]]:
     """Both results' column names where they differ, else nothing."""
     return {} if gold.columns == second.columns else {"gold": gold.columns, "second": second.columns}
@@ -101,14 +127,31 @@ def names_note(gold: DataFrame, second: DataFrame) -> dict[str, list[str]]:
 
 @dataclass
 class Counterexample:
+    """What a reader needs to see and repeat a disagreement. gold and second: each side's statement, rows, distinct
+    rows and digest; differing: the most frequent rows of the difference; differing_totals: how many there are."""
+
     question_id: int
     verdict: str
     mechanism: str | None
     set_reading: int
     differing: list = field(default_factory=list)
     names: dict = field(default_factory=dict)
+    test_suite: int | None = None
+    rule: str | None = None
+    ordering: list = field(default_factory=list)
+    fixture: dict = field(default_factory=dict)
+    first_difference: int | None = None
+    differing_totals: dict = field(default_factory=dict)
+    gold: dict = field(default_factory=dict)
+    second: dict = field(default_factory=dict)
 
     @classmethod
-    def of(cls, question_id: int, verdict: str, mechanism: str | None, set_reading: int, gold: DataFrame, second: DataFrame) -> Counterexample:
+    def of(cls, question_id: int, verdict: str, mechanism: str | None, set_reading: int, gold: DataFrame, second: DataFrame, records: tuple[Record, Record] | None = None, test_suite: int | None = None, first_difference: int | None = None) -> Counterexample:
         rows = [r.asDict() for r in multiset.bounded_difference(gold, second).collect()]
-        return cls(question_id, verdict, mechanism, set_reading, rows, names_note(gold, second))
+        totals = {f"{r['side']}_rows": r["n"] for r in multiset.difference(gold, second).groupBy("side").agg(F.sum("n").alias("n")).collect()}
+        one = cls(question_id, verdict, mechanism, set_reading, rows, names_note(gold, second), test_suite, first_difference=first_difference, differing_totals={"gold_rows": 0, "second_rows": 0} | totals)
+        if records:
+            side = lambda r: {"statement": r.statement, "rows": r.rows, "result_digest": r.result_digest, "types": list(r.types)}
+            one.rule, one.ordering, one.fixture = records[0].rule, [list(k) for k in records[0].ordering], records[0].fixture
+            one.gold, one.second = side(records[0]), side(records[1])
+        return one

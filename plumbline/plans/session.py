@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.plans.statement import Statement, parse
+from plumbline.sources.scratch import settled, unsettle
 
 #: Settings on which a result may depend; two records compare only if these agree.
 PINNED = {
@@ -93,31 +94,43 @@ class Envelope:
         self.check()
         return self.spark.sql(sql.sql if isinstance(sql, Statement) else parse(self.spark, sql).sql)
 
-    def within_budget(self, df: DataFrame) -> DataFrame:
-        """df, after it is known to have no more rows than allowed. Reads one row more than that at most."""
-        if self.row_budget is not None and self.timed(lambda: df.limit(self.row_budget + 1).count()) > self.row_budget:
+    def result(self, sql: str | Statement) -> DataFrame:
+        """A statement's result: run once, within the timeout, and held, with no more rows than allowed. One row more
+        than that is read at most."""
+        df = self.frame(sql)
+        held = self.timed(lambda: settled(df if self.row_budget is None else df.limit(self.row_budget + 1)))
+        if self.row_budget is not None and held.count() > self.row_budget:
+            unsettle(held)
             raise RowBudgetExceeded(f"more than {self.row_budget} rows")
-        return df
+        return held
 
     def timed(self, action):
-        """action(), whose jobs are cancelled after the timeout."""
+        """action(), whose jobs are cancelled once the timeout is over, those that it starts afterwards too."""
         if self.timeout is None:
             return action()
-        context, tag, fired = self.spark.sparkContext, f"plumbline-{uuid.uuid4().hex}", threading.Event()
+        context, tag = self.spark.sparkContext, f"plumbline-{uuid.uuid4().hex}"
+        fired, done = threading.Event(), threading.Event()
 
-        def stop():
-            fired.set()
-            context.cancelJobsWithTag(tag)
+        def watch():
+            if not done.wait(self.timeout):
+                fired.set()
+                context.cancelJobsWithTag(tag)
+                while not done.wait(0.1):
+                    context.cancelJobsWithTag(tag)
 
-        timer = threading.Timer(self.timeout, stop)
+        watcher = threading.Thread(target=watch, daemon=True)
         context.addJobTag(tag)
-        timer.start()
+        watcher.start()
         try:
-            return action()
+            found = action()
         except Exception as e:
             if fired.is_set():
                 raise StatementTimedOut(f"stopped after {self.timeout} s") from e
             raise
         finally:
-            timer.cancel()
+            done.set()
+            watcher.join()
             context.removeJobTag(tag)
+        if fired.is_set():
+            raise StatementTimedOut(f"took more than {self.timeout} s")
+        return found

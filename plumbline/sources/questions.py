@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,11 +41,13 @@ def write_json(path: str, document: object) -> None:
         Path(temporary).unlink(missing_ok=True)
 
 
-def write_question(out: str, question_id: int, documents: dict[str, object]) -> None:
+def write_question(out: str, question_id: int, documents: dict[str, object]) -> str:
+    """The folder of a question's documents."""
     at = Path(out) / f"q{question_id}"
     at.mkdir(parents=True, exist_ok=True)
     for name, document in documents.items():
         write_json(str(at / name), document)
+    return str(at)
 
 
 MARKER = ".plumbline-run"
@@ -58,9 +61,7 @@ def clear_output(out: str) -> None:
     folder.mkdir(parents=True, exist_ok=True)
     (folder / MARKER).touch()
     for q in folder.glob("q[0-9]*"):
-        for f in q.iterdir():
-            f.unlink()
-        q.rmdir()
+        shutil.rmtree(q)
 
 
 def read_questions(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:

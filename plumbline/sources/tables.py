@@ -26,6 +26,19 @@ def run(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def folder_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a folder by name: each entry `name.parquet`, a file or a folder, on any file system of Spark's."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        raise FileNotFoundError(f"no folder {folder}")
+    names = sorted(str(f.getPath().getName()) for f in system.listStatus(path))
+    found = {n.removesuffix(".parquet"): spark.read.parquet(f"{folder}/{n}") for n in names if n.endswith(".parquet")}
+    if not found:
+        raise FileNotFoundError(f"no Parquet tables in {folder}")
+    return found
+
+
 def register_database(spark: SparkSession, name: str, folder: str, tables: list[str]) -> None:
     """A database of external tables over Parquet files."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")

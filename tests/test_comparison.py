@@ -163,3 +163,16 @@ def test_mechanism_precedence(spark):
 def test_text_types(spark):
     assert keys.declared_type(T.DecimalType(10, 2)) == keys.declared_type(T.DecimalType(5, 1)) == "decimal"
     assert keys.declared_type(T.VarcharType(3)) == "string" and keys.is_text(T.CharType(2))
+
+
+def test_columns_of_one_name_are_told_apart_by_place(spark):
+    a = with_pos(spark.sql("SELECT id AS v, id % 2 AS v, 1.5D AS v FROM range(4) ORDER BY id"))
+    b = with_pos(spark.sql("SELECT id AS v, 0L AS v, 1.501D AS v FROM range(4) ORDER BY id"))
+    assert ordered.verdict(a, a).first()["equal"] and ordered.verdict(a, b).first()["first_difference"] == 0
+    assert ordered.place_map(a, a).where("gold_pos <> second_pos").count() == 0
+    assert readings.rounded_ordered_reading(a, a).first()["agrees"] == 1 and readings.rounded_ordered_reading(a, b).first()["agrees"] == 0
+    assert readings.column_existence_reading(a, a).first()["agrees"] == 1 and readings.column_existence_reading(a, b).first()["agrees"] == 0
+    assert readings.permuted_reading(a, a, True) and not readings.permuted_reading(a, b, True)
+    twice = with_pos(spark.sql("SELECT 1 AS v, 'x' AS v FROM range(3)"))
+    assert [(r["n"], r["first_pos"]) for r in multiset.repeated(twice, "_pos").collect()] == [(3, 0)]
+    assert multiset.repeated(a, "_pos").isEmpty()

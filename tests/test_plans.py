@@ -6,7 +6,8 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import fixture, probes, runs, shuffle, windows
+from plumbline import __main__ as command
+from plumbline.operators import fixture, probes, readings, runs, shuffle, windows
 from plumbline.operators.order import with_pos
 from plumbline.plans import audit, record, session
 from plumbline.plans import statement as S
@@ -62,7 +63,7 @@ def test_a_session_of_its_own(views):
     e = session.Envelope.open(views, demo.tables(views), row_budget=3)
     assert e.frame("SELECT count(*) AS n FROM shop").first()["n"] == 4
     with pytest.raises(session.RowBudgetExceeded):
-        e.within_budget(e.frame("SELECT * FROM sale"))
+        e.result("SELECT * FROM sale")
     e.spark.conf.set("spark.sql.caseSensitive", "true")
     with pytest.raises(session.SessionDrifted):
         e.check()
@@ -300,3 +301,86 @@ def test_small_samples_keep_all_rows(spark):
     assert runs.strided_sample(spark.range(99), ["id"], 50).count() == 99
     assert [r["id"] for r in runs.strided_sample(spark.range(230), ["id"], 50).orderBy("id").collect()] == [4 * i for i in range(50)]
     assert runs.strided_sample(spark.range(0), ["id"], 50).count() == 0
+
+
+def test_a_probe_and_a_statement_are_stopped_by_the_timeout(spark):
+    slow = "SELECT count(*) AS n FROM range(0, 40000000, 1, 400) a WHERE java_method('java.lang.Math', 'abs', CAST(a.id AS INT)) <> '-1'"
+    e = session.Envelope.open(spark, timeout=1.0)
+    with pytest.raises(session.StatementTimedOut):
+        e.result(slow)
+    # jobs that begin after the time is over are stopped too
+    with pytest.raises(session.StatementTimedOut):
+        e.timed(lambda: [e.frame("SELECT count(*) AS n FROM range(1000)").first() for _ in range(2000)])
+    assert e.timed(lambda: 5) == 5
+    tables = {"t": spark.createDataFrame([(1,), (2,)], "k int")}
+    asked = spark.createDataFrame([(1, "db", "How many?", slow.replace("range(0, 40000000, 1, 400) a", "t CROSS JOIN range(0, 40000000, 1, 400) a"))], "question_id long, db_id string, question string, SQL string")
+    row = audit.audit(spark, asked, tables, timeout=1.0).first()
+    assert (row["verdict"], row["timed_out_side"]) == ("ERROR", "gold")
+
+
+def test_kept_records_compare_without_their_statements(spark, tmp_path):
+    tables = demo.tables(spark)
+    e, held = session.Envelope.open(spark, tables), fixture.measure(tables)
+    for sql, rule in (("SELECT id, id, NULL AS v, name FROM shop ORDER BY id DESC", "ordered"), ("SELECT name, CAST(id AS DECIMAL(9,2)) AS d FROM shop", "set"), ("SELECT name FROM shop WHERE id > 99", "set")):
+        s = S.parse(spark, sql)
+        df = e.result(s)
+        record.keep(record.build(1, s, e, df, held), df, str(tmp_path / rule), "gold")
+        again, rows = record.kept(spark, str(tmp_path / rule), "gold")
+        assert again.rule == rule and rows.columns == df.columns and [tuple(r) for r in rows.collect()] == [tuple(r) for r in df.collect()]
+        assert audit.compare_records(again, rows, again, df).first()["equal"]
+        other = record.build(1, s, e, df, fixture.measure({"shop": tables["shop"]}))
+        with pytest.raises(audit.NotComparable):
+            audit.compare_records(again, rows, other, df)
+    spark.range(3).selectExpr("id AS _pos", "CAST(id AS STRING) AS c0").write.mode("overwrite").parquet(str(tmp_path / "set/gold.rows"))
+    with pytest.raises(record.IncompleteEvidence):
+        record.kept(spark, str(tmp_path / "set"), "gold")
+
+
+def test_a_statement_without_its_distincts():
+    assert S.without_distinct("SELECT DISTINCT a, count(DISTINCT b) FROM t") == "SELECT a, count( b) FROM t"
+    for same in ("SELECT a IS DISTINCT FROM b FROM t", "SELECT a IS NOT DISTINCT FROM b FROM t", "SELECT 'distinct', `distinct` FROM t", ""):
+        assert S.without_distinct(same) == same
+
+
+def test_the_test_suite_reading_goes_by_the_gold_text(spark):
+    a, b = spark.sql("SELECT id, 'x' AS v FROM range(3) ORDER BY id"), spark.sql("SELECT 'x' AS w, id FROM range(3) ORDER BY id DESC")
+    assert readings.test_suite_reading(a, b, "SELECT 1") == 1
+    assert readings.test_suite_reading(a, b, "SELECT 1 Order By 1") == 0
+    assert readings.test_suite_reading(a, a, "SELECT 1 ORDER BY 1") == 1
+    assert readings.test_suite_reading(a, b.limit(2), "SELECT 1") == 0
+    assert readings.test_suite_reading(a.limit(0), b.limit(0).select("w"), "SELECT 1") == 1
+    assert readings.test_suite_reading(a, a, "SELECT 1", budget=2) is None
+
+
+def test_the_plan_variant_is_asked_in_runs(spark):
+    tables = {"t": spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, v double")}
+    asked = spark.createDataFrame([(1, "db", "Which?", "SELECT k FROM t"), (2, "db", "Which?", "SELECT spark_partition_id() AS p, count(*) AS n FROM (SELECT /*+ REPARTITION(t.k) */ k FROM t) GROUP BY 1")], "question_id long, db_id string, question string, SQL string")
+    fired = {r["question_id"]: r["probes"] for r in audit.audit(spark, asked, tables, timeout=None, plan_variant=True).collect()}
+    assert fired[1] == []
+
+
+def test_the_command_line(spark, tmp_path, capsys):
+    for name, df in demo.tables(spark).items():
+        df.write.parquet(str(tmp_path / "tables" / f"{name}.parquet"))
+    (tmp_path / "q.json").write_text(json.dumps(demo.QUESTIONS))
+    (tmp_path / "p.json").write_text(json.dumps({str(q["question_id"]): demo.PREDICTIONS.get(q["question_id"], q["SQL"]) for q in demo.QUESTIONS}))
+    out = tmp_path / "out"
+    base = ["audit", "--questions", str(tmp_path / "q.json"), "--tables", str(tmp_path / "tables"), "--out", str(out)]
+    assert command.main([*base, "--predictions", str(tmp_path / "p.json"), "--keep-rows", "--timeout", "0"], spark) == 1
+    first = capsys.readouterr().out
+    assert "q1 | NOT_EQUAL | multiplicity | set reading credits it" in first and "q5 | EQUAL" in first
+    assert command.main(["report", "--out", str(out)]) == 1 and capsys.readouterr().out == first
+    assert command.main(["compare", str(out / "q1/gold.json"), str(out / "q1/second.json")], spark) == 1
+    assert capsys.readouterr().out == "NOT_EQUAL | multiplicity\n"
+    assert command.main(["compare", str(out / "q1/gold.json"), str(out / "q1/gold.json")], spark) == 0
+    told = json.loads((out / "summary.json").read_text())
+    assert told["inputs"].keys() == {str(tmp_path / "q.json"), str(tmp_path / "p.json")} and told["credited_by_test_suite"]["multiplicity"] == {"also": 0, "not": 1, "unknown": 0}
+    found = json.loads((out / "q1/counterexample.json").read_text())
+    assert found["gold"]["statement"] == demo.QUESTIONS[0]["SQL"] and found["second"]["statement"] == demo.PREDICTIONS[1]
+    assert found["differing_totals"] == {"gold_rows": 0, "second_rows": 12} and found["test_suite"] == 0 and found["rule"] == "set"
+    # only some questions, without predictions
+    assert command.main([*base, "--ids", "5"], spark) == 0 and not list(out.glob("q[0-9]*"))
+    # what can't begin
+    capsys.readouterr()
+    for bad in ([*base, "--ids", "77"], [*base, "--by", "id"], [*base[:3], "--tables", str(tmp_path / "none"), "--out", str(out)], ["report", "--out", str(tmp_path / "none")], ["compare", str(out / "a.json"), str(out / "b.json")]):
+        assert command.main(bad, spark) == command.REFUSED, bad
