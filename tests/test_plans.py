@@ -352,11 +352,20 @@ def test_the_test_suite_reading_goes_by_the_gold_text(spark):
     assert readings.test_suite_reading(a, a, "SELECT 1", budget=2) is None
 
 
-def test_the_plan_variant_is_asked_in_runs(spark):
-    tables = {"t": spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, v double")}
-    asked = spark.createDataFrame([(1, "db", "Which?", "SELECT k FROM t"), (2, "db", "Which?", "SELECT spark_partition_id() AS p, count(*) AS n FROM (SELECT /*+ REPARTITION(t.k) */ k FROM t) GROUP BY 1")], "question_id long, db_id string, question string, SQL string")
-    fired = {r["question_id"]: r["probes"] for r in audit.audit(spark, asked, tables, timeout=None, plan_variant=True).collect()}
-    assert fired[1] == []
+def test_the_plan_variant_is_asked_in_runs(spark, monkeypatch):
+    tables = {"t": spark.createDataFrame([(1,), (2,)], "k int")}
+    asked = spark.createDataFrame([(1, "db", "Which?", "SELECT k FROM t")], "question_id long, db_id string, question string, SQL string")
+    seen, frame = [], session.Envelope.frame
+
+    def noted(self, sql):
+        seen.append(self.spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+        return frame(self, sql)
+
+    monkeypatch.setattr(session.Envelope, "frame", noted)
+    for wanted in (True, False):
+        seen.clear()
+        assert audit.audit(spark, asked, tables, timeout=None, plan_variant=wanted).first()["probes"] == []
+        assert ("-1" in seen) == wanted
 
 
 def test_the_command_line(spark, tmp_path, capsys):
