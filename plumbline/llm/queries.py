@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import attribution, extract, fim, hilbert, interaction, language, licences, minhash, posindex, sentencepieces, toxicity, winnow
+from plumbline.llm import attribution, extract, fim, hilbert, interaction, language, licences, minhash, posindex, sentencepieces, suffixes, toxicity, winnow
 from plumbline.llm.store import table
 
 
@@ -56,6 +56,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9_decontamination,
         "op9_proximity": op9_proximity,
         "op10_winnowing": op10_winnowing,
+        "op11_suffixes": op11_suffixes,
         "op12_fim": op12_fim,
         "op13_interaction": op13_interaction,
         "pipeline": pipeline,
@@ -115,6 +120,20 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 
+#: Every string of 200 bytes, as 400 hexadecimal digits told by two hashes; a removed byte is one that any of the 200
+#: strings over it repeats.
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT r, unnest(range(0, len(x) // 2 - 199)) AS p, x FROM d WHERE len(x) >= 400),
+k AS (SELECT r, p, hash(substr(x, 2 * p + 1, 400)) AS a, md5_number_lower(substr(x, 2 * p + 1, 400)) AS b FROM s),
+m AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY a, b) AS n FROM k) WHERE n > 1),
+g AS (SELECT r, p, CASE WHEN p <= lag(p) OVER w + 200 THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY r ORDER BY p)),
+i AS (SELECT r, min(p) AS b, max(p) + 200 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY p) AS i FROM g) GROUP BY r, i),
+j AS (SELECT d.r, i.b, i.e, substr(d.x, 2 * coalesce(lag(i.e) OVER (PARTITION BY d.r ORDER BY i.b), 0) + 1, 2 * (i.b - coalesce(lag(i.e) OVER (PARTITION BY d.r ORDER BY i.b), 0))) AS before FROM i JOIN d USING (r)),
+t AS (SELECT r, count(*) AS n_spans, sum(e - b) AS n_removed, max(e) AS last, string_agg(before, '' ORDER BY b) AS kept FROM j GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (r)"""
+
 #: Every unit made and counted.
 OP12 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
@@ -149,4 +168,4 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those whose result it can express; the others are tested against brute force or held-out rows."""
-    return {"op5_minhash": OP5, "op9_decontamination": OP9, "op12_fim": OP12, "op13_interaction": OP13}
+    return {"op5_minhash": OP5, "op9_decontamination": OP9, "op11_suffixes": OP11, "op12_fim": OP12, "op13_interaction": OP13}
