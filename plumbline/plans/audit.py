@@ -61,6 +61,7 @@ class Judged:
     test_suite: int | None = None
     probes: list[str] = field(default_factory=list)
     applicable: list[str] = field(default_factory=list)
+    failed: list[str] = field(default_factory=list)
     error: str | None = None
     error_side: str | None = None
     timed_out_side: str | None = None
@@ -78,7 +79,7 @@ def spent(phases: dict[str, float], phase: str):
         phases[phase] = phases.get(phase, 0.0) + time.monotonic() - began
 
 
-JUDGED = "question_id long, verdict string, mechanism string, set_reading int, test_suite int, probes array<string>, applicable array<string>, error string, error_side string, timed_out_side string, seconds double, phases map<string,double>"
+JUDGED = "question_id long, verdict string, mechanism string, set_reading int, test_suite int, probes array<string>, applicable array<string>, failed array<string>, error string, error_side string, timed_out_side string, seconds double, phases map<string,double>"
 
 
 def _one(envelope: Envelope, q, second_sql: str | None, copies, held: dict, direction: bool, out: str | None, phases: dict[str, float], variant: Envelope | None = None, keep_rows: bool = False) -> Judged:
@@ -114,9 +115,10 @@ def _judge(done: ExitStack, envelope: Envelope, q, second_sql, copies, held, dir
                     found = envelope.timed(lambda: Counterexample.of(q["question_id"], judged.verdict, judged.mechanism, judged.set_reading, gold, second, (record, other), judged.test_suite, row["first_difference"]))
                     documents["counterexample.json"] = asdict(found)
     with sided("gold"), spent(phases, "probes"):
-        smells = probes.all_smells(envelope, gold_statement, copies, q["question"] or "", direction, variant)
+        smells = probes.all_smells(envelope, gold_statement, copies, q["question"] or "", direction, variant, gold, q.get("evidence") or "")
     judged.probes = [s.name for s in smells if s.fired]
     judged.applicable = [s.name for s in smells if s.applicable]
+    judged.failed = [s.name for s in smells if s.error]
     documents["smells.json"] = [s.document() for s in smells]
     if out and (judged.verdict == "NOT_EQUAL" or judged.probes):
         at = Q.write_question(out, q["question_id"], documents)

@@ -50,6 +50,62 @@ def test_rewrites(spark):
     assert S.folded("ÀB") == "Àb"
 
 
+#: Statements whose text would mislead a search for words; t has the columns a, b (numbers) and v (text).
+HARD = [
+    "SELECT a FROM t WHERE a IS DISTINCT FROM 1 ORDER BY a LIMIT 3",
+    "SELECT a, extract(YEAR FROM DATE '2020-01-01') AS y FROM t WHERE b IS NOT DISTINCT FROM b ORDER BY extract(YEAR FROM DATE '2020-01-01'), a DESC LIMIT 2 OFFSET 1",
+    "WITH c AS (SELECT a, b FROM t ORDER BY a LIMIT 4), d AS (SELECT max(b) AS limit_ FROM t) SELECT c.a FROM c, d WHERE c.b < d.limit_ ORDER BY c.b LIMIT 2",
+    "SELECT q.a FROM (SELECT a, b FROM (SELECT * FROM t ORDER BY b LIMIT 5) ORDER BY a LIMIT 4) q ORDER BY q.b DESC NULLS LAST LIMIT 2",
+    "SELECT /*+ COALESCE(1) */ DISTINCT v /* FROM x LIMIT 9 */, 'ORDER BY 1 LIMIT 2' AS `order by`\nFROM t -- LIMIT 1\nORDER BY v -- OFFSET 2\nLIMIT 3 -- end",
+    "SELECT '\U0001f642 FROM', v FROM t ORDER BY v || '\U0001f642' DESC LIMIT 2",
+    "SELECT (a), ((b) /* ) */ -- )\n ) FROM t ORDER BY (b), ((a)) LIMIT (2)",
+    "SELECT b, count(*) FROM t GROUP BY b HAVING count(*) > 0 ORDER BY count(*) DESC, b LIMIT 2",
+    "SELECT b AS k, sum(a) AS s FROM t GROUP BY 1 ORDER BY k, 2 LIMIT 2 OFFSET 1",
+    "SELECT a, sum(b) OVER w FROM t ORDER BY a WINDOW w AS (PARTITION BY v ORDER BY a) LIMIT 3",
+    "SELECT a, sum(b) OVER w FROM t WINDOW w AS (PARTITION BY v) ORDER BY a LIMIT 3 OFFSET 1",
+    "FROM t SELECT a ORDER BY b, a LIMIT 2",
+    "(SELECT a FROM t ORDER BY a LIMIT 3)",
+    "SELECT a FROM t WHERE a IN (SELECT a FROM t ORDER BY b LIMIT 3) ORDER BY (SELECT max(b) FROM t), a LIMIT 1 + 1",
+    "SELECT a FROM t ORDER BY CASE WHEN v = 'from' THEN 1 ELSE trim(BOTH ' ' FROM v) END, substring(v FROM 1 FOR 2) LIMIT 4",
+    "SELECT a, b FROM t ORDER BY 2, 1 LIMIT ALL OFFSET 3",
+    "SELECT a FROM t LIMIT 3 OFFSET 1",
+    "SELECT a FROM t ORDER BY a OFFSET 2",
+]
+
+
+@pytest.mark.parametrize("sql", HARD)
+def test_every_rewrite_returns_the_rows_that_it_should(spark, sql):
+    spark.createDataFrame([(i % 7, i % 3, ["9", "10", "from", None][i % 4]) for i in range(20)], "a int, b int, v string").createOrReplaceTempView("t")
+    s, rows = S.parse(spark, sql), lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    whole = rows(S.without_bound(s))
+    assert s.limit is None or (len(rows(sql)) == min(s.limit, max(0, len(whole) - (s.offset or 0))))
+    assert sorted(rows(S.without_order(s)), key=repr) == sorted(whole, key=repr)
+    assert S.parse(spark, S.without_bound(s)).ordering == s.ordering and not S.parse(spark, S.without_order(s)).ordering
+    if not s.ordering:
+        return
+    keyed = rows(S.unbounded_with_keys(s))
+    n = len(s.ordering)
+    assert [r[:-n] for r in keyed] == whole or sorted((r[:-n] for r in keyed), key=repr) == sorted(whole, key=repr)
+    first = [r[-n] for r in keyed]
+    rank = lambda x: (x is not None) if s.ordering[0].nulls_first else (x is None)
+    for x, y in zip(first, first[1:], strict=False):
+        assert rank(x) <= rank(y) and (rank(x) != rank(y) or x is None or ((x >= y) if s.ordering[0].descending else (x <= y)))
+    assert sorted(rows(S.unbounded_with_keys(s, ordered=False)), key=repr) == sorted(keyed, key=repr)
+    assert len(rows(S.ordered_as_number(s, 0))) == len(rows(sql))
+
+
+def test_bounds_and_ordinals_that_the_text_does_not_hold(spark):
+    assert S.parse(spark, "SELECT a FROM t LIMIT ALL").limit_stated and S.parse(spark, "SELECT a FROM t LIMIT ALL").limit is None
+    nested = S.parse(spark, "(SELECT a FROM t ORDER BY a LIMIT 3) LIMIT 2")
+    assert (nested.limit, nested.rule, S.without_bound(nested)) == (2, "set", "(SELECT a FROM t ORDER BY a LIMIT 3)")
+    for sql in ("SELECT a FROM t UNION SELECT b FROM t ORDER BY 1 LIMIT 2", "SELECT * FROM t ORDER BY 2 LIMIT 2", "SELECT *, a FROM t ORDER BY 4 LIMIT 2"):
+        s = S.parse(spark, sql)
+        assert s.rule == "ordered" and not s.ordering[0].text
+        for rewrite in (S.unbounded_with_keys, lambda s: S.ordered_as_number(s, 0)):
+            with pytest.raises(S.StatementRefused):
+                rewrite(s)
+
+
 def test_clauses_and_constructs(spark):
     same = "SELECT a FROM t WHERE b = 1"
     assert S.clause_difference(spark, same, "select a  from t where b = 1") == ([], "same")
@@ -102,6 +158,116 @@ def test_probes_of_statements(views):
         probes.Smell("x", True, False)
 
 
+def test_a_cut_is_judged_by_its_edge(spark):
+    tables = {"t": spark.createDataFrame([(1, 5, "x"), (2, 5, "x"), (3, None, "y"), (4, 2, "z"), (5, 2, "z"), (6, 1, "w"), (7, None, "q")], "i int, k int, v string")}
+    e = session.Envelope.open(spark, tables)
+    cut = lambda sql: probes.arbitrary_cut(probes.Held(e, S.parse(spark, sql)))
+    assert cut("SELECT i FROM t WHERE i IS DISTINCT FROM 9 ORDER BY k DESC LIMIT 1").evidence == {"kind": "tie", "cut": 1, "rows": 0, "tied": 2, "answers": 2}
+    # the tied rows give one answer
+    assert not cut("SELECT v FROM t ORDER BY k DESC LIMIT 1").fired
+    assert cut("SELECT v FROM t ORDER BY k DESC, i LIMIT 3 OFFSET 1").evidence["kind"] == "none"
+    # nulls tie too, and are first ascending; a tie is told before a null
+    assert cut("SELECT i FROM t ORDER BY k LIMIT 1").evidence["kind"] == "tie"
+    assert cut("SELECT i FROM t ORDER BY k LIMIT 2").evidence | {"cut": 2, "rows": 2} == {"kind": "null-first", "cut": 2, "rows": 2}
+    assert cut("SELECT i FROM t ORDER BY k LIMIT 1 OFFSET 2").evidence["kind"] == "none"
+    assert cut("SELECT i FROM t ORDER BY k LIMIT 99").fired and not cut("SELECT i FROM t ORDER BY k DESC LIMIT 99").fired
+    for sql in ("SELECT i FROM t ORDER BY k", "SELECT i FROM t ORDER BY k LIMIT 0", "SELECT i FROM t ORDER BY k LIMIT ALL", "SELECT i FROM t LIMIT 2", "SELECT i FROM t UNION SELECT k FROM t ORDER BY i LIMIT 1"):
+        assert not cut(sql).applicable, sql
+    every, top, names = probes.cut_parts(probes.Held(e, S.parse(spark, "SELECT i FROM t ORDER BY k DESC LIMIT 2")))
+    assert top.count() == 3
+    plan = probes.answers_of(probes.with_keys_of(every, probes.tie_edge(top, names, 2), names), names)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan
+
+
+def test_each_statement_and_rerun_runs_once(spark, monkeypatch):
+    tables = {"t": spark.createDataFrame([(i, float(i), str(i)) for i in range(30)], "k int, x double, v string")}
+    asked = spark.createDataFrame([(1, "db", "Which?", "SELECT k, x FROM t WHERE v IS DISTINCT FROM '3' ORDER BY v LIMIT 5")], "question_id long, db_id string, question string, SQL string")
+    seen, result = [], session.Envelope.result
+    monkeypatch.setattr(session.Envelope, "result", lambda self, sql: (seen.append(sql.sql if isinstance(sql, S.Statement) else sql), result(self, sql))[1])
+    given = asked.selectExpr("question_id", "SQL AS statement")
+    row = audit.audit(spark, asked, tables, given, timeout=None, plan_variant=True).first()
+    assert row["verdict"] == "EQUAL" and row["probes"] == ["ordering-over-numeric-text"] and row["failed"] == []
+    own = asked.first()["SQL"]
+    # gold, second, the shuffled copies and the plan variant; and the rewrite by number
+    assert seen.count(own) == 4 and len(seen) == 5 and "try_cast(v AS DOUBLE)" in [x for x in seen if x != own][0]
+
+
+def test_a_probe_that_fails_leaves_the_verdict_and_the_others(spark, monkeypatch):
+    tables = demo.tables(spark)
+    asked = spark.createDataFrame([(1, "db", "Who?", "SELECT name FROM mark ORDER BY score DESC LIMIT 1"), (2, "db", "Who?", "SELECT name FROM shop")], "question_id long, db_id string, question string, SQL string")
+
+    def broken(h):
+        raise RuntimeError("a probe's own fault")
+
+    monkeypatch.setattr(probes, "arbitrary_cut", broken)
+    monkeypatch.setattr(probes, "moved_by_a_rerun", lambda h: h.envelope.spark.sql("SELECT 1 / 0 FROM range(2)").collect())
+    rows = {r["question_id"]: r for r in audit.audit(spark, asked, tables, asked.selectExpr("question_id", "SQL AS statement"), timeout=None).collect()}
+    assert rows[1]["verdict"] == rows[2]["verdict"] == "EQUAL" and rows[1]["error"] is None
+    assert rows[1]["failed"] == [probes.NAMES[1], probes.NAMES[2], probes.NAMES[3]] and rows[1]["applicable"][0] == probes.NAMES[1]
+    said = probes.all_smells(session.Envelope.open(spark, tables), S.parse(spark, "SELECT name FROM mark ORDER BY score DESC LIMIT 1"))
+    assert [x.outcome for x in said] == ["quiet", "failed", "failed", "failed", "quiet"] and said[1].document()["error"] == "RuntimeError: a probe's own fault"
+    with pytest.raises(ValueError):
+        probes.Smell("x", True, True, error="y")
+
+
+def test_a_probe_that_takes_too_long_fails_alone(spark, monkeypatch):
+    monkeypatch.setattr(probes, "duplicate_full_row", lambda h: [h.envelope.spark.range(1000).count() for _ in range(3000)])
+    e = session.Envelope.open(spark, demo.tables(spark), timeout=4.0)
+    said = {x.name: x for x in probes.all_smells(e, S.parse(spark, "SELECT name FROM shop"))}
+    assert "StatementTimedOut" in said["duplicate-full-row"].error and said["arbitrary-cut"].outcome == "quiet"
+
+
+def moved(spark, base, **reruns):
+    """What a rerun with other rows says of a statement."""
+    h = probes.Held(session.Envelope.open(spark), S.parse(spark, "SELECT * FROM t"), base=base)
+    h.ways |= {k: (lambda df=df: df) for k, df in reruns.items()}
+    return {x.name: x for x in probes.moved_by_a_rerun(h)}
+
+
+def test_one_finding_of_a_rerun_has_one_name(spark):
+    of = lambda *rows: spark.createDataFrame(list(rows), "k int, x double")
+    base = of((1, 0.1 + 0.2), (2, 5.0))
+    function, floats = probes.NAMES[2:4]
+    near, far, other = of((1, 0.3), (2, 5.0)), of((1, 0.4), (2, 5.0)), of((1, 0.1 + 0.2), (3, 5.0))
+    assert [moved(spark, base, shuffled=near)[n].fired for n in (function, floats)] == [False, True]
+    for again in (far, other, of((1, 0.3)), of((1, float("nan")), (2, 5.0))):
+        assert [moved(spark, base, shuffled=again)[n].fired for n in (function, floats)] == [True, False]
+    assert [moved(spark, base, shuffled=base)[n].outcome for n in (function, floats)] == ["quiet", "quiet"]
+    # the plan variant counts alike, and all that differ must be float noise
+    assert [moved(spark, base, shuffled=base, variant=near)[n].fired for n in (function, floats)] == [False, True]
+    assert [moved(spark, base, shuffled=near, variant=other)[n].fired for n in (function, floats)] == [True, False]
+    whole = spark.createDataFrame([(1,), (2,)], "k int")
+    said = moved(spark, whole, shuffled=whole)
+    assert said[function].applicable and not said[floats].applicable
+    assert not moved(spark, base)[function].applicable
+
+    def fails():
+        raise RuntimeError("gone")
+
+    h = probes.Held(session.Envelope.open(spark), S.parse(spark, "SELECT * FROM t"), base=base)
+    h.ways |= {"shuffled": fails, "variant": lambda: base}
+    assert [x.outcome for x in probes.moved_by_a_rerun(h)] == ["failed", "failed"]
+    h.ways["variant"] = lambda: other
+    h._results.clear()
+    assert [x.outcome for x in probes.moved_by_a_rerun(h)] == ["fired", "quiet"]
+
+
+def test_direction_needs_a_cut_order_and_reads_the_hint(views):
+    said = lambda sql, question, hint="": probes.direction_against_question(probes.Held(session.Envelope.open(views), S.parse(views, sql)), question, hint)
+    cut = "SELECT name FROM mark ORDER BY score LIMIT 1"
+    assert said(cut, "Who is the highest?").fired and not said(cut.replace("score", "score DESC"), "Who is the highest?").fired
+    assert not said("SELECT name FROM mark ORDER BY score", "Who is the highest?").applicable
+    assert not said("SELECT name FROM mark LIMIT 1", "Who is the highest?").applicable
+    assert said(cut, "Who?", "best means max(score)").fired
+    for words in ("Who?", "highest and lowest"):
+        assert said(cut, words).applicable and not said(cut, words).fired
+
+
+def test_text_with_a_line_feed_is_no_number(spark):
+    df = spark.createDataFrame([("7",), ("7\n",), ("-1.5",), ("1.",)], "v string")
+    assert probes.numeric_text_census(df, "v").first()["not_numbers"] == 2
+
+
 def test_float_sums_move_with_the_order(spark):
     df = spark.createDataFrame([(x,) for x in [1e16, 1.0, -1e16, 3.0, 0.1] * 3], "v double")
     assert shuffle.float_sums(df, "v", 6).select("total").distinct().count() > 1
