@@ -64,16 +64,45 @@ def _special(c: Column, rest: Column) -> Column:
     return F.when(F.isnan(c), "NaN").when(c == inf, "Infinity").when(c == -inf, "-Infinity").otherwise(rest)
 
 
+def _bound(value: Column, of) -> Column:
+    """of(value), where value is computed once however often `of` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _digits(text: Column) -> Column:
+    """A struct of sign, whole digits and digits of the fraction of a number's text, with or without an exponent."""
+    part = lambda x, by, i: F.split_part(x, F.lit(by), F.lit(i))
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    split = _bound(F.upper(F.ltrim(text, F.lit("+-"))), lambda x: F.struct(part(x, "E", 1).alias("mantissa"), F.coalesce(part(x, "E", 2).try_cast("int"), F.lit(0)).alias("power")))
+    placed = _bound(split, lambda x: F.struct(F.replace(x["mantissa"], F.lit("."), F.lit("")).alias("digits"), (F.length(part(x["mantissa"], ".", 1)) + x["power"]).alias("point")))
+    # the point may stand before the first digit or behind the last
+    padded = _bound(placed, lambda x: F.struct(F.concat(zeros(-x["point"]), x["digits"], zeros(x["point"] - F.length(x["digits"]))).alias("digits"), F.greatest(x["point"], F.lit(0)).alias("at")))
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("").alias("sign")
+    return _bound(padded, lambda x: F.struct(sign, F.coalesce(F.nullif(F.ltrim(F.substring(x["digits"], F.lit(1), x["at"]), F.lit("0")), F.lit("")), F.lit("0")).alias("whole"), F.substring(x["digits"], x["at"] + 1, F.length(x["digits"])).alias("fraction")))
+
+
+def _signed(sign: Column, text: Column) -> Column:
+    return _bound(text, lambda x: F.when(F.rlike(x, F.lit("[1-9]")), F.concat(sign, x)).otherwise(x))
+
+
 def stripped(text: Column) -> Column:
-    """A plain decimal's text without trailing zeros of its fraction."""
-    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    """A number's text in plain digits, without trailing zeros of its fraction, however large or small it is."""
+    plain = lambda d: _signed(d["sign"], _bound(F.rtrim(d["fraction"], F.lit("0")), lambda cut: F.concat(d["whole"], F.when(cut == "", "").otherwise(F.concat(F.lit("."), cut)))))
+    short = F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    return F.when(F.contains(text, F.lit("E")), _bound(_digits(text), plain)).otherwise(short)
+
+
+def _plain_double(c: Column, places: int) -> Column:
+    """A finite double in plain digits at so many places, half up, from the digits of its own text."""
+    return F.when(c.isNotNull(), F.format_string(f"%.{places}f", c.cast("string").try_cast("double")))
 
 
 def payload(c: Column, kind: T.DataType) -> Column:
     """The exact value as text."""
     if isinstance(kind, T.DoubleType | T.FloatType):
         c = c + F.lit(0.0).cast(kind)  # -0.0 becomes 0.0
-        return _special(c, stripped(c.cast("string")))
+        text = F.when(F.contains(c.cast("string"), F.lit("E")), _plain_double(c, 340)).otherwise(c.cast("string"))
+        return _special(c, F.regexp_replace(text, r"\.?0+$", ""))
     if isinstance(kind, T.DecimalType):
         return stripped(c.cast("string"))
     if is_text(kind):
@@ -116,10 +145,15 @@ def rendered(c: Column, kind: T.DataType, null_text: str = "NULL") -> Column:
     zero; backslash, tab and line breaks escaped."""
     tag = tag_of(kind)
     if tag == "dec":
-        text = F.when(c.isNull(), None).otherwise(c.cast("string")).cast(f"decimal(38,{SCALE})").cast("string")
-        if not isinstance(kind, T.DecimalType):
-            finite = F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
-            text = _special(c, finite.cast("string").cast(f"decimal(38,{SCALE})").cast("string"))
+        own = c.cast("string")
+        text = own.try_cast(f"decimal(38,{SCALE})").cast("string")
+        if isinstance(kind, T.DecimalType):
+            # more whole digits than that leave fewer than SCALE places, so that nothing is rounded
+            pointed = F.concat(own, F.when(F.contains(own, F.lit(".")), "").otherwise("."))
+            text = F.coalesce(text, F.rpad(pointed, F.length(F.split_part(own, F.lit("."), F.lit(1))) + 1 + SCALE, F.lit("0")))
+        else:
+            wide = _plain_double(c, SCALE)
+            text = _special(c, F.coalesce(text, F.when(F.rlike(wide, F.lit("[1-9]")), wide).otherwise(F.ltrim(wide, F.lit("-")))))
     else:
         text = payload(c, kind)
         if tag == "str":
@@ -134,24 +168,43 @@ def canonical_line(df: DataFrame) -> Column:
     return F.concat_ws("\t", *(F.concat(type_tag(F.col(f.name), f.dataType), F.lit(":"), rendered(F.col(f.name), f.dataType)) for f in own))
 
 
+def _whole_double(c: Column) -> Column:
+    """The exact value, as text, of a whole double below 1e38 in size: a sum of multiples of 2**64, 2**32 and 1, each of
+    which a double holds exactly."""
+    # by way of an integer: a cast of the double itself would take its shortest digits
+    wide = lambda x: x.try_cast("bigint").cast("decimal(19,0)")
+    upper = _bound(F.abs(c), lambda x: F.struct(x.alias("size"), F.floor(x / 2.0**64).cast("double").alias("high")))
+    lower = _bound(upper, lambda x: F.struct(x["high"].alias("high"), (x["size"] - x["high"] * 2.0**64).alias("rest")))
+    three = _bound(lower, lambda x: F.struct(x["high"].alias("high"), F.floor(x["rest"] / 2.0**32).cast("double").alias("middle"), x["rest"].alias("rest")))
+
+    def total(x):
+        high = (wide(x["high"]) * F.lit(str(1 << 64)).cast("decimal(20,0)")).try_cast("decimal(38,0)")
+        return F.try_add(high, (wide(x["middle"]) * F.lit(str(1 << 32)).cast("decimal(11,0)") + wide(x["rest"] - x["middle"] * 2.0**32)).try_cast("decimal(38,0)")).cast("string")
+
+    return F.concat(F.when(c < 0, "-").otherwise(""), _bound(three, total))
+
+
 def set_reading_key(c: Column, kind: T.DataType) -> Column:
     """A cell's key under plain set equality, where numbers of all types compare by exact value and 1, 1.0 and true
-    are equal. A decimal equals a double only if the double holds it exactly; every NaN differs from all others."""
+    are equal. A decimal equals a double only if the double holds it exactly; every NaN differs from all others. Whole
+    numbers below 1e38 have a key of all digits, other doubles that of the double, and what is left its plain text."""
     if isinstance(kind, T.BooleanType):
         return F.concat(F.lit("n:"), c.cast("int").cast("string"))
     if isinstance(kind, T.IntegralType):
         return F.concat(F.lit("n:"), c.cast("string"))
     if isinstance(kind, T.DoubleType | T.FloatType):
         c = c.cast("double") + F.lit(0.0)
-        whole = (c == F.floor(c).cast("double")) & (F.abs(c) < 1e18)
-        return _special(c, F.when(whole, F.concat(F.lit("n:"), F.when(F.abs(c) < 1e18, c).cast("bigint").cast("string"))).otherwise(F.concat(F.lit("f:"), c.cast("string"))))
+        small = F.when(F.abs(c) < 1e18, c)
+        text = F.when(small == F.floor(small), F.concat(F.lit("n:"), small.cast("bigint").cast("string"))).when((F.abs(c) >= 1e18) & (F.abs(c) < 1e38), F.concat(F.lit("n:"), _whole_double(c)))
+        return _special(c, text.otherwise(F.concat(F.lit("f:"), c.cast("string"))))
     if isinstance(kind, T.DecimalType):
         text = stripped(c.cast("string"))
-        places = F.length(F.split_part(text, F.lit("."), F.lit(2)))
-        # d is a sum of powers of two just if d * 2**places is whole
-        twice = F.try_multiply(c.cast("decimal(38,18)"), F.pow(F.lit(2), places).cast("decimal(20,0)"))
-        dyadic = F.coalesce(twice == F.floor(twice), F.lit(False))
-        return F.when(~F.contains(text, F.lit(".")), F.concat(F.lit("n:"), text)).when(dyadic, F.concat(F.lit("f:"), c.cast("double").cast("string"))).otherwise(F.concat(F.lit("d:"), text))
+        places, digits = F.length(F.split_part(text, F.lit("."), F.lit(2))), F.replace(text, F.lit("."), F.lit("")).try_cast("decimal(38,0)")
+        fives = F.get(F.array(*(F.lit(str(5**i)).cast("decimal(27,0)") for i in range(39))), places)
+        # the number is n / 2**places just if its digits are n times 5**places, and a double if that holds n
+        n = F.try_divide(digits, fives).try_cast("decimal(38,0)")
+        near = _bound(F.struct(n.alias("n"), n.cast("double").alias("d")), lambda x: F.when(F.when(F.abs(x["d"]) < 1e38, _whole_double(x["d"])) == x["n"].cast("string"), F.concat(F.lit("f:"), (x["d"] / F.pow(F.lit(2.0), places)).cast("string"))))
+        return F.when(places == 0, F.concat(F.lit("n:"), text)).when(digits % fives == 0, F.coalesce(near, F.concat(F.lit("d:"), text))).otherwise(F.concat(F.lit("d:"), text))
     return F.concat(F.lit(f"{tag_of(kind)}:"), payload(c, kind))
 
 

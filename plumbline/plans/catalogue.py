@@ -11,13 +11,15 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import keys
 from plumbline.operators import fixture, multiset, ordered, probes, readings, runs, windows
 from plumbline.operators.mechanism import mechanism
 from plumbline.operators.order import with_pos
 from plumbline.plans import audit
-from plumbline.plans.statement import clause_difference, construct_census, parse, text_operands, token_difference, without_distinct
+from plumbline.plans.session import Envelope
+from plumbline.plans.statement import clause_difference, construct_census, ordered_as_number, parse, text_operands, token_difference, without_distinct
 from plumbline.sources.tables import run, table
 
 _queries: dict = {}
@@ -215,6 +217,31 @@ def _(spark, folder):
     return probes.tie_at_cut(df, ["p_size"], 100).select("p_partkey", "p_size", F.col("_pos").alias("pos"))
 
 
+CUT = "SELECT p_partkey AS k FROM part WHERE p_brand IS DISTINCT FROM 'Brand#11' ORDER BY p_size DESC LIMIT 90 OFFSET 10"
+
+
+@query("cut_probe", "WITH p AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size DESC) AS n FROM part WHERE p_brand IS DISTINCT FROM 'Brand#11'), e AS (SELECT min(p_size) AS a FROM p WHERE n IN (100, 101) HAVING min(p_size) = max(p_size)) SELECT p_partkey AS k, p_size AS edge, (SELECT count(*) FROM p, e WHERE p_size = a) AS tied, (SELECT count(DISTINCT p_partkey) FROM p, e WHERE p_size = a) AS answers FROM p, e WHERE p_size = a")
+def _(spark, folder):
+    """The rows that tie across a statement's cut, by its own rewrite and the edge's key, with the probe's counts."""
+    envelope = Envelope.open(spark, {"part": table(spark, folder, "part")}, row_budget=None)
+    every, top, names = probes.cut_parts(probes.Held(envelope, parse(envelope.spark, CUT)))
+    tied = probes.with_keys_of(every, probes.tie_edge(top, names, 100), names)
+    counted = probes.answers_of(tied, names).select(F.col("rows").alias("tied"), "answers")
+    return tied.select("k", F.col(names[0]).alias("edge")).crossJoin(counted)  # one row
+
+
+BY_TEXT = "SELECT k FROM sizes WHERE v IS DISTINCT FROM '7' ORDER BY v DESC NULLS LAST, k LIMIT 400"
+
+
+@query("number_probe", "WITH s AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_size <> 7), a AS (SELECT k, row_number() OVER (ORDER BY CAST(v AS VARCHAR) DESC, k) - 1 AS pos FROM s), b AS (SELECT k, row_number() OVER (ORDER BY v DESC, k) - 1 AS pos FROM s) SELECT pos, a.k AS text_order, b.k AS number_order FROM a JOIN b USING (pos) WHERE pos < 400 AND a.k <> b.k")
+def _(spark, folder):
+    """Where a statement that orders by text differs from its rewrite that orders by number."""
+    envelope = Envelope.open(spark, {"sizes": table(spark, folder, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("string").alias("v"))}, row_budget=None)
+    held = probes.Held(envelope, parse(envelope.spark, BY_TEXT))
+    a, b = with_pos(held["base"]), with_pos(held.run(ordered_as_number(held.statement, 0)))
+    return a.join(b.withColumnRenamed("k", "number_order"), "_pos").where("k <> number_order").select(F.col("_pos").alias("pos"), F.col("k").alias("text_order"), "number_order")
+
+
 @query("null_first_cut", "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey END AS k FROM orders), p AS (SELECT *, row_number() OVER (ORDER BY k NULLS FIRST, o_orderkey) - 1 AS pos FROM o) SELECT o_orderkey, pos FROM p WHERE pos < 20 AND k IS NULL")
 def _(spark, folder):
     df = with_pos(run(spark, folder, "SELECT o_orderkey, CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey END AS k FROM orders ORDER BY k NULLS FIRST, o_orderkey"))
@@ -433,6 +460,20 @@ def _(spark, folder):
     return df.select("l_orderkey", "l_linenumber", keys.rendered(F.col("l_extendedprice"), df.schema["l_extendedprice"].dataType).alias("text"))
 
 
+_UP = "repeat('0', 40)"
+
+
+@query("wide_numbers", f"SELECT l_orderkey, l_linenumber, l_linenumber || {_UP} || '.000000' AS huge, '-' || (l_orderkey + 1) || repeat('0', 25) || '.250000' AS wide, 'dec:' || (l_orderkey + 1) || repeat('0', 25) AS typed, true AS exact, false AS inexact FROM lineitem")
+def _(spark, folder):
+    """Doubles and decimals that no DECIMAL(38,6) holds: canonical text, typed key, and the set rule between the two."""
+    df = table(spark, folder, "lineitem")
+    order, line = (F.col("l_orderkey") + 1).cast("string"), F.col("l_linenumber").cast("string")
+    huge, wide = F.concat(line, F.lit("e40")).cast("double"), F.concat(F.lit("-"), order, F.repeat(F.lit("0"), F.lit(25)), F.lit(".25")).cast("decimal(38,2)")
+    double = T.DoubleType()
+    same = lambda zeros: keys.set_reading_key(F.concat(line, F.lit(f"e{zeros}")).cast("double"), double) == keys.set_reading_key(F.concat(line, F.repeat(F.lit("0"), F.lit(zeros))).cast("decimal(38,0)"), T.DecimalType(38, 0))
+    return df.select("l_orderkey", "l_linenumber", keys.rendered(huge, double).alias("huge"), keys.rendered(wide, T.DecimalType(38, 2)).alias("wide"), keys.cell_key(F.concat(order, F.lit("e25")).cast("double"), double).alias("typed"), same(20).alias("exact"), same(27).alias("inexact"))
+
+
 @query("storage_class_census", "WITH t AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size AS VARCHAR) WHEN p_partkey % 4 = 1 THEN p_size || '.5' WHEN p_partkey % 4 = 2 THEN p_name END v FROM part) SELECT 'v' AS column_name, count(*) FILTER (v IS NULL) AS nulls, count(*) FILTER (regexp_matches(v, '^\\s*[+-]?\\d+\\s*$')) AS integers, count(*) FILTER (regexp_matches(v, '^\\s*[+-]?(\\d+\\.\\d*|\\.\\d+|\\d+(\\.\\d*)?[eE][+-]?\\d+)\\s*$')) AS reals, count(*) FILTER (v IS NOT NULL AND NOT regexp_matches(v, '^\\s*[+-]?\\d+\\s*$') AND NOT regexp_matches(v, '^\\s*[+-]?(\\d+\\.\\d*|\\.\\d+|\\d+(\\.\\d*)?[eE][+-]?\\d+)\\s*$')) AS texts FROM t")
 def _(spark, folder):
     df = run(spark, folder, "SELECT CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size AS STRING) WHEN p_partkey % 4 = 1 THEN p_size || '.5' WHEN p_partkey % 4 = 2 THEN p_name END AS v FROM part")
