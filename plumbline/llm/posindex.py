@@ -3,9 +3,10 @@
 The index is partitioned by document, as search engines partition theirs: a row is a segment, with the postings of
 some thousand documents. Positions count the words of a segment's documents laid end to end with a gap between
 documents, so that one sorted list of integers per term says both document and place, and no phrase crosses a gap.
-Only terms of the test set can be asked for, so only theirs are stored. The test set is taken in blocks of bounded size,
-one after the other, each with an index of its own terms; an item of more words is in several, which share the words
-that a phrase across the cut needs.
+Where one test set is asked for, only its terms are stored. It is taken in blocks of bounded size, one after the other;
+for more than one block the index has all terms of the documents, and build() makes such an index to be kept for any
+number of test sets. An item of more words than a block is in several, which share the words that a phrase across the
+cut needs.
 
 A phrase is looked up by intersecting its terms' lists, each shifted by the term's offset in the phrase, from the
 rarest term of the segment on. All phrases of a block are intersected at once. For proximity the same lists are asked
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from plumbline.llm import kernel as K
 from plumbline.llm.store import free_names, materialise, scratch_path
 
 GAP = 1 << 10
+#: Places of phrases' rarest terms that are taken up at a time; it bounds what a search holds, and changes no result.
+CANDIDATES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -105,11 +109,11 @@ def blocks_of(items: DataFrame, s: Settings) -> Iterator[list[tuple[str | None,
 SEGMENT = "rows binary, doc_ids binary, no_ids binary, begins binary, n_words binary, terms binary, lists binary, postings binary"
 
 
-def build(docs: DataFrame, vocabulary: np.ndarray, s: Settings) -> DataFrame:
-    """The index of docs for these terms, one row per segment.
+def build(docs: DataFrame, vocabulary: np.ndarray | None, s: Settings) -> DataFrame:
+    """The index of docs for these terms, or for all that they have, one row per segment.
 
     rows: each document's row key, doc_ids: its id, begins and n_words: where its words begin and how many they are.
-    terms: places in the vocabulary that the segment has; lists: where the list of each begins in postings. A null
+    terms: hashes of the terms that the segment has, sorted; lists: where the list of each begins in postings. A null
     doc_id is marked in no_ids; a null text has no words.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -124,17 +128,20 @@ def build(docs: DataFrame, vocabulary: np.ndarray, s: Settings) -> DataFrame:
                 hashes, at = K.word_hashes(text, offsets, K.ALNUM)
                 counts = np.diff(at)
                 begins = at[:-1] + GAP * np.arange(len(counts))
-                place = np.searchsorted(known, hashes)
-                place[place == len(known)] = 0
-                hit = np.flatnonzero(known[place] == hashes) if len(known) else np.zeros(0, np.int64)
+                if known is None:
+                    hit = np.arange(len(hashes))
+                else:
+                    place = np.searchsorted(known, hashes)
+                    place[place == len(known)] = 0
+                    hit = np.flatnonzero(known[place] == hashes) if len(known) else np.zeros(0, np.int64)
                 doc = np.searchsorted(at, hit, "right") - 1
-                term = place[hit].astype(np.uint32)
+                term = hashes[hit]
                 where = (hit + GAP * doc).astype(np.uint32 if len(hashes) + GAP * len(counts) < 1 << 32 else np.uint64)
                 order = np.argsort(term, kind="stable")
                 term, where = term[order], where[order]
                 terms, lists = np.unique(term, return_index=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes()], pa.binary()) for x in (rows[first:end].astype(np.int64), ids[first:end].astype(np.int64), no_ids[first:end], begins.astype(np.int64), counts.astype(np.int64), terms.astype(np.uint32), np.append(lists, len(term)).astype(np.int64), where)],
+                    [pa.array([x.tobytes()], pa.binary()) for x in (rows[first:end].astype(np.int64), ids[first:end].astype(np.int64), no_ids[first:end], begins.astype(np.int64), counts.astype(np.int64), terms, np.append(lists, len(term)).astype(np.int64), where)],
                     ["rows", "doc_ids", "no_ids", "begins", "n_words", "terms", "lists", "postings"],
                 )
 
@@ -142,21 +149,44 @@ def build(docs: DataFrame, vocabulary: np.ndarray, s: Settings) -> DataFrame:
 
 
 class Segment:
-    """One row of the index, for look-ups."""
+    """One row of the index, for look-ups of the terms of a vocabulary, which go by their places in it."""
 
-    def __init__(self, row: dict, n_terms: int):
+    def __init__(self, row: dict, vocabulary: np.ndarray):
         self.rows, self.ids, self.begins, self.n_words = (np.frombuffer(row[c], np.int64) for c in ("rows", "doc_ids", "begins", "n_words"))
         self.no_ids = np.frombuffer(row["no_ids"], np.uint8).astype(bool)
-        terms, lists = np.frombuffer(row["terms"], np.uint32), np.frombuffer(row["lists"], np.int64)
+        hashes, lists = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["lists"], np.int64)
         total = int(lists[-1])
-        self.postings = np.frombuffer(row["postings"], np.uint64 if total and len(row["postings"]) == 8 * total else np.uint32)
-        self.df = np.zeros(n_terms, np.int64)
-        self.df[terms] = np.diff(lists)
-        self.begin = np.zeros(n_terms, np.int64)
-        self.begin[terms] = lists[:-1]
+        postings = np.frombuffer(row["postings"], np.uint64 if total and len(row["postings"]) == 8 * total else np.uint32)
+        terms = np.searchsorted(vocabulary, hashes)
+        known = np.flatnonzero(vocabulary[np.minimum(terms, len(vocabulary) - 1)] == hashes) if len(vocabulary) else np.zeros(0, np.int64)
+        terms, sizes = terms[known], np.diff(lists)[known]
+        # the lists of these terms, end to end
+        ends = np.cumsum(sizes)
+        self.postings = postings if len(known) == len(hashes) else postings[np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes) + np.repeat(lists[:-1][known], sizes)]
+        self.df = np.zeros(len(vocabulary), np.int64)
+        self.df[terms] = sizes
+        self.begin = np.zeros(len(vocabulary), np.int64)
+        self.begin[terms] = ends - sizes
         self.span = int(self.begins[-1] + self.n_words[-1] + GAP) if len(self.begins) else 1
-        of = np.repeat(terms.astype(np.int64), np.diff(lists))
-        self.keys = of * self.span + self.postings.astype(np.int64)  # sorted: by term, then place
+        self.keys = np.repeat(terms.astype(np.int64), sizes) * self.span + self.postings.astype(np.int64)  # sorted: by term, then place
+
+    def candidates(self, terms: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(phrases, their terms' order from the rarest on, phrase of each candidate, place of its rarest term) in slices
+        of about CANDIDATES, one phrase's places at least. Phrases that lack a term here have none."""
+        used = np.arange(terms.shape[1])[None, :] < lengths[:, None]
+        df = np.where(used, self.df[terms], np.iinfo(np.int64).max) if len(self.df) else np.zeros(terms.shape, np.int64)
+        alive = np.flatnonzero(df.min(axis=1, initial=np.iinfo(np.int64).max) > 0) if len(self.df) else np.zeros(0, np.int64)
+        order = np.argsort(df[alive], axis=1, kind="stable")  # rarest first; padding last
+        first = terms[alive, order[:, 0]]
+        upto = np.cumsum(self.df[first])
+        at = 0
+        while at < len(alive):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CANDIDATES, "right")))
+            many = self.df[first[at:to]]
+            which = np.repeat(np.arange(to - at), many)
+            within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield alive[at:to], order[at:to], which, self.postings[self.begin[first[at:to]][which] + within].astype(np.int64)
+            at = to
 
     def has(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
         want = term * self.span + place
@@ -166,24 +196,19 @@ class Segment:
 
     def phrases(self, terms: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All exact occurrences: (phrase, place of its first word). terms: places in the vocabulary."""
-        used = np.arange(terms.shape[1])[None, :] < lengths[:, None]
-        df = np.where(used, self.df[terms], np.iinfo(np.int64).max)
-        alive = np.flatnonzero(df.min(axis=1) > 0)
-        order = np.argsort(df[alive], axis=1, kind="stable")  # rarest first; padding last
-        first = terms[alive, order[:, 0]]
-        many = self.df[first]
-        which = np.repeat(np.arange(len(alive)), many)
-        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        start = self.postings[self.begin[first][which] + within].astype(np.int64) - order[which, 0]
-        for step in range(1, terms.shape[1]):
-            if not len(which):
-                break
-            more = lengths[alive[which]] > step
-            offset = order[which, step]
-            good = ~more | self.has(terms[alive[which], offset].astype(np.int64), start + offset)
-            which, start = which[good], start[good]
-        keep = start >= 0
-        return alive[which[keep]], start[keep]
+        found = [(np.zeros(0, np.int64),) * 2]
+        for alive, order, which, place in self.candidates(terms, lengths):
+            start = place - order[which, 0]
+            for step in range(1, terms.shape[1]):
+                if not len(which):
+                    break
+                more = lengths[alive[which]] > step
+                offset = order[which, step]
+                good = ~more | self.has(terms[alive[which], offset].astype(np.int64), start + offset)
+                which, start = which[good], start[good]
+            keep = start >= 0
+            found.append((alive[which[keep]], start[keep]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def near(self, terms: np.ndarray, span: int) -> np.ndarray:
         """Places that begin a stretch of span words within one document which has all terms, in any order.
@@ -204,15 +229,13 @@ class Segment:
     def stretches(self, terms: np.ndarray, lengths: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All proximity matches: (phrase, begin, end), for each place of one of a phrase's terms the shortest stretch
         from there that has all of them, if it is of at most reach words and within one document."""
-        used = np.arange(terms.shape[1])[None, :] < lengths[:, None]
-        df = np.where(used, self.df[terms], np.iinfo(np.int64).max)
-        alive = np.flatnonzero(df.min(axis=1) > 0)
-        order = np.argsort(df[alive], axis=1, kind="stable")
-        first = terms[alive, order[:, 0]]
-        many = self.df[first]
-        which = np.repeat(np.arange(len(alive)), many)
-        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        centre = self.postings[self.begin[first][which] + within].astype(np.int64)
+        found = [(np.zeros(0, np.int64),) * 3]
+        for part in self.candidates(terms, lengths):
+            found += self._around(*part, terms, lengths, reach)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _around(self, alive, order, which, centre, terms, lengths, reach) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The stretches about candidates, those of one place of the rarest term each."""
         for step in range(1, terms.shape[1]):
             if not len(which):
                 break
@@ -220,7 +243,7 @@ class Segment:
             term = terms[phrase, order[which, step]].astype(np.int64)
             good = (lengths[phrase] <= step) | (self.following(term, np.maximum(centre - reach[phrase] + 1, 0)) < centre + reach[phrase])
             which, centre = which[good], centre[good]
-        found = [(np.zeros(0, np.int64),) * 3]
+        found = []
         back = np.arange(int(reach.max(initial=1)))
         slice_ = max(1, (1 << 20) // len(back))
         for a in range(0, len(which), slice_):
@@ -236,7 +259,7 @@ class Segment:
             doc = self.document(left)
             good = begins & (last < np.minimum(left + reach[phrase], self.begins[doc] + self.n_words[doc]))
             found.append((phrase[good], left[good], last[good] + 1))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        return found
 
     def document(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begins, place, "right") - 1
@@ -250,13 +273,13 @@ def search(index: DataFrame, phrases: Phrases, reach: int = 0) -> DataFrame:
     """One row per document of the index: merged stretches of words [starts, ends) inside occurrences, and items; with
     reach, the same of proximity matches of at most so many times a phrase's words."""
     vocabulary = phrases.vocabulary
-    sent = index.sparkSession.sparkContext.broadcast((np.searchsorted(vocabulary, phrases.terms).clip(max=max(0, len(vocabulary) - 1)), phrases.lengths, phrases.items, len(vocabulary)))
+    sent = index.sparkSession.sparkContext.broadcast((np.searchsorted(vocabulary, phrases.terms).clip(max=max(0, len(vocabulary) - 1)), phrases.lengths, phrases.items, vocabulary))
 
     def look(batches):
-        terms, lengths, items, n_terms = sent.value
+        terms, lengths, items, vocabulary = sent.value
         for batch in batches:
             for row in batch.to_pylist():
-                g = Segment(row, n_terms)
+                g = Segment(row, vocabulary)
                 which, start = g.phrases(terms, lengths)
                 columns = by_document(g, which, start, start + lengths[which], items)
                 if reach:
@@ -301,12 +324,16 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
 def found_in(keyed: DataFrame, items: DataFrame, s: Settings, proximity: bool) -> DataFrame:
     """For each row key of keyed (row, doc_id, text): n_words and what search() says over all blocks. keyed must give
     the same keys each time it is read. Blocks are searched one after the other; what one finds is written before the
-    next is taken up."""
+    next is taken up. A single block's index has its terms alone; for more, one index of all terms is built, so that
+    texts are read once however many blocks there are."""
     spark = keyed.sparkSession
     path, n = scratch_path(spark, "hits"), 0
-    for block in blocks_of(items, s):
+    blocks = blocks_of(items, s)
+    ahead = list(islice(blocks, 2))
+    whole = materialise(build(keyed, None, s), "index") if len(ahead) > 1 else None
+    for block in chain(ahead, blocks):
         phrases = phrases_of(block, s.window)
-        index = materialise(build(keyed, phrases.vocabulary, s), "index")
+        index = whole if whole is not None else materialise(build(keyed, phrases.vocabulary, s), "index")
         part = search(index, phrases, s.reach if proximity else 0)
         # every row has its row in the first block's result, and in others' only where there is a match
         if n:

@@ -60,7 +60,7 @@ def test_proximity_finds_all_terms_within_a_span(spark):
     segments = P.build(keyed, phrases.vocabulary, P.Settings()).collect()
     near = set()
     for row in segments:
-        g = P.Segment(row.asDict(), len(phrases.vocabulary))
+        g = P.Segment(row.asDict(), phrases.vocabulary)
         near |= {int(g.ids[d]) for d in g.document(g.near(__import__("numpy").arange(3), 5))}
     assert near == {0, 1, 4}
 
@@ -120,3 +120,49 @@ def test_items_without_id_are_searched_and_left_out_of_the_list_of_ids(spark):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert out == {1: (3, 1, sha(""), True), 2: (4, 2, sha("9"), True), 3: (0, 0, sha(""), False)}
     assert [r["doc_id"] for r in P.decontaminate(docs, items).collect()] == [3]
+
+
+def test_slices_of_candidates_change_nothing_and_bound_memory(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    text = " ".join(f"w{i}" for i in r.integers(0, 300, 200_000))
+    keyed = spark.createDataFrame([(0, 7, text[:400_000]), (1, 8, text[400_000:])], "row long, doc_id long, text string")
+    own = K.word_hashes(*_raw(text), K.ALNUM)[0]
+    wanted = P.phrases_of([("q", own[i : i + 10]) for i in range(0, 190_000, 10)] + [("z", r.permutation(own)[:10]) for _ in range(1000)], 10)
+    row = P.build(keyed.coalesce(1), None, P.Settings()).first().asDict()
+    g = P.Segment(row, wanted.vocabulary)
+    terms = np.searchsorted(wanted.vocabulary, wanted.terms)
+    tracemalloc.start()
+    which, start = g.phrases(terms, wanted.lengths)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    assert len(which) >= 18_900
+    few = (terms[:200], wanted.lengths[:200])
+    whole, near = g.phrases(*few), g.stretches(*few, 2 * few[1])
+    monkeypatch.setattr(P, "CANDIDATES", 1000)
+    assert all((a == b).all() for a, b in zip(g.phrases(*few), whole, strict=True))
+    assert sorted(zip(*(x.tolist() for x in g.stretches(*few, 2 * few[1])), strict=True)) == sorted(zip(*(x.tolist() for x in near), strict=True))
+
+
+def test_an_index_of_all_terms_serves_any_test_set(spark):
+    docs, items = data()
+    keyed = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(docs)], "row long, doc_id long, text string").repartition(2)
+    index = P.build(keyed, None, P.Settings(segment_bytes=500)).cache()
+    for own in (items[:5], items[5:], []):
+        phrases = P.phrases_of([(str(i), K.word_hashes(*_raw(t), K.ALNUM)[0]) for i, t in own], 4)
+        out = {r["doc_id"]: (len(r["items"]), r["n_words"]) for r in P.search(index, phrases).collect()}
+        assert out == {d: (x[2], x[0]) for d, x in brute(docs, own, 4).items()}
+
+
+def test_texts_are_read_once_however_many_blocks_there_are(spark, monkeypatch):
+    docs, items = data()
+    built, build = [], P.build
+    monkeypatch.setattr(P, "build", lambda docs, vocabulary, s: (built.append(vocabulary is None), build(docs, vocabulary, s))[1])
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    P.hits(a, b, P.Settings(block_terms=20)).count()
+    assert built == [True]
+    P.hits(a, b).count()
+    assert built == [True, False]
