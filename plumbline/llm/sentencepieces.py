@@ -136,7 +136,13 @@ class Model:
 
         unknown = self.kinds.index(UNKNOWN)
         if self.type == UNIGRAM:
-            return Tokenizer(models.Unigram(list(zip(self.pieces, self.scores, strict=True)), unknown, self.byte_fallback))
+            if not self.escape:
+                raise ValueError("unigram models that keep white space as it is aren't rebuilt")
+            # only normal pieces may match: others keep their ids under names with a space, which no normalised text
+            # has, and the score of unknown characters, which the library takes from the lowest, stays that of normal ones
+            lowest = min((s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL), default=0.0)
+            named = [(p, s) if k == NORMAL else (f" {i}", lowest) for i, (p, s, k) in enumerate(zip(self.pieces, self.scores, self.kinds, strict=True))]
+            return Tokenizer(models.Unigram(named, unknown, False))
         return Tokenizer(models.BPE({p: i for i, p in enumerate(self.pieces)}, self.merges(), unk_token=self.pieces[unknown], fuse_unk=True, byte_fallback=self.byte_fallback))
 
     def normaliser(self):
@@ -159,12 +165,26 @@ class Codec:
 
     def __init__(self, model: Model):
         self.model, self.core, self.normal, self.pattern = model, model.core(), model.normaliser(), model.cuts()
-        self.cache = PieceCache(lambda pieces: [[e.ids for some in slices(pieces) for e in self.core.encode_batch(some, add_special_tokens=False)]])
+        self.cache = PieceCache(self._encode)
+        self.unknown = model.kinds.index(UNKNOWN)
+        self.of_byte = {int(p[3:-1], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
         raw = [self._surface(i) for i in range(len(model.pieces))]
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
 
+    def _encode(self, pieces: list[str]) -> list[list[list[int]]]:
+        """Ids of each piece of text, by the library in batches. Bytes of what a unigram model doesn't know are put in
+        here, as the library would look for their names in the text too."""
+        out = []
+        for some in slices(pieces):
+            for piece, e in zip(some, self.core.encode_batch(some, add_special_tokens=False), strict=True):
+                ids = e.ids
+                if self.model.type == UNIGRAM and self.model.byte_fallback and self.unknown in ids:
+                    ids = [x for i, (a, b) in zip(ids, e.offsets, strict=True) for x in ((self.of_byte[c] for c in piece[a:b].encode()) if i == self.unknown else (i,))]
+                out.append(ids)
+        return [out]
+
     def _surface(self, i: int) -> bytes:
         piece, kind = self.model.pieces[i], self.model.kinds[i]
         if kind == BYTE:
@@ -182,7 +202,9 @@ class Codec:
         if not text:
             return ""
         text = " " + text if m.dummy_prefix else text
-        return text.replace(" ", MARK) if m.escape else text
+        text = text.replace(" ", MARK) if m.escape else text
+        # the library strips the end after it has put markers for spaces, so that markers of the text go too
+        return text.rstrip(MARK) if m.escape and m.squeeze else text
 
     def pieces(self, text: str) -> list[str]:
         text = self.normalise(text)
@@ -206,7 +228,21 @@ class Codec:
         data = self.bytes[at].tobytes()
         edge = np.concatenate(([0], ends))[offsets]
         out = [data[a:b].decode(errors="replace") for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        return [t[1:] if self.model.dummy_prefix and t.startswith(" ") else t for t in out]
+        if not self.model.squeeze:
+            return [t[1:] if self.model.dummy_prefix and t.startswith(" ") else t for t in out]
+        return [t[self._leading(ids[a:b]) :] if t.startswith(" ") else t for t, a, b in zip(out, offsets[:-1], offsets[1:], strict=True)]
+
+    def _leading(self, ids: np.ndarray) -> int:
+        """Spaces that a model which strips them leaves out in front: one of each token up to the first with more."""
+        n = 0
+        for i in ids:
+            if i == self.unknown:  # its text begins with a space of its own
+                break
+            raw = self.bytes[self.begins[i] : self.begins[i] + self.sizes[i]].tobytes()
+            n += raw.startswith(b" ")
+            if raw not in (b"", b" "):
+                break
+        return n
 
 
 def _slices(n: int, sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:

@@ -151,9 +151,31 @@ def test_unigram_models_encode_as_the_library_does(byte_fallback):
     assert m.type == S.UNIGRAM and m.byte_fallback == byte_fallback and len(m.pieces) > 3000
     codec = S.Codec(m)
     texts = [" ".join(r.choice(words) + r.choice(["", "", "s", "x", "日", "🙂"]) for _ in range(r.randrange(0, 40))) for _ in range(150)] + ["", "  two  spaces ", "ñandú \x00 z", "zzzz" * 50]
+    # texts that spell control, unknown and byte pieces, whole, in words and beside characters that no piece has
+    texts += ["<s> hello </s>", "<0x41>", "<unk>", "ba<s>da", "<0x0A><0x41>日", "▁<s>▁", "< 0 x 4 1 >", "<s", " 0", " 1 2", "▁ 5", "<s>" * 30]
     offsets, ids = codec.encode(texts)
     assert [ids[a:b].tolist() for a, b in itertools.pairwise(offsets)] == sp.encode(texts)
     assert codec.decode(offsets, ids) == sp.decode(sp.encode(texts))
+    assert not {1, 2} & set(ids.tolist())
+
+
+def test_unigram_pieces_that_are_not_used_are_never_found():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    for p, score, kind in [("<unk>", 0.0, S.UNKNOWN), ("<s>", 0.0, S.CONTROL), ("▁", -2.0, S.NORMAL), ("<", -3.0, S.NORMAL), ("s", -3.0, S.NORMAL), (">", -3.0, S.NORMAL), ("ab", -0.1, S.UNUSED), ("a", -4.0, S.NORMAL), ("b", -4.0, S.NORMAL)]:
+        proto.pieces.add(piece=p, score=score, type=kind)
+    data = proto.SerializeToString()
+    codec, sp = S.Codec(S.Model.parse(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["<s>", "ab", "a<s>b ab", "q<s>q", "a b"]
+    offsets, ids = codec.encode(texts)
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(offsets)] == sp.encode(texts)
+    with pytest.raises(ValueError):
+        m = S.Model.parse(data)
+        m.escape = False
+        m.core()
 
 
 def test_models_that_cannot_be_rebuilt_are_refused():
