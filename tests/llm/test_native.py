@@ -339,12 +339,30 @@ def test_names_of_wrappers_do_not_silence_an_article():
         assert X.main_text(f'<body><article>{parts}<div id="{name}" class="x {name}"><h2 id="{name}">More</h2>{parts}</div></article></body>', w) == f"{want}\nMore\n{want}"
 
 
-def test_names_leave_out_only_what_stands_at_an_end():
+A, B = "A paragraph of the text with words enough.", "Another one follows it, of about that length."
+
+
+@pytest.mark.parametrize(
+    "box",
+    [
+        '<div class="ad"><p>Buy it now, at half the price of last year.</p></div>',
+        '<div class="sponsored-content"><h3>From our partners</h3><p>These ten tricks will change how you cook for ever.</p></div>',
+        '<section class="comments"><h2>Comments</h2><p>I was there as a child, and it was all different then.</p><p>Nice piece.</p></section>',
+        '<div id="user-comments"><ul><li>First!</li><li>I was there as a child, and it was all different then.</li></ul></div>',
+        '<div class="cookie-notice-wrap"><p>We use cookies to make this page better for you.</p></div>',
+        '<div class="related"><h3>More on this</h3><ul><li><a href="/1">The mill burns</a></li><li><a href="/2">The mill is built again</a></li></ul></div>',
+        '<div class="col-right"><p>Most read this week: what the weather will be.</p></div>',
+        '<div class="newsletter-signup-box"><p>Our letter comes once a week, and is free.</p></div>',
+        '<aside><p>Most read this week: what the weather will be.</p></aside>',
+    ],
+)
+def test_boxes_inside_the_text_go(box):
     w = X.learn(X.LABELLED)
-    text = "<p>A paragraph of the text with words enough.</p>"
-    long = "<p>" + "word " * 40 + "</p>"
-    assert -1 < w.word["named"] < 0
-    assert X.main_text(f'<article>{text}<div class="ad">Buy it now</div>{text}<div class="comments">{long}</div></article>', w).split("\n") == ["A paragraph of the text with words enough.", "Buy it now", "A paragraph of the text with words enough."]
+    for frame in ("<article><h1>Head</h1>{}</article>", '<div class="post-text"><h1>Head</h1>{}</div>', "<div><h1>Head</h1>{}</div>"):
+        body = f"<p>{A}</p>{box}<p>{B}</p>{box}<p>{A}</p>{box}"
+        assert X.main_text(f"<html><body><nav><a href='/'>Home</a></nav>{frame.format(body)}<footer>Imprint</footer></body></html>", w) == f"Head\n{A}\n{B}\n{A}", frame
+    # many more words in the box than in the text
+    assert X.main_text(f"<article><h1>Head</h1><p>{A}</p>{box * 40}</article>", w) == f"Head\n{A}"
 
 
 def test_formulas_and_fallbacks_of_an_article_are_text():
@@ -375,7 +393,54 @@ def test_a_form_around_the_article_is_a_wrapper():
     assert X.main_text(f"<body>{text}<form><label>Your mail for our letter</label><p>We write once a week.</p></form></body>", w) == "Head line\nA paragraph of the text with words enough."
 
 
-def test_names_are_learned_and_match_whole():
+def test_names_that_no_labelled_page_has_are_told_by_their_parts():
     w = X.learn(X.LABELLED)
-    assert {"ad", "sidebar", "comments", "cookie-banner"} <= w.rare and not {"content", "post", "page", "sidebar-free", "no-sidebar"} & w.rare
+    seen = {x for page, _ in X.LABELLED for x in re.findall(r'class="([^"]*)"', page)}
+    boxes = ["user-comments", "cookie-notice-wrap", "col-right", "reader-comments", "ads-wrapper", "newsletter-form", "gdpr-banner", "social-bar", "related-stories-block", "comment-section-inner", "promo-widget", "site-menu", "popular-articles", "cookie-popup", "sidebar-item"]
+    texts = ["post-text", "article-main", "story-content", "entry-summary", "content-column", "chapter-text", "sidebar-free", "main-text", "container-fluid", "col-md", "foo", "chapter-header"]
+    assert not {*boxes, *texts} & seen
+    assert all(w.rare([x]) for x in boxes) and not any(w.rare([x]) for x in texts)
+    assert all(w.rare([x]) for x in ("ad", "sidebar", "comments", "cookie-banner")) and not any(w.rare([x]) for x in ("content", "post", "page", "no-sidebar", "has-ads"))
+    # several names of one element count together
+    assert not w.rare(["post-body", "has-comments"]) and w.rare(["box", "widget"])
     assert X.names_of({"class": "siteHeader  widget_2", "id": "Ad-Box-12"}) == ["site-header", "widget", "ad-box"]
+
+
+def test_a_named_box_around_the_whole_text_is_a_wrapper():
+    w = X.learn(X.LABELLED)
+    for name in ("sidebar-layout right", "widget", "related"):
+        assert X.main_text(f'<body><header>Site</header><div class="{name}"><div><h1>Head</h1><p>{A}</p><p>{B}</p></div></div></body>', w) == f"Head\n{A}\n{B}"
+        assert X.main_text(f'<body><div class="{name}"><p>{A}</p><p>{B}</p></div></body>', w) == f"{A}\n{B}"
+    # a short text beside long comments isn't
+    assert X.main_text(f'<body><h1>Head</h1><p>{A}</p><div class="comments">{"<p>" + B * 30 + "</p>"}</div></body>', w) == f"Head\n{A}"
+
+
+def test_lists_of_many_open_elements_take_time_in_proportion():
+    w = X.learn(X.LABELLED)
+    began = time.monotonic()
+    n = 60_000
+    text = X.main_text("<li><ul>" + "<span>" * n + "<li>a</li>" * n, w)
+    assert text.count("a") == n and time.monotonic() - began < 30
+    assert X.main_text("<table><tr><td>one two<td>three<tr><td>four</table><dl><dt>five<dd>six<dt>seven</dl>", w) == "one two\nthree\nfour\nfive\nsix\nseven"
+
+
+def test_pages_put_together_give_back_their_paragraphs(spark):
+    """Random pages whose text is known, through the query: paragraphs, lists and quotes, with boxes between them."""
+    r = random.Random(21)
+    say = lambda n: " ".join(r.choice(["word", "Wörter", "a &amp; b", "&lt;x&gt;", "of", "the", "&eacute;t&eacute;"]) for _ in range(n))
+    import html as H
+
+    names, rows, want = ["ads-wrapper", "user-comments", "cookie-popup", "promo-widget", "social-bar", "newsletter-form"], [], {}
+    for i in range(60):
+        blocks, parts = [], []
+        for _ in range(r.randrange(2, 7)):
+            t = say(r.randrange(8, 30))
+            blocks.append(r.choice(["<p>{}</p>", "<p> {}\n", "<blockquote>{}</blockquote>", "<ul><li>{}</ul>", "<div>{}</div>", "<section><p>{}</p></section>"]).format(t))
+            parts.append(H.unescape(t))
+            if r.random() < 0.5:
+                blocks.append(r.choice([f'<div class="{r.choice(names)}"><p>{say(12)}</p></div>', f"<aside>{say(9)}</aside>", f"<form><label>{say(4)}</label><input></form>", f"<script>var p = '<p>{say(3)}</p>'</script>", f"<!-- <p>{say(3)}</p> -->"]))
+        frame = r.choice(["<article>{}</article>", "<main>{}</main>", '<div class="post-text">{}</div>'])
+        rows.append((i, "u", f"<html><head><title>{say(3)}</title></head><body><header>{say(3)}</header><nav><ul><li><a href='/'>{say(1)}</a></ul></nav>{frame.format('<h1>Title of it</h1>' + ''.join(blocks))}<footer>{say(6)}</footer></body></html>"))
+        want[i] = "\n".join(["Title of it", *(" ".join(p.split()) for p in parts)])
+    out = X.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {x["page_id"]: x["text"] for x in out} == want and all(x["n_chars"] == len(x["text"]) for x in out)
