@@ -155,24 +155,49 @@ class Joined:
 ASKS = "task long, part int, id long, component long, anchors array<long>, components array<long>"
 
 
+def may_reach(a: bytes | None, b: bytes | None, s: Settings) -> bool:
+    """Whether the similarity estimated from two packed signatures, corrected for collisions, isn't so far below the
+    threshold that the pair can be let go. Without a signature it may be anything."""
+    if a is None or b is None:
+        return True
+    x, y = (unpack(np.frombuffer(p, np.uint8).reshape(1, -1), s.bits) for p in (a, b))
+    return bool(estimate(matches_with(x, y), s)[0] >= estimate(np.array(s.least_matches), s))
+
+
 def verified(asks: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) that full sets confirm, 100 * intersection >= percent * union, enough of them to connect all that
     the asked pairs connect.
 
     A row of asks is a task's anchor (part 0), of which it has s.block at most, or one of its members (part 1) with
     the anchors it is to be compared with and the component that each is known to be in. Members are streamed past,
-    and only the anchors' sets are held. A pair whose components the task has joined is skipped.
+    and only the anchors' sets are held. A pair is first estimated from the packed bits of both, and sets are made only
+    of members with an anchor that the estimate leaves. A pair whose components the task has joined is skipped.
+
+    texts: (doc_id, text, packed), packed null where a doc_id has several signatures.
     """
     asks = materialise(asks, "asks")
     rows = asks.join(texts.withColumnRenamed("doc_id", "id"), "id").repartition("task").sortWithinPartitions("task", "part")
 
     def confirm(batches):
         at, held, joined = None, {}, Joined()
+        now, packs = None, {}
         for batch in batches:
             task, part, ids, comps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("task", "part", "id", "component"))
-            anchors, their = (batch.column(c).to_pylist() for c in ("anchors", "components"))
+            anchors, their, packed = (batch.column(c).to_pylist() for c in ("anchors", "components", "packed"))
+            wanted = []
+            for i in range(batch.num_rows):
+                if task[i] != now:
+                    now, packs = task[i], {}
+                if part[i] == 0:
+                    packs[int(ids[i])] = packed[i]
+                    wanted.append(i)
+                    continue
+                left = [(a, c) for a, c in zip(anchors[i], their[i], strict=True) if may_reach(packed[i], packs.get(a), s)]
+                if left:
+                    anchors[i], their[i] = zip(*left, strict=True)
+                    wanted.append(i)
             out_a, out_b = [], []
-            for i, x in enumerate(sets_of(K.text_column(batch), s.words)):
+            for i, x in zip(wanted, sets_of(K.text_column(batch).take(pa.array(wanted, pa.int64())), s.words), strict=True):
                 if task[i] != at:
                     at, held, joined = task[i], {}, Joined()
                 if part[i] == 0:
@@ -313,14 +338,15 @@ def components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     banded = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre")
     members = materialise(banded.join(shared, "key"), "members")
-    texts = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id"), "texts")
+    sigs = full.select(F.col("doc_id").alias("id"), "n_shingles", "d1", "d2", "packed", "tags").dropDuplicates(["id", "n_shingles", "d1", "d2"]).select("id", "packed", "tags")
+    alone = sigs.join(members.select("id").distinct(), "id").groupBy("id").agg(F.when(F.count("*") == 1, F.min("packed")).alias("packed"))
+    texts = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(alone.withColumnRenamed("id", "doc_id"), "doc_id"), "texts")
 
     links = materialise(copied.union(verified(to_centres(members, s), texts, s)), "links")
     found = connected_components(links)
     labelled = members.select("band", "key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
     labelled = materialise(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    sigs = full.select(F.col("doc_id").alias("id"), "n_shingles", "d1", "d2", "packed", "tags").dropDuplicates(["id", "n_shingles", "d1", "d2"]).select("id", "packed", "tags")
     more = verified(across(labelled.join(mixed, "key").distinct().join(sigs, "id"), s), texts, s)
     # components of components: what was found is one node each
     ends = [found.withColumnRenamed("node", c).withColumnRenamed("component", f"of_{c}") for c in ("a", "b")]
