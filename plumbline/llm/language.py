@@ -198,35 +198,85 @@ def word_scores(text: np.ndarray, offsets: np.ndarray, model: dict) -> tuple[np.
     return scores, w.letters, w.at
 
 
-def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
-    """The best language of each word, texts side by side, longest first. Ties go to staying, then to the first."""
-    n = np.diff(at)
-    order = np.argsort(-n, kind="stable")
-    begin, length = at[:-1][order], n[order]
+#: Words of a block: longer texts are cut into such, which are gone through side by side.
+BLOCK = 1024
+
+
+def _paths(scores: np.ndarray, begin: np.ndarray, length: np.ndarray, v: np.ndarray, switch: float, carried: np.ndarray, final: np.ndarray | None, path: np.ndarray | None) -> np.ndarray:
+    """Goes through stretches of words side by side, longest first, from the values v of each language before its first
+    word (taken as a word's before it where carried), and returns the values behind its last. With path, the best
+    languages are written there, those at the ends given by final, or the best."""
     longest = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(longest), "left")  # texts longer than t
-    stay = np.zeros(scores.shape, bool)
-    best = np.zeros(len(scores), np.int16)
-    v = np.zeros((len(order), scores.shape[1]), np.float32)
+    active = np.searchsorted(-length, -np.arange(longest), "left")  # stretches longer than t
+    if path is not None:
+        stay, best = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int16)
+    v = v.astype(np.float64)
     for t in range(longest):
         k = active[t]
-        rows = begin[:k] + t
-        now = v[:k]
-        if t:
-            top = now.max(axis=1)
-            best[rows] = now.argmax(axis=1)
-            held = now >= (top - switch)[:, None]
-            stay[rows] = held
-            now = np.where(held, now, (top - switch)[:, None])
-        v[:k] = now + scores[rows]
+        rows, now = begin[:k] + t, v[:k]
+        top = now.max(axis=1)
+        held = now >= (top - switch)[:, None]
+        if not t:
+            held |= ~carried[:k, None]  # a text's first word comes from nowhere
+        if path is not None:
+            best[rows], stay[rows] = now.argmax(axis=1), held
+        v[:k] = np.where(held, now, (top - switch)[:, None]) + scores[rows]
+    if path is not None:
+        state = (v.argmax(axis=1) if final is None else final.copy()) if len(length) else np.zeros(0, np.int64)
+        for t in range(longest - 1, -1, -1):
+            k = active[t]
+            rows = begin[:k] + t
+            path[rows] = state[:k]
+            if t:
+                state[:k] = np.where(stay[rows, state[:k]], state[:k], best[rows])
+    return v
+
+
+def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
+    """The best language of each word, texts side by side, longest first. Ties go to staying, then to the first.
+
+    A long text is cut into blocks. What each turns the values of the languages before it into is a max-plus matrix,
+    found for all blocks side by side; their products along the text give the values and the best language at each cut,
+    and the blocks' own paths are found side by side again."""
+    n_langs, n = scores.shape[1], np.diff(at)
+    cuts = [np.arange(a, b, BLOCK) if m > 2 * BLOCK else np.array([a]) for a, b, m in zip(at[:-1], at[1:], n, strict=True) if m]
+    begin = np.concatenate(cuts) if cuts else np.zeros(0, np.int64)
+    text_of = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
+    ends = np.append(begin[1:], at[-1])
+    length = ends - begin
+    carried = np.zeros(len(begin), bool)
+    carried[1:] = text_of[1:] == text_of[:-1]
+    into, final = np.zeros((len(begin), n_langs)), None
+    if carried.any():
+        # all blocks of long texts, once for each language that the word before may have
+        long = np.flatnonzero(carried | np.append(carried[1:], False))
+        order = np.argsort(-np.repeat(length[long], n_langs), kind="stable")
+        start = np.tile(np.where(np.eye(n_langs, dtype=bool), 0.0, -np.inf), (len(long), 1))
+        out = np.empty_like(start)
+        out[order] = _paths(scores, np.repeat(begin[long], n_langs)[order], np.repeat(length[long], n_langs)[order], start[order], switch, np.ones(len(order), bool), None, None)
+        turns = dict(zip(long.tolist(), out.reshape(len(long), n_langs, n_langs), strict=True))
+        final = np.full(len(begin), -1)
+        first = {}
+        for b in long.tolist():
+            # a first block's values come from nowhere, so that each language begins with nothing
+            before = into[b] if carried[b] else None
+            first[b] = _paths(scores, begin[b : b + 1], length[b : b + 1], np.zeros((1, n_langs)), switch, carried[b : b + 1], None, None)[0] if before is None else (before[:, None] + turns[b]).max(axis=0)
+            if b + 1 < len(begin) and carried[b + 1]:
+                into[b + 1] = first[b] - first[b].max()
+        for b in reversed(long.tolist()):
+            if b + 1 == len(begin) or not carried[b + 1]:
+                final[b] = first[b].argmax()
+            if carried[b]:
+                come = into[b] + turns[b][:, final[b]]
+                final[b - 1] = final[b] if come[final[b]] == come.max() else come.argmax()
+        alone = final < 0
+        if alone.any():
+            own = np.flatnonzero(alone)
+            order = own[np.argsort(-length[own], kind="stable")]
+            final[order] = _paths(scores, begin[order], length[order], into[order], switch, carried[order], None, None).argmax(axis=1)
     path = np.zeros(len(scores), np.int16)
-    state = v.argmax(axis=1) if len(order) else np.zeros(0, np.int64)
-    for t in range(longest - 1, -1, -1):
-        k = active[t]
-        rows = begin[:k] + t
-        path[rows] = state[:k]
-        if t:
-            state[:k] = np.where(stay[rows, state[:k]], state[:k], best[rows])
+    order = np.argsort(-length, kind="stable")
+    _paths(scores, begin[order], length[order], into[order], switch, carried[order], None if final is None else final[order], path)
     return path
 
 

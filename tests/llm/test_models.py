@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -68,6 +69,30 @@ def test_viterbi_is_the_best_of_all_paths(seed):
         assert total(path[a:b], s) == pytest.approx(best, abs=1e-4)
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1024])
+def test_blocks_of_long_texts_give_a_best_path(monkeypatch, block):
+    monkeypatch.setattr(L, "BLOCK", block)
+    r = np.random.default_rng(block)
+    for _ in range(40):
+        at = np.concatenate(([0], np.cumsum(r.integers(0, 40, r.integers(1, 6)))))
+        scores = r.normal(0, 2, (at[-1], r.integers(1, 5))).astype(np.float32)
+        path = L.viterbi(scores, at, 3.0)
+        for a, b in itertools.pairwise(at.tolist()):
+            if a == b:
+                continue
+            v = scores[a].astype(float)
+            for t in range(a + 1, b):
+                v = np.maximum(v, v.max() - 3.0) + scores[t]
+            own = scores[np.arange(a, b), path[a:b]].astype(float).sum() - 3.0 * (path[a + 1 : b] != path[a : b - 1]).sum()
+            assert abs(own - v.max()) < 1e-3
+
+
+def test_a_long_text_takes_seconds():
+    r, began = np.random.default_rng(1), time.monotonic()
+    scores = r.normal(0, 2, (400_000, 4)).astype(np.float32)
+    assert len(L.viterbi(scores, np.array([0, 400_000]), 3.0)) == 400_000 and time.monotonic() - began < 10
+
+
 def test_languages_spans_and_scripts(spark):
     say = {"en": "the quick brown fox jumps over lazy dogs while children walk through nights", "de": "der schnelle braune fuchs springt über den faulen hund während kinder durch nächte gehen", "ru": "быстрая лиса прыгает через ленивую собаку пока дети идут домой"}
     r = random.Random(1)
