@@ -11,8 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
+from plumbline.operators import fixture
 from plumbline.plans import audit as A
 from plumbline.plans import record as R
+from plumbline.plans.session import Envelope
 from plumbline.sources import demo, questions, tables
 
 #: Exit status of a run that couldn't begin.
@@ -39,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--direction", action="store_true", help="probe sort directions against the questions' words")
         c.add_argument("--plan-variant", action="store_true", help="probe statements under another physical plan too")
         c.add_argument("--keep-rows", action="store_true", help="keep result rows beside the records")
+        c.add_argument("--cache", help="file that keeps the tables' measurements from run to run")
         c.add_argument("--fail-on-probe", action="store_true", help="exit status 1 if a probe fires")
     shown = commands.add_parser("report", help="print the findings of a run's folder")
     shown.add_argument("--out", required=True)
@@ -74,10 +77,11 @@ def predictions_of(spark: SparkSession, asked: DataFrame, args: argparse.Namespa
 
 
 def finish(spark: SparkSession, asked: DataFrame, held: dict[str, DataFrame], given: DataFrame | None, args: argparse.Namespace, inputs: dict[str, str]) -> int:
-    judged = A.audit(spark, asked, held, given, seed=args.seed, timeout=args.timeout or None, row_budget=args.row_budget, direction=args.direction, plan_variant=args.plan_variant, keep_rows=args.keep_rows, out=args.out)
+    engine, measured = Envelope.open(spark).identity(), fixture.measure(held, cache=fixture.Cache(args.cache) if args.cache else None)
+    judged = A.audit(spark, asked, held, given, seed=args.seed, timeout=args.timeout or None, row_budget=args.row_budget, direction=args.direction, plan_variant=args.plan_variant, keep_rows=args.keep_rows, out=args.out, measured=measured)
     rows = [json.loads(r) for r in judged.toJSON().collect()]  # a row a question
     rows = [{f: r.get(f) for f in judged.columns} for r in rows]
-    told = A.summary(judged, args.fail_on_probe) | {"inputs": inputs, "seed": args.seed, "timeout": args.timeout, "row_budget": args.row_budget}
+    told = A.summary(judged, args.fail_on_probe, engine, measured) | {"inputs": inputs, "seed": args.seed, "timeout": args.timeout, "row_budget": args.row_budget}
     questions.write_json(str(Path(args.out) / "questions.json"), rows)
     questions.write_json(str(Path(args.out) / "summary.json"), told)
     report(args.out)

@@ -65,11 +65,15 @@ def document_digest(df: DataFrame) -> str:
     return h.hexdigest()
 
 
-def content_signal(df: DataFrame) -> str:
-    """A digest of the input files' names, sizes and times: it changes when files do, and can miss a rewrite in place
-    that keeps all three."""
-    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().orderBy("file_path").collect()
-    return hashlib.sha256(json.dumps([[str(x) for x in r] for r in files]).encode()).hexdigest()
+def content_signal(df: DataFrame) -> str | None:
+    """A digest of the input files' names, sizes and times, from their listing, without a job: it changes when files do,
+    and can miss a rewrite in place that keeps all three. None where the rows come from no files."""
+    spark, files = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        files.append([name, status.getLen(), status.getModificationTime()])
+    return hashlib.sha256(json.dumps(files).encode()).hexdigest() if files else None
 
 
 def planner_statistics(spark: SparkSession, table: str) -> dict[str, str]:
@@ -122,16 +126,24 @@ class Cache:
 
 
 def measure(tables: dict[str, DataFrame], contents: bool = False, cache: Cache | None = None) -> dict:
-    """{schema, counts, contents}: contents by table, measured only if asked for."""
-    schema = schema_digest(tables)
-    key = hashlib.sha256(json.dumps([sorted(tables), schema, contents]).encode()).hexdigest()
-    signal = hashlib.sha256("".join(content_signal(tables[t]) for t in sorted(tables)).encode()).hexdigest() if cache else ""
-    if cache and (held := cache.get(key, signal)):
-        return held
-    out = {"schema": schema, "counts": {r["table_name"]: r["rows"] for r in row_counts(tables).collect()}, "contents": {t: content_digest(df).first().asDict() for t, df in tables.items()} if contents else {}}
-    if cache:
-        cache.put(key, signal, out)
-    return out
+    """{schema, counts, contents}: contents by table, measured only if asked for. With a cache each table is looked up by
+    its name, schema and depth, and measured anew where its files have changed or it has none."""
+    counts, measured, missing = {}, {}, {}
+    for name, df in sorted(tables.items()):
+        key = hashlib.sha256(json.dumps([name, schema_digest({name: df}), contents]).encode()).hexdigest()
+        signal = content_signal(df) if cache else None
+        held = cache.get(key, signal) if signal else None
+        if held:
+            counts[name], measured[name] = held["rows"], held["contents"]
+        else:
+            missing[name] = (key, signal)
+    if missing:
+        counts |= {r["table_name"]: r["rows"] for r in row_counts({t: tables[t] for t in missing}).collect()}
+        measured |= {t: content_digest(tables[t]).first().asDict() if contents else None for t in missing}
+        for t, (key, signal) in missing.items():
+            if signal:
+                cache.put(key, signal, {"rows": counts[t], "contents": measured[t]})
+    return {"schema": schema_digest(tables), "counts": {t: counts[t] for t in sorted(tables)}, "contents": {t: measured[t] for t in sorted(tables)} if contents else {}}
 
 
 def same_fixture(a: dict, b: dict) -> bool:

@@ -120,6 +120,11 @@ def crosstab_cells(df: DataFrame, rows: str, column: str, names: tuple[str, ...]
     return df.groupBy(rows, column).agg(F.count("*").alias("n"), *fired, F.min("question_id").alias("first_id"), F.max("question_id").alias("last_id"))
 
 
+def crosstab_ids(df: DataFrame, rows: str, column: str) -> DataFrame:
+    """The questions of each pair of classes, a row each. A cell's list is these rows; it is never held in one."""
+    return df.where(F.col(rows).isNotNull() & F.col(column).isNotNull()).select(rows, column, "question_id").distinct()
+
+
 def candidate_checks(df: DataFrame, current: str, candidates: list[str]) -> DataFrame:
     """(measure, n) of boolean columns: those of the current check, of any check, what each candidate adds to those
     before it, and what two checks share."""
@@ -236,6 +241,15 @@ def coverage(parent: DataFrame, child: DataFrame, parent_key: str, child_key: st
     return both.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("children"), F.coalesce(F.sum(F.when(F.col("_p").isNotNull(), F.col("n"))), F.lit(0)).cast("long").alias("found"), F.coalesce(F.sum(F.when(F.col("_p").isNull(), F.col("n"))), F.lit(0)).cast("long").alias("orphans"), F.count_if(F.col("n").isNull()).alias("childless"))
 
 
+def coverage_by_length(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str) -> DataFrame:
+    """(length, children, found, keys): of children's keys of each length as text how many rows there are, how many of
+    them have a parent, and how many different keys. Children are counted by key before they meet their parents."""
+    by_key = child.where(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("k")).agg(F.count("*").alias("n"))
+    known = parent.select(F.col(parent_key).alias("k")).distinct().withColumn("_p", F.lit(1))
+    both = by_key.join(known, "k", "left")
+    return both.groupBy(F.length(F.col("k").cast("string")).alias("length")).agg(F.sum("n").cast("long").alias("children"), F.coalesce(F.sum(F.when(F.col("_p") == 1, F.col("n"))), F.lit(0)).cast("long").alias("found"), F.count("*").alias("keys"))
+
+
 def precision(classified: DataFrame, group: str, good: str) -> DataFrame:
     """(group, rows, good, precision, questions) of hand classes."""
     return classified.groupBy(group).agg(F.count("*").alias("rows"), F.count_if(F.col(good)).alias("good"), F.round(F.avg(F.col(good).cast("int")), 3).alias("precision"), F.count_distinct("question_id").alias("questions"))
@@ -274,26 +288,37 @@ class SelectionRefused(ValueError):
     """Protected questions alone are over the budget."""
 
 
-def trimmed(questions: DataFrame, budget: int, page_limit: int | None = None) -> DataFrame:
-    """Questions kept within a budget of bytes. Those of more bytes than page_limit go first, protected or not. Then the
-    largest of whichever benchmark holds most goes, until the rest fits, so that benchmarks are left with as equal a
-    number as can be; protected ones stay, and are refused if they don't fit alone.
+def trimmed(questions: DataFrame, budget: int, page_limit: int | None = None, files: int | None = None) -> DataFrame:
+    """Questions kept within a budget of bytes and, if given, one of files (a column of that name). Those of more bytes
+    than page_limit go first, protected or not. Then the largest of whichever benchmark holds most goes, until the rest
+    fits both, so that benchmarks are left with as equal a number as can be; protected ones stay, and are refused if
+    they don't fit alone.
 
     A question's rank in its benchmark, smallest first, says when it goes: the highest ranks first, of equal ones the
     last benchmark by name. Sums run over ranks, a row each, and within a rank over its benchmarks.
     """
     held = questions.where(F.col("bytes") <= page_limit) if page_limit is not None else questions
-    fixed = held.where("protected").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    if fixed > budget:
-        raise SelectionRefused(f"{fixed} bytes of protected questions are over {budget}")
+    limits = {"bytes": budget} | ({"files": files} if files is not None else {})
+    fixed = held.where("protected").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in limits)).first()
+    if over := [f"{fixed[c]} {c} of protected questions are over {most}" for c, most in limits.items() if fixed[c] > most]:
+        raise SelectionRefused("; ".join(over))
     ranked = held.where("NOT protected").withColumn("_rank", F.row_number().over(W.partitionBy("benchmark").orderBy("bytes", "question_id")))
-    levels = ranked.groupBy("_rank").agg(F.sum("bytes").alias("_level"))
-    below = levels.select("_rank", (F.sum("_level").over(W.orderBy("_rank")) - F.col("_level")).alias("_below"))
-    own = F.sum("bytes").over(W.partitionBy("_rank").orderBy(F.desc("benchmark"), "question_id").rowsBetween(W.unboundedPreceding, 0))
-    fits = ranked.withColumn("_own", own).join(below, "_rank").where(F.col("_below") + F.col("_own") + fixed <= budget)
+    levels = ranked.groupBy("_rank").agg(*(F.sum(c).alias(f"_level_{c}") for c in limits))
+    below = levels.select("_rank", *((F.sum(f"_level_{c}").over(W.orderBy("_rank")) - F.col(f"_level_{c}")).alias(f"_below_{c}") for c in limits))
+    in_rank = W.partitionBy("_rank").orderBy(F.desc("benchmark"), "question_id").rowsBetween(W.unboundedPreceding, 0)
+    placed = ranked.withColumns({f"_own_{c}": F.sum(c).over(in_rank) for c in limits}).join(below, "_rank")
+    # both sums only grow, so that what fits is all up to one place
+    fits = placed.where(reduce(Column.__and__, [F.col(f"_below_{c}") + F.col(f"_own_{c}") + fixed[c] <= most for c, most in limits.items()]))
     return held.where("protected").unionByName(fits.select(*held.columns))
 
 
+def reasons_left_out(questions: DataFrame, kept: DataFrame, page_limit: int | None = None) -> DataFrame:
+    """(question_id, benchmark, reason) of those that a selection left out: over-page for more bytes than a page may
+    have, over-budget for the rest."""
+    gone = questions.join(kept.select("question_id"), "question_id", "left_anti")
+    return gone.select("question_id", "benchmark", F.when(F.col("bytes") > F.lit(page_limit), "over-page").otherwise("over-budget").alias("reason"))
+
+
 def left_out(questions: DataFrame, kept: DataFrame) -> DataFrame:
     """(benchmark, questions, bytes) of those that a selection left out."""
     gone = questions.join(kept.select("question_id"), "question_id", "left_anti")

@@ -127,20 +127,21 @@ def _judge(done: ExitStack, envelope: Envelope, q, second_sql, copies, held, dir
     return judged
 
 
-def audit(spark: SparkSession, questions: DataFrame, tables: dict[str, DataFrame], predictions: DataFrame | None = None, *, seed: str = "1", timeout: float | None = 30, row_budget: int | None = 200_000, direction: bool = False, plan_variant: bool = False, keep_rows: bool = False, out: str | None = None) -> DataFrame:
+def audit(spark: SparkSession, questions: DataFrame, tables: dict[str, DataFrame], predictions: DataFrame | None = None, *, seed: str = "1", timeout: float | None = 30, row_budget: int | None = 200_000, direction: bool = False, plan_variant: bool = False, keep_rows: bool = False, out: str | None = None, measured: dict | None = None) -> DataFrame:
     """A row for each question (see JUDGED). Questions are statements and few; each runs as Spark jobs. A question
     that fails is an ERROR row that names the side, and the run goes on.
 
     timeout: seconds that each statement, the comparison, each reading and each probe may take. plan_variant: probe
     statements under another physical plan too. out: a folder for the documents of questions that disagree or that a
-    probe fired on; keep_rows: with the rows of their results, for which driver and executors must share the folder."""
+    probe fired on; keep_rows: with the rows of their results, for which driver and executors must share the folder.
+    measured: what fixture.measure() says of the tables, if it is at hand."""
     envelope = Envelope.open(spark, tables, timeout=timeout, row_budget=row_budget)
     variant = Envelope.open(spark, tables, variant=True, timeout=timeout, row_budget=row_budget) if plan_variant else None
     if out:
         Q.clear_output(out)
     asked = [r.asDict() for r in questions.orderBy("question_id").toLocalIterator()]
     given = {r["question_id"]: r["statement"] for r in predictions.toLocalIterator()} if predictions is not None else None
-    held = fixture.measure(tables)
+    held = measured or fixture.measure(tables)
     copies = shuffle.prepare(envelope.spark, tuple(sorted(tables)), seed)
     judged = []
     try:
@@ -159,16 +160,23 @@ def audit(spark: SparkSession, questions: DataFrame, tables: dict[str, DataFrame
     return spark.createDataFrame([tuple(asdict(j).values()) for j in judged], JUDGED)
 
 
-def summary(judged: DataFrame, fail_on_smell: bool = False) -> dict:
-    """A run's summary document."""
+_ASKED = {"applicable": "applicable", "fired": "probes", "failed": "failed"}
+
+
+def summary(judged: DataFrame, fail_on_smell: bool = False, engine: dict | None = None, measured: dict | None = None) -> dict:
+    """A run's summary document. engine and measured: what the run's records say of the engine and of the tables."""
     count = lambda df, key: {r[key]: r["n"] for r in df.collect()}
     verdicts = count(runs.verdict_counts(judged), "verdict")
     fired = count(runs.probe_counts(judged, probes.NAMES), "probe")
+    asked = judged.agg(*(F.count_if(F.array_contains(column, name)).alias(f"{kind} {name}") for name in probes.NAMES for kind, column in _ASKED.items())).first()
     total, split = sum(verdicts.values()), runs.credited_split(judged).collect()
     return {
         "questions": total,
         "verdicts": verdicts,
         "probes": fired,
+        "probes_by_applicability": {name: {kind: asked[f"{kind} {name}"] for kind in _ASKED} for name in probes.NAMES},
+        "engine": engine,
+        "fixture": measured,
         "credited_but_not_equal": count(runs.credited_by_mechanism(judged), "mechanism"),
         "credited_by_test_suite": {m: {name: sum(r["n"] for r in split if r["mechanism"] == m and r["test_suite"] == v) for name, v in (("also", 1), ("not", 0), ("unknown", None))} for m in sorted({r["mechanism"] for r in split})},
         "timed_out": {r["side"]: r["question_ids"] for r in runs.errors_by_side(judged).collect()},

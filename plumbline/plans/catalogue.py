@@ -621,6 +621,11 @@ def _(spark, folder):
     return runs.crosstab_cells(judged(spark, folder).where("mechanism IS NOT NULL"), "mechanism", "model", ("arbitrary-cut", "duplicate-full-row"))
 
 
+@query("crosstab_ids", _J + "SELECT DISTINCT mechanism, model, question_id FROM j WHERE mechanism IS NOT NULL AND model IS NOT NULL")
+def _(spark, folder):
+    return runs.crosstab_ids(judged(spark, folder), "mechanism", "model")
+
+
 _MEASURES = {"current": "cut", "combined": "cut OR repeats OR s", "increment repeats": "repeats AND NOT cut", "increment s": "s AND NOT (cut OR repeats)", "overlap cut repeats": "cut AND repeats", "overlap cut s": "cut AND s", "overlap repeats s": "repeats AND s"}
 
 
@@ -725,6 +730,11 @@ def _(spark, folder):
     return runs.coverage(table(spark, folder, "customer").where("c_custkey % 5 <> 0"), table(spark, folder, "orders"), "c_custkey", "o_custkey")
 
 
+@query("coverage_by_length", "WITH p AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0) SELECT CAST(length(CAST(o_custkey AS VARCHAR)) AS INT) AS length, count(*) AS children, count(p.k) AS found, count(DISTINCT o_custkey) AS keys FROM orders LEFT JOIN p ON p.k = o_custkey WHERE o_custkey IS NOT NULL GROUP BY 1")
+def _(spark, folder):
+    return runs.coverage_by_length(table(spark, folder, "customer").where("c_custkey % 5 <> 0"), table(spark, folder, "orders"), "c_custkey", "o_custkey")
+
+
 @query("precision", _J + "SELECT benchmark, count(*) AS rows, count(*) FILTER (cut) AS good, round(count(*) FILTER (cut) / count(*), 3) AS precision, count(DISTINCT question_id) AS questions FROM j GROUP BY 1")
 def _(spark, folder):
     return runs.precision(judged(spark, folder), "benchmark", "cut")
@@ -777,6 +787,18 @@ def _(spark, folder):
     return runs.left_out(j, runs.trimmed(j, budget))
 
 
+_FILED = "f AS (SELECT *, place % 7 + 1 AS files FROM j), k AS (SELECT *, sum(place) OVER w AS t, sum(files) OVER w AS u FROM (SELECT *, row_number() OVER (PARTITION BY cut, benchmark ORDER BY place, question_id) r FROM f) WINDOW w AS (PARTITION BY cut ORDER BY r, benchmark DESC, question_id ROWS UNBOUNDED PRECEDING))"
+
+
+@query("trimmed_by_files", _J + f", {_FILED} SELECT question_id, CASE WHEN cut OR t + (SELECT sum(place) FROM f WHERE cut) <= (SELECT sum(place) * 0.8 FROM f) AND u + (SELECT sum(files) FROM f WHERE cut) <= (SELECT sum(files) // 2 FROM f) THEN 'kept' ELSE 'over-budget' END AS reason FROM k")
+def _(spark, folder):
+    """A selection under a budget of bytes and one of files, and why the rest was left out."""
+    j = judged(spark, folder).select("question_id", "benchmark", F.col("place").alias("bytes"), (F.col("place") % 7 + 1).alias("files"), F.col("cut").alias("protected"))
+    most = j.agg((F.sum("bytes") * 0.8).alias("bytes"), F.sum("files").alias("files")).first()
+    kept = runs.trimmed(j, int(most["bytes"]), files=most["files"] // 2)
+    return runs.reasons_left_out(j, kept).select("question_id", "reason").unionAll(kept.select("question_id", F.lit("kept")))
+
+
 @query("directories_by_run", "SELECT o_orderstatus AS run, count(*) AS questions FROM orders GROUP BY 1")
 def _(spark, folder):
     o = table(spark, folder, "orders")

@@ -102,10 +102,22 @@ def _statement(raw):
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(key, statement) of a JSON object of statements by id or place. 0 and the empty text are no statement."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,string>").alias("m"))
-    rows = whole.select(F.explode("m").alias("key", "raw"))
-    return rows.select(F.col("key").cast("long").alias("key"), F.when(F.col("raw") == "0", None).otherwise(_statement(F.col("raw"))).alias("statement"))
+    """(key, statement) of a JSON object of statements by id or place. The number 0 and an empty text are no statement;
+    a text "0" is one. Refused: what is no object, a key that is no whole number, a value that is no text."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
+    kind = F.schema_of_variant("v")
+    if whole.where(F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))).isEmpty():
+        raise InputRefused(f"{path} holds no object of predictions")
+    rows = whole.select(F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("name", "raw"))
+    of = F.schema_of_variant("raw")
+    zero = F.coalesce(of.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(of, F.lit("DECIMAL")), F.lit(False)) & (F.try_variant_get("raw", "$", "double") == 0)
+    text = F.try_variant_get("raw", "$", "string")
+    key = F.when(F.rlike("name", F.lit(r"^\s*[+-]?[0-9]+\s*\z")), F.trim("name").try_cast("long"))
+    held = rows.select("name", key.alias("key"), F.coalesce(of, F.lit("VOID")).alias("kind"), F.coalesce(zero, F.lit(False)).alias("zero"), _statement(text).alias("statement"))
+    for bad, why in ((F.col("key").isNull(), "a key that is neither a question's id nor a place"), (~F.col("zero") & (F.col("kind") != "STRING"), "a value that is no statement")):
+        if (one := held.where(bad).orderBy("name").first()) is not None:
+            raise InputRefused(f"{path} has {why}: {one['name']!r}" + ("" if "key" in why else f" ({one['kind'].split('<')[0].lower()})"))
+    return held.select("key", F.when(~F.col("zero"), F.col("statement")).alias("statement"))
 
 
 def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
