@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +55,8 @@ def permuted_reading(gold: DataFrame, second: DataFrame, ordered: bool, budget:
     """Whether the results agree under some order of second's columns: as sequences if ordered (then both carry
     _pos), else as multisets. Two empty results agree; different counts or widths don't.
 
-    Columns are paired only where a column's values are among the other's; each complete order costs its rows.
+    Columns are paired only where a column's values are among the other's; each complete order costs its rows. All
+    orders that this leaves are held against gold by checksums in one job, and those that agree by their rows.
     """
     own = [df.drop("_pos") for df in (gold, second)]
     n = [df.count() for df in own]
@@ -79,15 +84,64 @@ def permuted_reading(gold: DataFrame, second: DataFrame, ordered: bool, budget:
             if j not in used:
                 yield from orders(i + 1, (*used, j))
 
-    for order in orders(0, ()):
-        spent += rows
-        if spent > budget:
-            raise PermutationBudget(f"more than {budget} rows would be compared")
-        if not _unequal(g, s, F.array(*(F.col(f"c{i}") for i in range(width))), F.array(*(F.col(f"c{j}") for j in order)), ordered):
-            return True
+    left, most = orders(0, ()), budget // rows
+    names = lambda order: F.array(*(F.col(f"c{j}") for j in order))
+    while some := list(islice(left, min(ORDERS_AT_A_TIME, most - spent))):
+        spent += len(some)
+        for i in _alike(g, s, some, ordered):
+            if not _unequal(g, s, names(range(width)), names(some[i]), ordered):
+                return True
+    if next(left, None) is not None:
+        raise PermutationBudget(f"more than {budget} rows would be compared")
     return False
 
 
+def _checksums(df: DataFrame, orders: list[tuple[int, ...]], ordered: bool, first: int) -> DataFrame:
+    """(order, a, b): of each order of df's columns, numbered from first, two sums over all rows of a hash of the row in
+    that order, its place included if ordered. They don't depend on how rows are dealt. df has keys as text."""
+    width = len(orders[0])
+    sent = df.sparkSession.sparkContext.broadcast(np.array(orders, np.int8))
+    hashed = df.select(*(F.xxhash64(f"c{i}").alias(f"h{i}") for i in range(width)), *([F.xxhash64("_pos").alias("place")] if ordered else []))
+
+    def sums(batches):
+        at = sent.value
+        total = np.zeros((2, len(at)), np.uint64)
+        for batch in batches:
+            cells = np.stack([batch.column(f"h{i}").to_numpy().view(np.uint64) for i in range(width)])
+            place = batch.column("place").to_numpy().view(np.uint64) if ordered else np.zeros(batch.num_rows, np.uint64)
+            # rows and orders at a time, so that a task holds a few million hashes
+            for few in range(0, len(at), 2048):
+                part = at[few : few + 2048]
+                for row in range(0, batch.num_rows, 1024):
+                    own, here = cells[:, row : row + 1024], place[row : row + 1024]
+                    for k, odd in enumerate(_ODD):
+                        h = np.broadcast_to(here, (len(part), len(here))).copy()
+                        for i in range(width):
+                            h = h * odd + own[part[:, i]]
+                        h ^= h >> np.uint64(29)
+                        h *= odd
+                        h ^= h >> np.uint64(32)
+                        total[k, few : few + len(part)] += h.sum(axis=1, dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(at))), *(pa.array(t.view(np.int64)) for t in total)], ["order", "a", "b"])
+
+    return hashed.mapInArrow(sums, "order long, a long, b long")
+
+
+#: Orders of columns whose checksums are worked out by one job, and what their hashes multiply by.
+ORDERS_AT_A_TIME = 50_000
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _alike(g: DataFrame, s: DataFrame, orders: list[tuple[int, ...]], ordered: bool) -> list[int]:
+    """Those of orders, by number, in which the checksums of second's rows are gold's: one aggregation of both sides.
+    Rows that agree have equal checksums; that equal ones agree is for the caller to make sure."""
+    width = len(orders[0])
+    every = _checksums(g, [tuple(range(width))], ordered, -1).unionAll(_checksums(s, orders, ordered, 0))
+    wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
+    found = {r["order"]: (int(r["a"]) % (1 << 64), int(r["b"]) % (1 << 64)) for r in every.groupBy("order").agg(wide("a"), wide("b")).collect()}  # a row an order
+    return sorted(i for i, sums in found.items() if i >= 0 and sums == found[-1])
+
+
 def test_suite_reading(gold: DataFrame, second: DataFrame, gold_sql: str, budget: int = PERMUTATION_BUDGET) -> int | None:
     """1 or 0: the results agree under some order of columns, in order if the gold's text holds `order by` anywhere.
     None where the search for an order of columns is beyond its budget."""

@@ -125,6 +125,47 @@ def test_orders_of_columns(spark):
         readings.permuted_reading(spark.sql(x), spark.sql(y), False, budget=1)
 
 
+def test_orders_of_columns_are_those_of_brute_force(spark):
+    import itertools
+    import random
+    from collections import Counter
+
+    r = random.Random(16)
+    for trial in range(6):
+        width, n = r.randrange(1, 5), r.randrange(1, 6)
+        rows = [tuple(r.randrange(3) for _ in range(width)) for _ in range(n)]
+        order = r.sample(range(width), width)
+        other = [tuple(x[i] for i in order) for x in r.sample(rows, n)]
+        if trial % 2:
+            at = r.randrange(n)
+            other[at] = tuple(r.randrange(3) for _ in range(width))
+        names = ", ".join(f"c{i} int" for i in range(width))
+        a, b = spark.createDataFrame(rows, names), spark.createDataFrame(other, names)
+        want = any(Counter(rows) == Counter(tuple(x[i] for i in p) for x in other) for p in itertools.permutations(range(width)))
+        assert readings.permuted_reading(a, b, False) == want, trial
+        placed_ = [placed(spark, x, names) for x in (rows, other)]
+        want = any(rows == [tuple(x[i] for i in p) for x in other] for p in itertools.permutations(range(width)))
+        assert readings.permuted_reading(*placed_, True) == want, trial
+
+
+def test_all_orders_of_eight_columns_are_one_job(spark, monkeypatch):
+    rows = [tuple((i * (k + 1) + k * k) % 11 for k in range(8)) for i in range(110)]
+    names = ", ".join(f"c{i} int" for i in range(8))
+    asked, jobs = [], []
+    monkeypatch.setattr(readings, "_alike", lambda g, s, orders, o, f=readings._alike: (jobs.append(len(orders)), f(g, s, orders, o))[1])
+    monkeypatch.setattr(readings, "_unequal", lambda *a, f=readings._unequal: (asked.append(1), f(*a))[1])
+    a = spark.createDataFrame(rows, names)
+    assert readings.permuted_reading(a, spark.createDataFrame([(x[7], *x[1:7], x[0]) for x in rows], names), False)
+    assert jobs == [40320] and len(asked) <= 1 + 8
+    # the same values in each row and each column, but never the same rows
+    jobs.clear(), asked.clear()
+    turned = [tuple(x[(k + i // 11) % 8] for k in range(8)) for i, x in enumerate(rows)]
+    assert not readings.permuted_reading(a, spark.createDataFrame(turned, names), False)
+    assert len(asked) == 1 and sum(jobs) == 40320
+    with pytest.raises(readings.PermutationBudget):
+        readings.permuted_reading(a, spark.createDataFrame(turned, names), False, budget=110 * 40319)
+
+
 def test_other_readings(spark):
     ts = "SELECT TIMESTAMP '2020-01-01 10:00:00' v"
     assert readings.dates_as_text_reading(spark.sql(ts), spark.sql("SELECT DATE '2020-01-01' v")).first()["agrees"] == 1
