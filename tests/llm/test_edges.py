@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import attribution, extract, hilbert, language, licences, minhash, posindex, sentencepieces, store, toxicity, winnow
+from plumbline.llm import attribution, extract, fim, hilbert, language, licences, minhash, posindex, sentencepieces, store, suffixes, toxicity, winnow
 
 LONG = " ".join(f"word{i % 97} zeta{i}" for i in range(30_000))
 ROWS = [
@@ -50,10 +50,12 @@ def operators(docs, labels, items):
         "op8": lambda: licences.scan(docs),
         "op9": lambda: posindex.digest(posindex.hits(docs, items)),
         "op10": lambda: winnow.compare_with_next(docs),
+        "op11": lambda: suffixes.digest(docs),
+        "op12": lambda: fim.digest(docs),
     }
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op2 fields", "op3", "op5", "op6", "op7", "op8", "op9", "op10"])
+@pytest.mark.parametrize("name", ["op1", "op2", "op2 fields", "op3", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12"])
 def test_each_row_has_its_row(docs, labels, items, name):
     out = operators(docs, labels, items)[name]().collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out) == sorted((r[0] is None, r[0] or 0) for r in ROWS)
@@ -75,7 +77,7 @@ def test_each_row_has_its_row(docs, labels, items, name):
         assert of[3]["n_words"] == 0 and of[3]["labels"] == "" and of[3]["first_word"] is None
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op5", "op6", "op7", "op8", "op9", "op10"])
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12"])
 def test_an_empty_table_gives_an_empty_result(docs, labels, items, name):
     none = docs.limit(0)
     assert operators(none, labels, items)[name]().count() == 0
