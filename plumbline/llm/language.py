@@ -205,7 +205,7 @@ BLOCK = 1024
 def _paths(scores: np.ndarray, begin: np.ndarray, length: np.ndarray, v: np.ndarray, switch: float, carried: np.ndarray, final: np.ndarray | None, path: np.ndarray | None) -> np.ndarray:
     """Goes through stretches of words side by side, longest first, from the values v of each language before its first
     word (taken as a word's before it where carried), and returns the values behind its last. With path, the best
-    languages are written there, those at the ends given by final, or the best."""
+    languages are written there, those at the ends given by final, or the best where it has -1."""
     longest = int(length[0]) if len(length) else 0
     active = np.searchsorted(-length, -np.arange(longest), "left")  # stretches longer than t
     if path is not None:
@@ -222,7 +222,9 @@ def _paths(scores: np.ndarray, begin: np.ndarray, length: np.ndarray, v: np.ndar
             best[rows], stay[rows] = now.argmax(axis=1), held
         v[:k] = np.where(held, now, (top - switch)[:, None]) + scores[rows]
     if path is not None:
-        state = (v.argmax(axis=1) if final is None else final.copy()) if len(length) else np.zeros(0, np.int64)
+        state = v.argmax(axis=1) if len(length) else np.zeros(0, np.int64)
+        if final is not None:
+            state = np.where(final < 0, state, final)
         for t in range(longest - 1, -1, -1):
             k = active[t]
             rows = begin[:k] + t
@@ -255,25 +257,22 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
         out = np.empty_like(start)
         out[order] = _paths(scores, np.repeat(begin[long], n_langs)[order], np.repeat(length[long], n_langs)[order], start[order], switch, np.ones(len(order), bool), None, None)
         turns = dict(zip(long.tolist(), out.reshape(len(long), n_langs, n_langs), strict=True))
-        final = np.full(len(begin), -1)
-        first = {}
+        final, values = np.full(len(begin), -1), {}
+        # a text's first block comes from nowhere, so that each language begins with nothing
+        heads = long[~carried[long]]
+        heads = heads[np.argsort(-length[heads], kind="stable")]
+        values |= zip(heads.tolist(), _paths(scores, begin[heads], length[heads], into[heads], switch, carried[heads], None, None), strict=True)
         for b in long.tolist():
-            # a first block's values come from nowhere, so that each language begins with nothing
-            before = into[b] if carried[b] else None
-            first[b] = _paths(scores, begin[b : b + 1], length[b : b + 1], np.zeros((1, n_langs)), switch, carried[b : b + 1], None, None)[0] if before is None else (before[:, None] + turns[b]).max(axis=0)
+            if carried[b]:
+                values[b] = (into[b][:, None] + turns[b]).max(axis=0)
             if b + 1 < len(begin) and carried[b + 1]:
-                into[b + 1] = first[b] - first[b].max()
+                into[b + 1] = values[b] - values[b].max()
         for b in reversed(long.tolist()):
             if b + 1 == len(begin) or not carried[b + 1]:
-                final[b] = first[b].argmax()
+                final[b] = values[b].argmax()
             if carried[b]:
                 come = into[b] + turns[b][:, final[b]]
                 final[b - 1] = final[b] if come[final[b]] == come.max() else come.argmax()
-        alone = final < 0
-        if alone.any():
-            own = np.flatnonzero(alone)
-            order = own[np.argsort(-length[own], kind="stable")]
-            final[order] = _paths(scores, begin[order], length[order], into[order], switch, carried[order], None, None).argmax(axis=1)
     path = np.zeros(len(scores), np.int16)
     order = np.argsort(-length, kind="stable")
     _paths(scores, begin[order], length[order], into[order], switch, carried[order], None if final is None else final[order], path)
